@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from parlance.llm.bpe import round_trip
+from parlance.llm.decontaminate import CONTAINED_SQL, contained_items
 from parlance.llm.frames import table
+from parlance.llm.language import held_out, identify, learn
+from parlance.llm.licenses import known_licenses, license_scan, license_scan_sql
 from parlance.llm.token_counts import token_counts
 
 
@@ -17,20 +20,40 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents"), known_licenses(spark))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
 
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = identify(docs, learn(docs, held_out(4, 2)))
+    return found.select("doc_id", held_out(4, 2).alias("held_out"), "lang_pred", "score", "languages")
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_decontaminate": op2_decontaminate,
+        "op3_licenses": op3_licenses,
         "op6_token_counts": op6_token_counts,
+        "op9_language": op9_language,
         "op10_bpe": op10_bpe,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op2_decontaminate": CONTAINED_SQL,
+        "op3_licenses": license_scan_sql(),
+    }
