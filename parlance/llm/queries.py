@@ -11,6 +11,7 @@ from parlance.llm.decontaminate import CONTAINED_SQL, contained_items
 from parlance.llm.frames import table
 from parlance.llm.language import held_out, identify, learn
 from parlance.llm.licenses import known_licenses, license_scan, license_scan_sql
+from parlance.llm.lm_scoring import score as lm_score
 from parlance.llm.token_counts import token_counts
 
 
@@ -28,6 +29,10 @@ def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"), known_licenses(spark))
 
 
+def op4_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score(table(spark, sf_dir, "documents"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
@@ -46,6 +51,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_decontaminate": op2_decontaminate,
         "op3_licenses": op3_licenses,
+        "op4_lm_scores": op4_lm_scores,
         "op6_token_counts": op6_token_counts,
         "op9_language": op9_language,
         "op10_bpe": op10_bpe,
