@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from parlance.llm import toxicity
 from parlance.llm.bpe import round_trip
 from parlance.llm.decontaminate import CONTAINED_SQL, contained_items
 from parlance.llm.frames import table
@@ -37,6 +38,12 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = toxicity.score(docs, toxicity.learn(docs, table(spark, sf_dir, "labels"), held_out(5, 0)))
+    return found.select("doc_id", held_out(5, 0).alias("held_out"), "score", "predicted", "n_windows")
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = identify(docs, learn(docs, held_out(4, 2)))
@@ -53,6 +60,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_licenses": op3_licenses,
         "op4_lm_scores": op4_lm_scores,
         "op6_token_counts": op6_token_counts,
+        "op8_toxicity": op8_toxicity,
         "op9_language": op9_language,
         "op10_bpe": op10_bpe,
     }

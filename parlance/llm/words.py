@@ -35,11 +35,15 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_spans(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+#: Everything but ASCII letters and bytes of other scripts.
+NO_LETTER = np.array([not (chr(c).isalpha() and c < 128 or c >= 128) for c in range(256)])
+
+
+def word_spans(data: np.ndarray, bounds: np.ndarray, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
     """Start and end of each word; words are runs of bytes other than white space within a row."""
     n = len(data)
     word = np.zeros(n + 1, bool)
-    word[:n] = ~_SPACE[data]
+    word[:n] = ~space[data]
     starts = word[:n].copy()
     starts[1:] &= ~word[: n - 1] if n else starts[1:]
     inner = bounds[(bounds < n) & (bounds > 0)]
@@ -49,11 +53,11 @@ def word_spans(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nda
     return np.flatnonzero(starts), np.flatnonzero(ends) + 1
 
 
-def word_hashes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, bounds: np.ndarray, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
     """Fingerprint (ASCII letters lower-cased) and row of each word, in order."""
     if not len(data):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    starts, ends = word_spans(data, bounds)
+    starts, ends = word_spans(data, bounds, space)
     up, down = powers(len(data))
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_LOWER_TABLE[data] * up, out=sums[1:])
