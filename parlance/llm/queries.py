@@ -13,6 +13,7 @@ from parlance.llm.frames import table
 from parlance.llm.language import held_out, identify, learn
 from parlance.llm.licenses import known_licenses, license_scan, license_scan_sql
 from parlance.llm.lm_scoring import score as lm_score
+from parlance.llm.ngram_join import similar_groups
 from parlance.llm.token_counts import token_counts
 
 
@@ -34,6 +35,10 @@ def op4_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score(table(spark, sf_dir, "documents"))
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_groups(table(spark, sf_dir, "documents"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
@@ -59,6 +64,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_decontaminate": op2_decontaminate,
         "op3_licenses": op3_licenses,
         "op4_lm_scores": op4_lm_scores,
+        "op5_ngram_join": op5_ngram_join,
         "op6_token_counts": op6_token_counts,
         "op8_toxicity": op8_toxicity,
         "op9_language": op9_language,
