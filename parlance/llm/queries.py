@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from parlance.llm import toxicity
 from parlance.llm.bpe import round_trip
 from parlance.llm.decontaminate import CONTAINED_SQL, contained_items
+from parlance.llm.embedding_dedup import near_duplicates
 from parlance.llm.frames import table
 from parlance.llm.language import held_out, identify, learn
 from parlance.llm.licenses import known_licenses, license_scan, license_scan_sql
@@ -43,6 +44,10 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
 
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = toxicity.score(docs, toxicity.learn(docs, table(spark, sf_dir, "labels"), held_out(5, 0)))
@@ -66,6 +71,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_lm_scores": op4_lm_scores,
         "op5_ngram_join": op5_ngram_join,
         "op6_token_counts": op6_token_counts,
+        "op7_embedding_dedup": op7_embedding_dedup,
         "op8_toxicity": op8_toxicity,
         "op9_language": op9_language,
         "op10_bpe": op10_bpe,
