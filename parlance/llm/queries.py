@@ -15,6 +15,7 @@ from parlance.llm.language import held_out, identify, learn
 from parlance.llm.licenses import known_licenses, license_scan, license_scan_sql
 from parlance.llm.lm_scoring import score as lm_score
 from parlance.llm.ngram_join import similar_groups
+from parlance.llm.suffix_dedup import remove_repeats
 from parlance.llm.token_counts import token_counts
 
 
@@ -24,6 +25,10 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -66,6 +71,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_suffix_dedup": op1_suffix_dedup,
         "op2_decontaminate": op2_decontaminate,
         "op3_licenses": op3_licenses,
         "op4_lm_scores": op4_lm_scores,
