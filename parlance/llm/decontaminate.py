@@ -38,9 +38,9 @@ def _hashes(words: Column, hashed: Column, k: int) -> Column:
 
 
 def _shingles(words: Column, k: Column) -> Column:
-    """The distinct runs of k words, as texts."""
+    """The distinct runs of k words, as texts.  Words are taken one by one: a slice would go through the whole array each time."""
     n = F.size(words)
-    return F.when((n >= k) & (k > 0), F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(n - k, F.lit(0))), lambda i: F.array_join(F.slice(words, i + 1, k), " ")))).otherwise(F.array().cast("array<string>"))
+    return F.when((n >= k) & (k > 0), F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(n - k, F.lit(0))), lambda i: F.concat_ws(" ", *[F.when(k > j, F.get(words, i + j)) for j in range(WORDS)])))).otherwise(F.array().cast("array<string>"))
 
 
 def item_sketches(items: DataFrame, share: float = CONTAINED) -> DataFrame:
@@ -74,17 +74,21 @@ def contained_items(docs: DataFrame, items: DataFrame, share: float = CONTAINED)
         mine = [p for p in parts if p["k"] == k]
         top, least = max(p["top"] for p in mine), min(p["least"] for p in mine)
         wanted = F.concat(wanted, F.when(F.size("words") >= k + least - 1, F.filter(_hashes(F.col("words"), F.col("hashed"), k), lambda h, top=top: h <= F.lit(top))).otherwise(F.array().cast("array<long>")))
-    probes = worded.select("doc_id", F.size("words").alias("n_words"), F.explode(wanted).alias("hash"))
+    # explode() would have Spark filter empty arrays first, by the arrays' whole expression, with the words' within its lambda.
+    probes = worded.select("doc_id", F.size("words").alias("n_words"), wanted.alias("wanted")).select("doc_id", "n_words", F.explode_outer("wanted").alias("hash"))
     keys = sketches.select("item_id", "k", "need", F.explode("sketch").alias("hash"))
     if sum(p["rows"] for p in parts) <= BROADCAST_ROWS:
         keys = F.broadcast(keys)
     pairs = probes.join(keys, "hash").where("n_words >= need + k - 1").select("doc_id", "item_id").distinct()
-    sides = pairs.join(sketches.select("item_id", F.col("words").alias("item_words"), "k", "n"), "item_id").join(plain, "doc_id")
-    shared = F.size(F.array_intersect(_shingles(F.col("item_words"), F.col("k")), _shingles(_words(F.col("text")), F.col("k"))))
-    sized = sides.select("doc_id", "item_id", F.size(_shingles(F.col("item_words"), F.col("k"))).cast("long").alias("n_shingles"), shared.cast("long").alias("n_shared"))
-    kept = sized.where(F.col("n_shared") >= F.ceil(F.lit(share) * F.col("n_shingles") - F.lit(1e-9)))
-    best = F.struct((F.col("n_shared") / F.col("n_shingles")).alias("containment"), "n_shingles", "n_shared")
-    return kept.groupBy("doc_id", "item_id").agg(F.max(best).alias("b")).select("doc_id", "item_id", "b.n_shingles", "b.n_shared", "b.containment")
+    # Words and shingles are columns of their own: an expression within a lambda would be worked out for each element.
+    asked = sketches.select("item_id", "words", "k").withColumn("item_shingles", _shingles(F.col("words"), F.col("k"))).drop("words")
+    sides = pairs.join(asked, "item_id").join(plain, "doc_id").select("doc_id", "item_id", "k", "item_shingles", _words(F.col("text")).alias("words"))
+    shingled = sides.select("doc_id", "item_id", "item_shingles", _shingles(F.col("words"), F.col("k")).alias("shingles"))
+    sized = shingled.select("doc_id", "item_id", F.size("item_shingles").cast("long").alias("n_shingles"), F.size(F.array_intersect("item_shingles", "shingles")).cast("long").alias("n_shared"))
+    # The best of each pair first, the threshold after: a filter right here would be pushed below the words' column and work them out within the lambda.
+    best = F.max(F.struct((F.col("n_shared") / F.col("n_shingles")).alias("containment"), "n_shingles", "n_shared")).alias("b")
+    found = sized.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "b.n_shingles", "b.n_shared", "b.containment")
+    return found.where(F.col("n_shared") >= F.ceil(F.lit(share) * F.col("n_shingles") - F.lit(1e-9)))
 
 
 CONTAINED_SQL = r"""
