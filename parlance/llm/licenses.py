@@ -60,18 +60,30 @@ KNOWN = {
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
 }
 
-COPYRIGHT_LINE = r"(?m)^[ \t]*(copyright\b|\(c\)|©|all rights reserved)[^\n]*$"
+COPYRIGHT_LINE = r"^[ \t]*(copyright\b|\(c\)|©|all rights reserved)"
 _VARIANT = r"\b(" + "|".join(SPELLINGS) + r")\b"
+#: Distinct lengths of known forms up to which lines of any other length are not hashed at all.
+LENGTHS = 1000
 
 
-def canonical(text: Column) -> Column:
-    """The canonical form of a text."""
-    plain = F.regexp_replace(F.lower(text), COPYRIGHT_LINE, " ")
-    plain = F.trim(F.regexp_replace(plain, r"[^\p{L}\p{N}]+", " "))
-    one = plain
+def _spelled(form: Column) -> Column:
     for other, chosen in SPELLINGS.items():
-        one = F.regexp_replace(one, rf"\b{other}\b", chosen)
-    return F.when(plain.rlike(_VARIANT), one).otherwise(plain)
+        form = F.regexp_replace(form, rf"\b{other}\b", chosen)
+    return form
+
+
+def with_forms(texts: DataFrame) -> DataFrame:
+    """Adds ``forms``, the canonical form of each line of ``text``, and ``form``, that of the whole.
+
+    Lines are worked on once: the whole's form is that of its lines, joined by a space.  Texts
+    without any variant spelling are told by one search and not searched for each of them.
+    """
+    low = texts.withColumn("text", F.lower(F.coalesce("text", F.lit(""))))
+    lines = low.withColumn("varies", F.col("text").rlike(_VARIANT)).withColumn(
+        "forms", F.transform(F.split("text", "\n"), lambda x: F.when(x.rlike(COPYRIGHT_LINE), "").otherwise(F.trim(F.regexp_replace(x, r"[^\p{L}\p{N}]+", " "))))
+    )
+    spelled = lines.withColumn("forms", F.when(F.col("varies"), F.transform("forms", _spelled)).otherwise(F.col("forms")))
+    return spelled.withColumn("form", F.array_join(F.filter("forms", lambda x: x != ""), " ")).drop("varies", "text")
 
 
 def known_licenses(spark: SparkSession) -> DataFrame:
@@ -84,15 +96,15 @@ def license_scan(docs: DataFrame, known: DataFrame) -> DataFrame:
     A row for each row's doc_id: repeated rows meet in one.  Null, empty and letterless texts
     match nothing.  Known texts that come to the same canonical form keep the least license_id.
     """
-    digests = (
-        known.select("license_id", canonical(F.col("text")).alias("form")).where("form <> ''")
-        .groupBy(F.sha2("form", 256).alias("digest")).agg(F.min("license_id").alias("license_id"))
-    )
+    digests = with_forms(known.select("license_id", "text")).where("form <> ''").groupBy(F.sha2("form", 256).alias("digest"), F.length("form").alias("length")).agg(F.min("license_id").alias("license_id"))
     plain = documents(docs)
-    lines = F.transform(F.split("text", "\n"), lambda x: F.struct(F.lit(False).alias("whole"), x.alias("unit")))
-    whole = F.array(F.struct(F.lit(True).alias("whole"), F.col("text").alias("unit")))
-    units = plain.select("doc_id", F.explode(F.concat(whole, lines)).alias("u")).select("doc_id", "u.whole", canonical(F.col("u.unit")).alias("form")).where("form <> ''")
-    found = units.select("doc_id", "whole", F.sha2("form", 256).alias("digest")).join(digests, "digest").groupBy("doc_id").agg(
+    units = with_forms(plain).select("doc_id", F.concat(F.array(F.struct(F.lit(True).alias("whole"), F.col("form"))), F.transform("forms", lambda x: F.struct(F.lit(False).alias("whole"), x.alias("form")))).alias("units"))
+    # explode() would have Spark work out the arrays once more, to leave out empty ones.
+    each = units.select("doc_id", F.explode_outer("units").alias("u")).select("doc_id", "u.whole", "u.form")
+    lengths = [r["length"] for r in digests.select("length").distinct().limit(LENGTHS + 1).collect()]
+    if len(lengths) <= LENGTHS:
+        each = each.where(F.length("form").isin(lengths))
+    found = each.where("form <> ''").select("doc_id", "whole", F.sha2("form", 256).alias("digest")).join(digests.drop("length"), "digest").groupBy("doc_id").agg(
         F.min(F.when(F.col("whole"), F.col("license_id"))).alias("license_id"),
         F.array_join(F.array_sort(F.collect_set(F.when(~F.col("whole"), F.col("license_id")))), ",").alias("notices"),
     )
