@@ -6,10 +6,28 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from parlance.plans import interval_queries, report_queries, text_queries, word_queries
+
+_PARTS = (text_queries, word_queries, interval_queries, report_queries)
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: run for part in _PARTS for name, (run, _) in part.QUERIES.items()}
+
+
+def _counts_as_long(sql: str) -> str:
+    """count_if() gives a huge integer there; a long here."""
+    out, at = "", 0
+    while (k := sql.find("count_if(", at)) >= 0:
+        depth, end = 0, k + len("count_if")
+        while True:
+            depth += {"(": 1, ")": -1}.get(sql[end], 0)
+            end += 1
+            if not depth:
+                break
+        out, at = out + sql[at:k] + f"CAST({sql[k:end]} AS BIGINT)", end
+    return out + sql[at:]
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: _counts_as_long(sql) for part in _PARTS for name, (_, sql) in part.QUERIES.items() if sql}
