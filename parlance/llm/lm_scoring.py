@@ -32,10 +32,10 @@ _SHARED = 2  # bytes of context by which subtrees are dealt
 _MESSAGE = "src long, dest long, kind int, tokens long, types long, ends long, payload binary"
 
 
-def blocks_of(docs: DataFrame, bytes_each: int = 16 << 20) -> int:
-    """Number of blocks: twice the shuffle's partitions, more if the plan's size asks for it."""
+def blocks_of(docs: DataFrame, bytes_each: int = 4 << 20) -> int:
+    """Number of blocks: the shuffle's partitions, more if the plan's size asks for it.  Each block writes to each bucket, so there are no more than needed."""
     size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return max(2 * shuffle_partitions(docs.sparkSession), min(size // bytes_each, 1 << 16) if size < 1 << 50 else 1)
+    return max(shuffle_partitions(docs.sparkSession), min(size // bytes_each, 1 << 16) if size < 1 << 50 else 1)
 
 
 def _train_rows(ids: np.ndarray, modulus: int, remainder: int) -> np.ndarray:

@@ -170,9 +170,11 @@ class Block:
         before = np.minimum(place - self.bounds[row], LENGTH - GRAM)
         after = np.minimum(self.bounds[row + 1] - place, LENGTH)
         around = np.arange(AROUND) - (LENGTH - GRAM)
-        width = around[None, :]
-        inside = (width >= -before[:, None]) & (width < after[:, None])
-        text = np.where(inside, self.data[np.where(inside, place[:, None] + width, 0)], 0).astype(np.uint8) if len(at) else np.zeros((0, AROUND), np.uint8)
+        text = np.zeros((len(at), AROUND), np.uint8)
+        for a in range(0, len(at), 1 << 15):
+            p, lo, hi = (x[a : a + (1 << 15), None] for x in (place, before, after))
+            inside = (around >= -lo) & (around < hi)
+            text[a : a + (1 << 15)] = np.where(inside, self.data[np.where(inside, p + around, 0)], 0)
         whole = np.concatenate([text, before[:, None].astype(np.uint8), after[:, None].astype(np.uint8)], axis=1)
         key = _row_keys(whole)
         order = np.lexsort((self.ids[row], key))
