@@ -37,6 +37,10 @@ def _hashes(words: Column, hashed: Column, k: int) -> Column:
     return F.when(n >= k, F.transform(F.sequence(F.lit(0), F.greatest(n - k, F.lit(0))), lambda i: F.xxhash64(F.lit(k), *[F.get(hashed, i + j) for j in range(k)]))).otherwise(F.array().cast("array<long>"))
 
 
+def _up_to(hashes: Column, top: int) -> Column:
+    return F.filter(hashes, lambda h: h <= F.lit(top))
+
+
 def _shingles(words: Column, k: Column) -> Column:
     """The distinct runs of k words, as texts.  Words are taken one by one: a slice would go through the whole array each time."""
     n = F.size(words)
@@ -73,7 +77,7 @@ def contained_items(docs: DataFrame, items: DataFrame, share: float = CONTAINED)
     for k in sorted({p["k"] for p in parts}):
         mine = [p for p in parts if p["k"] == k]
         top, least = max(p["top"] for p in mine), min(p["least"] for p in mine)
-        wanted = F.concat(wanted, F.when(F.size("words") >= k + least - 1, F.filter(_hashes(F.col("words"), F.col("hashed"), k), lambda h, top=top: h <= F.lit(top))).otherwise(F.array().cast("array<long>")))
+        wanted = F.concat(wanted, F.when(F.size("words") >= k + least - 1, _up_to(_hashes(F.col("words"), F.col("hashed"), k), top)).otherwise(F.array().cast("array<long>")))
     # explode() would have Spark filter empty arrays first, by the arrays' whole expression, with the words' within its lambda.
     probes = worded.select("doc_id", F.size("words").alias("n_words"), wanted.alias("wanted")).select("doc_id", "n_words", F.explode_outer("wanted").alias("hash"))
     keys = sketches.select("item_id", "k", "need", F.explode("sketch").alias("hash"))
