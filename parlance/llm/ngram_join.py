@@ -291,6 +291,30 @@ def _joined(first: int | None):
     return run
 
 
+def _fine(sets: np.ndarray) -> bytes:
+    """Numbers in about one group for every two shingles, as a vector of a power of two."""
+    bits = min(16, max(7, int(len(sets) // 2).bit_length()))
+    found = np.bincount((sets >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    kind = np.uint8 if found.max(initial=0) < 1 << 8 else np.uint32
+    return bytes([kind().itemsize]) + found.astype(kind).tobytes()
+
+
+def _fine_counts(value: bytes) -> np.ndarray:
+    return np.frombuffer(value, np.uint8 if value[0] == 1 else np.uint32, offset=1).astype(np.int64)
+
+
+def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The bound once more, with groups as fine as the smaller set's; neighbouring groups of the other are added up."""
+    for batch in batches:
+        keep = []
+        for x, y in zip(batch.column("fine_a").to_pylist(), batch.column("fine_b").to_pylist()):
+            x, y = _fine_counts(x), _fine_counts(y)
+            n = min(len(x), len(y))
+            bound = int(np.minimum(x.reshape(n, -1).sum(axis=1), y.reshape(n, -1).sum(axis=1)).sum())
+            keep.append((100 + PERCENT) * bound >= PERCENT * int(x.sum() + y.sum()))
+        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keep = []
@@ -331,12 +355,15 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     ids = members.select(F.col("rep").alias("doc_id")).distinct()
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
-    held = docs.join(ids, "doc_id", "left_semi").mapInArrow(_whole_sets, "doc_id long, set binary").checkpoint()
+    held = docs.join(ids, "doc_id", "left_semi").mapInArrow(_whole_sets, "doc_id long, set binary, fine binary").checkpoint()
 
     def verified(pairs: DataFrame) -> DataFrame:
-        left = held.select(F.col("doc_id").alias("a"), F.col("set").alias("set_a"))
-        right = held.select(F.col("doc_id").alias("b"), F.col("set").alias("set_b"))
-        return pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b").mapInArrow(_verified, "a long, b long")
+        """Pairs that pass the finer bound, whose vectors are a sixteenth of the sets, and then the exact test."""
+        for column, test in (("fine", _bounded), ("set", _verified)):
+            left = held.select(F.col("doc_id").alias("a"), F.col(column).alias(f"{column}_a"))
+            right = held.select(F.col("doc_id").alias("b"), F.col(column).alias(f"{column}_b"))
+            pairs = pairs.join(left, "a").join(right, "b").select("a", "b", f"{column}_a", f"{column}_b").mapInArrow(test, "a long, b long")
+        return pairs
 
     links = verified(joined(None, FIRST)).checkpoint()
     comp = components(links)
@@ -352,4 +379,5 @@ def _whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = ids_of(batch)
         for a, b in slices(bounds):
             sets, edges = shingle_sets(data[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a])
-            yield pa.RecordBatch.from_arrays([pa.array(ids[a:b], pa.int64()), pa.array([sets[x:y].tobytes() for x, y in zip(edges[:-1], edges[1:])], pa.binary())], names=["doc_id", "set"])
+            each = [sets[x:y] for x, y in zip(edges[:-1], edges[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[a:b], pa.int64()), pa.array([e.tobytes() for e in each], pa.binary()), pa.array([_fine(e) for e in each], pa.binary())], names=["doc_id", "set", "fine"])
