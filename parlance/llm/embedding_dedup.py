@@ -32,8 +32,10 @@ SIGHTS = 32
 RECALL = 0.9995
 #: Width of a cell along a coarse line; unit vectors spread over about one such line's unit.
 CELL = 2.5
+#: Vectors fall to a cell's share of one in SPLIT for each line: the inverse of the chance that two unrelated ones share a step of width CELL.
+SPLIT = 1.8
 #: Vectors that a cell should hold, and those beyond which it is dealt out in tiles.
-CELL_VECTORS, TILE = 500, 4096
+CELL_VECTORS, TILE = 300, 4096
 #: Share of the farthest pairs that may have no cell in common.
 MISSED = 0.001
 SEED = 7
@@ -53,7 +55,7 @@ def calibrated(far: float, window: float) -> int:
 
 def layout(n: int, far: float) -> tuple[int, int]:
     """Coarse lines to a cell, and tables."""
-    lines = max(0, math.ceil(math.log(max(n, 1) / CELL_VECTORS) / math.log(2.2)))
+    lines = max(0, math.ceil(math.log(max(n, 1) / CELL_VECTORS) / math.log(SPLIT)))
     kept = (1 - far * math.sqrt(2 / math.pi) / CELL) ** lines
     return lines, 1 if not lines else math.ceil(math.log(MISSED) / math.log(1 - kept))
 
