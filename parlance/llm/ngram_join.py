@@ -307,7 +307,7 @@ def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bound once more, with groups as fine as the smaller set's; neighbouring groups of the other are added up."""
     for batch in batches:
         keep = []
-        for x, y in zip(batch.column("fine_a").to_pylist(), batch.column("fine_b").to_pylist()):
+        for x, y in zip(batch.column("left").to_pylist(), batch.column("right").to_pylist()):
             x, y = _fine_counts(x), _fine_counts(y)
             n = min(len(x), len(y))
             bound = int(np.minimum(x.reshape(n, -1).sum(axis=1), y.reshape(n, -1).sum(axis=1)).sum())
@@ -318,7 +318,7 @@ def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keep = []
-        for x, y in zip(batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist()):
+        for x, y in zip(batch.column("left").to_pylist(), batch.column("right").to_pylist()):
             x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
             both = np.sort(np.concatenate([x, y]))
             common = int((both[1:] == both[:-1]).sum())
@@ -352,18 +352,20 @@ def similar_groups(docs: DataFrame) -> DataFrame:
         rows = members.withColumn("comp", F.col("rep")) if comp is None else members.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("set", "rep", "n", "vector", F.coalesce("root", "rep").alias("comp"))
         return rows.repartition(buckets, "set").sortWithinPartitions("set", "rep").mapInArrow(_joined(first), "a long, b long").distinct()
 
-    ids = members.select(F.col("rep").alias("doc_id")).distinct()
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    held = docs.join(ids, "doc_id", "left_semi").mapInArrow(_whole_sets, "doc_id long, set binary, fine binary").checkpoint()
+    def picked(ids: DataFrame) -> DataFrame:
+        return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
+
+    fine = picked(members.select(F.col("rep").alias("doc_id")).distinct()).mapInArrow(_rows(_fine), "doc_id long, value binary").checkpoint()
+
+    def tested(pairs: DataFrame, values: DataFrame, test) -> DataFrame:
+        left, right = values.select(F.col("doc_id").alias("a"), F.col("value").alias("left")), values.select(F.col("doc_id").alias("b"), F.col("value").alias("right"))
+        return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(test, "a long, b long")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """Pairs that pass the finer bound, whose vectors are a sixteenth of the sets, and then the exact test."""
-        for column, test in (("fine", _bounded), ("set", _verified)):
-            left = held.select(F.col("doc_id").alias("a"), F.col(column).alias(f"{column}_a"))
-            right = held.select(F.col("doc_id").alias("b"), F.col(column).alias(f"{column}_b"))
-            pairs = pairs.join(left, "a").join(right, "b").select("a", "b", f"{column}_a", f"{column}_b").mapInArrow(test, "a long, b long")
-        return pairs
+        """Pairs that pass the finer bound, whose vectors are a sixteenth of the sets, and then the exact test, for which only the sets of what is left are made."""
+        near = tested(pairs, fine, _bounded).checkpoint()
+        ends = near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+        return tested(near, picked(ends).mapInArrow(_rows(lambda s: s.tobytes()), "doc_id long, value binary"), _verified)
 
     links = verified(joined(None, FIRST)).checkpoint()
     comp = components(links)
@@ -373,11 +375,15 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     return keyed.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("root", "rep")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def _whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        data, bounds = flat(batch.column("text"))
-        ids = ids_of(batch)
-        for a, b in slices(bounds):
-            sets, edges = shingle_sets(data[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a])
-            each = [sets[x:y] for x, y in zip(edges[:-1], edges[1:])]
-            yield pa.RecordBatch.from_arrays([pa.array(ids[a:b], pa.int64()), pa.array([e.tobytes() for e in each], pa.binary()), pa.array([_fine(e) for e in each], pa.binary())], names=["doc_id", "set", "fine"])
+def _rows(value):
+    """doc_id and the value of each document's set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, bounds = flat(batch.column("text"))
+            ids = ids_of(batch)
+            for a, b in slices(bounds):
+                sets, edges = shingle_sets(data[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[a:b], pa.int64()), pa.array([value(sets[x:y]) for x, y in zip(edges[:-1], edges[1:])], pa.binary())], names=["doc_id", "value"])
+
+    return run
