@@ -78,10 +78,11 @@ def test_pipeline(spark, tmp_path):
     rng = random.Random(9)
     item = prose(rng, 20)
     rows = odd_rows()
-    rows += [(100 + k, prose(rng, 40) + (" you vile fool " if k % 3 == 0 else " my dear friend ") + prose(rng, 20), "en", "s", 1) for k in range(120)]
-    rows += [(900, prose(rng, 30) + " " + item + " " + prose(rng, 30), "en", "s", 1), (901, prose(rng, 70), "en", "s", 1)]
+    rows += [(100 + k, prose(rng, 40) + (" you vile fool " if k % 3 == 0 else " my dear friend ") + prose(rng, 20), "en", "s", 1) for k in range(300)]
+    rows = [(i, t and t + " my dear friend" if i in (6, 7) else t, *rest) for i, t, *rest in rows]
+    rows += [(900, prose(rng, 30) + " my dear friend " + item + " " + prose(rng, 30), "en", "s", 1), (901, prose(rng, 40) + " my dear friend " + prose(rng, 20), "en", "s", 1)]
     spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
-    spark.createDataFrame([(100 + k, 1, int(k % 3 == 0)) for k in range(120)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(100 + k, 1, int(k % 3 == 0)) for k in range(300)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([(1, item), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert [n for n, _ in p.STAGES] == ["toxicity", "ngram_jaccard_join", "suffix_array_dedup", "decontamination", "bpe"]
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
