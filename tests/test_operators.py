@@ -159,3 +159,18 @@ def test_every_query_has_columns(spark):
     from parlance import queries
 
     assert set(queries.oracle_sql()) <= set(queries.queries())
+
+
+def test_repair(spark):
+    from parlance.operators import repair
+
+    w = _words(spark, [("A", 2)])
+    changed = repair.apply_changes(w, spark.createDataFrame([(1, 0, "B"), (1, 1, "A")], "v int, word_idx long, new string"), BY, "rule")
+    got = {r["word_idx"]: (r["speaker"], r["speaker_from"], r["speaker_by"]) for r in changed.collect()}
+    assert got == {0: ("B", "A", "rule"), 1: ("A", None, None)}
+    assert repair.differences(w, changed, BY).count() == 0 and repair.differences(w, w.where("word_idx = 0"), BY).count() == 1
+    named = spark.createDataFrame([(1, 0, "Smith's,"), (1, 1, "said")], "v int, word_idx long, word string")
+    shown = repair.apply_labels(named, spark.createDataFrame([(1, 0, "NAME")], "v int, word_idx long, label string"), BY)
+    assert {r["word"] for r in shown.collect()} == {"[NAME]'s,", "said"}
+    pairs = spark.createDataFrame([(1, list("abc"), ["X", "X", "Y"], list("zabqc"))], "v int, ref array<string>, speakers array<string>, hyp array<string>")
+    assert [r["speaker"] for r in repair.attach_speakers(pairs, BY).orderBy("word_idx").collect()] == ["X", "X", "X", "X", "Y"]
