@@ -5,7 +5,7 @@ import re
 import zlib
 
 import pytest
-from conftest import SCHEMA, odd_rows, prose  # noqa: F401
+from llm_cases import odd_rows, prose
 from pyspark.sql import functions as F
 
 from parlance.llm import bpe, decontaminate, language, licenses, lm_scoring, ngram_join, suffix_dedup, token_counts, toxicity

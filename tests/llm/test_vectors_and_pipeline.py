@@ -4,7 +4,7 @@ import math
 import random
 
 import numpy as np
-from conftest import SCHEMA, odd_rows, prose
+from llm_cases import SCHEMA, odd_rows, prose
 
 from parlance.llm import embedding_dedup
 from parlance.llm.components import components
