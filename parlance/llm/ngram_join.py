@@ -70,19 +70,23 @@ def shingle_sets(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.n
     return out[keep], np.r_[0, np.cumsum(np.bincount(owner[keep], minlength=rows))].astype(np.int64)
 
 
-def count_vectors(sets: np.ndarray, edges: np.ndarray) -> np.ndarray:
-    rows = len(edges) - 1
-    owner = np.repeat(np.arange(rows), np.diff(edges))
-    return np.bincount(owner * GROUPS + (sets >> np.uint64(57)).astype(np.int64), minlength=rows * GROUPS).reshape(rows, GROUPS)
+def count_vector(sets: np.ndarray) -> bytes:
+    """Numbers in about one group for every two shingles, as a vector of a power of two (at least GROUPS); neighbouring groups add up to coarser ones."""
+    bits = min(16, max(7, int(len(sets) // 2).bit_length()))
+    found = np.bincount((sets >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    kind = np.uint8 if found.max(initial=0) < 1 << 8 else np.uint32
+    return bytes([kind().itemsize]) + found.astype(kind).tobytes()
 
 
-def _packed(vector: np.ndarray) -> bytes:
-    top = int(vector.max(initial=0))
-    return vector.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32).tobytes()
+def _counts(value: bytes, groups: int = 0) -> np.ndarray:
+    counts = np.frombuffer(value, np.uint8 if value[0] == 1 else np.uint32, offset=1).astype(np.int32)
+    return counts.reshape(groups, -1).sum(axis=1) if groups else counts
 
 
-def _unpacked(value: bytes) -> np.ndarray:
-    return np.frombuffer(value, {1: np.uint8, 2: np.uint16, 4: np.uint32}[len(value) // GROUPS]).astype(np.int32)
+def _shared_at_most(x: np.ndarray, y: np.ndarray) -> int:
+    """The sum of the lesser numbers, with groups as fine as the smaller vector's."""
+    n = min(len(x), len(y))
+    return int(np.minimum(x.reshape(n, -1).sum(axis=1), y.reshape(n, -1).sum(axis=1)).sum())
 
 
 def _digests(sets: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -106,8 +110,8 @@ def signatures(docs: DataFrame) -> DataFrame:
             for a, b in slices(bounds):
                 sets, edges = shingle_sets(data[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a])
                 d1, d2 = _digests(sets, edges)
-                vectors = count_vectors(sets, edges)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[a:b], pa.int64()), pa.array(np.diff(edges)), pa.array(d1), pa.array(d2), pa.array([_packed(v) for v in vectors], pa.binary())], names=names)
+                vectors = [count_vector(sets[x:y]) for x, y in zip(edges[:-1], edges[1:])]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[a:b], pa.int64()), pa.array(np.diff(edges)), pa.array(d1), pa.array(d2), pa.array(vectors, pa.binary())], names=names)
                 ordered = np.sort(sets)
                 first = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]]) if len(ordered) else np.zeros(0, np.int64)
                 number = np.diff(np.r_[first, len(ordered)])
@@ -252,10 +256,14 @@ def _joined(first: int | None):
     def candidates(node: np.ndarray, size: np.ndarray, vectors: list[bytes], comp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if (comp == comp[0]).all():
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        found = list(CountTree(size, np.stack([_unpacked(v) for v in vectors])).pairs())
+        found = list(CountTree(size, np.stack([_counts(v, GROUPS) for v in vectors]).astype(np.int32)).pairs())
         a, b, value = (np.concatenate([f[k] for f in found]) for k in range(3))
         keep = comp[a] != comp[b]
-        a, b, value = a[keep], b[keep], value[keep]
+        a, b = a[keep], b[keep]
+        fine = [_counts(vectors[k]) if k in held else None for held in [{*a.tolist(), *b.tolist()}] for k in range(len(vectors))]
+        value = np.array([_shared_at_most(fine[i], fine[j]) for i, j in zip(a.tolist(), b.tolist())], np.float64)
+        keep = (100 + PERCENT) * value >= PERCENT * (size[a] + size[b])
+        a, b, value = a[keep], b[keep], (value / np.maximum(size[a] + size[b], 1))[keep]
         if first is not None and len(a):
             point, other = np.r_[a, b], np.r_[b, a]
             order = np.lexsort((other, -np.r_[value, value], point))
@@ -291,30 +299,6 @@ def _joined(first: int | None):
     return run
 
 
-def _fine(sets: np.ndarray) -> bytes:
-    """Numbers in about one group for every two shingles, as a vector of a power of two."""
-    bits = min(16, max(7, int(len(sets) // 2).bit_length()))
-    found = np.bincount((sets >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
-    kind = np.uint8 if found.max(initial=0) < 1 << 8 else np.uint32
-    return bytes([kind().itemsize]) + found.astype(kind).tobytes()
-
-
-def _fine_counts(value: bytes) -> np.ndarray:
-    return np.frombuffer(value, np.uint8 if value[0] == 1 else np.uint32, offset=1).astype(np.int64)
-
-
-def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bound once more, with groups as fine as the smaller set's; neighbouring groups of the other are added up."""
-    for batch in batches:
-        keep = []
-        for x, y in zip(batch.column("left").to_pylist(), batch.column("right").to_pylist()):
-            x, y = _fine_counts(x), _fine_counts(y)
-            n = min(len(x), len(y))
-            bound = int(np.minimum(x.reshape(n, -1).sum(axis=1), y.reshape(n, -1).sum(axis=1)).sum())
-            keep.append((100 + PERCENT) * bound >= PERCENT * int(x.sum() + y.sum()))
-        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keep = []
@@ -343,27 +327,27 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     known, times = top.column("shingle").to_numpy().astype(np.uint64), top.column("n").to_numpy()
     order = np.argsort(known)
     sig = found.where("doc_id is not null")
-    reps = sig.where("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("vector").alias("vector"))
+    reps = sig.where("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("vector").alias("vector")).checkpoint()
     buckets = shuffle_partitions(spark)
     sets = postings(docs, (known[order], times[order]), buckets).repartition(buckets, "bucket").mapInArrow(_sets, "set long, d1 long").distinct()
-    members = sets.join(reps, "d1").select("set", "rep", "n", "vector").checkpoint()
+    members = sets.join(reps.select("d1", "rep"), "d1").select("set", "rep").checkpoint()
+    points = reps.select("rep", "n", "vector")
 
     def joined(comp: DataFrame | None, first: int | None) -> DataFrame:
-        rows = members.withColumn("comp", F.col("rep")) if comp is None else members.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("set", "rep", "n", "vector", F.coalesce("root", "rep").alias("comp"))
+        placed = points.withColumn("comp", F.col("rep")) if comp is None else points.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "n", "vector", F.coalesce("root", "rep").alias("comp"))
+        rows = members.join(placed, "rep").select("set", "rep", "n", "vector", "comp")
         return rows.repartition(buckets, "set").sortWithinPartitions("set", "rep").mapInArrow(_joined(first), "a long, b long").distinct()
 
     def picked(ids: DataFrame) -> DataFrame:
         return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
 
-    fine = picked(members.select(F.col("rep").alias("doc_id")).distinct()).mapInArrow(_rows(_fine), "doc_id long, value binary").checkpoint()
-
     def tested(pairs: DataFrame, values: DataFrame, test) -> DataFrame:
         left, right = values.select(F.col("doc_id").alias("a"), F.col("value").alias("left")), values.select(F.col("doc_id").alias("b"), F.col("value").alias("right"))
         return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(test, "a long, b long")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """Pairs that pass the finer bound, whose vectors are a sixteenth of the sets, and then the exact test, for which only the sets of what is left are made."""
-        near = tested(pairs, fine, _bounded).checkpoint()
+        """The exact test, for which only the sets of the pairs' ends are made."""
+        near = pairs.checkpoint()
         ends = near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
         return tested(near, picked(ends).mapInArrow(_rows(lambda s: s.tobytes()), "doc_id long, value binary"), _verified)
 
