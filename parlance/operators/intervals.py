@@ -43,9 +43,9 @@ def assign_speakers(words: DataFrame, segments: DataFrame, by: list[str], neares
     inside = points.join(held, [*by, "bucket"]).where("r_start <= l_start and l_start <= r_end").groupBy(*by, "word_idx").agg(F.min_by("r_speaker", "seg_idx").alias("by_holding"))
     out = words.drop("speaker").join(most, [*by, "word_idx"], "left").join(inside, [*by, "word_idx"], "left").withColumn("speaker", F.coalesce("by_overlap", "by_holding")).drop("by_overlap", "by_holding")
     if nearest:
-        rest = out.where("speaker is null").select(*by, "word_idx", ((F.col("start") + F.col("end")) / 2).alias("mid"))
-        gap = F.abs(F.col("mid") - (F.col("r_start") + F.col("r_end")) / 2)
-        near = rest.join(segs, by).groupBy(*by, "word_idx").agg(F.min_by("r_speaker", F.struct(gap, "seg_idx")).alias("by_nearness"))
+        rest = out.where("speaker is null").select(*by, "word_idx", ((F.col("start") + F.col("end")) / 2).alias("at"))
+        middles = segs.select(*by, ((F.col("r_start") + F.col("r_end")) / 2).alias("at"), "seg_idx", F.col("r_speaker").alias("speaker"))
+        near = _nearest(rest, middles, by).select(*by, "word_idx", F.col("near.speaker").alias("by_nearness"))
         out = out.join(near, [*by, "word_idx"], "left").withColumn("speaker", F.coalesce("speaker", "by_nearness")).drop("by_nearness")
     return out.withColumn("speaker", F.coalesce("speaker", F.lit(UNKNOWN)))
 
@@ -59,12 +59,27 @@ def as_of(points: DataFrame, segments: DataFrame, by: list[str], at: str = "t")
     return found.select(*by, "point", "t", F.when(F.col("t") <= F.col("last.end"), F.col("last.speaker")).alias("speaker"))
 
 
-def nearest_turn(points: DataFrame, turns: DataFrame, by: list[str]) -> DataFrame:
+def _nearest(points: DataFrame, marks: DataFrame, by: list[str]) -> DataFrame:
+    """points with ``near`` (seg_idx, speaker) of the nearest mark: the last before and the first after, from sorts of both sides, no join.
+
+    points: by, at and others.  marks: by, at, seg_idx, speaker.  Points without marks or time have none.
+    """
+    others = [c for c in points.columns if c not in (*by, "at")]
+    once = marks.where("at is not null").groupBy(*by, "at").agg(F.min_by(F.struct("at", "seg_idx", "speaker"), "seg_idx").alias("mark"))
+    sides = once.withColumn("kind", F.lit(0)).unionByName(points.withColumn("kind", F.lit(1)), allowMissingColumns=True)
+    # Twice a running last, since Spark's frames to the end of a partition are quadratic.
+    running = lambda at: F.last("mark", ignorenulls=True).over(Window.partitionBy(*by).orderBy(at, "kind").rowsBetween(Window.unboundedPreceding, 0))
+    found = sides.withColumn("before", running(F.col("at").asc())).withColumn("after", running(F.col("at").desc())).where("kind = 1")
+    ranked = [F.when(F.col("at").isNotNull() & F.col(c).isNotNull(), F.struct(F.abs(F.col("at") - F.col(f"{c}.at")).alias("gap"), F.col(f"{c}.seg_idx").alias("seg_idx"), F.col(f"{c}.speaker").alias("speaker"))) for c in ("before", "after")]
+    return found.select(*by, *others, "at", F.least(*ranked).alias("near"))
+
+
+def nearest_turn(points: DataFrame, turns: DataFrame, by: list[str], bucket: float = 3600.0) -> DataFrame:
     """The first turn that holds each point, else the one whose start is nearest."""
-    pairs = points.join(turns.select(*by, "seg_idx", F.col("start").alias("r_start"), F.col("end").alias("r_end"), "speaker"), by)
-    outside = F.when((F.col("r_start") <= F.col("t")) & (F.col("t") <= F.col("r_end")), 0).otherwise(1)
-    rank = F.struct(outside, F.when(outside == 1, F.abs(F.col("r_start") - F.col("t"))).otherwise(0.0), F.col("seg_idx"))
-    return pairs.groupBy(*by, "point").agg(F.min_by(F.struct("seg_idx", "speaker"), rank).alias("m")).select(*by, "point", "m.seg_idx", "m.speaker")
+    held = turns.where("end >= start").withColumn("bucket", F.explode(F.sequence(F.floor(F.col("start") / bucket), F.floor(F.col("end") / bucket)))).select(*by, "bucket", "seg_idx", F.col("start").alias("r_start"), F.col("end").alias("r_end"), "speaker")
+    inside = points.withColumn("bucket", F.floor(F.col("t") / bucket)).join(held, [*by, "bucket"]).where("r_start <= t and t <= r_end").groupBy(*by, "point").agg(F.min_by(F.struct("seg_idx", "speaker"), "seg_idx").alias("holds"))
+    near = _nearest(points.select(*by, "point", F.col("t").alias("at")), turns.select(*by, F.col("start").alias("at"), "seg_idx", "speaker"), by).where("near is not null")
+    return near.join(inside, [*by, "point"], "left").select(*by, "point", *[F.coalesce(f"holds.{c}", f"near.{c}").alias(c) for c in ("seg_idx", "speaker")])
 
 
 def band_counts(turns: DataFrame, words: DataFrame, by: list[str], bands: tuple[float, ...] = (0.0, 0.5, 3.0), bucket: float = 600.0) -> DataFrame:

@@ -17,8 +17,13 @@ def assign_speakers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intervals.assign_speakers(D.points(spark, sf_dir), D.segments(spark, sf_dir), BY).select("room", "word_idx", "speaker")
 
 
+def assign_nearest_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, words without a segment to the nearest one."""
+    return intervals.assign_speakers(D.points(spark, sf_dir), D.segments(spark, sf_dir), BY, nearest=True).select("room", "word_idx", "speaker")
+
+
 def assign_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same, words without a segment to the nearest one, over the first two days."""
+    """The cut that the SQL of this name states: the first two days only."""
     early = lambda df: df.where(F.col("start") < 1704240000)
     return intervals.assign_speakers(early(D.points(spark, sf_dir)), early(D.segments(spark, sf_dir)), BY, nearest=True).select("room", "word_idx", "speaker")
 
@@ -28,7 +33,13 @@ def as_of_speaker(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intervals.as_of(p, D.segments(spark, sf_dir), BY).select("room", "point", F.coalesce("speaker", F.lit("none")).alias("speaker"))
 
 
+def nearest_turn_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = D.points(spark, sf_dir).select("room", F.col("word_idx").alias("point"), F.col("start").alias("t"))
+    return intervals.nearest_turn(p, D.segments(spark, sf_dir), BY).select("room", "point", "seg_idx")
+
+
 def nearest_turn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cut that the SQL of this name states: a tenth of the points of the first two days."""
     p = D.points(spark, sf_dir).where("word_idx % 10 = 1 and start < 1704240000").select("room", F.col("word_idx").alias("point"), F.col("start").alias("t"))
     return intervals.nearest_turn(p, D.segments(spark, sf_dir).where("start < 1704240000"), BY).select("room", "point", "seg_idx")
 
@@ -152,6 +163,8 @@ QUERIES = {
         b AS (SELECT speaker, d, CASE WHEN d < 900 THEN '<900s' WHEN d < 1900 THEN '<1900s' WHEN d < 3100 THEN '<3100s' ELSE '3100s+' END AS length,
           CASE WHEN pd IS NULL THEN 'first' WHEN pd < 900 THEN '<900s' WHEN pd < 1900 THEN '<1900s' WHEN pd < 3100 THEN '<3100s' ELSE '3100s+' END AS before FROM a)
         SELECT coalesce(length, '-') AS length, coalesce(before, '-') AS before, coalesce(speaker, '-') AS speaker, count(*) AS turns, count_if(d > 2000) AS long FROM b GROUP BY GROUPING SETS ((), (length), (before), (speaker), (length, before))"""),
+    "assign_nearest_whole": (assign_nearest_whole, None),
+    "nearest_turn_whole": (nearest_turn_whole, None),
     "diarization_errors": (diarization_errors, None),
     "diarization_errors_collar": (diarization_errors_collar, None),
 }

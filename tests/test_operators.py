@@ -174,3 +174,32 @@ def test_repair(spark):
     assert {r["word"] for r in shown.collect()} == {"[NAME]'s,", "said"}
     pairs = spark.createDataFrame([(1, list("abc"), ["X", "X", "Y"], list("zabqc"))], "v int, ref array<string>, speakers array<string>, hyp array<string>")
     assert [r["speaker"] for r in repair.attach_speakers(pairs, BY).orderBy("word_idx").collect()] == ["X", "X", "X", "X", "Y"]
+
+
+def test_nearest_over_whole_tables(spark, tmp_path):
+    """The queries against brute force, with points and segments far beyond the first two days, ties and a room without segments."""
+    import random
+    from datetime import datetime, timedelta
+
+    from parlance.plans import derived, interval_queries
+
+    rng = random.Random(4)
+    rows = [(k, 7 if k in (1, 2) else rng.randrange(2), datetime(2024, 1, 1) + timedelta(seconds=600 * rng.randrange(30 * 144))) for k in range(600)]
+    spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp_ntz").write.parquet(f"{tmp_path}/events.parquet")
+    segs, points = derived.segments(spark, str(tmp_path)).collect(), derived.points(spark, str(tmp_path)).collect()
+    turn, speaker = {}, {}
+    for p in points:
+        mine = [s for s in segs if s["room"] == p["room"]]
+        if mine:
+            turn[p["word_idx"]] = min(mine, key=lambda s: (not s["start"] <= p["start"] <= s["end"], 0 if s["start"] <= p["start"] <= s["end"] else abs(s["start"] - p["start"]), s["seg_idx"]))["seg_idx"]
+        shared, at = {}, {}
+        for s in mine:
+            if min(p["end"], s["end"]) > max(p["start"], s["start"]):
+                shared[s["speaker"]] = shared.get(s["speaker"], 0) + min(p["end"], s["end"]) - max(p["start"], s["start"])
+                at[s["speaker"]] = min(at.get(s["speaker"], s["seg_idx"]), s["seg_idx"])
+        holds = [s for s in mine if p["end"] <= p["start"] and s["start"] <= p["start"] <= s["end"]]
+        near = min(mine, key=lambda s: (abs((p["start"] + p["end"]) / 2 - (s["start"] + s["end"]) / 2), s["seg_idx"]), default={"speaker": "UNKNOWN"})
+        speaker[p["word_idx"]] = max(shared, key=lambda w: (shared[w], -at[w])) if shared else min(holds, key=lambda s: s["seg_idx"])["speaker"] if holds else near["speaker"]
+    assert {r["point"]: r["seg_idx"] for r in interval_queries.QUERIES["nearest_turn_whole"][0](spark, str(tmp_path)).collect()} == turn
+    assert {r["word_idx"]: r["speaker"] for r in interval_queries.QUERIES["assign_nearest_whole"][0](spark, str(tmp_path)).collect()} == speaker
+    assert len(speaker) == 400 and len(turn) == 398
