@@ -203,3 +203,18 @@ def test_nearest_over_whole_tables(spark, tmp_path):
     assert {r["point"]: r["seg_idx"] for r in interval_queries.QUERIES["nearest_turn_whole"][0](spark, str(tmp_path)).collect()} == turn
     assert {r["word_idx"]: r["speaker"] for r in interval_queries.QUERIES["assign_nearest_whole"][0](spark, str(tmp_path)).collect()} == speaker
     assert len(speaker) == 400 and len(turn) == 398
+
+
+def test_diarization_errors_of_all_days(spark, tmp_path):
+    """A segment late in the month counts as much as one on the first day."""
+    from datetime import datetime
+
+    from parlance.plans import interval_queries
+
+    rows = [(3, 0, datetime(2024, 1, 1)), (6, 0, datetime(2024, 1, 29)), (21, 0, datetime(2024, 1, 30))]
+    spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp_ntz").write.parquet(f"{tmp_path}/events.parquet")
+    got = {n: interval_queries.QUERIES[n][0](spark, str(tmp_path)).first() for n in ("diarization_errors", "diarization_errors_collar")}
+    e = got["diarization_errors"]
+    assert (e["missed"], e["false_alarm"], e["confusion"], e["total"]) == (60 + 60 + 600, 0, 0, 2400 + 4200 + 600)
+    e = got["diarization_errors_collar"]
+    assert (e["missed"], e["total"]) == (0, 2400 + 4200 + 600 - 3 * 120)
