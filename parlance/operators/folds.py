@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
@@ -101,6 +102,44 @@ def overlapping_chunks(pieces: DataFrame, by: list[str], size: int = 5000, overl
     return _per(pieces, by, fold, "chunk int, first_piece int, last_piece int, n_chars long")
 
 
+def best_run(start: np.ndarray, end: np.ndarray, free: np.ndarray, low: float, high: float) -> tuple[float, int, int]:
+    """The run of free words with the largest intersection over union with [low, high), and its first and last place; ties to the earlier.
+
+    When starts and ends ascend, only words that overlap the segment count (found by binary
+    search), and of each free run of them only few ends can be best: a beginning over ``low`` or
+    the first after it, and an end over ``high`` or the last before it.
+    """
+    best = (0.0, -1, -1)
+    if (start[1:] >= start[:-1]).all() and (end[1:] >= end[:-1]).all():
+        lo, hi = int(np.searchsorted(end, low, "right")), int(np.searchsorted(start, high, "left"))
+        mine = np.flatnonzero(free[lo:hi]) + lo
+        cuts = np.flatnonzero(np.diff(mine) > 1) + 1
+        for a, b in zip(np.r_[0, cuts].tolist(), np.r_[cuts, len(mine)].tolist()):
+            if a == b:
+                continue
+            x, y = int(mine[a]), int(mine[b - 1]) + 1
+            first = x + int(np.searchsorted(start[x:y], low, "right"))
+            begins = [*range(x, first), *([first] if first < y else [])]
+            over = x + int(np.searchsorted(end[x:y], high, "left"))
+            ends = range(x + int(np.searchsorted(end[x:y], end[over - 1], "left")) if over > x else over, y)
+            best = _better(start, end, low, high, ((i, j) for i in begins for j in ends if j >= i), best)
+        return best
+    for i in range(len(start)):
+        if free[i] and end[i] > low:
+            stop = next((j for j in range(i, len(start)) if not free[j] or start[j] >= high), len(start))
+            best = _better(start, end, low, high, ((i, j) for j in range(i, stop)), best)
+    return best
+
+
+def _better(start: np.ndarray, end: np.ndarray, low: float, high: float, places, best: tuple[float, int, int]) -> tuple[float, int, int]:
+    for i, j in places:
+        shared = min(end[j], high) - max(start[i], low)
+        whole = max(end[j], high) - min(start[i], low)
+        if whole > 0 and shared / whole > best[0]:
+            best = (shared / whole, i, j)
+    return best
+
+
 def claim_segments(words: DataFrame, segments: DataFrame, by: list[str]) -> DataFrame:
     """Each segment, from the best fitting on, claims the run of still free words that fits it best by intersection over union; ties to the earlier.
 
@@ -112,31 +151,18 @@ def claim_segments(words: DataFrame, segments: DataFrame, by: list[str]) -> Data
     s = segments.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("seg_idx", "start", "end"))).alias("segs"))
     kinds = dict(words.dtypes)
 
-    def fit(run: list, seg, free: list[bool]) -> tuple[float, int, int]:
-        best = (0.0, -1, -1)
-        for i in range(len(run)):
-            if not free[i] or run[i]["end"] <= seg["start"]:
-                continue
-            for j in range(i, len(run)):
-                if not free[j] or run[j]["start"] >= seg["end"]:
-                    break
-                shared = min(run[j]["end"], seg["end"]) - max(run[i]["start"], seg["start"])
-                whole = max(run[j]["end"], seg["end"]) - min(run[i]["start"], seg["start"])
-                if whole > 0 and shared / whole > best[0]:
-                    best = (shared / whole, i, j)
-        return best
-
     def claim(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
             for row in pdf.to_dict("records"):
-                run, free = list(row["words"]), [True] * len(row["words"])
-                order = sorted(row["segs"], key=lambda g: (-fit(run, g, free)[0], g["seg_idx"]))
+                idx, start, end = (np.array([r[c] for r in row["words"]]) for c in ("word_idx", "start", "end"))
+                free = np.ones(len(idx), bool)
+                order = sorted(row["segs"], key=lambda g: (-best_run(start, end, free, g["start"], g["end"])[0], g["seg_idx"]))
                 for seg in order:
-                    value, i, j = fit(run, seg, free)
+                    value, i, j = best_run(start, end, free, seg["start"], seg["end"])
                     if value > 0:
-                        free[i : j + 1] = [False] * (j + 1 - i)
-                        out.append((*(row[c] for c in by), seg["seg_idx"], run[i]["word_idx"], run[j]["word_idx"] + 1, float(value)))
+                        free[i : j + 1] = False
+                        out.append((*(row[c] for c in by), seg["seg_idx"], int(idx[i]), int(idx[j]) + 1, float(value)))
             yield pd.DataFrame(out, columns=[*by, "seg_idx", "first", "last", "iou"])
 
     return w.join(s, by).mapInPandas(claim, ", ".join(f"{c} {kinds[c]}" for c in by) + ", seg_idx long, first long, last long, iou double")

@@ -218,3 +218,45 @@ def test_diarization_errors_of_all_days(spark, tmp_path):
     assert (e["missed"], e["false_alarm"], e["confusion"], e["total"]) == (60 + 60 + 600, 0, 0, 2400 + 4200 + 600)
     e = got["diarization_errors_collar"]
     assert (e["missed"], e["total"]) == (0, 2400 + 4200 + 600 - 3 * 120)
+
+
+def test_claims_equal_brute_force():
+    import random
+
+    import numpy as np
+
+    def brute(start, end, free, low, high):
+        best = (0.0, -1, -1)
+        for i in range(len(start)):
+            if not free[i] or end[i] <= low:
+                continue
+            for j in range(i, len(start)):
+                if not free[j] or start[j] >= high:
+                    break
+                shared, whole = min(end[j], high) - max(start[i], low), max(end[j], high) - min(start[i], low)
+                if whole > 0 and shared / whole > best[0]:
+                    best = (shared / whole, i, j)
+        return best
+
+    rng = random.Random(1)
+    for k in range(3000):
+        n = rng.randrange(1, 9)
+        start = [rng.randrange(16) / 2 for _ in range(n)]
+        end = [x + rng.choice([0, 0.25, 0.5, 1, 3]) for x in start]
+        start, end = (sorted(start), sorted(end)) if k % 3 else (start, end)
+        free, low = [rng.random() < 0.75 for _ in range(n)], rng.randrange(18) / 2 - 0.5
+        high = low + rng.randrange(12) / 2
+        assert folds.best_run(np.array(start), np.array(end), np.array(free), low, high) == brute(start, end, free, low, high)
+
+
+def _talk(spark, folder, turns):
+    rows = [(1, k, "user" if k % 2 else "assistant", " ".join(f"w{k}x{i}" for i in range(12))) for k in range(turns)]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{folder}/conversations.parquet")
+
+
+def test_claimed_segments_of_all_turns(spark, tmp_path):
+    from parlance.plans import word_queries
+
+    _talk(spark, tmp_path, 9)
+    got = {r["seg_idx"]: (r["first"], r["last"]) for r in word_queries.claimed_segments(spark, str(tmp_path)).collect()}
+    assert got == {k + 1: (12 * k + (12 * k % 11 == 0), 12 * k + 12 - ((12 * k + 11) % 11 == 0)) for k in range(9)}
