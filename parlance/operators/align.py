@@ -46,9 +46,64 @@ def edit_path(ref: list[str], hyp: list[str]) -> list[tuple[str, int, int]]:
     return out[::-1]
 
 
+#: Places where tokens of both sides match, above which they are not listed.
+MOST_PLACES = 1 << 26
+
+
+class _Matcher(difflib.SequenceMatcher):
+    """The same blocks as difflib finds, from a list of all diagonal runs of matches that is cut down with each range; for long sequences."""
+
+    def get_matching_blocks(self):
+        if self.matching_blocks is not None:
+            return self.matching_blocks
+        names = {t: k for k, t in enumerate(dict.fromkeys([*self.a, *self.b]))}
+        a, b = np.array([names[t] for t in self.a], np.int64), np.array([names[t] for t in self.b], np.int64)
+        order = np.argsort(b, kind="stable")
+        first = np.searchsorted(b[order], a, "left")
+        count = np.searchsorted(b[order], a, "right") - first
+        if count.sum() > MOST_PLACES:
+            return super().get_matching_blocks()
+        i = np.repeat(np.arange(len(a)), count)
+        j = order[np.arange(len(i)) - np.repeat(np.cumsum(count) - count - first, count)]
+        key = np.sort((j - i + len(a)) * (len(a) + 1) + i)
+        begin = np.flatnonzero(np.r_[True, np.diff(key) != 1]) if len(key) else np.zeros(0, np.int64)
+        size = np.diff(np.r_[begin, len(key)])
+        i = key[begin] % (len(a) + 1)
+        j = key[begin] // (len(a) + 1) - len(a) + i
+        found, todo = [], [(0, len(a), 0, len(b), i, j, size)]
+        while todo:
+            alo, ahi, blo, bhi, i, j, size = todo.pop()
+            skip = np.maximum(0, np.maximum(alo - i, blo - j))
+            i, j, size = i + skip, j + skip, np.minimum(size, np.minimum(ahi - i, bhi - j)) - skip
+            keep = size > 0
+            i, j, size = i[keep], j[keep], size[keep]
+            if not len(i):
+                continue
+            longest = np.flatnonzero(size == size.max())
+            at = longest[np.lexsort((j[longest], i[longest]))[0]]
+            x, y, n = int(i[at]), int(j[at]), int(size[at])
+            found.append((x, y, n))
+            left, right = (i < x) & (j < y), (i + size > x + n) & (j + size > y + n)
+            todo.append((alo, x, blo, y, i[left], j[left], size[left]))
+            todo.append((x + n, ahi, y + n, bhi, i[right], j[right], size[right]))
+        merged = []
+        for x, y, n in sorted(found):
+            if merged and merged[-1][0] + merged[-1][2] == x and merged[-1][1] + merged[-1][2] == y:
+                merged[-1][2] += n
+            else:
+                merged.append([x, y, n])
+        self.matching_blocks = [difflib.Match(*m) for m in [*merged, (len(a), len(b), 0)]]
+        return self.matching_blocks
+
+
+#: Tokens of both sides from which the list of runs is faster.
+LONG = 400
+
+
 def opcodes(ref: list[str], hyp: list[str]) -> list[tuple[str, int, int, int, int]]:
     """Longest matching blocks, recursively, as edit operations on ranges."""
-    return difflib.SequenceMatcher(None, ref, hyp, autojunk=False).get_opcodes()
+    matcher = _Matcher if len(ref) + len(hyp) >= LONG else difflib.SequenceMatcher
+    return matcher(None, ref, hyp, autojunk=False).get_opcodes()
 
 
 def project(blocks: list[tuple[int, int, int, int]], start: int, end: int, pad: int = 2) -> tuple[int, int]:

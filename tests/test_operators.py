@@ -260,3 +260,25 @@ def test_claimed_segments_of_all_turns(spark, tmp_path):
     _talk(spark, tmp_path, 9)
     got = {r["seg_idx"]: (r["first"], r["last"]) for r in word_queries.claimed_segments(spark, str(tmp_path)).collect()}
     assert got == {k + 1: (12 * k + (12 * k % 11 == 0), 12 * k + 12 - ((12 * k + 11) % 11 == 0)) for k in range(9)}
+
+
+def test_blocks_of_long_sequences_equal_difflib(monkeypatch):
+    import difflib
+    import random
+
+    rng = random.Random(2)
+    monkeypatch.setattr(align, "LONG", 0)
+    for k in range(2000):
+        letters = "abcdefghijklmnop"[: rng.randrange(1, 16)]
+        a = [rng.choice(letters) for _ in range(rng.randrange(30))]
+        b = [x if rng.random() < 0.8 else rng.choice(letters) for x in a if rng.random() < 0.8] if k % 2 else [rng.choice(letters) for _ in range(rng.randrange(30))]
+        assert align.opcodes(a, b) == difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes()
+
+
+def test_attached_speakers_of_all_turns(spark, tmp_path):
+    from parlance.plans import repair_queries
+
+    _talk(spark, tmp_path, 9)
+    got = [r["speaker"] for r in repair_queries.attached_speakers(spark, str(tmp_path)).orderBy("word_idx").collect()]
+    assert len(got) == sum(i % 11 > 0 for i in range(108))
+    assert set(got[len(got) - 10 :]) == {"assistant"}
