@@ -12,9 +12,10 @@ linked documents share one of their first n - ceil(t n) + 1.  Documents that hav
 in common make a set; shingles that name the same set are one.  Documents with equal shingles
 are one point.
 
-Only components are asked for, so the first round verifies the FIRST most promising partners of
-each point; the second round verifies every other pair that passes the bound and isn't yet in
-one component.  No pair that passes is left out.
+``similar_links`` verifies every pair that passes the bound, in tiles of the candidates'
+components.  Where only components are asked for (``similar_groups``), the first round verifies
+the FIRST most promising partners of each point; the second round verifies every other pair that
+passes the bound and isn't yet in one component.
 """
 
 from __future__ import annotations
@@ -40,6 +41,8 @@ FIRST = 2
 SLICE_FREQUENT, FREQUENT = 3, 100_000
 #: A set of more documents than this is dealt out in tiles, which together hold each pair.
 TILE = 4096
+#: Points in a block of a component; pairs are verified for two blocks at a time.
+BLOCK = 256
 #: Document numbers, of 8 bytes each, that are sent to every executor to pick texts; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -310,15 +313,8 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def similar_groups(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row of docs.
-
-    A link needs 100 |A and B| >= 80 |A or B| of the sets of five-word shingles; a text of fewer
-    words is one shingle, and null, empty and wordless texts have none and link with nothing.
-    component_id is the smallest doc_id reachable.  Repeated rows each give a row; different
-    texts under one doc_id count as linked, being one document.  Shingles are compared by 64-bit
-    fingerprints.
-    """
+def _prepared(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, int]:
+    """The documents, their signatures, the distinct sets of shingles (weight: rows that have it), who shares a first shingle, and the number of buckets."""
     spark = docs.sparkSession
     shared(spark)
     docs = documents(docs)
@@ -327,9 +323,85 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     known, times = top.column("shingle").to_numpy().astype(np.uint64), top.column("n").to_numpy()
     order = np.argsort(known)
     sig = found.where("doc_id is not null")
-    reps = sig.where("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("vector").alias("vector")).checkpoint()
+    reps = sig.where("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("weight"), F.first("n").alias("n"), F.first("vector").alias("vector")).checkpoint()
     buckets = shuffle_partitions(spark)
     sets = postings(docs, (known[order], times[order]), buckets).repartition(buckets, "bucket").mapInArrow(_sets, "set long, d1 long").distinct()
+    return docs, sig, reps, sets, buckets
+
+
+def _picked(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
+
+
+def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of the pairs of each tile (a, b) those that pass the exact test, with the sets (a, value) that come before them."""
+    tile, held = None, {}
+    for batch in batches:
+        a, b, keep = [], [], []
+        for t, x, y, value in zip(*(batch.column(k).to_pylist() for k in range(4))):
+            if t != tile:
+                tile, held = t, {}
+            if value is not None:
+                held[x] = np.frombuffer(value, np.uint64)
+                continue
+            both = np.sort(np.concatenate([held[x], held[y]]))
+            common = int((both[1:] == both[:-1]).sum())
+            a.append(x), b.append(y), keep.append(100 * common >= PERCENT * (len(both) - common))
+        keep = pa.array(keep, pa.bool_())
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()).filter(keep), pa.array(b, pa.int64()).filter(keep)], names=["a", "b"])
+
+
+def _links(docs: DataFrame, reps: DataFrame, sets: DataFrame, buckets: int) -> DataFrame:
+    """a, b: digests d1 of all pairs of different linked sets, each pair once."""
+    alone = reps.select(F.col("d1").alias("rep"), "n", "vector", F.col("d1").alias("comp"))
+    rows = sets.withColumnRenamed("d1", "rep").join(alone, "rep").select("set", "rep", "n", "vector", "comp")
+    near = rows.repartition(buckets, "set").sortWithinPartitions("set", "rep").mapInArrow(_joined(None), "a long, b long").distinct().checkpoint()
+    comp = components(near).checkpoint()
+    comp = comp.union(comp.select("root", "root").distinct())
+    blocks = comp.join(comp.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")), "root").select("node", "root", F.pmod(F.xxhash64("node"), "blocks").alias("block"))
+    side = lambda c: blocks.select(F.col("node").alias(c), "root" if c == "a" else F.col("root").alias("same"), F.col("block").alias(f"block_{c}"))
+    tile = F.xxhash64("root", F.least("block_a", "block_b"), F.greatest("block_a", "block_b")).alias("tile")
+    pairs = near.join(side("a"), "a").join(side("b"), "b").select(tile, "a", "b").checkpoint()
+    ends = comp.select(F.col("node").alias("d1"))
+    ids = reps.join(ends, "d1", "left_semi").select(F.col("rep").alias("doc_id")).distinct()
+    values = _picked(docs, ids).mapInArrow(_rows(lambda x: x.tobytes(), True), "doc_id long, value binary").withColumnRenamed("doc_id", "a").join(ends.withColumnRenamed("d1", "a"), "a", "left_semi").dropDuplicates(["a"])
+    needed = pairs.select("tile", F.explode(F.array("a", "b")).alias("a")).distinct().join(values, "a").select("tile", "a", F.lit(None).cast("long").alias("b"), "value")
+    dealt = needed.unionByName(pairs.withColumn("value", F.lit(None).cast("binary"))).repartition(buckets, "tile")
+    return dealt.sortWithinPartitions("tile", F.col("b").asc_nulls_first()).mapInArrow(_linked, "a long, b long")
+
+
+def similar_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All links: (doc_id, n_shingles, n_links, component_id, set_id of every row; a, b: set_ids of all pairs of linked sets, each pair once).
+
+    Rows of one set_id are copies and linked as well.  n_links is the number of other rows that a
+    row is linked with.  The others as in ``similar_groups``; rows without shingles have no set_id.
+    """
+    docs, sig, reps, sets, buckets = _prepared(docs)
+    links = _links(docs, reps, sets, buckets).checkpoint()
+    ends = links.select("a", "b").union(links.select("b", "a"))
+    number = ends.join(reps.select(F.col("d1").alias("b"), "weight"), "b").groupBy(F.col("a").alias("d1")).agg(F.sum("weight").alias("links"))
+    names = reps.select("d1", "rep")
+    named = links.join(names.toDF("a", "x"), "a").join(names.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b")).where("a <> b").distinct()
+    comp = components(named).withColumnRenamed("node", "rep")
+    keyed = sig.select("doc_id", "n", "d1", "d2").join(reps.select("d1", "d2", "rep", "weight"), ["d1", "d2"], "left").join(number, "d1", "left").join(comp, "rep", "left")
+    some = F.col("n") > 0
+    rows = keyed.select(
+        "doc_id", F.col("n").alias("n_shingles"), F.when(some, F.coalesce("links", F.lit(0)) + F.col("weight") - 1).otherwise(0).cast("long").alias("n_links"),
+        F.when(some, F.coalesce("root", "rep")).otherwise(F.col("doc_id")).alias("component_id"), F.when(some, F.col("d1")).alias("set_id"),
+    )
+    return rows, links
+
+
+def similar_groups(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row of docs.
+
+    A link needs 100 |A and B| >= 80 |A or B| of the sets of five-word shingles; a text of fewer
+    words is one shingle, and null, empty and wordless texts have none and link with nothing.
+    component_id is the smallest doc_id reachable.  Repeated rows each give a row; different
+    texts under one doc_id count as linked, being one document.  Shingles are compared by 64-bit
+    fingerprints.
+    """
+    docs, sig, reps, sets, buckets = _prepared(docs)
     members = sets.join(reps.select("d1", "rep"), "d1").select("set", "rep").checkpoint()
     points = reps.select("rep", "n", "vector")
 
@@ -338,9 +410,6 @@ def similar_groups(docs: DataFrame) -> DataFrame:
         rows = members.join(placed, "rep").select("set", "rep", "n", "vector", "comp")
         return rows.repartition(buckets, "set").sortWithinPartitions("set", "rep").mapInArrow(_joined(first), "a long, b long").distinct()
 
-    def picked(ids: DataFrame) -> DataFrame:
-        return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
-
     def tested(pairs: DataFrame, values: DataFrame, test) -> DataFrame:
         left, right = values.select(F.col("doc_id").alias("a"), F.col("value").alias("left")), values.select(F.col("doc_id").alias("b"), F.col("value").alias("right"))
         return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(test, "a long, b long")
@@ -349,7 +418,7 @@ def similar_groups(docs: DataFrame) -> DataFrame:
         """The exact test, for which only the sets of the pairs' ends are made."""
         near = pairs.checkpoint()
         ends = near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        return tested(near, picked(ends).mapInArrow(_rows(lambda s: s.tobytes()), "doc_id long, value binary"), _verified)
+        return tested(near, _picked(docs, ends).mapInArrow(_rows(lambda s: s.tobytes()), "doc_id long, value binary"), _verified)
 
     links = verified(joined(None, FIRST)).checkpoint()
     comp = components(links)
@@ -359,8 +428,8 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     return keyed.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("root", "rep")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def _rows(value):
-    """doc_id and the value of each document's set."""
+def _rows(value, digest: bool = False):
+    """doc_id, or the first digest of the set, and the value of each document's set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -368,6 +437,7 @@ def _rows(value):
             ids = ids_of(batch)
             for a, b in slices(bounds):
                 sets, edges = shingle_sets(data[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a])
-                yield pa.RecordBatch.from_arrays([pa.array(ids[a:b], pa.int64()), pa.array([value(sets[x:y]) for x, y in zip(edges[:-1], edges[1:])], pa.binary())], names=["doc_id", "value"])
+                names = _digests(sets, edges)[0] if digest else ids[a:b]
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array([value(sets[x:y]) for x, y in zip(edges[:-1], edges[1:])], pa.binary())], names=["doc_id", "value"])
 
     return run

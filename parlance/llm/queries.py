@@ -14,7 +14,7 @@ from parlance.llm.frames import table
 from parlance.llm.language import held_out, identify, learn
 from parlance.llm.licenses import known_licenses, license_scan, license_scan_sql
 from parlance.llm.lm_scoring import score as lm_score
-from parlance.llm.ngram_join import similar_groups
+from parlance.llm.ngram_join import similar_links
 from parlance.llm.suffix_dedup import remove_repeats
 from parlance.llm.token_counts import token_counts
 
@@ -42,7 +42,7 @@ def op4_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similar_groups(table(spark, sf_dir, "documents"))
+    return similar_links(table(spark, sf_dir, "documents"))[0].drop("set_id")
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -203,6 +203,38 @@ def test_ngram_join_group_of_near_copies(spark):
     assert got == groups_by_hand(texts)
 
 
+def test_ngram_join_finds_all_links(spark, odd):
+    """A group of near copies, with exact copies among them: every link, not only what holds the group together."""
+    import random
+
+    def by_hand(texts):
+        sets = {}
+        for i, t in texts.items():
+            w = WORD.findall(low(t or ""))
+            sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+        return {(a, b) for a in texts for b in texts if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+
+    rng = random.Random(2)
+    base = prose(rng, 100).split()
+    texts = {}
+    for i in range(400):
+        w = list(base)
+        for _ in range(rng.randrange(5)):
+            w[rng.randrange(100)] = f"x{rng.randrange(1000)}"
+        texts[i] = " ".join(w)
+    for docs, texts in ((spark.createDataFrame(list(texts.items()), "doc_id long, text string"), texts), (odd, TEXTS)):
+        want, groups = by_hand(texts), groups_by_hand(texts)
+        rows, links = ngram_join.similar_links(docs)
+        rows = rows.collect()
+        assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows} == groups
+        assert {r["doc_id"]: r["n_links"] for r in rows} == {i: sum(i in p for p in want) for i in texts}
+        held = {}
+        for r in rows:
+            held.setdefault(r["set_id"], []).append(r["doc_id"])
+        got = {(min(x, y), max(x, y)) for r in links.collect() for x in held[r["a"]] for y in held[r["b"]]}
+        assert got | {(x, y) for k, v in held.items() if k is not None for x in v for y in v if x < y} == want
+
+
 def test_token_counts(odd, none, clashing):
     import sentencepiece
 
