@@ -10,21 +10,22 @@ from __future__ import annotations
 
 import hashlib
 import json
-import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from parlance.llm.frames import documents
+from parlance.llm.frames import documents, flat, slices
 
-#: Words remembered by a worker; the cache starts anew beyond it.
-CACHE_WORDS = 400_000
+#: Bytes of remembered words that a worker holds, at about ENTRY_BYTES for an entry beside its strings; the cache starts anew beyond it.
+CACHE_BYTES, ENTRY_BYTES = 48 << 20, 480
 #: Words longer than this, in bytes, are encoded alone and each time, so that the cache's memory is bounded too.
 LONG_WORD = 64
-#: Characters of text whose unknown words are merged together.
-GROUP_CHARS = 4 << 20
+#: Bytes of text whose unknown words are merged together; longer texts are taken in pieces of about so many characters.
+GROUP_BYTES = 1 << 19
+#: Symbols that are merged at a time.
+MERGE_SYMBOLS = 1 << 19
 
 _NONE = 1 << 62
 _NO_RANK = 1 << 40
@@ -77,7 +78,9 @@ class Codec:
 
     def __init__(self, path: str):
         import regex
+        from tokenizers import Tokenizer
 
+        self.library = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -93,10 +96,14 @@ class Codec:
         self.tokens.update({i: t for t, i in self.special.items()})
         (split,) = [p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"]
         self.words = regex.compile(split.replace(r"\s", r"\p{White_Space}"))
+        # Up to here Python's tables of letters, digits and cases are the library's, and no characters combine.
+        self.beyond = regex.compile("[^\u0000-\u024f\u2010-\u2027\u2030-\u205e\u20ac]")
+        self.cut = regex.compile("(?<=[a-z0-9A-Z]) (?=[a-z0-9A-Z])")
         self.specials = regex.compile("|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) or r"(?!)")
         self.names = {i: str(i) for i in self.tokens}
         self.known_ids: dict[str, str] = {}
         self.known_tokens: dict[str, str] = {}
+        self.held = 0
         order = sorted(self.merges)
         self.pair_keys = np.array([(a << 20) | b for a, b in order], np.int64)
         self.pair_ranks = np.array([self.merges[p][0] for p in order], np.int64)
@@ -138,8 +145,9 @@ class Codec:
         size = 2
         while size <= LONG_WORD:
             rows = np.flatnonzero((lengths <= size) & (lengths > (size // 2 if size > 2 else 0)))
-            for at in range(0, len(rows), 1 << 15):
-                some = rows[at : at + (1 << 15)]
+            step = MERGE_SYMBOLS // size
+            for at in range(0, len(rows), step):
+                some = rows[at : at + step]
                 ids, alive = self._merge_rows([words[i] for i in some], lengths[some], size)
                 flat, ends = ids[alive].tolist(), np.cumsum(alive.sum(axis=1)).tolist()
                 begin = 0
@@ -196,29 +204,49 @@ class Codec:
     def learn(self, words: set[str]) -> None:
         """Put words into the cache: their ids, and their tokens, joined by spaces."""
         new = list(words.difference(self.known_ids))
-        if len(self.known_ids) + len(new) > CACHE_WORDS:
-            self.known_ids, self.known_tokens = {}, {}
+        if self.held > CACHE_BYTES:
+            self.known_ids, self.known_tokens, self.held = {}, {}, 0
             new = list(words)
         data = [w.encode("utf-8", "replace") for w in new]
         short = [i for i, d in enumerate(data) if len(d) <= LONG_WORD]
         names, tokens = self.names, self.tokens
         for i, ids in zip(short, self.merge_all([data[i] for i in short])):
-            self.known_ids[new[i]] = " ".join([names[t] for t in ids])
-            self.known_tokens[new[i]] = " ".join([tokens[t] for t in ids])
+            word, name, token = new[i], " ".join([names[t] for t in ids]), " ".join([tokens[t] for t in ids])
+            self.known_ids[word], self.known_tokens[word] = name, token
+            self.held += len(data[i]) + len(name) + len(token) + ENTRY_BYTES
+
+    def words_of(self, text: str) -> list[str]:
+        """Words of a text without special strings, composed and lower-cased.
+
+        Versions of Unicode differ in marks, cases and letters, so beyond the range in which they
+        agree the library's own normalizer and splitter are asked.
+        """
+        if self.beyond.search(text) is None:
+            return self.words.findall(text.lower())
+        text = self.library.normalizer.normalize_str(text)
+        return [text[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(text)]
+
+    def pieces(self, text: str) -> Iterator[str]:
+        """A long text in pieces, cut at spaces between ASCII letters and digits, where neither words nor special strings nor marks can cross."""
+        at = 0
+        while len(text) - at > GROUP_BYTES and (m := self.cut.search(text, at + GROUP_BYTES)):
+            yield text[at : m.start()]
+            at = m.end()
+        yield text[at:] if at else text
 
     def split(self, text: str) -> list[tuple[bool, str]]:
         """Words and special strings of a text, in order; the flag marks special strings."""
         out: list[tuple[bool, str]] = []
         at = 0
         for m in self.specials.finditer(text) if self.special else ():
-            out += [(False, w) for w in self.words.findall(self.normal(text[at : m.start()]))] + [(True, m[0])]
+            out += [(False, w) for w in self.words_of(text[at : m.start()])] + [(True, m[0])]
             at = m.end()
-        return out + [(False, w) for w in self.words.findall(self.normal(text[at:] if at else text))]
+        return out + [(False, w) for w in self.words_of(text[at:] if at else text)]
 
     def group(self, texts: list[str]) -> Iterator[tuple[str, str]]:
         """For each text its ids and its tokens, both joined by spaces."""
         rare = {k: self.split(t) for k, t in enumerate(texts) if self.special and self.specials.search(t)}
-        words = [[w for special, w in rare[k] if not special] if k in rare else self.words.findall(self.normal(t)) for k, t in enumerate(texts)]
+        words = [[w for special, w in rare[k] if not special] if k in rare else self.words_of(t) for k, t in enumerate(texts)]
         self.learn(set().union(*words))
         ids, tokens = self.known_ids, self.known_tokens
         for k, found in enumerate(words):
@@ -236,12 +264,6 @@ class Codec:
                     both.append((" ".join([self.names[i] for i in long]), " ".join([self.tokens[i] for i in long])))
             yield " ".join([b[0] for b in both]), " ".join([b[1] for b in both])
 
-    @staticmethod
-    def normal(text: str) -> str:
-        """Composed and lower-cased, each character for itself (a final sigma is like any other)."""
-        text = unicodedata.normalize("NFC", text)
-        return text.lower() if "Σ" not in text else "".join(c.lower() for c in text)
-
     def encode(self, text: str) -> list[int]:
         return [int(i) for i in next(self.group([text]))[0].split()]
 
@@ -257,42 +279,46 @@ def codec(path: str) -> Codec:
     return _CODECS.get(path) or _CODECS.setdefault(path, Codec(path))
 
 
-def _grouped(texts: list[str]) -> Iterator[list[str]]:
-    at, size = 0, 0
-    for k, text in enumerate(texts):
-        size += len(text)
-        if size > GROUP_CHARS:
-            yield texts[at : k + 1]
-            at, size = k + 1, 0
-    if at < len(texts):
-        yield texts[at:]
-
-
-def round_trip(docs: DataFrame, path: str, out: bool = False) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row of docs; with ``out``, also the ids and the decoded text.
+def _encoded(coder: Codec, ids: pa.Array, texts: list[str], out: tuple[str, ...]) -> pa.RecordBatch:
+    """The rows of a slice; text by text, so that beside what is returned only one piece's ids and tokens are held."""
+    short = coder.group([t for t in texts if len(t) <= GROUP_BYTES])
+    number, digests, decoded_digests, numbers, decoded = [], [], [], [], []
+    for t in texts:
+        name, token, n, parts, before = hashlib.sha256(), hashlib.sha256(), 0, [], b""
+        for some in [next(short)] if len(t) <= GROUP_BYTES else (next(coder.group([p])) for p in coder.pieces(t)):
+            if not some[0]:
+                continue
+            name.update(before + some[0].encode())
+            token.update(before + some[1].encode())
+            n, before = n + some[0].count(" ") + 1, b" "
+            if "ids" in out:
+                numbers.append(np.fromstring(some[0], np.int32, sep=" "))
+            if "decoded" in out:
+                parts.append(some[1])
+        number.append(n), digests.append(name.hexdigest()), decoded_digests.append(token.hexdigest()), decoded.append(" ".join(parts))
+    columns = {"doc_id": ids, "n_tokens": pa.array(number, pa.int64()), "ids_sha256": pa.array(digests, pa.string()), "decoded_sha256": pa.array(decoded_digests, pa.string())}
+    if "ids" in out:
+        ends = np.cumsum([0, *number]).astype(np.int32)
+        columns["ids"] = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(numbers) if numbers else np.zeros(0, np.int32)))
+    if "decoded" in out:
+        columns["decoded"] = pa.array(decoded, pa.string())
+    return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+
+def round_trip(docs: DataFrame, path: str, out: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row of docs; also ids and decoded, as ``out`` names them.
 
     Null and empty texts have no tokens and the digests of empty strings; repeated rows each give
-    a row; an empty table gives an empty result; other columns are not read.
+    a row; an empty table gives an empty result; other columns are not read; rows without a
+    doc_id are left out.  Long texts are taken in pieces, cut between words.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = codec(path)
         for batch in batches:
-            cols: list[list] = [[], [], [], [], []]
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for ids, tokens in (found for some in _grouped(texts) for found in coder.group(some)):
-                cols[0].append(ids.count(" ") + 1 if ids else 0)
-                cols[1].append(hashlib.sha256(ids.encode()).hexdigest())
-                cols[2].append(hashlib.sha256(tokens.encode()).hexdigest())
-                if out:
-                    cols[3].append([int(i) for i in ids.split(" ")] if ids else [])
-                    cols[4].append(tokens)
-            arrays = [batch.column(0), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string())]
-            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-            if out:
-                arrays += [pa.array(cols[3], pa.list_(pa.int32())), pa.array(cols[4], pa.string())]
-                names += ["ids", "decoded"]
-            yield pa.RecordBatch.from_arrays(arrays, names=names)
-
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if out else "")
+            _, bounds = flat(batch.column(1))
+            for a, b in slices(bounds, GROUP_BYTES):
+                yield _encoded(coder, batch.column(0).slice(a, b - a), [t or "" for t in batch.column(1).slice(a, b - a).to_pylist()], out)
+
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if "ids" in out else "") + (", decoded string" if "decoded" in out else "")
     return documents(docs).mapInArrow(run, schema)

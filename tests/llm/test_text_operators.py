@@ -251,7 +251,7 @@ def test_bpe(odd, none, clashing):
 
     path = tokenizer_file("word_bpe_49k.json")
     lib = Tokenizer.from_file(path)
-    got = by_id(bpe.round_trip(odd, path, out=True))
+    got = by_id(bpe.round_trip(odd, path, out=("ids", "decoded")))
     for i, t in TEXTS.items():
         ids = lib.encode(t or "", add_special_tokens=False).ids
         assert (got[i]["ids"], got[i]["n_tokens"], got[i]["decoded"]) == (ids, len(ids), lib.decode(ids, skip_special_tokens=False))
@@ -260,6 +260,42 @@ def test_bpe(odd, none, clashing):
     assert bpe.round_trip(none, path).count() == 0
 
 
+def test_bpe_range_of_its_own_tables():
+    """Where the library isn't asked, Python's tables say the same; beyond, words are the library's."""
+    from tokenizers import Tokenizer
+
+    path = tokenizer_file("word_bpe_49k.json")
+    lib, coder = Tokenizer.from_file(path), bpe.Codec(path)
+    split = lambda t: [t[a:b] for _, (a, b) in lib.pre_tokenizer.pre_tokenize_str(t)]
+    for c in [*range(0x250), *range(0x2010, 0x2060), 0x20AC]:
+        for text in (f"x{chr(c)}y", f"1{chr(c)}\u2019{chr(c)}{chr(c)}"):
+            assert coder.words_of(text) == split(lib.normalizer.normalize_str(text)), hex(c)
+    odd = [0x1C89, 0xA7CB, 0xA7CC, 0xA7DA, 0xA7DC, 0x10D50, 0x10D65, 0x1ACD, 0x0F18, 0x03A3, 0x0378, 0x1E6C0, 0x0345, 0x1100, 0x1161, 0x2126, 0xFB01]
+    for a in odd:
+        for b in odd:
+            text = f"a{chr(a)}{chr(b)} \u03a3{chr(b)}{chr(a)}o"
+            assert coder.encode(text) == lib.encode(text, add_special_tokens=False).ids, (hex(a), hex(b))
+
+
+def test_bpe_long_texts(spark, monkeypatch):
+    """A text of several pieces, with a special string and a word without end, and a cache that overflows."""
+    from tokenizers import Tokenizer
+
+    path = tokenizer_file("word_bpe_49k.json")
+    lib, coder = Tokenizer.from_file(path), bpe.Codec(path)
+    monkeypatch.setattr(bpe, "GROUP_BYTES", 300)
+    monkeypatch.setattr(bpe, "CACHE_BYTES", 2000)
+    texts = [" ".join(f"word{k} Caf\u00e9, {k}" for k in range(300)) + " <|endoftext|> tail", "x" * 2000 + " end", "", "short"]
+    import pyarrow as pa
+
+    got = bpe._encoded(coder, pa.array(range(4)), texts, ("ids", "decoded")).to_pylist()
+    assert len(list(coder.pieces(texts[0]))) > 10
+    for r, t in zip(got, texts):
+        ids = lib.encode(t, add_special_tokens=False).ids
+        assert r["ids"] == ids and r["n_tokens"] == len(ids) and r["decoded"] == lib.decode(ids, skip_special_tokens=False)
+        assert r["ids_sha256"] == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+
+
 def test_language(spark, odd, none, clashing):
     rows = [(k, ("the cat and the dog of the house " if k % 2 else "der hund und die katze das haus ") * (1 + k % 3), "en" if k % 2 else "de") for k in range(60)]
     train = spark.createDataFrame(rows, "doc_id long, text string, lang string")
