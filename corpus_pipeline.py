@@ -46,7 +46,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of what is left, with the digests of the ids and of the decoded text."""
-    return bpe.round_trip(docs, tokenizer_file("word_bpe_49k.json"), out=True).drop("decoded")
+    return bpe.round_trip(docs, tokenizer_file("word_bpe_49k.json"), out=("ids",))
 
 
 STAGES = [
