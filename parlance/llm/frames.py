@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a kernel handles at a time; bounds the size of its temporaries.
 CHUNK_BYTES = 1 << 20
+#: Sizes of blocks and buckets, in bytes of input; so many blocks before they begin to grow.
+BLOCK_BYTES, BLOCK_MOST, BUCKET_BYTES, BLOCKS = 4 << 20, 32 << 20, 256 << 20, 16_384
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,12 +50,30 @@ def ids_of(batch: pa.RecordBatch, name: str = "doc_id") -> np.ndarray:
     return batch.column(name).to_numpy(zero_copy_only=False)
 
 
-def documents(docs: DataFrame, *more) -> DataFrame:
+def documents(docs: DataFrame, *more, unnamed: bool = False) -> DataFrame:
     """doc_id and text alone, so that other columns, whatever their names, never meet the operator's own.
 
-    Rows without a doc_id have no identity to report under and are left out.
+    Rows without a doc_id have no identity to be linked or learned under and are left out, but
+    where each row is taken by itself (``unnamed``).
     """
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more).where("doc_id is not null")
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
+    return found if unnamed else found.where("doc_id is not null")
+
+
+def bytes_of(docs: DataFrame) -> int:
+    """Size that the plan states; where joins make that a guess beyond all measure, the texts are measured."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 50 else docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+
+
+def blocks_and_buckets(docs: DataFrame) -> tuple[int, int]:
+    """Into how many blocks texts are dealt, and into how many buckets what blocks ask.
+
+    Blocks of BLOCK_BYTES first, so that a small input is many tasks; as each block writes to each
+    bucket they grow up to BLOCK_MOST, and beyond that there are more of them, without limit.
+    """
+    size, least = bytes_of(docs), shuffle_partitions(docs.sparkSession)
+    return max(least, min(size // BLOCK_BYTES, BLOCKS), size // BLOCK_MOST), max(least, size // BUCKET_BYTES)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -61,13 +81,19 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def shared(spark: SparkSession) -> None:
-    """checkpoint() needs a folder; the cluster names it in spark.checkpoint.dir.  Set our own only where none is, as in tests."""
+    """checkpoint() needs a folder that all executors reach: the one that spark.checkpoint.dir names.
+
+    Where it is unset, a local session, whose executors are this machine, gets one of its own;
+    any other session is refused.
+    """
     context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        given = context.getConf().get("spark.checkpoint.dir")
-        if given:
-            context.setCheckpointDir(given)
-        else:
-            import tempfile
-
-            context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
+    if context.getCheckpointDir() is not None:
+        return
+    given = context.getConf().get("spark.checkpoint.dir")
+    if not given and context.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    if not given:
+        import tempfile
+
+        given = tempfile.mkdtemp(prefix="checkpoints-")
+    context.setCheckpointDir(given)

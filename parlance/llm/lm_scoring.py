@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parlance.llm import ctw
-from parlance.llm.frames import documents, flat, shuffle_partitions, slices
+from parlance.llm.frames import blocks_and_buckets, documents, flat, slices
 from parlance.llm.words import mix, word_hashes
 
 #: Text, in bytes, whose grams are sorted at a time when they are counted, and when they are looked up (at most 2^16 symbols then).
@@ -32,12 +32,6 @@ _SHARED = 2  # bytes of context by which subtrees are dealt
 _MESSAGE = "src long, dest long, kind int, tokens long, types long, ends long, payload binary"
 
 
-def blocks_of(docs: DataFrame, bytes_each: int = 4 << 20) -> int:
-    """Number of blocks: the shuffle's partitions, more if the plan's size asks for it.  Each block writes to each bucket, so there are no more than needed."""
-    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return max(shuffle_partitions(docs.sparkSession), min(size // bytes_each, 1 << 16) if size < 1 << 50 else 1)
-
-
 def _train_rows(ids: np.ndarray, modulus: int, remainder: int) -> np.ndarray:
     import zlib
 
@@ -118,7 +112,7 @@ def score(docs: DataFrame, modulus: int = 7, remainder: int = 2) -> DataFrame:
     to learn from, every bit has probability one half and every token counts as unknown.
     """
     docs = documents(docs)
-    blocks, buckets = blocks_of(docs), shuffle_partitions(docs.sparkSession)
+    blocks, buckets = blocks_and_buckets(docs)
     above = docs.sparkSession.sparkContext.broadcast(top_tree(docs, F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(modulus)) != remainder))
     dealt = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(4)), F.lit(blocks)))
 

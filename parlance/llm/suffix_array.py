@@ -12,15 +12,22 @@ from __future__ import annotations
 import numpy as np
 
 
+def ordered(keys: np.ndarray, size: int) -> np.ndarray:
+    """Order of numbers from 0 to below ``size``, equal ones by place where both fit one number: sorting numbers with their places beats sorting places."""
+    bits = max(1, len(keys) - 1).bit_length()
+    if size << bits < 1 << 63:
+        return np.sort((keys << bits) | np.arange(len(keys))) & ((1 << bits) - 1)
+    return np.argsort(keys, kind="stable")
+
+
 def _named(first: np.ndarray, second: np.ndarray, third: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Order of the triples, and their names (from 1, equal for equal triples)."""
     if size**3 < 1 << 62:
-        key = (first * size + second) * size + third
+        key, most = (first * size + second) * size + third, size**3
     else:
-        pair = first * size + second
-        values, pair = np.unique(pair, return_inverse=True)
-        key = pair * size + third
-    order = np.argsort(key, kind="stable")
+        values, pair = np.unique(first * size + second, return_inverse=True)
+        key, most = pair * size + third, len(values) * size
+    order = ordered(key, most)
     names = np.empty(len(key), np.int64)
     names[order] = np.cumsum(np.r_[1, key[order][1:] != key[order][:-1]]) if len(key) else 0
     return order, names
@@ -47,7 +54,7 @@ def suffix_array(text: np.ndarray, depth: int = 1 << 62, covered: int = 1) -> np
     rank[sample[order]] = np.arange(1, len(sample) + 1)
     span = len(sample) + 2
     zero = np.arange(0, n, 3)
-    zero = zero[np.argsort(s[zero] * span + rank[zero + 1], kind="stable")]
+    zero = zero[ordered(s[zero] * span + rank[zero + 1], size * span)]
     sample = sample[order]
     sample = sample[sample < n]
     first, second = sample[sample % 3 == 1], sample[sample % 3 == 2]

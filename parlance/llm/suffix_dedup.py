@@ -2,8 +2,9 @@
 
 1.  Sample.  Of every run of SPAN consecutive GRAM-byte strings the one with the least hash is
     sampled, so each LENGTH-byte string holds a sample at a place that depends on its bytes alone:
-    a difference cover chosen by content, with one sample in sixteen bytes.  Each block of
-    documents names its samples once; buckets tell which names more than one document has.
+    a difference cover chosen by content, with one sample in sixteen bytes.  Places are found
+    once, as texts are dealt to blocks.  Each block names its samples once; buckets tell which
+    names more than one document has.
 2.  Suffixes.  Around a shared sample stand all LENGTH-byte strings that hold it: 2 LENGTH - GRAM
     bytes.  These go to the bucket of the sample, once for each block and with the smallest
     document.  A bucket builds suffix arrays over them by the difference-cover algorithm (sorting
@@ -12,9 +13,10 @@
 3.  Cover.  The answers come back to the block, as a bit for each string of each sample, and the
     bytes that the strings cover are removed.
 
-A sample of more than HEAVY documents would bring unbounded numbers of surroundings to one
-bucket; its strings are dealt by their own hash instead, once for each block.  Texts that equal
-one of a smaller document need no search: all their strings repeat.
+A sample of more than HEAVY documents, counted over all blocks, would bring unbounded numbers of
+surroundings to one bucket; its strings are dealt singly, sorted and compared there byte by byte.
+Texts that equal one of a smaller document need no search: all their strings repeat.  Hashes only
+deal and sort; what counts as equal is decided by bytes, but for whole texts, by SHA-256.
 """
 
 from __future__ import annotations
@@ -25,26 +27,29 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm.frames import documents, flat, shuffle_partitions, slices
-from parlance.llm.lm_scoring import blocks_of
-from parlance.llm.suffix_array import suffix_array
+from parlance.llm.frames import blocks_and_buckets, documents, flat
+from parlance.llm.suffix_array import ordered, suffix_array
 from parlance.llm.words import _BASE, _TABLE, mix
 
 LENGTH = 50
 GRAM = 20
 SPAN = LENGTH - GRAM + 1
-AROUND = 2 * LENGTH - GRAM
-#: Documents that hold a sample beyond which its strings are dealt by their own hash.
+BEFORE, AROUND = LENGTH - GRAM, 2 * LENGTH - GRAM
+#: Documents that hold a sample beyond which its strings are dealt singly.
 HEAVY = 4096
 #: Bytes of surroundings over which one suffix array is built; a sample's are never parted.
-ARRAY_BYTES = 1 << 20
+ARRAY_BYTES = 1 << 16
+#: Bytes of text in which samples are sought at a time.
 SLICE_BYTES = 1 << 18
+#: Strings that are cut out at a time.
+STRINGS = 1 << 15
 _KEPT = 6  # bytes of a sample's hash that are sent, beside those that choose the bucket
 _MESSAGE = "src long, dest long, kind int, payload binary"
-_STATUS, _NEAR, _FAR = 0, 1, 2
+_STATUS, _NEAR, _FAR, _COPY = 0, 1, 2, 3
 
 
 def rolling(data: np.ndarray, width: int) -> np.ndarray:
@@ -78,198 +83,232 @@ def _extreme(x: np.ndarray, width: int, pick) -> np.ndarray:
     return pick(x[:-rest], x[rest:]) if rest else x
 
 
-def samples(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of a text's samples."""
-    if len(data) < LENGTH:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    h = rolling(data, GRAM)
-    least = _extreme(h, SPAN, np.minimum)
-    edge = np.zeros(SPAN - 1, np.uint64)
-    most = _extreme(np.concatenate([edge, least, edge]), SPAN, np.maximum)
-    at = np.flatnonzero(h == most)
-    return at, h[at]
-
-
-def _block_samples(data: np.ndarray, bounds: np.ndarray, skip: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Place (in the block), hash and row of all samples, row by row.  Runs of short rows are hashed together."""
-    places, hashes, rows = [], [], []
-    for a, b in slices(bounds, SLICE_BYTES):
-        base, part = bounds[a], data[bounds[a] : bounds[b]]
-        if len(part) < LENGTH:
+def sample_places(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Places of the samples of all rows; any row may be long, so the buffer is taken in slices with margins."""
+    found = []
+    for begin in range(0, len(data), SLICE_BYTES):
+        end = min(len(data), begin + SLICE_BYTES)
+        low, high = max(0, begin - SPAN), min(len(data), end + LENGTH)
+        if high - low < LENGTH:
             continue
-        h = rolling(part, GRAM)
-        low, n = bounds[a:b] - base, np.diff(bounds[a : b + 1])
-        row = np.repeat(np.arange(b - a), n)[: len(h)]
-        crosses = np.arange(len(h)) + GRAM > (low + n)[row]
+        first, last = int(np.searchsorted(bounds, low, side="right")) - 1, int(np.searchsorted(bounds, high, side="left"))
+        edges = np.clip(bounds[first : last + 1], low, high)
+        stop = np.repeat(bounds[first + 1 : last + 1], np.diff(edges))
+        h = rolling(data[low:high], GRAM)
+        place = np.arange(low, low + len(h))
+        crosses = place + GRAM > stop[: len(h)]
         h = np.where(crosses, np.uint64(0xFFFFFFFFFFFFFFFF), h)
-        if len(h) < SPAN:
-            continue
         least = _extreme(h, SPAN, np.minimum)
-        whole = np.arange(len(least)) + LENGTH <= (low + n)[row[: len(least)]]
-        least = np.where(whole, least, np.uint64(0))
+        whole = place[: len(least)] + LENGTH <= stop[: len(least)]
         edge = np.zeros(SPAN - 1, np.uint64)
-        at = np.flatnonzero((h == _extreme(np.concatenate([edge, least, edge]), SPAN, np.maximum)) & ~crosses)
-        at = at[~skip[a + row[at]]]
-        places.append(at + base), hashes.append(h[at]), rows.append(a + row[at])
-    if not places:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    return np.concatenate(places), np.concatenate(hashes), np.concatenate(rows)
+        most = _extreme(np.concatenate([edge, np.where(whole, least, np.uint64(0)), edge]), SPAN, np.maximum)
+        at = place[(h == most) & ~crosses]
+        found.append(at[(at >= begin) & (at < end)])
+    return np.concatenate(found) if found else np.zeros(0, np.int64)
+
+
+def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds the samples' places to each text: the first, then steps, which are less than SPAN + 1, as bytes."""
+    for batch in batches:
+        data, bounds = flat(batch.column("text"))
+        at = sample_places(data, bounds)
+        edges = np.searchsorted(at, bounds)
+        row = np.repeat(np.arange(len(bounds) - 1), np.diff(edges))
+        first = np.r_[True, row[1:] != row[:-1]] if len(row) else np.zeros(0, bool)
+        step = np.where(first, at - bounds[row], np.diff(at, prepend=0)).astype(np.uint8)
+        places = pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(edges.astype(np.int64)), pa.py_buffer(step)])
+        yield pa.RecordBatch.from_arrays([*batch.columns, places.cast(pa.binary())], names=[*batch.schema.names, "places"])
 
 
 def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
-    return ((hashes & np.uint64(0xFFFF)) * np.uint64(buckets) >> np.uint64(16)).astype(np.int64)
+    return (hashes >> np.uint64(32)).astype(np.int64) * buckets >> 32
 
 
 def _cut(dest: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(dest, kind="stable")
+    order = ordered(dest, buckets)
     return order, np.searchsorted(dest[order], np.arange(buckets + 1))
 
 
+def _fresh(*columns: np.ndarray) -> np.ndarray:
+    """Whether a row differs from the row before it."""
+    out = np.zeros(len(columns[0]), bool)
+    out[:1] = True
+    for x in columns:
+        differs = x[1:] != x[:-1]
+        out[1:] |= differs if differs.ndim == 1 else differs.any(axis=1)
+    return out
+
+
+def _by_hash(hashes: np.ndarray) -> np.ndarray:
+    """An order in which equal hashes stand together, but for what other hashes with the same upper bits part; places ascend within."""
+    bits = np.uint64(max(1, len(hashes) - 1).bit_length())
+    return (np.sort((hashes >> bits << bits) | np.arange(len(hashes), dtype=np.uint64)) & np.uint64((1 << int(bits)) - 1)).astype(np.int64)
+
+
+def _wide(rows: np.ndarray) -> np.ndarray:
+    """Rows of bytes as rows of 64-bit numbers."""
+    padded = np.zeros((len(rows), -(-rows.shape[1] // 8) * 8), np.uint8)
+    padded[:, : rows.shape[1]] = rows
+    return padded.view(np.uint64)
+
+
+def _row_hashes(words: np.ndarray) -> np.ndarray:
+    hashes = np.zeros(len(words), np.uint64)
+    for k in range(words.shape[1]):
+        hashes = mix(hashes * np.uint64(_BASE) + words[:, k])
+    return hashes
+
+
 class Block:
     """The documents of a block, in order of their ids, and what it asks and learns."""
 
-    def __init__(self, block: pa.Table, copies: pa.Table, buckets: int):
-        ids = block.column("doc_id").to_numpy()
+    def __init__(self, own: pa.Table, answers: pa.Table, buckets: int):
+        ids = own.column("doc_id").to_numpy()
         order = np.argsort(ids, kind="stable")
-        self.ids, self.buckets = ids[order], buckets
-        self.data, self.bounds = flat(block.column("text").take(pa.array(order)))
-        self.copy = np.isin(self.ids, copies.column("doc_id").to_numpy())
-        self.place, self.hash, self.row = _block_samples(self.data, self.bounds, self.copy)
-
-    def named(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct hashes, in how many documents each stands, their order by bucket and the bounds of the buckets."""
-        order = np.argsort(self.hash, kind="stable")
-        h, doc = self.hash[order], self.ids[self.row[order]]
-        first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, np.int64)
-        fresh = np.r_[True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])].astype(np.int64) if len(h) else np.zeros(0, np.int64)
-        number = np.add.reduceat(fresh, first) if len(first) else fresh
-        h = h[first]
-        order, cut = _cut(_bucket(h, self.buckets), self.buckets)
-        return h, number, order, cut
+        own = own.take(pa.array(order))
+        self.ids, self.buckets, self.rest = ids[order], buckets, own.column("rest") if "rest" in own.column_names else None
+        self.data, self.bounds = flat(own.column("text"))
+        copied = {p[:32]: int(p[32:]) for _, p in _answers(answers, _COPY)}
+        long = np.diff(self.bounds) >= LENGTH
+        self.copy = long & np.array([d in copied and copied[d] < i for d, i in zip(own.column("digest").to_pylist(), self.ids.tolist())], bool)
+        step, edges = flat(own.column("places"))
+        total = np.cumsum(step, dtype=np.int64)
+        number = np.diff(edges)
+        before = np.r_[0, total][edges[:-1]]
+        row = np.repeat(np.arange(len(ids)), number)
+        keep = ~self.copy[row]
+        self.row = row[keep]
+        self.place = (total - (before - self.bounds[:-1])[row])[keep]
+        self.hash = np.zeros(len(self.place), np.uint64)
+        for k in range(GRAM):
+            self.hash = self.hash * np.uint64(_BASE) + _TABLE[self.data[self.place + k]]
+        self.hash = mix(self.hash)
+        self.order = _by_hash(self.hash)
+        self.first = _fresh(self.hash[self.order])
 
     def asks_names(self) -> Iterator[tuple[int, int, bytes]]:
-        h, number, order, cut = self.named()
+        """The distinct hashes, and in how many documents each stands."""
+        h, doc = self.hash[self.order], self.ids[self.row[self.order]]
+        first = np.flatnonzero(self.first)
+        number = np.add.reduceat((self.first | _fresh(doc)).astype(np.int64), first) if len(first) else first
+        h = h[first]
+        order, cut = _cut(_bucket(h, self.buckets), self.buckets)
+        kept = (h & np.uint64((1 << 8 * _KEPT) - 1)).view(np.uint8).reshape(-1, 8)[order, :_KEPT]
+        number = np.minimum(number[order], 0xFFFF).astype(np.uint16)
         for dest in range(self.buckets):
-            some = order[cut[dest] : cut[dest + 1]]
-            if len(some):
-                kept = (h[some] >> np.uint64(64 - 8 * _KEPT)).view(np.uint8).reshape(-1, 8)[:, :_KEPT]
-                yield dest, _STATUS, np.int64(len(some)).tobytes() + kept.tobytes() + np.minimum(number[some], 255).astype(np.uint8).tobytes()
-
-    def status(self, answers: pa.Table) -> np.ndarray:
-        """0: of one document, 1: shared, 2: of more than HEAVY documents, for each sample."""
-        h, _, order, cut = self.named()
-        status = np.zeros(len(h), np.uint8)
+            a, b = cut[dest], cut[dest + 1]
+            if a < b:
+                yield dest, _STATUS, int(b - a).to_bytes(8, "little") + kept[a:b].tobytes() + number[a:b].tobytes()
+
+    def learn(self, answers: pa.Table) -> None:
+        """Of which samples the strings are sought, and which of them differ.
+
+        ``at`` are the samples that another document has too, ``stands`` names for each its
+        surroundings among the different ones of the block: ``text`` (with the room before and
+        after), the smallest document ``doc`` and whether the sample is ``heavy``.
+        """
+        h = self.hash[self.order[self.first]]
+        order, cut = _cut(_bucket(h, self.buckets), self.buckets)
+        found = np.zeros(len(h), np.uint8)
         for dest, payload in _answers(answers, _STATUS):
-            status[order[cut[dest] : cut[dest + 1]]] = np.frombuffer(payload, np.uint8)
-        return status[np.searchsorted(h, self.hash)] if len(h) else np.zeros(0, np.uint8)
-
-    def near(self, status: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Shared samples; which of them stand for equal ones of the block, and for each its stand-in; surroundings, room before and after."""
-        at = np.flatnonzero(status == 1)
+            found[order[cut[dest] : cut[dest + 1]]] = np.frombuffer(payload, np.uint8)
+        status = np.empty(len(self.hash), np.uint8)
+        status[self.order] = np.repeat(found, np.diff(np.r_[np.flatnonzero(self.first), len(self.hash)]))
+        self.at = at = np.flatnonzero(status)
         place, row = self.place[at], self.row[at]
-        before = np.minimum(place - self.bounds[row], LENGTH - GRAM)
+        before = np.minimum(place - self.bounds[row], BEFORE)
         after = np.minimum(self.bounds[row + 1] - place, LENGTH)
-        around = np.arange(AROUND) - (LENGTH - GRAM)
-        text = np.zeros((len(at), AROUND), np.uint8)
-        for a in range(0, len(at), 1 << 15):
-            p, lo, hi = (x[a : a + (1 << 15), None] for x in (place, before, after))
-            inside = (around >= -lo) & (around < hi)
-            text[a : a + (1 << 15)] = np.where(inside, self.data[np.where(inside, p + around, 0)], 0)
-        whole = np.concatenate([text, before[:, None].astype(np.uint8), after[:, None].astype(np.uint8)], axis=1)
-        key = _row_keys(whole)
-        order = np.lexsort((self.ids[row], key))
-        first = np.r_[True, key[order][1:] != key[order][:-1]] if len(at) else np.zeros(0, bool)
-        stands = np.empty(len(at), np.int64)
-        stands[order] = (np.cumsum(first) - 1) if len(at) else 0
+        view = sliding_window_view(np.concatenate([np.zeros(BEFORE, np.uint8), self.data, np.zeros(LENGTH, np.uint8)]), AROUND)
+        whole = np.zeros((len(at), AROUND + 8), np.uint8)
+        around = np.arange(AROUND, dtype=np.int8) - BEFORE
+        for a in range(0, len(at), STRINGS):
+            b = a + STRINGS
+            text, lo, hi = view[place[a:b]], before[a:b, None].astype(np.int8), after[a:b, None].astype(np.int8)
+            whole[a:b, :AROUND] = np.where((around >= -lo) & (around < hi), text, 0)
+        whole[:, AROUND], whole[:, AROUND + 1] = before, after
+        words = whole.view(np.uint64)
+        order = _by_hash(_row_hashes(words)) if len(at) else at
+        first = _fresh(words[order])
+        self.stands = np.empty(len(at), np.int64)
+        self.stands[order] = np.cumsum(first) - 1
         chosen = order[first]
-        return at, chosen, stands, whole[chosen], self.ids[row[chosen]]
-
-    def far(self, status: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Strings that hold a heavy sample: their places and rows, the distinct hashes, which each has, and the smallest document of each."""
-        at = np.flatnonzero(status == 2)
-        place, row = self.place[at], self.row[at]
-        start = (place[:, None] - np.arange(SPAN)).ravel()
-        row = np.repeat(row, SPAN)
-        fits = (start >= self.bounds[row]) & (start + LENGTH <= self.bounds[row + 1])
-        start, once = np.unique(start[fits], return_index=True)
-        row = row[fits][once]
-        hashes = np.zeros(len(start), np.uint64)
-        for a in range(0, len(start), 1 << 16):
-            some = start[a : a + (1 << 16)]
-            hashes[a : a + (1 << 16)] = _hash_rows(self.data[some[:, None] + np.arange(LENGTH)])
-        distinct, which = np.unique(hashes, return_inverse=True)
-        least = np.full(len(distinct), np.iinfo(np.int64).max)
-        np.minimum.at(least, which, self.ids[row])
-        return start, row, distinct, which, least
-
-    def asks_strings(self, status: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
-        at, chosen, _, text, doc = self.near(status)
-        order, cut = _cut(_bucket(self.hash[at[chosen]], self.buckets), self.buckets)
+        self.text, self.doc = whole[chosen, : AROUND + 2], self.ids[row[chosen]]
+        self.name, self.heavy = self.hash[at[chosen]], status[at[chosen]] == 2
+        self.fits = _fitting(self.text)
+
+    def _near(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        mine = np.flatnonzero(~self.heavy)
+        order, cut = _cut(_bucket(self.name[mine], self.buckets), self.buckets)
+        return mine, order, cut
+
+    def _far(self) -> tuple[np.ndarray, ...]:
+        """Strings around heavy samples: surroundings and bit of each, the different strings, which each is, their smallest documents, order and cuts."""
+        mine = np.flatnonzero(self.heavy)
+        which, back = np.nonzero((self.fits[mine, None] >> np.arange(SPAN, dtype=np.uint32)) & np.uint32(1))
+        which = mine[which]
+        strings = np.zeros((len(which), LENGTH), np.uint8)
+        view = sliding_window_view(self.text[:, :AROUND], LENGTH, axis=1)
+        for a in range(0, len(which), STRINGS):
+            strings[a : a + STRINGS] = view[which[a : a + STRINGS], BEFORE - back[a : a + STRINGS]]
+        different, inverse = _distinct(strings)
+        least = np.full(len(different), np.iinfo(np.int64).max)
+        np.minimum.at(least, inverse, self.doc[which])
+        order, cut = _cut(_bucket(_row_hashes(_wide(different)), self.buckets), self.buckets)
+        return which, back, different, inverse, least, order, cut
+
+    def asks_strings(self) -> Iterator[tuple[int, int, bytes]]:
         codec = pa.Codec("zstd")
+        mine, order, cut = self._near()
         for dest in range(self.buckets):
-            some = order[cut[dest] : cut[dest + 1]]
+            some = mine[order[cut[dest] : cut[dest + 1]]]
             if len(some):
-                raw = text[some].tobytes()
-                yield dest, _NEAR, np.int64(len(some)).tobytes() + doc[some].tobytes() + codec.compress(raw, asbytes=True)
-        _, _, distinct, _, least = self.far(status)
-        order, cut = _cut(_bucket(distinct, self.buckets), self.buckets)
+                yield dest, _NEAR, len(some).to_bytes(8, "little") + self.doc[some].tobytes() + codec.compress(self.text[some].tobytes(), asbytes=True)
+        _, _, different, _, least, order, cut = self._far()
         for dest in range(self.buckets):
             some = order[cut[dest] : cut[dest + 1]]
             if len(some):
-                yield dest, _FAR, np.int64(len(some)).tobytes() + distinct[some].tobytes() + least[some].tobytes()
+                yield dest, _FAR, len(some).to_bytes(8, "little") + least[some].tobytes() + codec.compress(different[some].tobytes(), asbytes=True)
 
-    def removed(self, status: np.ndarray, answers: pa.Table) -> np.ndarray:
+    def removed(self, answers: pa.Table) -> np.ndarray:
         """Whether each byte is covered."""
-        change = np.zeros(len(self.data) + 1, np.int32)
-        at, chosen, stands, text, doc = self.near(status)
-        order, cut = _cut(_bucket(self.hash[at[chosen]], self.buckets), self.buckets)
-        bits = np.zeros(len(chosen), np.uint32)
+        bits = np.zeros(len(self.doc), np.uint32)
+        mine, order, cut = self._near()
         for dest, payload in _answers(answers, _NEAR):
-            bits[order[cut[dest] : cut[dest + 1]]] = np.frombuffer(payload, np.uint32)
-        if len(at):
-            whole = np.where(self.ids[self.row[at]] > doc[stands], _fitting(text)[stands], bits[stands])
-            for back in range(SPAN):
-                start = self.place[at[(whole >> np.uint32(back)) & np.uint32(1) > 0]] - back
-                np.add.at(change, start, 1)
-                np.add.at(change, start + LENGTH, -1)
-        start, row, distinct, which, least = self.far(status)
-        order, cut = _cut(_bucket(distinct, self.buckets), self.buckets)
-        earlier = np.zeros(len(distinct), bool)
+            bits[mine[order[cut[dest] : cut[dest + 1]]]] = np.frombuffer(payload, np.uint32)
+        which, back, different, inverse, least, order, cut = self._far()
+        earlier = np.zeros(len(different), bool)
         for dest, payload in _answers(answers, _FAR):
             earlier[order[cut[dest] : cut[dest + 1]]] = np.frombuffer(payload, np.uint8) > 0
-        if len(start):
-            start = start[earlier[which] | (self.ids[row] > least[which])]
-            np.add.at(change, start, 1)
-            np.add.at(change, start + LENGTH, -1)
+        repeats = earlier[inverse] | (self.doc[which] > least[inverse])
+        np.bitwise_or.at(bits, which[repeats], np.uint32(1) << back[repeats].astype(np.uint32))
+        whole = np.where(self.ids[self.row[self.at]] > self.doc[self.stands], self.fits[self.stands], bits[self.stands])
+        change = np.zeros(len(self.data) + 1, np.int32)
+        some = np.flatnonzero(whole)
+        whole, place = whole[some], self.place[self.at[some]]
+        for shift in range(SPAN):
+            start = place[(whole >> np.uint32(shift)) & np.uint32(1) > 0] - shift  # no place twice
+            change[start] += 1
+            change[start + LENGTH] -= 1
         gone = np.cumsum(change[:-1]) > 0
-        for k in np.flatnonzero(self.copy & (np.diff(self.bounds) >= LENGTH)).tolist():
+        for k in np.flatnonzero(self.copy).tolist():
             gone[self.bounds[k] : self.bounds[k + 1]] = True
         return gone
 
 
+def _distinct(strings: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different rows of bytes, sorted, and which each row is."""
+    if not len(strings):
+        return strings, np.zeros(0, np.int64)
+    keys = np.ascontiguousarray(strings).view(f"V{strings.shape[1]}").ravel()
+    _, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
+    return strings[first], inverse
+
+
 def _answers(answers: pa.Table, kind: int) -> Iterator[tuple[int, bytes]]:
     mine = answers.filter(pa.compute.equal(answers.column("kind"), kind))
     yield from zip(mine.column("dest").to_pylist(), mine.column("payload").to_pylist())
 
 
-def _hash_rows(rows: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(rows), np.uint64)
-    for k in range(rows.shape[1]):
-        out = out * np.uint64(_BASE) + _TABLE[rows[:, k]]
-    return mix(out)
-
-
-def _row_keys(rows: np.ndarray) -> np.ndarray:
-    """A number for each row of bytes, equal for equal rows only."""
-    padded = np.zeros((len(rows), -(-rows.shape[1] // 8) * 8), np.uint8)
-    padded[:, : rows.shape[1]] = rows
-    words = np.ascontiguousarray(padded).view(np.uint64)
-    hashes = np.zeros(len(rows), np.uint64)
-    for k in range(words.shape[1]):
-        hashes = mix(hashes * np.uint64(_BASE) + words[:, k])
-    return hashes
-
-
 def _fitting(text: np.ndarray) -> np.ndarray:
     """Bit k of each: whether the string that starts k bytes before the sample lies in the document."""
     before, after = text[:, AROUND].astype(np.int64), text[:, AROUND + 1].astype(np.int64)
@@ -278,94 +317,88 @@ def _fitting(text: np.ndarray) -> np.ndarray:
     return (fits.astype(np.uint32) << back.astype(np.uint32)).sum(axis=1, dtype=np.uint32)
 
 
-def _shared_names(rows: pa.Table) -> list[bytes]:
-    raw = rows.column("payload").to_pylist()
-    n = [int(np.frombuffer(r, np.int64, 1)[0]) for r in raw]
+def _number(payload: bytes) -> int:
+    return int.from_bytes(payload[:8], "little")
+
+
+def _shared_names(raw: list[bytes]) -> list[bytes]:
+    """For each name 0: of one document, 1: of several, 2: of more than HEAVY."""
+    n = [_number(r) for r in raw]
     wide = np.zeros((sum(n), 8), np.uint8)
-    wide[:, :_KEPT] = np.concatenate([np.frombuffer(r, np.uint8, k * _KEPT, 8).reshape(-1, _KEPT) for r, k in zip(raw, n)])
+    wide[:, 2:] = np.concatenate([np.frombuffer(r, np.uint8, k * _KEPT, 8).reshape(-1, _KEPT) for r, k in zip(raw, n)])
     names = wide.view(np.uint64).ravel()
-    number = np.concatenate([np.frombuffer(r, np.uint8, k, 8 + k * _KEPT) for r, k in zip(raw, n)]).astype(np.int64)
-    order = np.argsort(names, kind="stable")
-    ordered = names[order]
-    first = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
+    number = np.concatenate([np.frombuffer(r, np.uint16, k, 8 + k * _KEPT) for r, k in zip(raw, n)]).astype(np.int64)
+    order = np.argsort(names)
+    first = np.flatnonzero(_fresh(names[order]))
     total = np.add.reduceat(number[order], first)
     state = np.where(total > HEAVY, 2, np.where(total > 1, 1, 0)).astype(np.uint8)
     status = np.empty(len(names), np.uint8)
-    status[order] = np.repeat(state, np.diff(np.r_[first, len(ordered)]))
+    status[order] = np.repeat(state, np.diff(np.r_[first, len(names)]))
     return [x.tobytes() for x in np.split(status, np.cumsum(n)[:-1])]
 
 
-def _earlier_strings(rows: pa.Table) -> list[bytes]:
-    raw = rows.column("payload").to_pylist()
-    n = [int(np.frombuffer(r, np.int64, 1)[0]) for r in raw]
-    hashes = np.concatenate([np.frombuffer(r, np.uint64, k, 8) for r, k in zip(raw, n)])
-    docs = np.concatenate([np.frombuffer(r, np.int64, k, 8 + 8 * k) for r, k in zip(raw, n)])
-    distinct, which = np.unique(hashes, return_inverse=True)
-    least = np.full(len(distinct), np.iinfo(np.int64).max)
-    np.minimum.at(least, which, docs)
-    return [x.tobytes() for x in np.split((least[which] < docs).astype(np.uint8), np.cumsum(n)[:-1])]
+def _unpacked(raw: list[bytes], width: int) -> tuple[list[int], np.ndarray, np.ndarray]:
+    codec, n = pa.Codec("zstd"), [_number(r) for r in raw]
+    docs = np.concatenate([np.frombuffer(r, np.int64, k, 8) for r, k in zip(raw, n)])
+    text = np.concatenate([np.frombuffer(codec.decompress(r[8 + 8 * k :], k * width), np.uint8).reshape(k, width) for r, k in zip(raw, n)])
+    return n, docs, text
+
+
+def _earlier_strings(raw: list[bytes]) -> list[bytes]:
+    """Whether a smaller document has the string: strings sorted, neighbours compared."""
+    n, docs, strings = _unpacked(raw, LENGTH)
+    different, inverse = _distinct(strings)
+    least = np.full(len(different), np.iinfo(np.int64).max)
+    np.minimum.at(least, inverse, docs)
+    return [x.tobytes() for x in np.split((least[inverse] < docs).astype(np.uint8), np.cumsum(n)[:-1])]
 
 
 def _classes(text: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """Bits of the strings of each surroundings that a smaller document among them has: suffix array, then adjacent prefixes."""
-    n = len(text)
-    symbols = text[:, :AROUND].astype(np.int64) + 1
-    order = suffix_array(symbols.ravel(), LENGTH)
-    row, offset = order // AROUND, order % AROUND
-    back = (LENGTH - GRAM) - offset
-    fits = _fitting(text)
-    valid = (back >= 0) & (back < SPAN)
-    row, offset, back = row[valid], offset[valid], back[valid]
-    valid = (fits[row] >> back.astype(np.uint32)) & np.uint32(1) > 0
-    row, offset, back = row[valid], offset[valid], back[valid]
-    start = row * AROUND + offset
-    plain = np.ascontiguousarray(text[:, :AROUND]).ravel()
-    same = np.zeros(len(start), bool)
-    for a in range(1, len(start), 1 << 16):
-        x, y = start[a - 1 : a - 1 + (1 << 16)], start[a : a + (1 << 16)]
-        x = x[: len(y)]
-        span = np.arange(LENGTH)
-        same[a : a + len(y)] = (plain[x[:, None] + span] == plain[y[:, None] + span]).all(axis=1)
-    out = np.zeros(n, np.uint32)
-    if len(start):
-        first = np.flatnonzero(~same)
-        least = np.repeat(np.minimum.reduceat(doc[row], first), np.diff(np.r_[first, len(start)]))
-        earlier = least < doc[row]
-        np.bitwise_or.at(out, row[earlier], np.uint32(1) << back[earlier].astype(np.uint32))
+    order = suffix_array(text[:, :AROUND].ravel().astype(np.int64) + 1, LENGTH)
+    back = BEFORE - order % AROUND
+    order, back = order[back >= 0], back[back >= 0]
+    row = order // AROUND
+    valid = (_fitting(text)[row] >> back.astype(np.uint32)) & np.uint32(1) > 0
+    start, row, back = order[valid], row[valid], back[valid]
+    out = np.zeros(len(text), np.uint32)
+    if not len(start):
+        return out
+    view = sliding_window_view(text[:, :AROUND].ravel(), LENGTH)
+    fresh = np.ones(len(start), bool)
+    for a in range(0, len(start) - 1, STRINGS):
+        some = view[start[a : a + STRINGS + 1]]
+        fresh[a + 1 : a + len(some)] = (some[1:] != some[:-1]).any(axis=1)
+    first = np.flatnonzero(fresh)
+    least = np.repeat(np.minimum.reduceat(doc[row], first), np.diff(np.r_[first, len(start)]))
+    earlier = least < doc[row]
+    np.bitwise_or.at(out, row[earlier], np.uint32(1) << back[earlier].astype(np.uint32))
     return out
 
 
-def _earlier_surroundings(rows: pa.Table) -> list[bytes]:
-    codec = pa.Codec("zstd")
-    docs, texts, n = [], [], []
-    for r in rows.column("payload").to_pylist():
-        k = int(np.frombuffer(r, np.int64, 1)[0])
-        n.append(k)
-        docs.append(np.frombuffer(r, np.int64, k, 8))
-        texts.append(np.frombuffer(codec.decompress(r[8 + 8 * k :], k * (AROUND + 2)), np.uint8).reshape(k, AROUND + 2))
-    text, doc = np.concatenate(texts), np.concatenate(docs)
-    del texts
-    sample = _row_keys(text[:, LENGTH - GRAM : LENGTH])
-    whole = _row_keys(text)
-    order = np.lexsort((doc, whole, sample))
-    group = np.r_[True, sample[order][1:] != sample[order][:-1]]
-    fresh = group | np.r_[True, whole[order][1:] != whole[order][:-1]]
-    kind = np.empty(len(doc), np.int64)
-    kind[order] = np.cumsum(fresh) - 1
-    chosen = order[fresh]
+def _earlier_surroundings(raw: list[bytes]) -> list[bytes]:
+    """Bits of the strings of each surroundings that a smaller document has."""
+    n, docs, text = _unpacked(raw, AROUND + 2)
+    words = _wide(text)
+    sample, whole = _row_hashes(_wide(text[:, BEFORE:LENGTH])) >> np.uint64(32), _row_hashes(words) >> np.uint64(32)
+    order = np.argsort((sample << np.uint64(32)) | whole)
+    group = _fresh(sample[order])
+    first = group | _fresh(words[order])
+    kind = np.empty(len(docs), np.int64)
+    kind[order] = np.cumsum(first) - 1
+    chosen = order[first]
+    doc = np.minimum.reduceat(docs[order], np.flatnonzero(first))
     bits = np.zeros(len(chosen), np.uint32)
-    begin = np.flatnonzero(group[fresh])
+    begin = np.flatnonzero(group[first])
     sizes = np.diff(np.r_[begin, len(chosen)])
-    many = np.repeat(sizes > 1, sizes)
-    todo = np.flatnonzero(many)
-    starts = np.r_[np.flatnonzero(np.r_[True, sample[chosen[todo]][1:] != sample[chosen[todo]][:-1]]), len(todo)] if len(todo) else np.zeros(1, np.int64)
-    at = 0
-    while at < len(starts) - 1:
-        to = max(at + 1, int(np.searchsorted(starts, starts[at] + ARRAY_BYTES // AROUND, side="right")) - 1)
-        some = todo[starts[at] : starts[to]]
-        bits[some] = _classes(text[chosen[some]], doc[chosen[some]])
+    begin, sizes = begin[sizes > 1], sizes[sizes > 1]
+    at, ends = 0, np.cumsum(sizes)
+    while at < len(begin):
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] - sizes[at] + ARRAY_BYTES // AROUND, side="right")))
+        some = np.repeat(begin[at:to] - (np.cumsum(sizes[at:to]) - sizes[at:to]), sizes[at:to]) + np.arange(sizes[at:to].sum())
+        bits[some] = _classes(text[chosen[some]], doc[some])
         at = to
-    value = np.where(doc > doc[chosen][kind], _fitting(text), bits[kind])
+    value = np.where(docs > doc[kind], _fitting(text), bits[kind])
     return [x.astype(np.uint32).tobytes() for x in np.split(value, np.cumsum(n)[:-1])]
 
 
@@ -377,7 +410,7 @@ def _answered(asked: pa.Table) -> pa.Table:
     for kind, work in _WORK.items():
         rows = asked.filter(pa.compute.equal(asked.column("kind"), kind))
         if len(rows):
-            out += zip(rows.column("src").to_pylist(), rows.column("dest").to_pylist(), [kind] * len(rows), work(rows))
+            out += zip(rows.column("src").to_pylist(), rows.column("dest").to_pylist(), [kind] * len(rows), work(rows.column("payload").to_pylist()))
     return _messages(out)
 
 
@@ -385,60 +418,57 @@ def _messages(rows: list[tuple]) -> pa.Table:
     return pa.table([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.binary()))], names=["src", "dest", "kind", "payload"])
 
 
-def remove_repeats(docs: DataFrame, text: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document; with ``text``, also what is left.
+def remove_repeats(docs: DataFrame, text: bool = False, carry: bool = False) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row of docs; with ``text``, also what is left (kept); with ``carry``, all columns of the row as a struct (rest) with fields c0, c1, ...
 
     Left-over bytes that are no UTF-8, as where a cut falls within a character, are left out of
     the text column only.  Null and empty texts have nothing to remove.  Repeated rows under one
-    doc_id each give a row; a document doesn't make its own strings repeat.
+    doc_id each give a row; a document doesn't make its own strings repeat.  Rows without a
+    doc_id are left out; an empty table gives an empty result.
     """
-    docs = documents(docs)
-    blocks, buckets = blocks_of(docs), shuffle_partitions(docs.sparkSession)
+    rest = [F.struct(*[docs[f"`{c}`"].alias(f"c{k}") for k, c in enumerate(docs.columns)]).alias("rest")] if carry else []
+    docs = documents(docs, *rest)
+    blocks, buckets = blocks_and_buckets(docs)
     block = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(blocks))
-    dealt = docs.withColumn("block", block)
-    hashed = docs.select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("digest")).where("text is not null and octet_length(text) >= 50")
-    least = hashed.groupBy("digest").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("digest", "least")
-    copies = hashed.join(least, "digest").where("doc_id > least").select("doc_id").withColumn("block", block)
-    none = F.lit(None)
-    extra = copies.select("block", (F.col("doc_id") + F.lit(0)).alias("doc_id"), none.cast("long").alias("dest"), none.cast("int").alias("kind"), none.cast("binary").alias("payload"))
-
-    def back(answers: DataFrame) -> DataFrame:
-        return answers.select(F.col("src").alias("block"), none.cast("long").alias("doc_id"), "dest", "kind", "payload")
-
-    def ask_names(own: pa.Table, more: pa.Table) -> pa.Table:
-        return _messages([(own.column("block")[0].as_py(), *m) for m in _block(own, more, buckets).asks_names()] if len(own) else [])
-
-    def ask_strings(own: pa.Table, more: pa.Table) -> pa.Table:
+    digest = F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("digest")
+    kinds = dict(docs.dtypes)
+    schema = "doc_id long, text string, digest binary" + (f", rest {kinds['rest']}" if carry else "")
+    dealt = docs.select("doc_id", "text", digest, *(["rest"] if carry else [])).mapInArrow(_sampled, schema + ", places binary").withColumn("block", block)
+    # A digest has a row for each block here, however many copies there are.
+    copies = docs.where(F.octet_length("text") >= LENGTH).select("doc_id", block.alias("src"), digest).groupBy("digest", "src").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
+    several = copies.groupBy("digest").agg(F.min("least").alias("all_least"), F.max("most").alias("all_most")).where("all_least < all_most").select("digest", "all_least")
+    known = copies.join(several, "digest").where("most > all_least")
+    extra = known.select("src", F.lit(0).cast("long").alias("dest"), F.lit(_COPY).alias("kind"), F.concat("digest", F.col("all_least").cast("string").cast("binary")).alias("payload"))
+
+    def ask_names(key: tuple, own: pa.Table, more: pa.Table) -> pa.Table:
+        return _messages([(key[0].as_py(), *m) for m in Block(own, more, buckets).asks_names()] if len(own) else [])
+
+    def ask_strings(key: tuple, own: pa.Table, more: pa.Table) -> pa.Table:
         if not len(own):
             return _messages([])
-        b = _block(own, more, buckets)
-        return _messages([(own.column("block")[0].as_py(), *m) for m in b.asks_strings(b.status(more))])
-
-    def settle(own: pa.Table, more: pa.Table) -> pa.Table:
-        if not len(own):
-            return pa.table({"doc_id": pa.array([], pa.int64()), "n_bytes": pa.array([], pa.int64()), "n_removed": pa.array([], pa.int64()), "n_spans": pa.array([], pa.int64()), "kept_sha256": pa.array([], pa.string())} | ({"kept": pa.array([], pa.string())} if text else {}))
-        b = _block(own, more, buckets)
-        gone = b.removed(b.status(more), more)
+        b = Block(own, more, buckets)
+        b.learn(more)
+        return _messages([(key[0].as_py(), *m) for m in b.asks_strings()])
+
+    def settle(key: tuple, own: pa.Table, more: pa.Table) -> pa.Table:
+        b = Block(own, more, buckets)
+        b.learn(more)
+        gone = b.removed(more)
         rows: list[list] = [[], [], [], []]
         for begin, end in zip(b.bounds[:-1].tolist(), b.bounds[1:].tolist()):
             cut = gone[begin:end]
-            kept = b.data[begin:end][~cut].tobytes()
+            kept = b.data[begin:end] if not cut.any() else b.data[begin:end][~cut]
             rows[0].append(int(cut.sum()))
             rows[1].append(int(cut[:1].sum() + (cut[1:] & ~cut[:-1]).sum()))
             rows[2].append(hashlib.sha256(kept).hexdigest())
-            rows[3].append(kept.decode("utf-8", "ignore") if text else None)
+            rows[3].append(kept.tobytes().decode("utf-8", "ignore") if text else None)
         out = {"doc_id": pa.array(b.ids), "n_bytes": pa.array(np.diff(b.bounds)), "n_removed": pa.array(rows[0], pa.int64()), "n_spans": pa.array(rows[1], pa.int64()), "kept_sha256": pa.array(rows[2], pa.string())}
-        return pa.table(out | ({"kept": pa.array(rows[3], pa.string())} if text else {}))
+        return pa.table(out | ({"kept": pa.array(rows[3], pa.string())} if text else {}) | ({"rest": b.rest} if carry else {}))
 
     def answered(fn, more: DataFrame) -> DataFrame:
-        asked = dealt.groupBy("block").cogroup(more.groupBy("block")).applyInArrow(fn, _MESSAGE)
-        return back(asked.groupBy("dest").applyInArrow(_answered, _MESSAGE))
+        return dealt.groupBy("block").cogroup(more.groupBy("src")).applyInArrow(fn, _MESSAGE).groupBy("dest").applyInArrow(_answered, _MESSAGE)
 
     names = answered(ask_names, extra)
     strings = answered(ask_strings, extra.union(names))
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept string" if text else "")
-    return dealt.groupBy("block").cogroup(extra.union(names).union(strings).groupBy("block")).applyInArrow(settle, schema)
-
-
-def _block(own: pa.Table, more: pa.Table, buckets: int) -> Block:
-    return Block(own, more.filter(pa.compute.is_valid(more.column("doc_id"))), buckets)
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept string" if text else "") + (f", rest {kinds['rest']}" if carry else "")
+    return dealt.groupBy("block").cogroup(extra.union(names).union(strings).groupBy("src")).applyInArrow(settle, schema)

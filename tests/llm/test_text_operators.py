@@ -60,33 +60,86 @@ def test_suffix_dedup(odd, none, clashing, monkeypatch):
     assert suffix_dedup.remove_repeats(none).count() == 0
 
 
-def test_suffix_dedup_heavy_samples(odd, monkeypatch):
+def removed_in_blocks(texts, blocks, buckets=3):
+    """The rounds by hand, in this process, so that patched limits hold: removed bytes of each document."""
+    import pyarrow as pa
+
     import parlance.llm.suffix_dedup as m
 
-    want = removed_by_hand(TEXTS)
-    monkeypatch.setattr(m, "HEAVY", 1)
-    names = m._shared_names
+    least = {}
+    for i, t in sorted(texts.items()):
+        least.setdefault(hashlib.sha256((t or "").encode()).digest(), i)
+    nothing, out = m._messages([]), {}
+    own = []
+    for k in range(blocks):
+        ids = [i for i in texts if i % blocks == k]
+        rows = pa.record_batch({"doc_id": pa.array(ids, pa.int64()), "text": pa.array([texts[i] for i in ids], pa.string()), "digest": pa.array([hashlib.sha256((texts[i] or "").encode()).digest() for i in ids], pa.binary())})
+        own.append(pa.Table.from_batches(list(m._sampled(iter([rows])))))
+    copies = [(k, 0, m._COPY, d + str(i).encode()) for k in range(blocks) for d, i in least.items()]
+
+    def asked(messages):
+        return pa.concat_tables([nothing, *(m._answered(messages.filter(pa.compute.equal(messages.column("dest"), d))) for d in range(buckets))])
+
+    def of(messages, k):
+        return messages.filter(pa.compute.equal(messages.column("src"), k))
+
+    more = m._messages(copies)
+    more = pa.concat_tables([more, asked(m._messages([(k, *x) for k in range(blocks) for x in m.Block(own[k], of(more, k), buckets).asks_names()]))])
+    told = []
+    for k in range(blocks):
+        b = m.Block(own[k], of(more, k), buckets)
+        b.learn(of(more, k))
+        told += [(k, *x) for x in b.asks_strings()]
+    more = pa.concat_tables([more, asked(m._messages(told))])
+    for k in range(blocks):
+        b = m.Block(own[k], of(more, k), buckets)
+        b.learn(of(more, k))
+        gone = b.removed(of(more, k))
+        out |= {i: int(gone[s:e].sum()) for i, s, e in zip(b.ids.tolist(), b.bounds[:-1], b.bounds[1:])}
+    return out
 
-    import numpy as np
 
-    def all_heavy(rows):
-        return [np.where(np.frombuffer(x, np.uint8) > 0, 2, 0).astype(np.uint8).tobytes() for x in names(rows)]
+def shared_lines():
+    import random
+
+    rng = random.Random(6)
+    line, tail = prose(rng, 30), prose(rng, 25)
+    return {k: prose(rng, rng.randrange(30)) + " " + line + prose(rng, rng.randrange(20)) + (tail if k % 3 else "") for k in range(40)}
+
 
-    def run(block_texts):
-        """The rounds by hand, in this process, so that the patched limit holds."""
-        import pyarrow as pa
+@pytest.mark.parametrize("heavy", [1, 3, 4096])
+def test_suffix_dedup_heavy_samples(monkeypatch, heavy):
+    """Whether strings are dealt singly or searched by suffix arrays, and however texts are dealt to blocks, the same bytes go."""
+    monkeypatch.setattr(suffix_dedup, "HEAVY", heavy)
+    for texts in (TEXTS, shared_lines()):
+        want = {i: v[1] for i, v in removed_by_hand(texts).items()}
+        for blocks in (1, 2, 5):
+            assert removed_in_blocks(texts, blocks) == want
 
-        own = pa.table({"doc_id": list(block_texts), "text": pa.array([t for t in block_texts.values()], pa.string())})
-        b = m.Block(own, pa.table({"doc_id": pa.array([], pa.int64())}), 3)
-        asked = m._messages([(0, *x) for x in b.asks_names()])
-        rows = [asked.filter(pa.compute.equal(asked.column("dest"), d)) for d in range(3)]
-        status = b.status(m._messages([(0, r.column("dest")[0].as_py(), m._STATUS, p) for r in rows if len(r) for p in all_heavy(r)]))
-        strings = m._messages([(0, *x) for x in b.asks_strings(status)])
-        answers = [m._answered(strings.filter(pa.compute.equal(strings.column("dest"), d))) for d in range(3)]
-        gone = b.removed(status, pa.concat_tables(answers))
-        return {i: int(gone[s:e].sum()) for i, s, e in zip(b.ids.tolist(), b.bounds[:-1], b.bounds[1:])}
 
-    assert run(TEXTS) == {i: v[1] for i, v in want.items()}
+def test_samples_of_long_texts(monkeypatch):
+    """Slices don't show: a long text has the same samples, one at least in each string of the length that counts."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    data = rng.integers(97, 101, 5000).astype(np.uint8)
+    bounds = np.array([0, 0, 10, 60, 60, 4000, 4049, 4100, 5000])
+    whole = suffix_dedup.sample_places(data, bounds)
+    for size in (64, 100, 999):
+        monkeypatch.setattr(suffix_dedup, "SLICE_BYTES", size)
+        assert suffix_dedup.sample_places(data, bounds).tolist() == whole.tolist()
+    for a, b in zip(bounds, bounds[1:]):
+        assert all(((whole >= k) & (whole <= k + 30)).any() for k in range(a, b - 49))
+        assert b - a >= 50 or not ((whole >= a) & (whole < b)).any()
+
+
+def test_suffix_dedup_carries_rows(spark, clashing):
+    """Other columns, whatever their names, stay with their row, also where rows share a doc_id."""
+    text = prose(__import__("random").Random(1), 60)
+    docs = spark.createDataFrame([(1, text, "a"), (2, text + "TAIL", "b"), (2, "another", "c"), (None, "x", "d")], "doc_id long, text string, kept string")
+    got = suffix_dedup.remove_repeats(docs, text=True, carry=True).collect()
+    assert sorted((r["doc_id"], r["kept"], r["rest"]["c2"]) for r in got) == [(1, text, "a"), (2, "TAIL", "b"), (2, "another", "c")]
+    assert suffix_dedup.remove_repeats(clashing, carry=True).where("rest.c1 is null").select("doc_id").collect()[0][0] == 0
 
 
 def contained_by_hand(texts, items, share=0.8):
