@@ -309,8 +309,8 @@ def round_trip(docs: DataFrame, path: str, out: tuple[str, ...] = ()) -> DataFra
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row of docs; also ids and decoded, as ``out`` names them.
 
     Null and empty texts have no tokens and the digests of empty strings; repeated rows each give
-    a row; an empty table gives an empty result; other columns are not read; rows without a
-    doc_id are left out.  Long texts are taken in pieces, cut between words.
+    a row, rows without a doc_id too; an empty table gives an empty result; other columns are not
+    read.  Long texts are taken in pieces, cut between words.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -321,4 +321,4 @@ def round_trip(docs: DataFrame, path: str, out: tuple[str, ...] = ()) -> DataFra
                 yield _encoded(coder, batch.column(0).slice(a, b - a), [t or "" for t in batch.column(1).slice(a, b - a).to_pylist()], out)
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if "ids" in out else "") + (", decoded string" if "decoded" in out else "")
-    return documents(docs).mapInArrow(run, schema)
+    return documents(docs, unnamed=True).mapInArrow(run, schema)

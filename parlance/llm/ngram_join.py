@@ -1,21 +1,21 @@
 """N-gram Jaccard join: count-vector R-trees over hashed groups of shingles.
 
-Each document's distinct shingles are hashed into GROUPS groups; the numbers in the groups are a
-point.  Two documents can share no more shingles than the sum of the lesser of their numbers in
-each group, and two boxes of an R-tree no more than the sum of the lesser of their upper corners.
-Pairs whose bound falls short of what the threshold needs are cut off, box by box; the others are
-verified with the shingles.
+Each document's distinct shingles are hashed into GROUPS groups (more for long texts); the numbers
+in the groups are a point.  Two documents can share no more shingles than the sum of the lesser of
+their numbers in each group, and two boxes of an R-tree no more than the sum of the lesser of their
+upper corners.  Pairs whose bound falls short of what the threshold needs are cut off, box by box.
 
 One tree over everything would hold all documents in one place, so there is a tree for each set
 of documents that can hold a pair at all.  In a fixed order of shingles (frequent ones last), two
 linked documents share one of their first n - ceil(t n) + 1.  Documents that have such a shingle
-in common make a set; shingles that name the same set are one.  Documents with equal shingles
-are one point.
-
-``similar_links`` verifies every pair that passes the bound, in tiles of the candidates'
-components.  Where only components are asked for (``similar_groups``), the first round verifies
-the FIRST most promising partners of each point; the second round verifies every other pair that
-passes the bound and isn't yet in one component.
+in common make a set; shingles that name the same set are one, and a large set is dealt out in
+tiles that together hold each of its pairs.  Documents with equal shingles are one point.
+
+Pairs are never rows.  Of the pairs that a tree leaves, each set tells a spanning forest, and so
+linked documents come to stand in one candidate component.  A component is dealt into blocks, any
+two of which make a tile; there all pairs are verified with the shingles, by counting what they
+share for all members at once, and each member gets its number of links and the least member that
+it reaches.
 """
 
 from __future__ import annotations
@@ -27,23 +27,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm.components import components
-from parlance.llm.frames import documents, flat, ids_of, shared, shuffle_partitions, slices
+from parlance.llm.components import components, roots
+from parlance.llm.frames import blocks_and_buckets, documents, flat, ids_of, shared, slices
 from parlance.llm.words import mix, word_hashes
 
 WORDS = 5
 #: The threshold in hundredths.
 PERCENT = 80
-GROUPS = 128
+#: Groups of a short text's vector; long texts have about one for GROUP_SHINGLES shingles.
+GROUPS, GROUP_SHINGLES = 128, 8
 LEAF = 32
-FIRST = 2
 #: Shingles that at least so many documents of one slice hold count as frequent; so many of the most frequent are ordered last.
-SLICE_FREQUENT, FREQUENT = 3, 100_000
-#: A set of more documents than this is dealt out in tiles, which together hold each pair.
-TILE = 4096
-#: Points in a block of a component; pairs are verified for two blocks at a time.
-BLOCK = 256
-#: Document numbers, of 8 bytes each, that are sent to every executor to pick texts; more are joined by a shuffle.
+SLICE_FREQUENT, FREQUENT = 2, 100_000
+#: A set of more than twice as many documents is dealt out in tiles of two parts of about so many.
+TILE = 512
+#: Members and shingles in a block of a component; pairs are verified for two blocks at a time.
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 20
+#: Shingles that so many members hold, or more, are counted by a product of matrices, the others pair by pair.
+DENSE = 12
+#: Document numbers, of some 60 bytes each, that are sent to every executor to pick texts; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
 _STEP = np.uint64(0xD6E8FEB86659FD93)
@@ -74,8 +76,8 @@ def shingle_sets(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def count_vector(sets: np.ndarray) -> bytes:
-    """Numbers in about one group for every two shingles, as a vector of a power of two (at least GROUPS); neighbouring groups add up to coarser ones."""
-    bits = min(16, max(7, int(len(sets) // 2).bit_length()))
+    """Numbers in GROUPS groups or more, a power of two; neighbouring groups add up to coarser ones."""
+    bits = min(16, max(GROUPS.bit_length() - 1, int(len(sets) // GROUP_SHINGLES).bit_length()))
     found = np.bincount((sets >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
     kind = np.uint8 if found.max(initial=0) < 1 << 8 else np.uint32
     return bytes([kind().itemsize]) + found.astype(kind).tobytes()
@@ -86,12 +88,6 @@ def _counts(value: bytes, groups: int = 0) -> np.ndarray:
     return counts.reshape(groups, -1).sum(axis=1) if groups else counts
 
 
-def _shared_at_most(x: np.ndarray, y: np.ndarray) -> int:
-    """The sum of the lesser numbers, with groups as fine as the smaller vector's."""
-    n = min(len(x), len(y))
-    return int(np.minimum(x.reshape(n, -1).sum(axis=1), y.reshape(n, -1).sum(axis=1)).sum())
-
-
 def _digests(sets: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     out = []
     for salt in (0x51ED270B, 0x2545F491):
@@ -105,8 +101,16 @@ def signatures(docs: DataFrame) -> DataFrame:
     """A row for each document: its number of shingles, two digests of the set and the count vector; and rows of locally frequent shingles (doc_id null, d1 the shingle, n its number)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent: dict[int, int] = {}
+        shingle, times, waiting = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0
+        more: list[tuple[np.ndarray, np.ndarray]] = []
         names = ["doc_id", "n", "d1", "d2", "vector"]
+
+        def gathered() -> tuple[np.ndarray, np.ndarray]:
+            every, which = np.unique(np.concatenate([shingle, *(m[0] for m in more)]), return_inverse=True)
+            number = np.bincount(which, np.concatenate([times, *(m[1] for m in more)]), minlength=len(every)).astype(np.int64)
+            most = np.argsort(-number, kind="stable")[:FREQUENT]
+            return every[most], number[most]
+
         for batch in batches:
             data, bounds = flat(batch.column("text"))
             ids = ids_of(batch)
@@ -115,15 +119,13 @@ def signatures(docs: DataFrame) -> DataFrame:
                 d1, d2 = _digests(sets, edges)
                 vectors = [count_vector(sets[x:y]) for x, y in zip(edges[:-1], edges[1:])]
                 yield pa.RecordBatch.from_arrays([pa.array(ids[a:b], pa.int64()), pa.array(np.diff(edges)), pa.array(d1), pa.array(d2), pa.array(vectors, pa.binary())], names=names)
-                ordered = np.sort(sets)
-                first = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]]) if len(ordered) else np.zeros(0, np.int64)
-                number = np.diff(np.r_[first, len(ordered)])
-                for s, n in zip(ordered[first[number >= SLICE_FREQUENT]].astype(np.int64).tolist(), number[number >= SLICE_FREQUENT].tolist()):
-                    frequent[s] = frequent.get(s, 0) + n
-                if len(frequent) > FREQUENT:
-                    floor = sorted(frequent.values())[len(frequent) // 2]
-                    frequent = {s: n for s, n in frequent.items() if n > floor}
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(frequent), pa.int64()), pa.array(list(frequent.values()), pa.int64()), pa.array(list(frequent), pa.int64()), pa.nulls(len(frequent), pa.int64()), pa.nulls(len(frequent), pa.binary())], names=names)
+                found, n = np.unique(sets, return_counts=True)
+                more.append((found[n >= SLICE_FREQUENT], n[n >= SLICE_FREQUENT]))
+                waiting += len(more[-1][0])
+                if waiting > 4 * FREQUENT:
+                    (shingle, times), more, waiting = gathered(), [], 0
+        shingle, times = gathered()
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(shingle), pa.int64()), pa.array(times), pa.array(shingle.astype(np.int64)), pa.nulls(len(shingle), pa.int64()), pa.nulls(len(shingle), pa.binary())], names=names)
 
     return docs.mapInArrow(run, "doc_id long, n long, d1 long, d2 long, vector binary")
 
@@ -169,13 +171,6 @@ def postings(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], buckets:
                         s, w = s[order], w[order]
                     else:
                         s, w = s[:front], w[:front]
-                    for token, n in zip(s[w > TILE], w[w > TILE].tolist()):
-                        side = -(-n // TILE)
-                        mine = int(digest[k]) % side
-                        other = np.arange(side)
-                        tiles = mix(token + mix((np.minimum(other, mine) * side + np.maximum(other, mine) + 1).astype(np.uint64)))
-                        tokens.append(tiles), nodes.append(np.full(side, digest[k]))
-                    s = s[w <= TILE]
                     tokens.append(s), nodes.append(np.full(len(s), digest[k]))
                 size += int(edges[-1])
                 if size > 2_000_000:
@@ -188,36 +183,37 @@ def postings(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], buckets:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The sets of documents that have a first shingle in common, named by a hash of what they hold."""
-    held: dict[int, list[bytes]] = {}
-    for batch in batches:
-        for bucket, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            held.setdefault(bucket, []).append(payload)
-    for payloads in held.values():
-        raw = [np.frombuffer(p, np.uint64) for p in payloads]
-        token = np.concatenate([r[: len(r) // 2] for r in raw])
-        node = np.concatenate([r[len(r) // 2 :] for r in raw])
-        del raw
-        order = np.argsort(token, kind="stable")
-        token, node = token[order], node[order]
-        alone = np.ones(len(token), bool)
-        same = token[1:] == token[:-1]
-        alone[1:] &= ~same
-        alone[:-1] &= ~same
-        token, node = token[~alone], node[~alone]
-        order = np.lexsort((node, token))
-        token, node = token[order], node[order]
-        keep = np.r_[True, (token[1:] != token[:-1]) | (node[1:] != node[:-1])] if len(token) else np.zeros(0, bool)
-        token, node = token[keep], node[keep]
-        first = np.flatnonzero(np.r_[True, token[1:] != token[:-1]]) if len(token) else np.zeros(0, np.int64)
-        number = np.diff(np.r_[first, len(token)])
-        name = mix(np.add.reduceat(mix(node), first) + number.astype(np.uint64)) if len(first) else np.zeros(0, np.uint64)
-        _, once = np.unique(name, return_index=True)
-        once = once[number[once] > 1]
-        rows = np.concatenate([np.arange(f, f + n) for f, n in zip(first[once], number[once])]) if len(once) else np.zeros(0, np.int64)
-        names = np.repeat(name[once], number[once])
-        for a in range(0, len(rows), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(names[a : a + 100_000].astype(np.int64)), pa.array(node[rows[a : a + 100_000]].astype(np.int64))], names=["set", "d1"])
+    """The sets of documents that have a first shingle of this bucket in common, named by a hash of what they hold; large ones as tiles."""
+    raw = [np.frombuffer(p, np.uint64) for batch in batches for p in batch.column(1).to_pylist()]
+    token = np.concatenate([np.zeros(0, np.uint64), *(r[: len(r) // 2] for r in raw)])
+    node = np.concatenate([np.zeros(0, np.uint64), *(r[len(r) // 2 :] for r in raw)])
+    del raw
+    order = np.argsort(token)
+    token, node = token[order], node[order]
+    same = token[1:] == token[:-1]
+    alone = np.r_[True, ~same] & np.r_[~same, True] if len(token) else np.zeros(0, bool)
+    token, node = token[~alone], node[~alone]
+    order = np.lexsort((node, token))
+    token, node = token[order], node[order]
+    keep = np.r_[True, (token[1:] != token[:-1]) | (node[1:] != node[:-1])] if len(token) else np.zeros(0, bool)
+    token, node = token[keep], node[keep]
+    first = np.flatnonzero(np.r_[True, token[1:] != token[:-1]]) if len(token) else np.zeros(0, np.int64)
+    number = np.diff(np.r_[first, len(token)])
+    name = mix(np.add.reduceat(mix(node), first) + number.astype(np.uint64)) if len(first) else np.zeros(0, np.uint64)
+    _, once = np.unique(name, return_index=True)
+    once = once[number[once] > 1]
+    for small in range(0, len(once), 4096):
+        some = once[small : small + 4096]
+        some = some[number[some] <= 2 * TILE]
+        rows = np.repeat(first[some] - (np.cumsum(number[some]) - number[some]), number[some]) + np.arange(number[some].sum())
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(name[some], number[some]).astype(np.int64)), pa.array(node[rows].astype(np.int64))], names=["set", "d1"])
+    for k in once[number[once] > 2 * TILE].tolist():
+        side = int(-(-number[k] // TILE))
+        members = node[first[k] : first[k] + number[k]]
+        mine = (mix(members + np.uint64(1)) % np.uint64(side)).astype(np.int64)
+        for other in range(side):
+            tiles = mix(name[k] + mix((np.minimum(other, mine) * side + np.maximum(other, mine) + 1).astype(np.uint64)))
+            yield pa.RecordBatch.from_arrays([pa.array(tiles.astype(np.int64)), pa.array(members.astype(np.int64))], names=["set", "d1"])
 
 
 class CountTree:
@@ -253,191 +249,222 @@ class CountTree:
                 todo.append((level - 1, np.arange(i * LEAF, min(n, (i + 1) * LEAF)), np.arange(j * LEAF, min(n, (j + 1) * LEAF)), i == j))
 
 
-def _joined(first: int | None):
-    """Candidate pairs of each set: the ``first`` most promising partners of each point, or all pairs of different components."""
-
-    def candidates(node: np.ndarray, size: np.ndarray, vectors: list[bytes], comp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if (comp == comp[0]).all():
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        found = list(CountTree(size, np.stack([_counts(v, GROUPS) for v in vectors]).astype(np.int32)).pairs())
-        a, b, value = (np.concatenate([f[k] for f in found]) for k in range(3))
-        keep = comp[a] != comp[b]
-        a, b = a[keep], b[keep]
-        fine = [_counts(vectors[k]) if k in held else None for held in [{*a.tolist(), *b.tolist()}] for k in range(len(vectors))]
-        value = np.array([_shared_at_most(fine[i], fine[j]) for i, j in zip(a.tolist(), b.tolist())], np.float64)
-        keep = (100 + PERCENT) * value >= PERCENT * (size[a] + size[b])
-        a, b, value = a[keep], b[keep], (value / np.maximum(size[a] + size[b], 1))[keep]
-        if first is not None and len(a):
-            point, other = np.r_[a, b], np.r_[b, a]
-            order = np.lexsort((other, -np.r_[value, value], point))
-            point, other = point[order], other[order]
-            rank = np.arange(len(point)) - np.searchsorted(point, point)
-            point, other = point[rank < first], other[rank < first]
-            both = np.unique(np.stack([np.minimum(point, other), np.maximum(point, other)]), axis=1)
-            a, b = both[0], both[1]
-        return np.minimum(node[a], node[b]), np.maximum(node[a], node[b])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
-
-        def done(t: pa.Table) -> pa.RecordBatch:
-            name, node, size, comp = (t.column(c).to_numpy() for c in ("set", "rep", "n", "comp"))
-            vectors = t.column("vector").to_pylist()
-            edges = np.flatnonzero(np.r_[True, name[1:] != name[:-1], True]) if len(name) else np.zeros(1, np.int64)
-            out = [candidates(node[a:b], size[a:b], vectors[a:b], comp[a:b]) for a, b in zip(edges[:-1], edges[1:]) if b - a > 1]
-            pairs = np.unique(np.stack([np.concatenate([o[k] for o in out]) for k in (0, 1)]), axis=1) if out else np.zeros((2, 0), np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
-
-        for batch in batches:
-            t = pa.Table.from_batches([batch])
-            rest = pa.concat_tables([rest, t]) if rest is not None else t
-            name = rest.column("set").to_numpy()
-            last = int(np.searchsorted(name, name[-1])) if len(name) else 0
-            if last:
-                yield done(rest.slice(0, last))
-                rest = rest.slice(last)
-        if rest is not None and len(rest):
-            yield done(rest)
-
-    return run
+class Points:
+    """Members of sets: their sizes and vectors; pairs are places."""
+
+    def __init__(self, size: np.ndarray, vectors: list[bytes]):
+        self.size, self.vectors = size, vectors
+        self.counts = np.stack([_counts(v, GROUPS) for v in vectors]).astype(np.uint16)
+        self.groups = np.array([(len(v) - 1) // v[0] for v in vectors])
+
+    def enough(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether pairs can be linked, by vectors as fine as both have."""
+        keep = (100 * self.size[a] >= PERCENT * self.size[b]) & (100 * self.size[b] >= PERCENT * self.size[a])
+        fine = np.minimum(self.groups[a], self.groups[b])
+        for groups in np.unique(fine).tolist():
+            some = np.flatnonzero(keep & (fine == groups))
+            ends, at = np.unique(np.concatenate([a[some], b[some]]), return_inverse=True)
+            counts = self.counts[ends] if groups == GROUPS else np.stack([_counts(self.vectors[k], groups) for k in ends.tolist()]) if len(ends) else self.counts[:0]
+            step = max(1, (1 << 21) // groups)
+            for k in range(0, len(some), step):
+                part = some[k : k + step]
+                bound = np.minimum(counts[at[k : k + len(part)]], counts[at[len(some) + k : len(some) + k + len(part)]]).sum(axis=1, dtype=np.int64)
+                keep[part] = (100 + PERCENT) * bound >= PERCENT * (self.size[a[part]] + self.size[b[part]])
+        return keep
+
+    def forest(self, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+        """Links that span what pairs of the set from ``low`` to ``high`` connect."""
+        own = np.arange(low, high)
+        label = own.copy()
+        x, y, waiting = [], [], 0
+
+        def settled() -> None:
+            a, b = np.concatenate(x), np.concatenate(y)
+            apart = label[a - low] != label[b - low]
+            a, b = a[apart], b[apart]
+            keep = np.minimum(self.groups[a], self.groups[b]) == GROUPS  # the tree's bound is all there is
+            keep[~keep] = self.enough(a[~keep], b[~keep])
+            held = np.flatnonzero(label != own)
+            nodes, least = roots(np.concatenate([own[held], a[keep]]), np.concatenate([label[held], b[keep]]))
+            label[nodes - low] = least
+
+        for a, b, _ in CountTree(self.size[low:high], self.counts[low:high]).pairs():
+            x.append(a + low), y.append(b + low)
+            waiting += len(a)
+            if waiting > 1 << 16:
+                settled()
+                x, y, waiting = [], [], 0
+        if waiting:
+            settled()
+        held = np.flatnonzero(label != own)
+        return own[held], label[held]
+
+
+def _connected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A spanning forest of the pairs that the bound leaves in each set, whose rows stand together."""
+
+    def done(t: pa.Table) -> pa.RecordBatch:
+        name, node = t.column("set").to_numpy(), t.column("d1").to_numpy()
+        points = Points(t.column("n").to_numpy(), t.column("vector").to_pylist())
+        edges = np.flatnonzero(np.r_[True, name[1:] != name[:-1], True])
+        first, number = edges[:-1], np.diff(edges)
+        pairs = first[number == 2]
+        pairs = pairs[points.enough(pairs, pairs + 1)]
+        found = [(pairs, pairs + 1)] + [points.forest(a, a + n) for a, n in zip(first[number > 2].tolist(), number[number > 2].tolist())]
+        a, b = (node[np.concatenate([f[k] for f in found])] for k in (0, 1))
+        links = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(links[0]), pa.array(links[1])], names=["a", "b"])
+
+    rest = None
+    for batch in batches:
+        t = pa.Table.from_batches([batch])
+        rest = pa.concat_tables([rest, t]) if rest is not None else t
+        name = rest.column("set").to_numpy()
+        last = int(np.flatnonzero(np.r_[True, name[1:] != name[:-1]])[-1]) if len(name) else 0
+        if last:
+            yield done(rest.slice(0, last))
+            rest = rest.slice(last)
+    if rest is not None and len(rest):
+        yield done(rest)
+
+
+def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """How many shingles any two of the sets share, as a square."""
+    m = len(sets)
+    owner = np.repeat(np.arange(m), [len(s) for s in sets])
+    every = np.concatenate(sets)
+    order = np.argsort(every, kind="stable")
+    every, owner = every[order], owner[order]
+    first = np.flatnonzero(np.r_[True, every[1:] != every[:-1]]) if len(every) else np.zeros(0, np.int64)
+    number = np.diff(np.r_[first, len(every)])
+    out = np.zeros(m * m, np.int64)
+    for n in range(2, DENSE):
+        some = first[number == n]
+        for k in range(0, len(some), 1 << 16):
+            held = owner[some[k : k + (1 << 16), None] + np.arange(n)]
+            x, y = np.triu_indices(n, 1)
+            out += np.bincount((held[:, x] * m + held[:, y]).ravel(), minlength=m * m)
+    out = out.reshape(m, m)
+    some, n = first[number >= DENSE], number[number >= DENSE]
+    for k in range(0, len(some), 4096):
+        width = n[k : k + 4096]
+        at = np.repeat(some[k : k + 4096] - (np.cumsum(width) - width), width) + np.arange(width.sum())
+        held = np.zeros((m, len(width)), np.float32)
+        held[owner[at], np.repeat(np.arange(len(width)), width)] = 1
+        out += np.triu(held @ held.T, 1).astype(np.int64)
+    return out + out.T
+
+
+def tile_links(sets: list[np.ndarray], half: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the linked pairs of a tile: of all members, or between its halves only."""
+    size = np.array([len(s) for s in sets], np.int64)
+    common = shared_counts(sets)
+    linked = 100 * common >= PERCENT * (size[:, None] + size[None, :] - common)
+    linked &= (np.arange(len(sets))[:, None] < np.arange(len(sets))[None, :]) if same else (half[:, None] < half[None, :])
+    return np.nonzero(linked)
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each tile, whose rows stand together: the members that have links, how many, and the least member that each reaches."""
+
+    def done(t: pa.Table) -> pa.RecordBatch:
+        tile = t.column("tile").to_numpy()
+        d1, rep, weight, half = (t.column(c).to_numpy() for c in ("d1", "rep", "weight", "half"))
+        same, values = t.column("same").to_numpy(), t.column("value").to_pylist()
+        edges = np.flatnonzero(np.r_[True, tile[1:] != tile[:-1], True])
+        out: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64),) * 4]
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+            _, once = np.unique(d1[a:b], return_index=True)  # repeated rows
+            once += a
+            if len(once) < 2:
+                continue
+            x, y = tile_links([np.frombuffer(values[k], np.uint64) for k in once.tolist()], half[once], bool(same[a]))
+            links = np.bincount(x, weight[once[y]], len(once)) + np.bincount(y, weight[once[x]], len(once))
+            nodes, least = roots(rep[once[x]], rep[once[y]])
+            some = once[links > 0]
+            out.append((d1[some], links[links > 0].astype(np.int64), rep[some], least[np.searchsorted(nodes, rep[some])]))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[k] for o in out])) for k in range(4)], names=["d1", "links", "rep", "root"])
+
+    rest = None
     for batch in batches:
-        keep = []
-        for x, y in zip(batch.column("left").to_pylist(), batch.column("right").to_pylist()):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            both = np.sort(np.concatenate([x, y]))
-            common = int((both[1:] == both[:-1]).sum())
-            keep.append(100 * common >= PERCENT * (len(both) - common))
-        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
+        t = pa.Table.from_batches([batch])
+        rest = pa.concat_tables([rest, t]) if rest is not None else t
+        tile = rest.column("tile").to_numpy()
+        last = int(np.flatnonzero(np.r_[True, tile[1:] != tile[:-1]])[-1]) if len(tile) else 0
+        if last:
+            yield done(rest.slice(0, last))
+            rest = rest.slice(last)
+    if rest is not None and len(rest):
+        yield done(rest)
+
+
+def _values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The shingles of each text, with its other columns; of texts under one doc_id the one that is meant."""
+    for batch in batches:
+        data, bounds = flat(batch.column("text"))
+        rest = batch.drop_columns(["text"])
+        for a, b in slices(bounds):
+            sets, edges = shingle_sets(data[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a])
+            part = rest.slice(a, b - a)
+            meant = pa.array(_digests(sets, edges)[0] == part.column("d1").to_numpy())
+            value = pa.array([sets[x:y].tobytes() for x, y in zip(edges[:-1], edges[1:])], pa.binary())
+            yield pa.RecordBatch.from_arrays([*part.columns, value], names=[*part.schema.names, "value"]).filter(meant)
+
+
+def _tiles(docs: DataFrame, reps: DataFrame, near: DataFrame, buckets: int) -> DataFrame:
+    """d1, links, rep, root of the members of all candidate components, from every tile in which they have links."""
+    comp = components(near).checkpoint()
+    comp = comp.union(comp.select("root", "root").distinct()).toDF("d1", "component")
+    placed = comp.join(reps.select("d1", "rep", "weight", "n"), "d1")
+    sizes = placed.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))
+    placed = placed.join(sizes, "component").select("d1", "rep", "weight", "component", "blocks").checkpoint()
+    asked = placed.withColumnRenamed("rep", "doc_id")
+    picked = docs.join(F.broadcast(asked) if placed.count() <= BROADCAST_IDS else asked, "doc_id")
+    values = picked.mapInArrow(_values, "doc_id long, d1 long, weight long, component long, blocks long, value binary")
+    mine, other = F.pmod(F.xxhash64("d1"), F.col("blocks")), F.col("other")
+    dealt = values.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    tile = F.xxhash64("component", F.least("mine", other), F.greatest("mine", other)).alias("tile")
+    dealt = dealt.select(tile, "d1", F.col("doc_id").alias("rep"), "weight", (F.col("mine") > other).cast("int").alias("half"), (F.col("mine") == other).alias("same"), "value")
+    # Of a tile within one block every row says so; of a tile between two the lesser block is its first half.
+    return dealt.repartition(buckets, "tile").sortWithinPartitions("tile").mapInArrow(_verified, "d1 long, links long, rep long, root long")
+
+
+def similar_links(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, n_links, component_id of every row of docs.
 
-def _prepared(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, int]:
-    """The documents, their signatures, the distinct sets of shingles (weight: rows that have it), who shares a first shingle, and the number of buckets."""
+    A link needs 100 |A and B| >= 80 |A or B| of the sets of five-word shingles; a text of fewer
+    words is one shingle, and null, empty and wordless texts have none and link with nothing.
+    n_links is the number of other rows that a row is linked with, copies too; component_id is
+    the smallest doc_id reachable.  Repeated rows each give a row; different texts under one
+    doc_id count as linked, being one document; rows without a doc_id are left out.  Shingles are
+    compared by 64-bit fingerprints.
+    """
     spark = docs.sparkSession
     shared(spark)
     docs = documents(docs)
+    _, buckets = blocks_and_buckets(docs)
     found = signatures(docs).checkpoint()
     top = found.where("doc_id is null").groupBy(F.col("d1").alias("shingle")).agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "shingle").limit(FREQUENT).toArrow()
     known, times = top.column("shingle").to_numpy().astype(np.uint64), top.column("n").to_numpy()
     order = np.argsort(known)
-    sig = found.where("doc_id is not null")
-    reps = sig.where("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("weight"), F.first("n").alias("n"), F.first("vector").alias("vector")).checkpoint()
-    buckets = shuffle_partitions(spark)
-    sets = postings(docs, (known[order], times[order]), buckets).repartition(buckets, "bucket").mapInArrow(_sets, "set long, d1 long").distinct()
-    return docs, sig, reps, sets, buckets
-
-
-def _picked(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
-
-
-def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of the pairs of each tile (a, b) those that pass the exact test, with the sets (a, value) that come before them."""
-    tile, held = None, {}
-    for batch in batches:
-        a, b, keep = [], [], []
-        for t, x, y, value in zip(*(batch.column(k).to_pylist() for k in range(4))):
-            if t != tile:
-                tile, held = t, {}
-            if value is not None:
-                held[x] = np.frombuffer(value, np.uint64)
-                continue
-            both = np.sort(np.concatenate([held[x], held[y]]))
-            common = int((both[1:] == both[:-1]).sum())
-            a.append(x), b.append(y), keep.append(100 * common >= PERCENT * (len(both) - common))
-        keep = pa.array(keep, pa.bool_())
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()).filter(keep), pa.array(b, pa.int64()).filter(keep)], names=["a", "b"])
-
-
-def _links(docs: DataFrame, reps: DataFrame, sets: DataFrame, buckets: int) -> DataFrame:
-    """a, b: digests d1 of all pairs of different linked sets, each pair once."""
-    alone = reps.select(F.col("d1").alias("rep"), "n", "vector", F.col("d1").alias("comp"))
-    rows = sets.withColumnRenamed("d1", "rep").join(alone, "rep").select("set", "rep", "n", "vector", "comp")
-    near = rows.repartition(buckets, "set").sortWithinPartitions("set", "rep").mapInArrow(_joined(None), "a long, b long").distinct().checkpoint()
-    comp = components(near).checkpoint()
-    comp = comp.union(comp.select("root", "root").distinct())
-    blocks = comp.join(comp.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")), "root").select("node", "root", F.pmod(F.xxhash64("node"), "blocks").alias("block"))
-    side = lambda c: blocks.select(F.col("node").alias(c), "root" if c == "a" else F.col("root").alias("same"), F.col("block").alias(f"block_{c}"))
-    tile = F.xxhash64("root", F.least("block_a", "block_b"), F.greatest("block_a", "block_b")).alias("tile")
-    pairs = near.join(side("a"), "a").join(side("b"), "b").select(tile, "a", "b").checkpoint()
-    ends = comp.select(F.col("node").alias("d1"))
-    ids = reps.join(ends, "d1", "left_semi").select(F.col("rep").alias("doc_id")).distinct()
-    values = _picked(docs, ids).mapInArrow(_rows(lambda x: x.tobytes(), True), "doc_id long, value binary").withColumnRenamed("doc_id", "a").join(ends.withColumnRenamed("d1", "a"), "a", "left_semi").dropDuplicates(["a"])
-    needed = pairs.select("tile", F.explode(F.array("a", "b")).alias("a")).distinct().join(values, "a").select("tile", "a", F.lit(None).cast("long").alias("b"), "value")
-    dealt = needed.unionByName(pairs.withColumn("value", F.lit(None).cast("binary"))).repartition(buckets, "tile")
-    return dealt.sortWithinPartitions("tile", F.col("b").asc_nulls_first()).mapInArrow(_linked, "a long, b long")
-
-
-def similar_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """All links: (doc_id, n_shingles, n_links, component_id, set_id of every row; a, b: set_ids of all pairs of linked sets, each pair once).
-
-    Rows of one set_id are copies and linked as well.  n_links is the number of other rows that a
-    row is linked with.  The others as in ``similar_groups``; rows without shingles have no set_id.
-    """
-    docs, sig, reps, sets, buckets = _prepared(docs)
-    links = _links(docs, reps, sets, buckets).checkpoint()
-    ends = links.select("a", "b").union(links.select("b", "a"))
-    number = ends.join(reps.select(F.col("d1").alias("b"), "weight"), "b").groupBy(F.col("a").alias("d1")).agg(F.sum("weight").alias("links"))
-    names = reps.select("d1", "rep")
-    named = links.join(names.toDF("a", "x"), "a").join(names.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b")).where("a <> b").distinct()
-    comp = components(named).withColumnRenamed("node", "rep")
-    keyed = sig.select("doc_id", "n", "d1", "d2").join(reps.select("d1", "d2", "rep", "weight"), ["d1", "d2"], "left").join(number, "d1", "left").join(comp, "rep", "left")
-    some = F.col("n") > 0
-    rows = keyed.select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(some, F.coalesce("links", F.lit(0)) + F.col("weight") - 1).otherwise(0).cast("long").alias("n_links"),
-        F.when(some, F.coalesce("root", "rep")).otherwise(F.col("doc_id")).alias("component_id"), F.when(some, F.col("d1")).alias("set_id"),
+    sig = found.where("doc_id is not null").select("doc_id", "n", "d1", "d2")
+    some = found.where("doc_id is not null and n > 0")
+    reps = some.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("weight"), F.first("n").alias("n"), F.first("vector").alias("vector")).checkpoint()
+    sets = postings(docs, (known[order], times[order]), buckets).repartitionById(buckets, "bucket").mapInArrow(_sets, "set long, d1 long").distinct()
+    rows = sets.join(reps.select("d1", "n", "vector"), "d1").select("set", "d1", "n", "vector")
+    near = rows.repartition(buckets, "set").sortWithinPartitions("set", "d1").mapInArrow(_connected, "a long, b long")
+    links = _tiles(docs, reps, near, buckets).checkpoint()
+    comp = components(links.select("rep", "root")).withColumnRenamed("node", "rep")
+    number = links.groupBy("d1").agg(F.sum("links").alias("links"))
+    named = reps.select("d1", "d2", "rep", "weight").join(number, "d1", "left").join(comp, "rep", "left")
+    keyed = sig.join(named, ["d1", "d2"], "left")
+    any_ = F.col("n") > 0
+    return keyed.select(
+        "doc_id", F.col("n").alias("n_shingles"), F.when(any_, F.coalesce("links", F.lit(0)) + F.col("weight") - 1).otherwise(0).cast("long").alias("n_links"),
+        F.when(any_, F.coalesce("root", "rep")).otherwise(F.col("doc_id")).alias("component_id"),
     )
-    return rows, links
 
 
 def similar_groups(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row of docs.
-
-    A link needs 100 |A and B| >= 80 |A or B| of the sets of five-word shingles; a text of fewer
-    words is one shingle, and null, empty and wordless texts have none and link with nothing.
-    component_id is the smallest doc_id reachable.  Repeated rows each give a row; different
-    texts under one doc_id count as linked, being one document.  Shingles are compared by 64-bit
-    fingerprints.
-    """
-    docs, sig, reps, sets, buckets = _prepared(docs)
-    members = sets.join(reps.select("d1", "rep"), "d1").select("set", "rep").checkpoint()
-    points = reps.select("rep", "n", "vector")
-
-    def joined(comp: DataFrame | None, first: int | None) -> DataFrame:
-        placed = points.withColumn("comp", F.col("rep")) if comp is None else points.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "n", "vector", F.coalesce("root", "rep").alias("comp"))
-        rows = members.join(placed, "rep").select("set", "rep", "n", "vector", "comp")
-        return rows.repartition(buckets, "set").sortWithinPartitions("set", "rep").mapInArrow(_joined(first), "a long, b long").distinct()
-
-    def tested(pairs: DataFrame, values: DataFrame, test) -> DataFrame:
-        left, right = values.select(F.col("doc_id").alias("a"), F.col("value").alias("left")), values.select(F.col("doc_id").alias("b"), F.col("value").alias("right"))
-        return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(test, "a long, b long")
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        """The exact test, for which only the sets of the pairs' ends are made."""
-        near = pairs.checkpoint()
-        ends = near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        return tested(near, _picked(docs, ends).mapInArrow(_rows(lambda s: s.tobytes()), "doc_id long, value binary"), _verified)
-
-    links = verified(joined(None, FIRST)).checkpoint()
-    comp = components(links)
-    more = verified(joined(comp.checkpoint(), None))
-    comp = components(links.union(more))
-    keyed = sig.select("doc_id", "n", "d1", "d2").join(reps.select("d1", "d2", "rep"), ["d1", "d2"], "left")
-    return keyed.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("root", "rep")).otherwise(F.col("doc_id")).alias("component_id"))
-
-
-def _rows(value, digest: bool = False):
-    """doc_id, or the first digest of the set, and the value of each document's set."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, bounds = flat(batch.column("text"))
-            ids = ids_of(batch)
-            for a, b in slices(bounds):
-                sets, edges = shingle_sets(data[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a])
-                names = _digests(sets, edges)[0] if digest else ids[a:b]
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array([value(sets[x:y]) for x, y in zip(edges[:-1], edges[1:])], pa.binary())], names=["doc_id", "value"])
-
-    return run
+    """doc_id, n_shingles, component_id of every row of docs, as in ``similar_links``."""
+    return similar_links(docs).drop("n_links")

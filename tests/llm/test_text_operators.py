@@ -277,15 +277,72 @@ def test_ngram_join_finds_all_links(spark, odd):
         texts[i] = " ".join(w)
     for docs, texts in ((spark.createDataFrame(list(texts.items()), "doc_id long, text string"), texts), (odd, TEXTS)):
         want, groups = by_hand(texts), groups_by_hand(texts)
-        rows, links = ngram_join.similar_links(docs)
-        rows = rows.collect()
+        rows = ngram_join.similar_links(docs).collect()
         assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows} == groups
         assert {r["doc_id"]: r["n_links"] for r in rows} == {i: sum(i in p for p in want) for i in texts}
-        held = {}
-        for r in rows:
-            held.setdefault(r["set_id"], []).append(r["doc_id"])
-        got = {(min(x, y), max(x, y)) for r in links.collect() for x in held[r["a"]] for y in held[r["b"]]}
-        assert got | {(x, y) for k, v in held.items() if k is not None for x in v for y in v if x < y} == want
+
+
+def near_sets(n=60):
+    import random
+
+    import numpy as np
+
+    rng = random.Random(3)
+    base = rng.sample(range(1, 1 << 40), 2000)
+    sets = [np.unique(np.array([x if rng.random() > k % 9 / 30 else rng.randrange(1 << 40) for x in base[: 200 + 40 * (k % 3)]], np.uint64)) for k in range(n)]
+    return [ngram_join.mix(s) for s in sets] + [ngram_join.mix(np.array(base, np.uint64))]
+
+
+def test_tiles_hold_each_pair_once(monkeypatch):
+    """Verified in one tile or in tiles of blocks, by pairs or by products: the same links, each once."""
+    import numpy as np
+
+    sets = [np.sort(s) for s in near_sets()]
+    want = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j]))}
+    assert len(want) > 50
+    for dense in (2, 12, 1000):
+        monkeypatch.setattr(ngram_join, "DENSE", dense)
+        x, y = ngram_join.tile_links(sets, np.zeros(len(sets), int), True)
+        assert set(zip(x.tolist(), y.tolist())) == want and len(x) == len(want)
+        got = []
+        for i in range(3):
+            for j in range(i, 3):
+                some = [k for k in range(len(sets)) if k % 3 in (i, j)]
+                x, y = ngram_join.tile_links([sets[k] for k in some], np.array([int(k % 3 == j) for k in some]), i == j)
+                got += [tuple(sorted((some[a], some[b]))) for a, b in zip(x.tolist(), y.tolist())]
+        assert len(got) == len(want) and set(got) == want
+
+
+def test_bound_cuts_off_no_link(monkeypatch):
+    """The forest of a set connects all that links connect, with boxes of several levels and vectors of several lengths."""
+    import numpy as np
+
+    from parlance.llm.components import roots
+
+    monkeypatch.setattr(ngram_join, "LEAF", 4)
+    monkeypatch.setattr(ngram_join, "GROUP_SHINGLES", 1)
+    sets = [np.sort(s) for s in near_sets(150)]
+    points = ngram_join.Points(np.array([len(s) for s in sets]), [ngram_join.count_vector(s) for s in sets])
+    assert len(set(points.groups.tolist())) > 1
+    x, y = ngram_join.tile_links(sets, np.zeros(len(sets), int), True)
+    assert points.enough(x, y).all()
+    nodes, least = roots(*points.forest(0, len(sets)))
+    label = np.arange(len(sets))
+    label[nodes] = least
+    assert (label[x] == label[y]).all()
+
+
+def test_large_set_is_dealt_out(monkeypatch):
+    """Tiles of a large set hold each of its pairs."""
+    import numpy as np
+    import pyarrow as pa
+
+    monkeypatch.setattr(ngram_join, "TILE", 7)
+    nodes = np.arange(50, dtype=np.uint64) * np.uint64(977)
+    payload = np.concatenate([np.full(50, 5, np.uint64), nodes]).tobytes()
+    out = pa.Table.from_batches(list(ngram_join._sets(iter([pa.record_batch({"bucket": [0], "payload": [payload]})])))).to_pandas()
+    held = {frozenset((a, b)) for _, g in out.groupby("set") for a in g["d1"] for b in g["d1"] if a < b}
+    assert len(held) == 50 * 49 // 2 and out.groupby("set").size().max() < 50
 
 
 def test_token_counts(odd, none, clashing):
