@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 from llm_cases import SCHEMA, odd_rows, prose
+from pyspark.sql import functions as F
 
 from parlance.llm import embedding_dedup
 from parlance.llm.components import components
@@ -81,7 +82,13 @@ def test_pipeline(spark, tmp_path):
     rows += [(100 + k, prose(rng, 40) + (" you vile fool " if k % 3 == 0 else " my dear friend ") + prose(rng, 20), "en", "s", 1) for k in range(300)]
     rows = [(i, t and t + " my dear friend" if i in (6, 7) else t, *rest) for i, t, *rest in rows]
     rows += [(900, prose(rng, 30) + " my dear friend " + item + " " + prose(rng, 30), "en", "s", 1), (901, prose(rng, 40) + " my dear friend " + prose(rng, 20), "en", "s", 1)]
-    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    tail = prose(rng, 30) + " my dear friend " + prose(rng, 30)
+    own = " my dear friend " + prose(rng, 60)
+    rows += [(910, tail, "en", "s", 1), (911, tail + own, "en", "s", 1), (911, prose(rng, 50) + " my dear friend", "en", "other", 1), (None, "my dear friend " + prose(rng, 20), "en", "s", 1), (None, None, None, None, None)]
+    frame = spark.createDataFrame(rows, SCHEMA)
+    for name in ("kept", "cut_id", "gone", "rest", "n_removed", "component_id", "predicted", "item_id", "places", "digest", "value", "hash", "a b"):
+        frame = frame.withColumn(name, F.concat(F.lit(f"{name} of "), F.coalesce(F.col("source"), F.lit("none"))))
+    frame.write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(100 + k, 1, int(k % 3 == 0)) for k in range(300)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([(1, item), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert [n for n, _ in p.STAGES] == ["toxicity", "ngram_jaccard_join", "suffix_array_dedup", "decontamination", "bpe"]
@@ -94,8 +101,13 @@ def test_pipeline(spark, tmp_path):
         out.write.parquet(f"{tmp_path}/{k}")
         docs = spark.read.parquet(f"{tmp_path}/{k}")
         kept[name] = {r["doc_id"] for r in docs.select("doc_id").collect()}
+        assert docs.where("doc_id is null").count() == 2
+        if name == "suffix_array_dedup":
+            both = {r["source"]: (r["text"], r["kept"], r["n_chars"]) for r in docs.where("doc_id = 911").collect()}
+            assert both["s"] == (own, "kept of s", len(own)) and both["other"][0].endswith("my dear friend") and both["other"][2] == 1
     assert 901 in kept["bpe"] and 900 in kept["suffix_array_dedup"] and 900 not in kept["decontamination"]
     assert 6 in kept["ngram_jaccard_join"] and 7 not in kept["ngram_jaccard_join"]
+    assert p.run(spark, str(tmp_path)).count() == docs.count()
     empty = spark.createDataFrame([], SCHEMA)
     for _, stage in p.STAGES:
         assert stage(spark, empty, str(tmp_path)).count() == 0
