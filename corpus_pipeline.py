@@ -18,37 +18,66 @@ from parlance.llm.queries import tokenizer_file
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the network calls toxic go."""
+    """Documents that the network calls toxic go.
+
+    Null, empty and letterless texts have no window and score as the share of toxic training
+    texts, so they stay unless most of those are toxic.  Of rows that share a doc_id all go if one
+    is toxic, as they are one document; rows without a doc_id stay.  Other columns and their names
+    don't matter; an empty table stays empty.
+    """
     found = toxicity.score(docs, toxicity.learn(docs, table(spark, sf_dir, "labels"), held_out(5, 0)))
-    return docs.join(found.where("predicted = 1").select("doc_id"), "doc_id", "left_anti").select(docs.columns)
+    return _without(docs, found.where("predicted = 1"))
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that links connect, the one with the smallest doc_id stays."""
-    found = ngram_join.similar_groups(docs)
-    return docs.join(found.where("doc_id <> component_id").select("doc_id"), "doc_id", "left_anti").select(docs.columns)
+    """Of documents that links connect, the one with the smallest doc_id stays.
+
+    Null, empty and wordless texts are linked with nothing and stay.  Repeated rows under one
+    doc_id stay or go together; rows without a doc_id stay.
+    """
+    return _without(docs, ngram_join.similar_groups(docs).where("doc_id <> component_id"))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What repeats a document with a smaller id is cut out of the text; documents of which nothing is left go, those that had nothing to cut stay as they are."""
-    left = suffix_dedup.remove_repeats(docs, text=True).where("n_removed > 0").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("cut_id"), "kept")
-    joined = docs.join(left, docs["doc_id"] == left["cut_id"], "left").where("cut_id is null or kept <> ''")
-    text = F.when(F.col("cut_id").isNull(), F.col("text")).otherwise(F.col("kept"))
-    changed = {"text": text} | ({"n_chars": F.when(F.col("cut_id").isNull(), F.col("n_chars")).otherwise(F.char_length("kept").cast("long"))} if "n_chars" in docs.columns else {})
-    return joined.select([changed[c].alias(c) if c in changed else F.col(c) for c in docs.columns])
+    """What repeats a document with a smaller id is cut out of the text; documents of which nothing is left go, those that had nothing to cut stay as they are.
+
+    Each row keeps its own columns and what is left of its own text, also where rows share a
+    doc_id; n_chars, if there, is counted anew.  Null and empty texts and rows without a doc_id
+    stay as they are.  A cut within a character drops the rest of the character.
+    """
+    found = suffix_dedup.remove_repeats(docs, text=True, carry=True).where("n_removed = 0 or kept <> ''")
+    kinds, cut = dict(docs.dtypes), F.col("n_removed") > 0
+    changed = {"text": F.col("kept"), "n_chars": F.char_length("kept")}
+    columns = []
+    for k, c in enumerate(docs.columns):
+        own = F.col(f"rest.c{k}")
+        columns.append((F.when(cut, changed[c].cast(kinds[c])).otherwise(own) if c in changed else own).alias(c))
+    return found.select(columns).union(docs.where(docs["doc_id"].isNull()))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
-    found = decontaminate.contained_items(docs, table(spark, sf_dir, "benchmark"))
-    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    """Documents that hold a benchmark item go.
+
+    Items without words are held by no document, nor do null and empty texts hold any.  Rows that
+    share a doc_id go together if one holds an item; rows without a doc_id stay.
+    """
+    return _without(docs, decontaminate.contained_items(docs, table(spark, sf_dir, "benchmark")))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of what is left, with the digests of the ids and of the decoded text."""
+    """doc_id and token ids of each row that is left, with the digests of the ids and of the decoded text.
+
+    Null and empty texts have no ids; repeated rows each give a row, rows without a doc_id too.
+    """
     return bpe.round_trip(docs, tokenizer_file("word_bpe_49k.json"), out=("ids",))
 
 
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """Rows whose doc_id isn't among those of ``gone``; a null is among none."""
+    ids = gone.select(F.col("doc_id").alias("gone")).distinct()
+    return docs.join(ids, docs["doc_id"] == ids["gone"], "left_anti").select([docs[f"`{c}`"] for c in docs.columns])
+
+
 STAGES = [
     ("toxicity", drop_toxic),
     ("ngram_jaccard_join", one_of_each_group),
@@ -62,11 +91,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in turn; what they write goes to the shared folder that holds checkpoints."""
+    """All stages in turn; what they write goes to the shared folder that holds checkpoints, and goes once the next stage is written."""
     shared(spark)
     folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+        if k:
+            done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{k - 1}")
+            done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(done, True)
     return docs
