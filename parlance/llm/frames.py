@@ -66,14 +66,14 @@ def bytes_of(docs: DataFrame) -> int:
     return size if size < 1 << 50 else docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
 
 
-def blocks_and_buckets(docs: DataFrame) -> tuple[int, int]:
+def blocks_and_buckets(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> tuple[int, int]:
     """Into how many blocks texts are dealt, and into how many buckets what blocks ask.
 
-    Blocks of BLOCK_BYTES first, so that a small input is many tasks; as each block writes to each
+    Blocks of ``block_bytes`` first, so that a small input is many tasks; as each block writes to each
     bucket they grow up to BLOCK_MOST, and beyond that there are more of them, without limit.
     """
     size, least = bytes_of(docs), shuffle_partitions(docs.sparkSession)
-    return max(least, min(size // BLOCK_BYTES, BLOCKS), size // BLOCK_MOST), max(least, size // BUCKET_BYTES)
+    return max(least, min(size // block_bytes, BLOCKS), size // BLOCK_MOST), max(least, size // BUCKET_BYTES)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

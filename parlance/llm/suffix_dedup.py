@@ -31,7 +31,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm.frames import blocks_and_buckets, documents, flat
+from parlance.llm.frames import blocks_and_buckets, documents, flat, slices
 from parlance.llm.suffix_array import ordered, suffix_array
 from parlance.llm.words import _BASE, _TABLE, mix
 
@@ -45,6 +45,10 @@ HEAVY = 4096
 ARRAY_BYTES = 1 << 16
 #: Bytes of text in which samples are sought at a time.
 SLICE_BYTES = 1 << 18
+#: Bytes of whole texts whose samples are written at a time.
+BATCH_BYTES = 4 << 20
+#: Bytes, as the plan states them, of a block of a small input.
+BLOCK_BYTES = 2 << 20
 #: Strings that are cut out at a time.
 STRINGS = 1 << 15
 _KEPT = 6  # bytes of a sample's hash that are sent, beside those that choose the bucket
@@ -111,17 +115,21 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Adds the samples' places to each text: the first, then steps, which are less than SPAN + 1, as bytes."""
     for batch in batches:
         data, bounds = flat(batch.column("text"))
-        at = sample_places(data, bounds)
-        edges = np.searchsorted(at, bounds)
-        row = np.repeat(np.arange(len(bounds) - 1), np.diff(edges))
-        first = np.r_[True, row[1:] != row[:-1]] if len(row) else np.zeros(0, bool)
-        step = np.where(first, at - bounds[row], np.diff(at, prepend=0)).astype(np.uint8)
-        places = pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(edges.astype(np.int64)), pa.py_buffer(step)])
-        yield pa.RecordBatch.from_arrays([*batch.columns, places.cast(pa.binary())], names=[*batch.schema.names, "places"])
+        for a, b in slices(bounds, BATCH_BYTES):
+            edge = bounds[a : b + 1] - bounds[a]
+            at = sample_places(data[bounds[a] : bounds[b]], edge)
+            cut = np.searchsorted(at, edge)
+            row = np.repeat(np.arange(b - a), np.diff(cut))
+            first = np.r_[True, row[1:] != row[:-1]] if len(row) else np.zeros(0, bool)
+            step = np.where(first, at - edge[row], np.diff(at, prepend=0)).astype(np.uint8)
+            places = pa.Array.from_buffers(pa.large_binary(), b - a, [None, pa.py_buffer(cut.astype(np.int64)), pa.py_buffer(step)])
+            part = batch.slice(a, b - a)
+            yield pa.RecordBatch.from_arrays([*part.columns, places.cast(pa.binary())], names=[*batch.schema.names, "places"])
 
 
 def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
-    return (hashes >> np.uint64(32)).astype(np.int64) * buckets >> 32
+    """By the lower bits: samples have the least of several hashes, so the upper ones are mostly small."""
+    return (hashes & np.uint64(0xFFFFFFFF)).astype(np.int64) * buckets >> 32
 
 
 def _cut(dest: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -193,7 +201,7 @@ class Block:
         number = np.add.reduceat((self.first | _fresh(doc)).astype(np.int64), first) if len(first) else first
         h = h[first]
         order, cut = _cut(_bucket(h, self.buckets), self.buckets)
-        kept = (h & np.uint64((1 << 8 * _KEPT) - 1)).view(np.uint8).reshape(-1, 8)[order, :_KEPT]
+        kept = (h >> np.uint64(64 - 8 * _KEPT)).view(np.uint8).reshape(-1, 8)[order, :_KEPT]
         number = np.minimum(number[order], 0xFFFF).astype(np.uint16)
         for dest in range(self.buckets):
             a, b = cut[dest], cut[dest + 1]
@@ -244,17 +252,23 @@ class Block:
     def _far(self) -> tuple[np.ndarray, ...]:
         """Strings around heavy samples: surroundings and bit of each, the different strings, which each is, their smallest documents, order and cuts."""
         mine = np.flatnonzero(self.heavy)
-        which, back = np.nonzero((self.fits[mine, None] >> np.arange(SPAN, dtype=np.uint32)) & np.uint32(1))
-        which = mine[which]
-        strings = np.zeros((len(which), LENGTH), np.uint8)
+        which, back = (np.concatenate(x) if len(mine) else mine for x in zip(*(_set_bits(self.fits[mine[a : a + STRINGS]], mine[a : a + STRINGS]) for a in range(0, max(1, len(mine)), STRINGS))))
         view = sliding_window_view(self.text[:, :AROUND], LENGTH, axis=1)
+        hashes = np.zeros(len(which), np.uint64)
         for a in range(0, len(which), STRINGS):
-            strings[a : a + STRINGS] = view[which[a : a + STRINGS], BEFORE - back[a : a + STRINGS]]
-        different, inverse = _distinct(strings)
-        least = np.full(len(different), np.iinfo(np.int64).max)
-        np.minimum.at(least, inverse, self.doc[which])
-        order, cut = _cut(_bucket(_row_hashes(_wide(different)), self.buckets), self.buckets)
-        return which, back, different, inverse, least, order, cut
+            hashes[a : a + STRINGS] = _row_hashes(_wide(view[which[a : a + STRINGS], BEFORE - back[a : a + STRINGS]]))
+        order = _by_hash(hashes)
+        fresh = np.ones(len(order), bool)
+        for a in range(0, len(order) - 1, STRINGS):
+            some = order[a : a + STRINGS + 1]
+            text = view[which[some], BEFORE - back[some]]
+            fresh[a + 1 : a + len(some)] = (text[1:] != text[:-1]).any(axis=1)
+        first = order[fresh]
+        inverse = np.empty(len(order), np.int32)
+        inverse[order] = np.cumsum(fresh) - 1
+        least = np.minimum.reduceat(self.doc[which[order]], np.flatnonzero(fresh)) if len(order) else np.zeros(0, np.int64)
+        order, cut = _cut(_bucket(hashes[first], self.buckets), self.buckets)
+        return which, back, view[which[first], BEFORE - back[first]], inverse, least, order, cut
 
     def asks_strings(self) -> Iterator[tuple[int, int, bytes]]:
         codec = pa.Codec("zstd")
@@ -282,14 +296,14 @@ class Block:
         repeats = earlier[inverse] | (self.doc[which] > least[inverse])
         np.bitwise_or.at(bits, which[repeats], np.uint32(1) << back[repeats].astype(np.uint32))
         whole = np.where(self.ids[self.row[self.at]] > self.doc[self.stands], self.fits[self.stands], bits[self.stands])
-        change = np.zeros(len(self.data) + 1, np.int32)
+        change = np.zeros(len(self.data) + 1, np.int16)  # no place has more than SPAN starts or ends in all
         some = np.flatnonzero(whole)
         whole, place = whole[some], self.place[self.at[some]]
         for shift in range(SPAN):
             start = place[(whole >> np.uint32(shift)) & np.uint32(1) > 0] - shift  # no place twice
             change[start] += 1
             change[start + LENGTH] -= 1
-        gone = np.cumsum(change[:-1]) > 0
+        gone = np.cumsum(change[:-1], dtype=np.int16) > 0
         for k in np.flatnonzero(self.copy).tolist():
             gone[self.bounds[k] : self.bounds[k + 1]] = True
         return gone
@@ -309,12 +323,22 @@ def _answers(answers: pa.Table, kind: int) -> Iterator[tuple[int, bytes]]:
     yield from zip(mine.column("dest").to_pylist(), mine.column("payload").to_pylist())
 
 
+def _room() -> np.ndarray:
+    before, after, back = np.arange(BEFORE + 1)[:, None, None], np.arange(LENGTH + 1)[:, None], np.arange(SPAN)
+    return (((back <= before) & (LENGTH - back <= after)).astype(np.uint32) << back.astype(np.uint32)).sum(axis=2, dtype=np.uint32)
+
+
+_ROOM = _room()
+
+
 def _fitting(text: np.ndarray) -> np.ndarray:
     """Bit k of each: whether the string that starts k bytes before the sample lies in the document."""
-    before, after = text[:, AROUND].astype(np.int64), text[:, AROUND + 1].astype(np.int64)
-    back = np.arange(SPAN)
-    fits = (back <= before[:, None]) & (LENGTH - back <= after[:, None])
-    return (fits.astype(np.uint32) << back.astype(np.uint32)).sum(axis=1, dtype=np.uint32)
+    return _ROOM[text[:, AROUND], text[:, AROUND + 1]]
+
+
+def _set_bits(bits: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    row, bit = np.nonzero((bits[:, None] >> np.arange(SPAN, dtype=np.uint32)) & np.uint32(1))
+    return names[row].astype(np.int32), bit.astype(np.int8)
 
 
 def _number(payload: bytes) -> int:
@@ -325,7 +349,7 @@ def _shared_names(raw: list[bytes]) -> list[bytes]:
     """For each name 0: of one document, 1: of several, 2: of more than HEAVY."""
     n = [_number(r) for r in raw]
     wide = np.zeros((sum(n), 8), np.uint8)
-    wide[:, 2:] = np.concatenate([np.frombuffer(r, np.uint8, k * _KEPT, 8).reshape(-1, _KEPT) for r, k in zip(raw, n)])
+    wide[:, :_KEPT] = np.concatenate([np.frombuffer(r, np.uint8, k * _KEPT, 8).reshape(-1, _KEPT) for r, k in zip(raw, n)])
     names = wide.view(np.uint64).ravel()
     number = np.concatenate([np.frombuffer(r, np.uint16, k, 8 + k * _KEPT) for r, k in zip(raw, n)]).astype(np.int64)
     order = np.argsort(names)
@@ -428,7 +452,7 @@ def remove_repeats(docs: DataFrame, text: bool = False, carry: bool = False) ->
     """
     rest = [F.struct(*[docs[f"`{c}`"].alias(f"c{k}") for k, c in enumerate(docs.columns)]).alias("rest")] if carry else []
     docs = documents(docs, *rest)
-    blocks, buckets = blocks_and_buckets(docs)
+    blocks, buckets = blocks_and_buckets(docs, BLOCK_BYTES)
     block = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(blocks))
     digest = F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("digest")
     kinds = dict(docs.dtypes)
