@@ -4,7 +4,8 @@ A document is a mixture: its byte n-grams come from several languages in unknown
 Each language gives a smoothed distribution over hashed n-grams; expectation-maximisation finds
 the proportions that make a document likeliest.  More languages always fit better, so the set
 is chosen by penalised likelihood: languages join in the order of their proportions, and a set
-of k pays k times half the logarithm of the number of n-grams (times PENALTY).
+of k pays k times half the logarithm of the number of n-grams (times PENALTY).  Sets grow as
+long as that pays, up to all languages.
 """
 
 from __future__ import annotations
@@ -17,15 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm.frames import documents, flat, ids_of, slices
+from parlance.llm.frames import documents, flat, slices
 
 #: About how many labelled documents of each language, chosen by a hash of doc_id, the distributions are learned from.
 TRAIN_DOCS = 4_000
 BUCKETS = 1 << 16
 SMOOTHING = 0.05
 ROUNDS = 12
-#: Languages that one document may hold.
-MOST = 4
 PENALTY = 8.0
 
 _SPACE = np.zeros(256, bool)
@@ -66,53 +65,52 @@ class Mixture:
     def proportions(self, row: np.ndarray, bucket: np.ndarray, n: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
         """Proportions of the languages of the chosen set, zero for others, and whether there were grams at all."""
         langs = len(self.langs)
-        begin = np.searchsorted(row, np.arange(rows))
         total = np.bincount(row, weights=n, minlength=rows)
         some = total > 0
         share = np.full((rows, langs), 1.0 / max(1, langs))
         if not langs or not some.any():
             return share, some
+        held = np.flatnonzero(some)
+        share[held] = self._chosen(np.searchsorted(held, row), bucket, n, total[held])
+        return share, some
+
+    def _chosen(self, row: np.ndarray, bucket: np.ndarray, n: np.ndarray, total: np.ndarray) -> np.ndarray:
+        """The same of rows that all have grams."""
         log = self.log[bucket]
-        top = log.max(axis=1)
-        like = np.exp(log - top[:, None])
-
-        def summed(values: np.ndarray) -> np.ndarray:
-            out = np.zeros((rows, values.shape[1]))
-            out[some] = np.add.reduceat(values, begin[some], axis=0)
-            return out
-
-        def fit(share: np.ndarray) -> np.ndarray:
-            for _ in range(ROUNDS):
-                part = like * share[row]
-                part *= (n / part.sum(axis=1))[:, None]
-                share = summed(part) / np.maximum(total, 1)[:, None]
-                share = np.maximum(share, 1e-12) * (share > 0)
-                share /= np.maximum(share.sum(axis=1), 1e-300)[:, None]
-                share[~some] = 1.0 / langs
-            return share
-
-        alone = summed((log - top[:, None]) * n[:, None])
-        share = fit(share)
-        order = np.argsort(-share, axis=1, kind="stable")
-        best = np.full(rows, -np.inf)
-        chosen = share
-        first = alone.argmax(axis=1)
-        for k in range(1, min(MOST, langs) + 1):
-            if k == 1:
-                tried = np.zeros((rows, langs))
-                tried[np.arange(rows), first] = 1.0
-                value = alone.max(axis=1)
-            else:
-                keep = np.zeros((rows, langs))
-                np.put_along_axis(keep, order[:, :k], 1.0, axis=1)
-                tried = fit(keep / k)
-                mixed = (like * tried[row]).sum(axis=1)
-                value = summed((np.log(np.maximum(mixed, 1e-300)) * n)[:, None])[:, 0]
-            value = value - PENALTY * k * 0.5 * np.log(np.maximum(total, 1) + 1)
-            better = value > best
-            chosen = np.where(better[:, None], tried, chosen)
-            best = np.maximum(best, value)
-        return chosen, some
+        like = np.exp(log - log.max(axis=1, keepdims=True))
+        alone = np.add.reduceat((log - log.max(axis=1, keepdims=True)) * n[:, None], np.searchsorted(row, np.arange(len(total))), axis=0)
+        every = _fitted(like, row, n, total, np.full(alone.shape, 1.0 / len(self.langs)))
+        order = np.argsort(-every, axis=1, kind="stable")
+        pays = PENALTY * 0.5 * np.log(total + 1)
+        chosen = np.zeros(alone.shape)
+        chosen[np.arange(len(total)), alone.argmax(axis=1)] = 1.0
+        best = alone.max(axis=1) - pays
+        open_ = np.arange(len(total))
+        for k in range(2, len(self.langs) + 1):
+            mine = np.isin(row, open_)
+            part, at = like[mine], np.searchsorted(open_, row[mine])
+            keep = np.zeros((len(open_), len(self.langs)))
+            np.put_along_axis(keep, order[open_, :k], 1.0 / k, axis=1)
+            tried = _fitted(part, at, n[mine], total[open_], keep)
+            mixed = np.log(np.maximum((part * tried[at]).sum(axis=1), 1e-300)) * n[mine]
+            value = np.add.reduceat(mixed, np.searchsorted(at, np.arange(len(open_)))) - k * pays[open_]
+            better = value > best[open_]
+            open_, tried, value = open_[better], tried[better], value[better]
+            chosen[open_], best[open_] = tried, value
+            if not len(open_):
+                break
+        return chosen
+
+
+def _fitted(like: np.ndarray, row: np.ndarray, n: np.ndarray, total: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """Proportions of each row after ROUNDS of expectation and maximisation; every row has grams."""
+    begin = np.searchsorted(row, np.arange(len(total)))
+    for _ in range(ROUNDS):
+        part = like * share[row]
+        part *= (n / np.maximum(part.sum(axis=1), 1e-300))[:, None]
+        share = np.maximum(np.add.reduceat(part, begin, axis=0) / total[:, None], 1e-12) * (share > 0)
+        share /= share.sum(axis=1, keepdims=True)
+    return share
 
 
 def learn(docs: DataFrame, held_out, train_docs: int = TRAIN_DOCS) -> Mixture:
@@ -149,13 +147,14 @@ def learn(docs: DataFrame, held_out, train_docs: int = TRAIN_DOCS) -> Mixture:
 def identify(docs: DataFrame, mixture: Mixture, more: tuple = ()) -> DataFrame:
     """doc_id, lang_pred, score, languages (of the chosen set, by proportion) and shares of every row of docs.
 
-    ``und`` with score 0 for null, empty and letterless texts, and if no language was learned.
-    Texts too short for an n-gram get the first language with an even share.  Ties go to the
-    language first in alphabetical order; repeated rows each give a row.
+    ``und`` with score 0 for null and empty texts and those without a letter (of any script; other
+    numerals and signs are none), and if no language was learned.  Texts too short for an n-gram
+    get the first language with an even share.  Ties go to the language first in alphabetical
+    order; repeated rows each give a row, rows without a doc_id too.
     """
-    import re
+    import regex
 
-    letter = re.compile(r"[^\W\d_]")
+    letter = regex.compile(r"\p{L}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -175,11 +174,11 @@ def identify(docs: DataFrame, mixture: Mixture, more: tuple = ()) -> DataFrame:
                     sets.append([mixture.langs[i] for i in held])
                     shares.append([float(share[k, i]) for i in held])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids_of(batch), pa.int64()), pa.array(preds, pa.string()), pa.array(scores, pa.float64()), pa.array(sets, pa.list_(pa.string())), pa.array(shares, pa.list_(pa.float64()))],
+                [batch.column("doc_id"), pa.array(preds, pa.string()), pa.array(scores, pa.float64()), pa.array(sets, pa.list_(pa.string())), pa.array(shares, pa.list_(pa.float64()))],
                 names=["doc_id", "lang_pred", "score", "languages", "shares"],
             )
 
-    return documents(docs).mapInArrow(run, "doc_id long, lang_pred string, score double, languages array<string>, shares array<double>")
+    return documents(docs, unnamed=True).mapInArrow(run, "doc_id long, lang_pred string, score double, languages array<string>, shares array<double>")
 
 
 def held_out(modulus: int, remainder: int):

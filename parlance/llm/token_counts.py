@@ -12,16 +12,17 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm.frames import documents
+from parlance.llm.frames import documents, slices
 
-#: Text gathered, in bytes, before its unknown parts are encoded in one call.
+#: Text, in bytes, that is gathered before its unknown parts are encoded in one call.
 BATCH_BYTES = 4 << 20
-#: Parts remembered by a worker; the cache starts anew beyond it.
-CACHE_PARTS = 400_000
+#: Bytes of remembered parts that a worker holds, at about ENTRY_BYTES for an entry beside its characters; the cache starts anew beyond it.
+CACHE_BYTES, ENTRY_BYTES = 64 << 20, 160
 
 _CUT = re.compile("(?<=[^ ▁]) (?=.)", re.DOTALL)
 
@@ -39,18 +40,20 @@ class Counter:
         self.model = sentencepiece.SentencePieceProcessor(model_file=model_file)
         self.safe = _has_safe_cuts(self.model)
         self.known: dict[str, int] = {}
+        self.held = 0
 
     def parts(self, text: str) -> list[str]:
         return _CUT.split(text) if self.safe else [text]
 
     def count(self, texts: list[str]) -> list[int]:
         split = [self.parts(t) if t else [] for t in texts]
-        if len(self.known) > CACHE_PARTS:
-            self.known = {}
+        if self.held > CACHE_BYTES:
+            self.known, self.held = {}, 0
         known = self.known
         new = list({p for parts in split for p in parts if p not in known})
         if new:
             known.update(zip(new, map(len, self.model.encode(new, num_threads=1))))
+            self.held += sum(map(len, new)) + ENTRY_BYTES * len(new)
         return [sum(map(known.__getitem__, parts)) for parts in split]
 
 
@@ -60,21 +63,16 @@ _COUNTERS: dict[str, Counter] = {}
 def token_counts(docs: DataFrame, model_file: str, limit: int = 4096) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit for every row of docs.
 
-    Nulls and empty texts count 0 bytes and 0 tokens; repeated rows each give a row; an empty
-    table gives an empty result; columns other than doc_id and text are not read.
+    Nulls and empty texts count 0 bytes and 0 tokens; repeated rows each give a row, rows without
+    a doc_id too; an empty table gives an empty result; columns other than doc_id and text are not read.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = _COUNTERS.get(model_file) or _COUNTERS.setdefault(model_file, Counter(model_file))
         for batch in batches:
-            texts, counts, at, size = batch.column(1).to_pylist(), [], 0, 0
-            for k, text in enumerate(texts):
-                size += len(text or "")
-                if size > BATCH_BYTES:
-                    counts += counter.count(texts[at : k + 1])
-                    at, size = k + 1, 0
-            counts += counter.count(texts[at:])
+            bounds = np.concatenate([[0], np.cumsum(batch.column(2).to_numpy())])
+            counts = [n for a, b in slices(bounds, BATCH_BYTES) for n in counter.count(batch.column(1).slice(a, b - a).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(counts, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
 
-    sized = documents(docs, F.coalesce(F.octet_length(F.col("text").cast("string")), F.lit(0)).cast("long").alias("n_bytes"))
+    sized = documents(docs, F.coalesce(F.octet_length(F.col("text").cast("string")), F.lit(0)).cast("long").alias("n_bytes"), unnamed=True)
     return sized.mapInArrow(count, "doc_id long, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > F.lit(limit))

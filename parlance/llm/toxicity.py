@@ -1,7 +1,7 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling, in numpy.
 
-A text is read as words (runs of letters), in overlapping windows that together cover all of it.
-Each word enters as the sum of a hashed word embedding and the mean of its hashed character
+A text is read as words (runs of letters, those beyond WORD_BYTES cut between characters), in
+overlapping windows that together cover all of it.  Each word enters as the sum of a hashed word embedding and the mean of its hashed character
 trigrams' embeddings; a GRU reads each window in either direction, attention pools its states,
 and a linear layer gives the window's logit.  A text is as toxic as its most toxic window; the
 logit of that window is scaled to a probability on the training texts.
@@ -19,16 +19,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm.frames import documents, flat, ids_of, slices
-from parlance.llm.words import NO_LETTER, word_hashes, word_spans
+from parlance.llm.frames import documents, flat, slices
+from parlance.llm.words import NO_LETTER, span_hashes, word_spans
 
 WINDOW, STRIDE = 32, 16
 WORD_BUCKETS, CHAR_BUCKETS, EMBED, HIDDEN = 1 << 14, 1 << 11, 12, 8
-#: Characters of a word whose trigrams are read; longer words differ in their word embedding.
-WORD_CHARS = 12
-#: About how many toxic and how many other labelled documents are learned from, and the most windows of each.
-TRAIN_TOXIC, TRAIN_OTHER, TRAIN_WINDOWS = 1500, 2500, 12
-ROUNDS = 4
+#: Longer runs of letters, as in scripts without spaces, are cut into words of about so many bytes.
+WORD_BYTES = 24
+#: About how many toxic and how many other labelled documents are learned from, with all their windows.
+TRAIN_TOXIC, TRAIN_OTHER = 1200, 2400
+#: One document in so many is not trained on; they tell how large a logit is toxic.
+SCALE_PART = 4
+#: Windows of a step; fewer where a round would have less than so many steps.
+ROUNDS, BATCH, STEPS = 3, 512, 40
 #: Text, in bytes, that is scored at a time.
 SCORE_BYTES = 1 << 19
 
@@ -40,19 +43,41 @@ class Words:
     """Distinct words of a buffer: word bucket, trigram buckets (padded with -1), and which word stands where."""
 
     def __init__(self, data: np.ndarray, bounds: np.ndarray):
-        hashes, self.row = word_hashes(data, bounds, NO_LETTER)
-        starts, ends = word_spans(data, bounds, NO_LETTER) if len(data) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        _, first, self.at = np.unique(hashes, return_index=True, return_inverse=True)
-        self.word = (hashes[first] % np.uint64(WORD_BUCKETS)).astype(np.int64)
-        start, length = starts[first], np.minimum(ends[first] - starts[first], WORD_CHARS)
-        place = np.arange(-1, WORD_CHARS + 1)
+        starts, ends = _cut_runs(data, *word_spans(data, bounds, NO_LETTER)) if len(data) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        self.row = np.searchsorted(bounds, starts, side="right") - 1
+        hashes, first, self.at = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        self.word = (hashes % np.uint64(WORD_BUCKETS)).astype(np.int64)
+        start, length = starts[first], ends[first] - starts[first]
+        place = np.arange(-1, WORD_BYTES + 4)
         inside = (place >= 0) & (place < length[:, None])
         chars = np.where(inside, _FOLD[data[np.where(inside, start[:, None] + place, 0)]] if len(data) else 0, np.uint32(1)).astype(np.uint32)
         key = (chars[:, :-2] * np.uint32(0x1003F) + chars[:, 1:-1] * np.uint32(0x3FD)) + chars[:, 2:]
-        self.chars = (((key * np.uint32(2654435761)) >> np.uint32(21)) % np.uint32(CHAR_BUCKETS)).astype(np.int64)
+        self.chars = (((key * np.uint32(2654435761)) >> np.uint32(21)) % np.uint32(CHAR_BUCKETS)).astype(np.int16)
         self.has = place[1:-1] < length[:, None]
 
 
+def _cut_runs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Spans of at most WORD_BYTES + 3 bytes: longer ones are cut behind every WORD_BYTES, not within a character."""
+    pieces = (ends - starts - 1) // WORD_BYTES
+    if not pieces.any():
+        return starts, ends
+    run = np.repeat(np.arange(len(starts)), pieces)
+    nth = np.arange(len(run)) - np.repeat(np.cumsum(pieces) - pieces, pieces) + 1
+    cut = starts[run] + nth * WORD_BYTES
+    for _ in range(3):
+        cut += (cut < ends[run]) & ((data[np.minimum(cut, len(data) - 1)] & 0xC0) == 0x80)
+    cut = cut[cut < ends[run]]
+    return np.sort(np.concatenate([starts, cut])), np.sort(np.concatenate([ends, cut]))
+
+
+def _summed(values: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different numbers of ``at``, sorted, and the sums of their rows."""
+    order = np.argsort(at, kind="stable")
+    ordered = at[order]
+    first = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
+    return ordered[first], np.add.reduceat(values[order], first, axis=0)
+
+
 def windows(row: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
     """Start and end (in words) of all windows, and the row of each, as an array of three columns; rows without words have none."""
     begin = np.searchsorted(row, np.arange(rows + 1))
@@ -192,34 +217,31 @@ def _places(spans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.where(mask, place, spans[:, :1]), mask
 
 
-def fit(texts: list[str], labels: np.ndarray, weights: np.ndarray, seed: int = 8) -> Network:
-    """A network trained on texts; ``weights`` restore the shares of the labels when the logit is scaled."""
+def fit(data: np.ndarray, bounds: np.ndarray, labels: np.ndarray, weights: np.ndarray, seed: int = 8) -> Network:
+    """A network trained on the texts of a buffer, but for every SCALE_PART-th, on which its logit is scaled; ``weights`` restore the shares of the labels there."""
     net, rng = Network(seed), np.random.default_rng(seed)
-    if not len(texts):
+    rows = len(bounds) - 1
+    if not rows:
         return net
-    data = [t.encode() for t in texts]
-    bounds = np.cumsum([0, *map(len, data)])
-    words = Words(np.frombuffer(b"".join(data), np.uint8), bounds)
-    spans, of = windows(words.row, len(texts))
+    words = Words(data, bounds)
+    spans, of = windows(words.row, rows)
     net.prior = float((labels * weights).sum() / weights.sum())
-    draw = rng.random(len(of))
-    order = np.lexsort((draw, of))
-    rank = np.empty(len(of), np.int64)
-    rank[order] = np.arange(len(of)) - np.searchsorted(of, of[order])
-    chosen = np.flatnonzero(rank < TRAIN_WINDOWS)
     toxic = labels[of].astype(np.float32)
+    aside = np.arange(rows) % SCALE_PART == SCALE_PART - 1
+    if len(set(labels[aside])) < 2 or len(set(labels[~aside])) < 2:
+        aside[:] = False
     for turn in range(ROUNDS):
         weight = np.where(toxic > 0, 0.3 if turn == 0 else 0.0, 1.0).astype(np.float32)
         if turn:
-            logit = net.logits(words, spans[chosen])
-            order = np.lexsort((-logit, of[chosen]))
-            place = np.arange(len(chosen)) - np.searchsorted(of[chosen][order], of[chosen][order])
-            best = chosen[order[place < 2]]
+            order = np.lexsort((-net.logits(words, spans), of))
+            place = np.arange(len(of)) - np.searchsorted(of[order], of[order])
+            best = order[place < 2]
             weight[best[toxic[best] > 0]] = 1.0
-        some = chosen[weight[chosen] > 0]
+        some = np.flatnonzero((weight > 0) & ~aside[of])
         some = some[rng.permutation(len(some))]
-        for k in range(0, len(some), 256):
-            batch = some[k : k + 256]
+        size = min(BATCH, max(32, len(some) // STEPS))
+        for k in range(0, len(some), size):
+            batch = some[k : k + size]
             net.steps += 1
             place, mask = _places(spans[batch])
             which, inverse = np.unique(words.at[place], return_inverse=True)
@@ -230,25 +252,21 @@ def fit(texts: list[str], labels: np.ndarray, weights: np.ndarray, seed: int = 8
             logit = net.forward(gates[inverse.reshape(place.shape)], mask, keep)
             d = (weight[batch] * (_sigmoid(logit) - toxic[batch]) / len(batch)).astype(np.float32)
             grads, dgates = net.backward(d, keep)
-            dword = np.zeros_like(gates)
-            np.add.at(dword, inverse.ravel(), dgates.reshape(-1, 6 * HIDDEN) * mask.reshape(-1, 1))
+            dword = _summed(dgates.reshape(-1, 6 * HIDDEN) * mask.reshape(-1, 1), inverse.ravel())[1]
             grads["W"], grads["b"] = x.T @ dword, dword.sum(axis=0)
             dx = dword @ net.p["W"].T
             for name, value in grads.items():
                 net.update(name, value, 0.005)
-            rows, inv = np.unique(part.word, return_inverse=True)
-            total = np.zeros((len(rows), EMBED), np.float32)
-            np.add.at(total, inv, dx)
-            net.update("word", total, 0.02, rows)
+            held, total = _summed(dx, part.word)
+            net.update("word", total, 0.02, held)
             share = dx / np.maximum(part.has.sum(axis=1), 1)[:, None]
             where = np.nonzero(part.has)
-            rows, inv = np.unique(part.chars[where], return_inverse=True)
-            total = np.zeros((len(rows), EMBED), np.float32)
-            np.add.at(total, inv, share[where[0]])
-            net.update("char", total, 0.01, rows)
-    top = np.full(len(texts), -np.inf)
+            held, total = _summed(share[where[0]], part.chars[where])
+            net.update("char", total, 0.01, held)
+    top = np.full(rows, -np.inf)
     np.maximum.at(top, of, net.logits(words, spans))
-    net.scale, net.shift = _scaled(top[np.isfinite(top)], labels[np.isfinite(top)], weights[np.isfinite(top)])
+    some = np.isfinite(top) & (aside if aside.any() else True)
+    net.scale, net.shift = _scaled(top[some], labels[some], weights[some])
     return net
 
 
@@ -289,15 +307,14 @@ def learn(docs: DataFrame, labels: DataFrame, held_out) -> Network:
     chosen = marked.where(place < F.when(F.col("toxic") > 0, int(1e6 * shares[True])).otherwise(int(1e6 * shares[False])))
     rows = documents(docs).join(chosen, "doc_id").dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id")
     y = (rows.column("toxic").to_numpy() > 0).astype(np.float64)
-    texts = [t or "" for t in rows.column("text").to_pylist()]
-    return fit(texts, y, np.where(y > 0, 1 / shares[True], 1 / shares[False]))
+    return fit(*flat(rows.column("text")), y, np.where(y > 0, 1 / shares[True], 1 / shares[False]))
 
 
 def score(docs: DataFrame, net: Network) -> DataFrame:
     """doc_id, score, predicted and n_windows for every row of docs.
 
     Null, empty and letterless texts have no window and get the share of toxic training texts;
-    repeated rows each give a row; an empty table gives an empty result.
+    repeated rows each give a row, rows without a doc_id too; an empty table gives an empty result.
     """
     net.moments = {}
     shared = docs.sparkSession.sparkContext.broadcast(net)
@@ -309,6 +326,6 @@ def score(docs: DataFrame, net: Network) -> DataFrame:
             parts = [network.scores(data[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a]) for a, b in slices(bounds, SCORE_BYTES)]
             value = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0)
             count = np.concatenate([p[1] for p in parts]) if parts else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(ids_of(batch), pa.int64()), pa.array(value, pa.float64()), pa.array((value >= 0.5).astype(np.int32)), pa.array(count, pa.int64())], names=["doc_id", "score", "predicted", "n_windows"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(value, pa.float64()), pa.array((value >= 0.5).astype(np.int32)), pa.array(count, pa.int64())], names=["doc_id", "score", "predicted", "n_windows"])
 
-    return documents(docs).mapInArrow(run, "doc_id long, score double, predicted int, n_windows long")
+    return documents(docs, unnamed=True).mapInArrow(run, "doc_id long, score double, predicted int, n_windows long")

@@ -13,19 +13,24 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _LOWER_TABLE = _TABLE[_LOWER]
 
+#: Bytes that are hashed at a time; a longer word is taken by itself.
+HASH_BYTES = 1 << 20
+
 _powers: list[np.ndarray] = []
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, for exponents below n."""
-    if not _powers or len(_powers[0]) < n:
-        size = max(n, 1 << 16)
-        _powers[:] = []
-        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _powers.append(np.multiply.accumulate(steps))
-    return _powers[0][:n], _powers[1][:n]
+    """Powers of the base and of its inverse, for exponents below n; tables beyond HASH_BYTES are not kept."""
+    if _powers and len(_powers[0]) >= n:
+        return _powers[0][:n], _powers[1][:n]
+    made = []
+    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+        steps = np.full(max(n, HASH_BYTES + 1 if n > HASH_BYTES // 8 else 1 << 16), base, np.uint64)
+        steps[0] = 1
+        made.append(np.multiply.accumulate(steps))
+    if len(made[0]) <= HASH_BYTES + 1:
+        _powers[:] = made
+    return made[0][:n], made[1][:n]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -53,13 +58,25 @@ def word_spans(data: np.ndarray, bounds: np.ndarray, space: np.ndarray = _SPACE)
     return np.flatnonzero(starts), np.flatnonzero(ends) + 1
 
 
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Fingerprints (ASCII letters lower-cased) of spans in order; some HASH_BYTES at a time, so that a long buffer needs no long tables."""
+    out = np.zeros(len(starts), np.uint64)
+    at = 0
+    while at < len(starts):
+        base = int(starts[at])
+        to = max(at + 1, int(np.searchsorted(ends, base + HASH_BYTES, side="right")))
+        part = data[base : int(ends[to - 1])]
+        up, down = powers(len(part))
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(_LOWER_TABLE[part] * up, out=sums[1:])
+        out[at:to] = mix((sums[ends[at:to] - base] - sums[starts[at:to] - base]) * down[starts[at:to] - base])
+        at = to
+    return out
+
+
 def word_hashes(data: np.ndarray, bounds: np.ndarray, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
-    """Fingerprint (ASCII letters lower-cased) and row of each word, in order."""
+    """Fingerprint and row of each word, in order."""
     if not len(data):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     starts, ends = word_spans(data, bounds, space)
-    up, down = powers(len(data))
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_LOWER_TABLE[data] * up, out=sums[1:])
-    hashes = mix((sums[ends] - sums[starts]) * down[starts])
-    return hashes, np.searchsorted(bounds, starts, side="right") - 1
+    return span_hashes(data, starts, ends), np.searchsorted(bounds, starts, side="right") - 1

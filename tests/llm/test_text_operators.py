@@ -433,6 +433,82 @@ def test_toxicity(spark, odd, none, clashing):
     assert toxicity.score(none, toxicity.learn(docs, labels.limit(0), language.held_out(5, 0))).count() == 0
 
 
+def test_language_of_odd_texts(spark):
+    """Numerals and signs are no letters; a document of five languages is told as five; rows without doc_id give a row."""
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    words = {lang: ["".join(rng.choice(list(letters), 6)) for _ in range(80)] for lang, letters in {"a": "abcd", "b": "efgh", "c": "ijkl", "d": "mnop", "e": "qrst", "f": "uvwx"}.items()}
+    rows = [(k, " ".join(rng.choice(words[lang], 60)), lang) for k, lang in enumerate("abcdef" * 20)]
+    mixture = language.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), language.held_out(4, 2))
+    texts = ["½", "²²²", "①②③④", "१२३ ", "!?", "漢字", "x", " ".join(" ".join(rng.choice(words[x], 200)) for x in "abcde"), " ".join(rng.choice(words["f"], 50))]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)] + [(None, "abcd")], "doc_id long, text string")
+    got = by_id(language.identify(docs, mixture))
+    assert [got[k]["lang_pred"] == "und" for k in range(9)] == [True] * 5 + [False] * 4
+    assert sorted(got[7]["languages"]) == list("abcde") and got[8]["languages"] == ["f"] and None in got
+
+
+def test_toxicity_reads_whole_words():
+    """Words that differ behind their first letters differ in their characters, and long runs are cut between characters so that windows cover them."""
+    import numpy as np
+
+    def words(text):
+        data = np.frombuffer(text.encode(), np.uint8)
+        return toxicity.Words(data, np.array([0, len(data)]))
+
+    x, y = words("abcdefghijklmno"), words("abcdefghijklzzz")
+    assert (x.chars != y.chars).any()
+    for run in ("漢字" * 400, "a" * 1000, "привет" * 90, "é" * 23):
+        data = run.encode()
+        starts, ends = toxicity._cut_runs(np.frombuffer(data, np.uint8), np.array([0]), np.array([len(data)]))
+        assert starts[0] == 0 and ends[-1] == len(data) and (starts[1:] == ends[:-1]).all() and (ends - starts).max() <= toxicity.WORD_BYTES + 3
+        for s, e in zip(starts, ends):
+            data[s:e].decode()
+    long = words("漢字" * 400)
+    assert len(toxicity.windows(long.row, 1)[0]) > 3
+
+
+@pytest.fixture(scope="module")
+def given(spark):
+    import os
+
+    folder = "/root/testdata/sf0.1"
+    if not os.path.isdir(folder):
+        pytest.skip("the given tables aren't here")
+    return folder
+
+
+def test_toxicity_of_held_out_documents(spark, given):
+    from parlance.llm.queries import op8_toxicity
+
+    found = op8_toxicity(spark, given).where("held_out").join(spark.read.parquet(f"{given}/labels.parquet").dropna(subset=["toxic"]), "doc_id").collect()
+    right = [r["predicted"] == r["toxic"] for r in found]
+    assert len(right) > 500 and sum(right) >= 0.95 * len(right)
+
+
+def test_language_of_held_out_documents(spark, given):
+    from parlance.llm.queries import op9_language
+
+    found = op9_language(spark, given).where("held_out").join(spark.read.parquet(f"{given}/documents.parquet").select("doc_id", "lang"), "doc_id").where("lang is not null and lang_pred <> 'und'").collect()
+    assert len(found) > 1000 and sum(r["lang_pred"] == r["lang"] for r in found) >= 0.97 * len(found)
+
+
+def test_fingerprints_of_long_buffers(monkeypatch):
+    """Taken in parts, words have the same fingerprints."""
+    import numpy as np
+
+    from parlance.llm import words
+
+    data = np.frombuffer((prose(__import__("random").Random(2), 500) + " " + "x" * 900).encode(), np.uint8)
+    bounds = np.array([0, 40, 40, 700, len(data)])
+    want = words.word_hashes(data, bounds)
+    for size in (16, 100, 1 << 20):
+        monkeypatch.setattr(words, "HASH_BYTES", size)
+        monkeypatch.setattr(words, "_powers", [])
+        got = words.word_hashes(data, bounds)
+        assert (got[0] == want[0]).all() and (got[1] == want[1]).all()
+
+
 def test_network_gradient():
     import numpy as np
 
