@@ -65,22 +65,27 @@ def speech_windows(spans: DataFrame, by: list[str], longest: float = 25.0) -> Da
 
 
 def caption_cues(words: DataFrame, by: list[str], pause: float = 1.5, longest: float = 6.0, chars: int = 84) -> DataFrame:
-    """Captions break on a change of speaker, a pause, their duration or their number of characters."""
+    """Captions break on a change of speaker, a pause, their duration or their number of characters.
+
+    A word without an end leaves the cue's end as it is; a cue without a start begins at 0, one
+    without any end ends where it began (null if that isn't known).
+    """
+    known = lambda x: None if x is None or math.isnan(x) else float(x)
 
     def fold(pdf: pd.DataFrame) -> Iterator[tuple]:
-        k, cue = 0, None
+        cues: list[list] = []
         for s, e, who, word in pdf.sort_values("word_idx")[["start", "end", "speaker", "word"]].itertuples(index=False):
-            if cue is not None and (who != cue[2] or s - cue[1] > pause or e - cue[0] > longest or len(" ".join([*cue[3], word])) > chars):
-                if " ".join(cue[3]).strip():
-                    yield k, cue[2], float(cue[0]), float(cue[1]), " ".join(cue[3])
-                    k += 1
-                cue = None
-            if cue is None:
-                cue = [s, e, who, []]
-            cue[1] = e
-            cue[3].append(word)
-        if cue is not None and " ".join(cue[3]).strip():
-            yield k, cue[2], float(cue[0]), float(cue[1]), " ".join(cue[3])
+            s, e = known(s), known(e)
+            cue = cues[-1] if cues else None
+            fits = cue is not None and who == cue[2] and len(f"{cue[3]} {word}".strip()) <= chars
+            fits = fits and (cue[1] is None or s is None or s - cue[1] <= pause) and (cue[0] is None or e is None or e - cue[0] <= longest)
+            if fits:
+                cue[1], cue[3] = cue[1] if e is None else e, f"{cue[3]} {word}"
+            else:
+                cues.append([s, e, who, word])
+        shown = [c for c in cues if c[3].strip()]
+        for k, (s, e, who, text) in enumerate(shown):
+            yield k, who, 0.0 if s is None else s, s if e is None else e, text.strip()
 
     return _per(words, by, fold, "cue int, speaker string, start double, end double, text string")
 

@@ -85,17 +85,30 @@ def nearest_turn(points: DataFrame, turns: DataFrame, by: list[str], bucket: flo
 def band_counts(turns: DataFrame, words: DataFrame, by: list[str], bands: tuple[float, ...] = (0.0, 0.5, 3.0), bucket: float = 600.0) -> DataFrame:
     """For each turn the number of words that overlap it, widened by each band: one join at the widest, then conditional counts.
 
-    Also the gap to the nearest word within the widest band.
+    Also the gap to the nearest word of the recording, however far; null only where there is none.
     """
     far = max(bands)
     left = turns.select(*by, "seg_idx", F.col("start").alias("t_start"), F.col("end").alias("t_end"), (F.col("start") - far).alias("l_start"), (F.col("end") + far).alias("l_end"))
     right = words.select(*by, "word_idx", F.col("start").alias("r_start"), F.col("end").alias("r_end"))
     pairs = bucketed_overlap_join(left, right, by, bucket)
-    within = [F.count_if((F.col("r_end") > F.col("t_start") - b) & (F.col("r_start") < F.col("t_end") + b)).alias(f"within_{b:g}".replace(".", "_")) for b in bands]
-    gap = F.greatest(F.lit(0.0), F.col("t_start") - F.col("r_end"), F.col("r_start") - F.col("t_end"))
-    found = pairs.groupBy(*by, "seg_idx").agg(*within, F.min(gap).alias("nearest"))
     names = [f"within_{b:g}".replace(".", "_") for b in bands]
-    return turns.select(*by, "seg_idx").join(found, [*by, "seg_idx"], "left").fillna(0, names)
+    within = [F.count_if((F.col("r_end") > F.col("t_start") - b) & (F.col("r_start") < F.col("t_end") + b)).alias(n) for b, n in zip(bands, names)]
+    found = pairs.groupBy(*by, "seg_idx").agg(*within)
+    return nearest_word(turns, words, by).join(found, [*by, "seg_idx"], "left").fillna(0, names).select(*by, "seg_idx", *names, "nearest")
+
+
+def nearest_word(turns: DataFrame, words: DataFrame, by: list[str]) -> DataFrame:
+    """by, seg_idx, nearest: the gap from each turn to the word nearest to it, 0 where one overlaps; from sorts of both sides, no join.
+
+    Of the words that start by the turn's end the one that ends last is nearest, of the others the first.
+    """
+    w = words.where("start is not null and end is not null").select(*by, F.lit(None).cast("long").alias("seg_idx"), F.col("start").alias("at"), F.lit(0).alias("kind"), F.lit(None).cast("double").alias("from"), F.greatest("start", "end").alias("ends"))
+    t = turns.select(*by, F.col("seg_idx").cast("long").alias("seg_idx"), F.greatest("start", "end").alias("at"), F.lit(1).alias("kind"), F.col("start").cast("double").alias("from"), F.lit(None).cast("double").alias("ends"))
+    order = Window.partitionBy(*by)
+    so_far = F.max("ends").over(order.orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0))
+    follows = F.last(F.when(F.col("kind") == 0, F.col("at")), ignorenulls=True).over(order.orderBy(F.desc("at"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, 0))
+    gap = F.least(F.when(F.col("so_far").isNotNull(), F.greatest(F.col("from") - F.col("so_far"), F.lit(0.0))), F.col("follows") - F.col("at"))
+    return w.unionByName(t).withColumn("so_far", so_far).withColumn("follows", follows).where("kind = 1").select(*by, "seg_idx", gap.alias("nearest"))
 
 
 def clip(words: DataFrame, low: Column, high: Column) -> DataFrame:
@@ -104,13 +117,19 @@ def clip(words: DataFrame, low: Column, high: Column) -> DataFrame:
 
 
 def covered_turns(turns: DataFrame, by: list[str], cap: float | None = None) -> DataFrame:
-    """Turns but the last, whose start is where coverage ends; recordings of fewer than two turns have none.
+    """Turns (in order of seg_idx) but the last, whose start is where coverage ends; with ``cap`` it ends so many seconds after the first start at most, and turns that start at or beyond that go first.
 
-    Turns that start at or beyond ``cap`` go first.  Each last kept turn ends by the start of the one that went.
+    The last kept turn ends where the one that went starts, or where coverage ends.  Recordings
+    of fewer than two turns, before or after the cap, have none, nor do those whose last turn
+    starts no later than the first.
     """
-    kept = turns if cap is None else turns.where(F.col("start") < cap)
+    every = Window.partitionBy(*by).orderBy("seg_idx").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    ends = F.least(F.col("to"), F.col("from") + cap) if cap is not None else F.col("to")
+    kept = turns.withColumn("from", F.first("start").over(every)).withColumn("to", F.last("start").over(every)).where(F.col("to") > F.col("from"))
+    kept = kept.withColumn("limit", ends).where((F.col("limit") == F.col("to")) | (F.col("start") < F.col("limit")))
     w = Window.partitionBy(*by).orderBy("seg_idx")
-    return kept.withColumn("next", F.lead("start").over(w)).where("next is not null").withColumn("final", F.lead("next").over(w).isNull()).withColumn("end", F.when(F.col("final"), F.least("next", "end")).otherwise(F.col("end"))).drop("next", "final")
+    kept = kept.withColumn("next", F.lead("start").over(w)).where("next is not null").withColumn("final", F.lead("next").over(w).isNull())
+    return kept.withColumn("end", F.when(F.col("final"), F.least("next", "limit")).otherwise(F.col("end"))).drop("from", "to", "limit", "next", "final")
 
 
 def coverage(turns: DataFrame, by: list[str], duration: Column) -> DataFrame:
@@ -118,11 +137,40 @@ def coverage(turns: DataFrame, by: list[str], duration: Column) -> DataFrame:
     return turns.groupBy(*by).agg(F.max("start").alias("last"), F.max(duration).alias("duration")).select(*by, F.least(F.try_divide("last", "duration"), F.lit(1.0)).alias("coverage"))
 
 
-def overlap_lengths(a: DataFrame, b: DataFrame, by: list[str], bucket: float = 3600.0) -> DataFrame:
-    """Total overlap of two sides' unions of intervals, for each pair of speakers: by, a_speaker, b_speaker, overlap."""
-    left = merge_touching(a, [*by, "speaker"]).select(*by, F.col("speaker").alias("a_speaker"), F.col("start").alias("l_start"), F.col("end").alias("l_end"))
-    right = merge_touching(b, [*by, "speaker"]).select(*by, F.col("speaker").alias("b_speaker"), F.col("start").alias("r_start"), F.col("end").alias("r_end"))
-    return bucketed_overlap_join(left, right, by, bucket).groupBy(*by, "a_speaker", "b_speaker").agg(F.sum(F.least("l_end", "r_end") - F.greatest("l_start", "r_start")).alias("overlap"))
+def _swept(x, y) -> float:
+    """Overlap of two sorted lists of intervals, as a sweep finds it that leaves whichever ends first (the second list's where both do)."""
+    total, i, j = 0.0, 0, 0
+    while i < len(x) and j < len(y):
+        total += max(0.0, min(x[i][1], y[j][1]) - max(x[i][0], y[j][0]))
+        ahead = x[i][1] < y[j][1]
+        i, j = i + ahead, j + (not ahead)
+    return total
+
+
+def overlap_lengths(a: DataFrame, b: DataFrame, by: list[str]) -> DataFrame:
+    """Total overlap of two sides' intervals, for each pair of speakers that has any: by, a_speaker, b_speaker, overlap.
+
+    Intervals of a side that overlap each other count each for themselves, as far as the sweep
+    meets them.  A recording is swept in one task.
+    """
+    import pyarrow as pa
+
+    kinds = dict(a.dtypes)
+    side = lambda df, n: df.select(*by, F.lit(n).alias("side"), "speaker", F.col("start").cast("double").alias("start"), F.greatest("start", "end").cast("double").alias("end")).where("start is not null and end is not null")
+    both = side(a, 0).unionByName(side(b, 1))
+
+    def sweep(t: pa.Table) -> pa.Table:
+        held: dict = {}
+        for n, who, s, e in zip(*(t.column(c).to_pylist() for c in ("side", "speaker", "start", "end"))):
+            held.setdefault((n, who), []).append((s, e))
+        for spans in held.values():
+            spans.sort()
+        found = [(x, y, _swept(held[0, x], held[1, y])) for n, x in held if n == 0 for m, y in held if m == 1]
+        found = [f for f in found if f[2] > 0]
+        keys = {c: pa.array([t.column(c)[0].as_py()] * len(found), t.column(c).type) for c in by}
+        return pa.table(keys | {"a_speaker": pa.array([f[0] for f in found], pa.string()), "b_speaker": pa.array([f[1] for f in found], pa.string()), "overlap": pa.array([f[2] for f in found], pa.float64())})
+
+    return both.groupBy(*by).applyInArrow(sweep, ", ".join(f"{c} {kinds[c]}" for c in by) + ", a_speaker string, b_speaker string, overlap double")
 
 
 def _assign(pdf):
@@ -193,12 +241,9 @@ def error_rate(reference: DataFrame, hypothesis: DataFrame, by: list[str], mappi
     )
 
 
-def exposed(spans: DataFrame, covers: DataFrame, by: list[str]) -> DataFrame:
-    """Spans that no cover overlaps (a range anti-join)."""
-    c = covers.select(*by, F.col("first").alias("c_first"), F.col("last").alias("c_last"))
-    s = spans.alias("s")
-    same = [F.col(f"s.{b}") == c[b] for b in by]
-    cond = (c["c_first"] < F.col("s.last")) & (c["c_last"] > F.col("s.first"))
-    for x in same:
-        cond = cond & x
-    return s.join(c, cond, "left_anti")
+def exposed(spans: DataFrame, covers: DataFrame, by: list[str], bucket: int = 512) -> DataFrame:
+    """Spans (first, last: half-open) that no cover overlaps: a range anti-join by recording and bucket of places, so that a long recording is many small groups."""
+    touched = lambda first, last: F.explode(F.sequence(F.floor(F.col(first) / bucket), F.floor(F.greatest(F.col(first), F.col(last) - 1) / bucket)))
+    c = covers.where("last > first").select(*by, F.col("first").alias("c_first"), F.col("last").alias("c_last")).withColumn("bucket", touched("c_first", "c_last"))
+    hit = spans.select(*by, "first", "last").withColumn("bucket", touched("first", "last")).join(c, [*by, "bucket"]).where("c_first < last and c_last > first").select(*by, "first", "last").distinct()
+    return spans.join(hit, [*by, "first", "last"], "left_anti")

@@ -38,12 +38,21 @@ def group_into_turns(words: DataFrame, by: list[str]) -> DataFrame:
 
 
 def paused_turns(words: DataFrame, by: list[str], pause: float = 2.0) -> DataFrame:
-    """Turns that also break where a word starts more than ``pause`` after the last known end."""
+    """Turns that also break where a word starts more than ``pause`` after the last end known of the turn itself.
+
+    Of the words behind a known end, up to and with the next word that has one, only the first
+    that begins a turn can be held against that end: later ones belong to a turn that began after it.
+    """
     w = Window.partitionBy(*by).orderBy("word_idx")
-    known = F.last("end", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    changes = _changes(by, ["word_idx"], "speaker")
+    marked = words.withColumn("changes", changes).withColumn("known", F.last("end", ignorenulls=True).over(before)).withColumn("behind", F.count("end").over(before))
+    marked = marked.withColumn("late", F.coalesce(F.col("start") - F.col("known") > pause, F.lit(False)))
+    earlier = F.max(F.col("changes") | F.col("late")).over(Window.partitionBy(*by, "behind").orderBy("word_idx").rowsBetween(Window.unboundedPreceding, -1))
+    marked = marked.withColumn("breaks", F.col("changes") | (F.col("late") & ~F.coalesce(earlier, F.lit(False))))
     return (
-        islands(words, by, ["word_idx"], _changes(by, ["word_idx"], "speaker") | (F.col("start") - known > pause), "turn").groupBy(*by, "turn")
-        .agg(F.first("speaker").alias("speaker"), F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n_words"))
+        islands(marked, by, ["word_idx"], F.col("breaks"), "turn").groupBy(*by, "turn")
+        .agg(F.first("speaker").alias("speaker"), F.min_by("start", "word_idx").alias("start"), F.max_by("end", F.when(F.col("end").isNotNull(), F.col("word_idx"))).alias("end"), F.count("*").alias("n_words"))
     )
 
 
@@ -59,12 +68,12 @@ def short_run_rule(words: DataFrame, by: list[str], longest: int = 3) -> DataFra
     return left.where(F.col("new").isNotNull() & (F.col("new") != F.col("speaker"))).select(*by, "run", "first", "last", F.col("speaker").alias("old"), "new")
 
 
-def merge_close(turns: DataFrame, by: list[str], gap: float = 0.5) -> DataFrame:
-    """Consecutive segments of a speaker that are less than ``gap`` apart; empty ones left out."""
-    w = Window.partitionBy(*by).orderBy("start", "end")
-    kept = turns.where("end > start")
-    starts = _changes(by, ["start", "end"], "speaker") | (F.col("start") - F.lag("end").over(w) >= gap)
-    return islands(kept, by, ["start", "end"], starts, "seg").groupBy(*by, "seg").agg(F.first("speaker").alias("speaker"), F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n"))
+def merge_close(turns: DataFrame, by: list[str], gap: float = 0.5, order: tuple[str, ...] = ("start", "seg_idx")) -> DataFrame:
+    """Consecutive segments of a speaker that start less than ``gap`` after the furthest end before them; empty ones left out."""
+    runs = islands(turns.where("end > start"), by, list(order), _changes(by, list(order), "speaker"), "run")
+    reach = F.max("end").over(Window.partitionBy(*by, "run").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    starts = reach.isNull() | (F.col("start") - reach >= gap)
+    return islands(runs, by, list(order), starts, "seg").groupBy(*by, "seg").agg(F.first("speaker").alias("speaker"), F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n"))
 
 
 def merge_touching(spans: DataFrame, by: list[str], start: str = "start", end: str = "end") -> DataFrame:

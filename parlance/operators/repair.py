@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from parlance.operators.align import opcodes
 from parlance.operators.islands import merge_touching
 
+UNKNOWN = "UNKNOWN"
 #: What stays of a word behind its label: a possessive and closing punctuation.
 TAIL = r"(?:['’]s)?[.,!?;:]*$"
 
@@ -40,33 +41,40 @@ def differences(before: DataFrame, after: DataFrame, by: list[str]) -> DataFrame
 
 
 def attach_speakers(pairs: DataFrame, by: list[str]) -> DataFrame:
-    """by, word_idx, speaker of the hypothesis' tokens: from matching blocks of the reference, by place within replaced ones, else from the word before, else after.
+    """by, word_idx, speaker, origin of the hypothesis' tokens, and a row without word_idx for each pair that tells in ``dropped`` how many of the reference's tokens have no counterpart.
 
+    Speakers come from matching blocks, by place within replaced ones (origin ``matched``); other
+    tokens (``inserted``) take the speaker before, else the first one after, else the
+    reference's first, else UNKNOWN.
     pairs: by, ref, hyp (token arrays) and speakers (of ref's tokens).
     """
     kinds = dict(pairs.dtypes)
 
-    def attach(ref: list[str], who: list[str], hyp: list[str]) -> list[str | None]:
+    def attach(ref: list[str], who: list[str], hyp: list[str]) -> tuple[list[str], list[bool], int]:
         out: list[str | None] = [None] * len(hyp)
+        met, dropped = [False] * len(hyp), 0
         for tag, i1, i2, j1, j2 in opcodes(ref, hyp):
-            if tag != "delete" and i2 > i1:
-                for j in range(j1, j2):
-                    out[j] = who[min(i1 + j - j1, i2 - 1)]
+            dropped += i2 - i1 if tag == "delete" else 0
+            for j in range(j1, j2) if i2 > i1 else ():
+                out[j], met[j] = who[min(i1 + j - j1, i2 - 1)], True
         known = [k for k, s in enumerate(out) if s is not None]
+        default = who[0] if who else UNKNOWN
         for k, s in enumerate(out):
-            if s is None and known:
+            if s is None:
                 at = bisect.bisect_left(known, k)
-                out[k] = out[known[at - 1] if at else known[0]]
-        return out
+                out[k] = (out[known[at - 1]] if at else out[known[0]]) if known else default
+        return out, met, dropped
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k, (ref, who, hyp) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("ref", "speakers", "hyp")))):
-                found = attach(ref or [], who or [], hyp or [])
-                at = pa.array([k] * len(found), pa.int64())
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in by), pa.array(range(len(found)), pa.int64()), pa.array(found, pa.string())], names=[*by, "word_idx", "speaker"])
+                found, met, dropped = attach(ref or [], who or [], hyp or [])
+                n = len(found)
+                at = pa.array([k] * (n + 1), pa.int64())
+                columns = [pa.array([*range(n), None], pa.int64()), pa.array([*found, None], pa.string()), pa.array([*("matched" if m else "inserted" for m in met), None], pa.string()), pa.array([None] * n + [dropped], pa.int64())]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in by), *columns], names=[*by, "word_idx", "speaker", "origin", "dropped"])
 
-    return pairs.select(*by, "ref", "speakers", "hyp").mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in by) + ", word_idx long, speaker string")
+    return pairs.select(*by, "ref", "speakers", "hyp").mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in by) + ", word_idx long, speaker string, origin string, dropped long")
 
 
 def split_by_key(key: Column, shares: dict[str, float], seed: int) -> Column:
@@ -79,10 +87,10 @@ def split_by_key(key: Column, shares: dict[str, float], seed: int) -> Column:
     return out.otherwise(list(shares)[-1])
 
 
-def ranges_of_others(spans: DataFrame, by: list[str], system: str) -> DataFrame:
-    """For each system the union of all other systems' ranges (leave one out)."""
-    names = spans.select(system).distinct().withColumnRenamed(system, "left_out")
-    each = spans.join(F.broadcast(names), F.col(system) != F.col("left_out"))
+def ranges_of_others(spans: DataFrame, by: list[str], system: str, systems: list[str]) -> DataFrame:
+    """For each of the given systems the union of all others' ranges (leave one out)."""
+    every = F.array(*map(F.lit, systems))
+    each = spans.withColumn("left_out", F.explode(F.filter(every, lambda x: x != F.col(system))))
     return merge_touching(each.select(*by, "left_out", "start", "end"), [*by, "left_out"]).drop("piece")
 
 

@@ -12,25 +12,29 @@ def summary(metrics: DataFrame, by: list[str], errors: str, words: str) -> DataF
     return metrics.groupBy(*by).agg(F.count("*").alias("visits"), F.avg(rate).alias("mean_rate"), F.median(rate).alias("median_rate"), F.try_divide(F.sum(errors), F.sum(words)).alias("pooled_rate"))
 
 
-def quartiles_exclusive(values: DataFrame, by: list[str], value: str) -> DataFrame:
-    """Quartiles at places k (n + 1) / 4 of the sorted values, interpolated; null below four values."""
-    sorted_ = values.where(F.col(value).isNotNull()).groupBy(*by).agg(F.array_sort(F.collect_list(value)).alias("v"))
-    n = F.size("v")
+def _at_places(values: DataFrame, by: list[str], value: str, places: dict[str, Column]) -> DataFrame:
+    """by, n and the values at places (from 1, by n) of the sorted ones: from counts of the distinct values and their running sums, never a group in one row."""
+    counts = values.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("value")).agg(F.count("*").alias("c"))
+    w = Window.partitionBy(*by)
+    ranked = counts.withColumn("to", F.sum("c").over(w.orderBy("value").rowsBetween(Window.unboundedPreceding, 0))).withColumn("n", F.sum("c").over(w))
+    held = {name: F.max(F.when((place <= F.col("to")) & (place > F.col("to") - F.col("c")), F.col("value"))) for name, place in places.items()}
+    return ranked.groupBy(*by).agg(F.max("n").alias("n"), *[c.alias(name) for name, c in held.items()])
 
-    def at(k: int) -> Column:
-        # Integer places: the whole part of k (n + 1) / 4, kept within the array, and the rest in quarters.
-        whole = F.least(F.greatest(F.floor(k * (n + 1) / 4).cast("int"), F.lit(1)), n - 1)
-        quarters = k * (n + 1) - whole * 4
-        return F.when(n >= 4, (F.get("v", whole - 1) * (4 - quarters) + F.get("v", whole) * quarters) / 4)
 
-    return sorted_.select(*by, n.alias("n"), *[at(k).alias(f"q{k}") for k in (1, 2, 3)])
+def quartiles_exclusive(values: DataFrame, by: list[str], value: str) -> DataFrame:
+    """Quartiles at places k (n + 1) / 4 of the sorted values, interpolated; null below four values."""
+    n = F.col("n")
+    # Integer places: the whole part of k (n + 1) / 4, kept within the values, and the rest in quarters.
+    whole = {k: F.least(F.greatest(F.floor(k * (n + 1) / 4), F.lit(1)), n - 1) for k in (1, 2, 3)}
+    got = _at_places(values, by, value, {f"{side}{k}": whole[k] + step for k in (1, 2, 3) for side, step in (("low", 0), ("high", 1))})
+    parts = {k: k * (n + 1) - whole[k] * 4 for k in (1, 2, 3)}
+    return got.select(*by, n.cast("int").alias("n"), *[F.when(n >= 4, (F.col(f"low{k}") * (4 - parts[k]) + F.col(f"high{k}") * parts[k]) / 4).alias(f"q{k}") for k in (1, 2, 3)])
 
 
 def upper_median(values: DataFrame, by: list[str], value: str) -> DataFrame:
-    """The value at place n // 2 of the sorted ones, and at place int(0.9 (n - 1))."""
-    got = values.where(F.col(value).isNotNull()).groupBy(*by).agg(F.array_sort(F.collect_list(value)).alias("v"))
-    n = F.size("v")
-    return got.select(*by, F.get("v", F.floor(n / 2).cast("int")).alias("median"), F.get("v", F.floor(9 * (n - 1) / 10).cast("int")).alias("p90"))
+    """The value at place n // 2 of the sorted ones (from 0), and at place int(0.9 (n - 1))."""
+    n = F.col("n")
+    return _at_places(values, by, value, {"median": F.floor(n / 2) + 1, "p90": F.floor(9 * (n - 1) / 10) + 1}).select(*by, "median", "p90")
 
 
 def spread(values: DataFrame, by: list[str], value: str, above: float) -> DataFrame:

@@ -1,7 +1,8 @@
 """Transcript tables derived from the driver's tables, and the same as SQL.
 
 Words get a clock of half a second each (exact in binary).  A second system's transcript drops,
-replaces and relabels words by their index.  Events become the segments of a user's session.
+replaces and relabels words by their index.  Events become the segments and words of rooms: ten users on one day, so that their number grows
+with the users and no room is large.
 """
 
 from __future__ import annotations
@@ -41,18 +42,22 @@ def marked_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words(spark, sf_dir).withColumn("word", word)
 
 
+def _room(start):
+    return (F.floor(F.col("user_id") / 10) * 1000 + F.floor(start / 86400) - 19723).cast("long")
+
+
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """room, seg_idx, speaker, start, end: events as stretches of talk in one of ten rooms."""
+    """room, seg_idx, speaker, start, end: events as stretches of talk."""
     e = table(spark, sf_dir, "events").where("event_id % 3 = 0")
     start = F.expr(SECONDS).cast("double")
-    return e.select((F.col("user_id") % 10).alias("room"), F.col("event_id").alias("seg_idx"), F.concat(F.lit("S"), (F.col("user_id") % 4).cast("string")).alias("speaker"), start.alias("start"), (start + (F.col("event_id") % 7 + 1) * 600).alias("end"))
+    return e.select(_room(start).alias("room"), F.col("event_id").alias("seg_idx"), F.concat(F.lit("S"), (F.col("user_id") % 4).cast("string")).alias("speaker"), start.alias("start"), (start + (F.col("event_id") % 7 + 1) * 600).alias("end"))
 
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """room, word_idx, start, end: the other events as words, every fifth without extent."""
     e = table(spark, sf_dir, "events").where("event_id % 3 <> 0")
     start = F.expr(SECONDS).cast("double")
-    return e.select((F.col("user_id") % 10).alias("room"), F.col("event_id").alias("word_idx"), start.alias("start"), (start + F.when(F.col("event_id") % 5 == 0, 0).otherwise(F.col("event_id") % 400)).alias("end"), F.lit(None).cast("string").alias("speaker"))
+    return e.select(_room(start).alias("room"), F.col("event_id").alias("word_idx"), start.alias("start"), (start + F.when(F.col("event_id") % 5 == 0, 0).otherwise(F.col("event_id") % 400)).alias("end"), F.lit(None).cast("string").alias("speaker"))
 
 
 WORDS_SQL = r"""
@@ -66,7 +71,7 @@ m AS (SELECT conv_id, turn, speaker, CASE WHEN i % 19 < 2 THEN '[DATE].' WHEN i
              WHEN i % 31 = 8 THEN 'like' WHEN i % 37 = 9 THEN 'maybe' ELSE word END AS word, i, s, e FROM w)"""
 
 SEGMENTS_SQL = r"""
-seg AS (SELECT user_id % 10 AS room, event_id AS k, 'S' || CAST(user_id % 4 AS VARCHAR) AS speaker, CAST(floor(epoch_us(ts) / 1000000) AS DOUBLE) AS s,
+seg AS (SELECT user_id // 10 * 1000 + CAST(floor(floor(epoch_us(ts) / 1000000) / 86400) AS BIGINT) - 19723 AS room, event_id AS k, 'S' || CAST(user_id % 4 AS VARCHAR) AS speaker, CAST(floor(epoch_us(ts) / 1000000) AS DOUBLE) AS s,
                CAST(floor(epoch_us(ts) / 1000000) AS DOUBLE) + (event_id % 7 + 1) * 600 AS e FROM events WHERE event_id % 3 = 0),
-pt AS (SELECT user_id % 10 AS room, event_id AS i, CAST(floor(epoch_us(ts) / 1000000) AS DOUBLE) AS s,
+pt AS (SELECT user_id // 10 * 1000 + CAST(floor(floor(epoch_us(ts) / 1000000) / 86400) AS BIGINT) - 19723 AS room, event_id AS i, CAST(floor(epoch_us(ts) / 1000000) AS DOUBLE) AS s,
               CAST(floor(epoch_us(ts) / 1000000) AS DOUBLE) + CASE WHEN event_id % 5 = 0 THEN 0 ELSE event_id % 400 END AS e FROM events WHERE event_id % 3 <> 0)"""

@@ -17,33 +17,21 @@ def assign_speakers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intervals.assign_speakers(D.points(spark, sf_dir), D.segments(spark, sf_dir), BY).select("room", "word_idx", "speaker")
 
 
-def assign_nearest_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def assign_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same, words without a segment to the nearest one."""
     return intervals.assign_speakers(D.points(spark, sf_dir), D.segments(spark, sf_dir), BY, nearest=True).select("room", "word_idx", "speaker")
 
 
-def assign_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The cut that the SQL of this name states: the first two days only."""
-    early = lambda df: df.where(F.col("start") < 1704240000)
-    return intervals.assign_speakers(early(D.points(spark, sf_dir)), early(D.segments(spark, sf_dir)), BY, nearest=True).select("room", "word_idx", "speaker")
-
-
 def as_of_speaker(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = D.points(spark, sf_dir).select("room", F.col("word_idx").alias("point"), F.col("start").alias("t"))
     return intervals.as_of(p, D.segments(spark, sf_dir), BY).select("room", "point", F.coalesce("speaker", F.lit("none")).alias("speaker"))
 
 
-def nearest_turn_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def nearest_turn(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = D.points(spark, sf_dir).select("room", F.col("word_idx").alias("point"), F.col("start").alias("t"))
     return intervals.nearest_turn(p, D.segments(spark, sf_dir), BY).select("room", "point", "seg_idx")
 
 
-def nearest_turn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The cut that the SQL of this name states: a tenth of the points of the first two days."""
-    p = D.points(spark, sf_dir).where("word_idx % 10 = 1 and start < 1704240000").select("room", F.col("word_idx").alias("point"), F.col("start").alias("t"))
-    return intervals.nearest_turn(p, D.segments(spark, sf_dir).where("start < 1704240000"), BY).select("room", "point", "seg_idx")
-
-
 def band_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intervals.band_counts(D.segments(spark, sf_dir), D.points(spark, sf_dir), BY, bands=(0.0, 60.0, 300.0), bucket=3600.0).select("room", "seg_idx", "within_0", "within_60", "within_300", F.coalesce("nearest", F.lit(-1.0)).alias("nearest"))
 
@@ -61,10 +49,14 @@ def close_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("room", "speaker", F.col("start").alias("t_start"), F.col("end").alias("t_end"), "n")
 
 
+def _gapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of two speakers, many without an end."""
+    return D.points(spark, sf_dir).withColumn("speaker", F.when(F.col("word_idx") % 9 < 6, "A").otherwise("B")).withColumn("end", F.when(F.col("word_idx") % 4 > 1, F.lit(None)).otherwise(F.col("end")))
+
+
 def gap_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns of a room that also end at a pause of more than two hours."""
-    w = D.points(spark, sf_dir).withColumn("speaker", F.lit("S"))
-    return islands.paused_turns(w, BY, pause=7200.0).select("room", F.col("start").alias("t_start"), F.col("end").alias("t_end"), "n_words")
+    """Turns of a room that also end at a pause of more than an hour."""
+    return islands.paused_turns(_gapped(spark, sf_dir), BY, pause=3600.0).select("room", "speaker", F.col("start").alias("t_start"), F.coalesce("end", F.lit(-1.0)).alias("t_end"), "n_words")
 
 
 def overlap_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,11 +66,7 @@ def overlap_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def assigned_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best total overlap of a one-to-one assignment of speakers."""
-    return intervals.assign_labels(_two(overlap_matrix(spark, sf_dir)), BY).groupBy("room").agg(F.sum("overlap").alias("total"))
-
-
-def _two(m: DataFrame) -> DataFrame:
-    return m.where("a_speaker in ('S0', 'S2') or a_speaker in ('S1', 'S3')")
+    return intervals.assign_labels(overlap_matrix(spark, sf_dir), BY).groupBy("room").agg(F.sum("overlap").alias("total"))
 
 
 def clipped_words(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,7 +76,7 @@ def clipped_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def covered_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return intervals.covered_turns(D.segments(spark, sf_dir), BY, cap=1705000000.0).select("room", "seg_idx", F.col("start").alias("t_start"), F.col("end").alias("t_end"))
+    return intervals.covered_turns(D.segments(spark, sf_dir), BY, cap=43200.0).select("room", "seg_idx", F.col("start").alias("t_start"), F.col("end").alias("t_end"))
 
 
 def coverage_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,48 +111,54 @@ def outcome_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _MERGE = "SELECT {k}, min(s) AS s, max(e) AS e FROM (SELECT *, sum(CASE WHEN r IS NULL OR s > r THEN 1 ELSE 0 END) OVER (PARTITION BY {k} ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS g FROM (SELECT *, max(e) OVER (PARTITION BY {k} ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM {t})) GROUP BY {k}, g"
 _S = f"WITH {SEGMENTS_SQL}"
-_OVERLAPS = f"""{_S}, a AS ({_MERGE.format(k='room, speaker', t="(SELECT * FROM seg WHERE k % 2 = 0)")}), b AS ({_MERGE.format(k='room, speaker', t="(SELECT * FROM seg WHERE k % 2 = 1)")}),
-  o AS (SELECT a.room, a.speaker AS a_speaker, b.speaker AS b_speaker, sum(least(a.e, b.e) - greatest(a.s, b.s)) AS overlap FROM a JOIN b ON a.room = b.room AND b.e > a.s AND b.s < a.e GROUP BY 1, 2, 3)"""
+_OVERLAPS = f"""WITH RECURSIVE {SEGMENTS_SQL}, sides AS (SELECT room, k % 2 AS side, speaker, s, e, row_number() OVER (PARTITION BY room, k % 2, speaker ORDER BY s, e) AS r FROM seg),
+  sweep AS (SELECT DISTINCT a.room, a.speaker AS x, b.speaker AS y, 1::BIGINT AS i, 1::BIGINT AS j, 0.0::DOUBLE AS total FROM sides a JOIN sides b ON a.room = b.room AND a.side = 0 AND b.side = 1 UNION ALL
+    SELECT w.room, x, y, CASE WHEN a.e < b.e THEN i + 1 ELSE i END, CASE WHEN a.e < b.e THEN j ELSE j + 1 END, total + greatest(0, least(a.e, b.e) - greatest(a.s, b.s))
+    FROM sweep w JOIN sides a ON a.room = w.room AND a.side = 0 AND a.speaker = x AND a.r = i JOIN sides b ON b.room = w.room AND b.side = 1 AND b.speaker = y AND b.r = j),
+  o AS (SELECT room, x AS a_speaker, y AS b_speaker, max(total) AS overlap FROM sweep GROUP BY 1, 2, 3 HAVING max(total) > 0)"""
 _BY_OVERLAP = """x AS (SELECT pt.room, i, speaker, sum(least(pt.e, seg.e) - greatest(pt.s, seg.s)) AS o, min(k) AS k FROM pt JOIN seg ON pt.room = seg.room AND seg.e > pt.s AND seg.s < pt.e AND least(pt.e, seg.e) > greatest(pt.s, seg.s) GROUP BY 1, 2, 3),
   y AS (SELECT room, i, speaker FROM (SELECT *, row_number() OVER (PARTITION BY room, i ORDER BY o DESC, k) AS n FROM x) WHERE n = 1),
   z AS (SELECT pt.room, i, arg_min(speaker, k) AS speaker FROM pt JOIN seg ON pt.room = seg.room AND pt.e <= pt.s AND seg.s <= pt.s AND pt.s <= seg.e GROUP BY 1, 2)"""
 
 QUERIES = {
     "assign_speakers": (assign_speakers, f"{_S}, {_BY_OVERLAP} SELECT pt.room, pt.i AS word_idx, coalesce(y.speaker, z.speaker, 'UNKNOWN') AS speaker FROM pt LEFT JOIN y USING (room, i) LEFT JOIN z USING (room, i)"),
-    "assign_nearest": (assign_nearest, f"""{_S.replace('% 3 = 0)', "% 3 = 0 AND ts < TIMESTAMP '2024-01-03 00:00:00')").replace('% 3 <> 0)', "% 3 <> 0 AND ts < TIMESTAMP '2024-01-03 00:00:00')")}, {_BY_OVERLAP},
+    "assign_nearest": (assign_nearest, f"""{_S}, {_BY_OVERLAP},
         u AS (SELECT pt.*, coalesce(y.speaker, z.speaker) AS speaker FROM pt LEFT JOIN y USING (room, i) LEFT JOIN z USING (room, i)),
         v AS (SELECT room, i, speaker FROM (SELECT u.room, i, seg.speaker, row_number() OVER (PARTITION BY u.room, i ORDER BY abs((u.s + u.e) / 2 - (seg.s + seg.e) / 2), k) AS n FROM u JOIN seg ON u.room = seg.room WHERE u.speaker IS NULL) WHERE n = 1)
         SELECT u.room, u.i AS word_idx, coalesce(u.speaker, v.speaker, 'UNKNOWN') AS speaker FROM u LEFT JOIN v USING (room, i)"""),
     "as_of_speaker": (as_of_speaker, f"""{_S}, x AS (SELECT pt.room, i, pt.s, max_by(struct_pack(sp := speaker, e := seg.e), struct_pack(s := seg.s, k := k)) AS m FROM pt LEFT JOIN seg ON pt.room = seg.room AND seg.s <= pt.s GROUP BY 1, 2, 3)
         SELECT room, i AS point, coalesce(CASE WHEN s <= m.e THEN m.sp END, 'none') AS speaker FROM x"""),
-    "nearest_turn": (nearest_turn, f"""{_S}, x AS (SELECT pt.room, i, k, CASE WHEN seg.s <= pt.s AND pt.s <= seg.e THEN 0 ELSE 1 END AS outside, abs(seg.s - pt.s) AS d FROM pt JOIN seg ON pt.room = seg.room WHERE i % 10 = 1 AND pt.s < 1704240000 AND seg.s < 1704240000)
+    "nearest_turn": (nearest_turn, f"""{_S}, x AS (SELECT pt.room, i, k, CASE WHEN seg.s <= pt.s AND pt.s <= seg.e THEN 0 ELSE 1 END AS outside, abs(seg.s - pt.s) AS d FROM pt JOIN seg ON pt.room = seg.room)
         SELECT room, i AS point, k AS seg_idx FROM (SELECT *, row_number() OVER (PARTITION BY room, i ORDER BY outside, CASE WHEN outside = 1 THEN d ELSE 0 END, k) AS n FROM x) WHERE n = 1"""),
-    "band_counts": (band_counts, f"""{_S}, x AS (SELECT seg.room, k, count_if(pt.e > seg.s AND pt.s < seg.e) AS a, count_if(pt.e > seg.s - 60 AND pt.s < seg.e + 60) AS b, count(*) AS c, min(greatest(0, seg.s - pt.e, pt.s - seg.e)) AS d
-          FROM seg JOIN pt ON seg.room = pt.room AND pt.e > seg.s - 300 AND pt.s < seg.e + 300 GROUP BY 1, 2)
+    "band_counts": (band_counts, f"""{_S}, x AS (SELECT seg.room, k, count_if(pt.e > seg.s AND pt.s < seg.e) AS a, count_if(pt.e > seg.s - 60 AND pt.s < seg.e + 60) AS b, count_if(pt.e > seg.s - 300 AND pt.s < seg.e + 300) AS c, min(greatest(0, seg.s - pt.e, pt.s - seg.e)) AS d
+          FROM seg JOIN pt ON seg.room = pt.room GROUP BY 1, 2)
         SELECT room, k AS seg_idx, coalesce(a, 0) AS within_0, coalesce(b, 0) AS within_60, coalesce(c, 0) AS within_300, coalesce(CAST(d AS DOUBLE), -1.0) AS nearest FROM seg LEFT JOIN x USING (room, k)"""),
     "merged_ranges": (merged_ranges, f"{_S}, a AS ({_MERGE.format(k='room', t='seg')}) SELECT room, s AS t_start, e AS t_end FROM a"),
     "union_lengths": (union_lengths, f"{_S}, a AS ({_MERGE.format(k='room, speaker', t='seg')}) SELECT room, speaker, sum(e - s) AS covered FROM a GROUP BY 1, 2"),
-    "close_segments": (close_segments, f"""{_S}, a AS (SELECT *, lag(speaker) OVER q AS p, lag(e) OVER q AS pe FROM seg WINDOW q AS (PARTITION BY room ORDER BY s, e)),
-        b AS (SELECT *, sum(CASE WHEN p IS NULL OR p <> speaker OR s - pe >= 900 THEN 1 ELSE 0 END) OVER (PARTITION BY room ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS g FROM a)
-        SELECT room, any_value(speaker) AS speaker, min(s) AS t_start, max(e) AS t_end, count(*) AS n FROM b GROUP BY room, g"""),
-    "gap_sessions": (gap_sessions, f"""{_S}, a AS (SELECT *, lag(e) OVER (PARTITION BY room ORDER BY i) AS pe FROM pt), b AS (SELECT *, sum(CASE WHEN pe IS NULL OR s - pe > 7200 THEN 1 ELSE 0 END) OVER (PARTITION BY room ORDER BY i) AS g FROM a)
-        SELECT room, min(s) AS t_start, max(e) AS t_end, count(*) AS n_words FROM b GROUP BY room, g"""),
+    "close_segments": (close_segments, f"""WITH RECURSIVE {SEGMENTS_SQL}, n AS (SELECT *, row_number() OVER (PARTITION BY room ORDER BY s, k) AS r FROM seg),
+        f AS (SELECT room, r, speaker, e AS reach, 1 AS g, s, e FROM n WHERE r = 1 UNION ALL
+          SELECT n.room, n.r, n.speaker, CASE WHEN n.speaker = f.speaker AND n.s - f.reach < 900 THEN greatest(f.reach, n.e) ELSE n.e END, f.g + CASE WHEN n.speaker = f.speaker AND n.s - f.reach < 900 THEN 0 ELSE 1 END, n.s, n.e FROM f JOIN n ON n.room = f.room AND n.r = f.r + 1)
+        SELECT room, any_value(speaker) AS speaker, min(s) AS t_start, max(e) AS t_end, count(*) AS n FROM f GROUP BY room, g"""),
+    "gap_sessions": (gap_sessions, f"""WITH RECURSIVE {SEGMENTS_SQL}, n AS (SELECT room, s, CASE WHEN i % 9 < 6 THEN 'A' ELSE 'B' END AS sp, CASE WHEN i % 4 > 1 THEN NULL ELSE e END AS e, row_number() OVER (PARTITION BY room ORDER BY i) AS r FROM pt),
+        f AS (SELECT room, r, sp, s AS began, e AS known, 1 AS g FROM n WHERE r = 1 UNION ALL
+          SELECT n.room, n.r, n.sp, CASE WHEN n.sp <> f.sp OR coalesce(n.s - f.known > 3600, false) THEN n.s ELSE f.began END, CASE WHEN n.sp <> f.sp OR coalesce(n.s - f.known > 3600, false) THEN n.e ELSE coalesce(n.e, f.known) END,
+            f.g + CASE WHEN n.sp <> f.sp OR coalesce(n.s - f.known > 3600, false) THEN 1 ELSE 0 END FROM f JOIN n ON n.room = f.room AND n.r = f.r + 1)
+        SELECT room, any_value(sp) AS speaker, min(began) AS t_start, coalesce(arg_max(known, r), -1.0) AS t_end, count(*) AS n_words FROM f GROUP BY room, g"""),
     "overlap_matrix": (overlap_matrix, _OVERLAPS + " SELECT room, a_speaker, b_speaker, overlap FROM o"),
-    "assigned_labels": (assigned_labels, _OVERLAPS + """, s AS (SELECT DISTINCT room, a_speaker AS x FROM o), c AS (SELECT DISTINCT room, b_speaker AS y FROM o),
-        f AS (SELECT s.room, x, y, coalesce(overlap, 0) AS v FROM s JOIN c USING (room) LEFT JOIN o ON o.room = s.room AND o.a_speaker = x AND o.b_speaker = y),
-        n AS (SELECT room, x, y, v, dense_rank() OVER (PARTITION BY room ORDER BY x) AS i FROM f),
-        p AS (SELECT a.room, a.v + coalesce(b.v, 0) AS total FROM n a LEFT JOIN n b ON a.room = b.room AND b.i = 2 AND a.y <> b.y WHERE a.i = 1)
-        SELECT room, max(total) AS total FROM p GROUP BY room"""),
+    "assigned_labels": (assigned_labels, _OVERLAPS + """, n AS (SELECT *, dense_rank() OVER (PARTITION BY room ORDER BY a_speaker) AS i, 1 << (dense_rank() OVER (PARTITION BY room ORDER BY b_speaker) - 1) AS bit FROM o),
+        pick AS (SELECT DISTINCT room, 0 AS i, 0::BIGINT AS used, 0.0::DOUBLE AS total FROM n UNION ALL
+          SELECT p.room, p.i + 1, p.used | z.bit, p.total + z.v FROM pick p JOIN (SELECT room, i, bit::BIGINT AS bit, overlap AS v FROM n UNION ALL SELECT DISTINCT room, i, 0::BIGINT, 0.0::DOUBLE FROM n) z ON z.room = p.room AND z.i = p.i + 1 AND p.used & z.bit = 0)
+        SELECT room, max(total) AS total FROM pick GROUP BY room"""),
     "clipped_words": (clipped_words, f"{_S} SELECT room, i AS word_idx, s AS t_start, least(CASE WHEN i % 4 = 0 THEN 1704240000.0::DOUBLE ELSE e END, 1704240000.0::DOUBLE) AS t_end FROM pt WHERE s >= 1704153600 AND s < 1704240000"),
-    "covered_turns": (covered_turns, f"""{_S}, a AS (SELECT *, lead(s) OVER (PARTITION BY room ORDER BY k) AS nx FROM seg WHERE s < 1705000000), b AS (SELECT *, lead(nx) OVER (PARTITION BY room ORDER BY k) IS NULL AS final FROM a WHERE nx IS NOT NULL)
-        SELECT room, k AS seg_idx, s AS t_start, CASE WHEN final THEN least(nx, e) ELSE e END AS t_end FROM b"""),
+    "covered_turns": (covered_turns, f"""{_S}, a AS (SELECT *, arg_min(s, k) OVER (PARTITION BY room) AS f, arg_max(s, k) OVER (PARTITION BY room) AS t FROM seg),
+        b AS (SELECT *, CASE WHEN t - f > 43200 THEN f + 43200 ELSE t END AS lim FROM a WHERE t > f), c AS (SELECT * FROM b WHERE t - f <= 43200 OR s < lim),
+        d AS (SELECT *, row_number() OVER (PARTITION BY room ORDER BY k DESC) AS back, arg_max(s, k) OVER (PARTITION BY room) AS gone FROM c)
+        SELECT room, k AS seg_idx, s AS t_start, CASE WHEN back = 2 THEN least(gone, lim) ELSE e END AS t_end FROM d WHERE back > 1"""),
     "coverage_shares": (coverage_shares, f"{_S} SELECT room, least(max(s - 1704067200) / 2592000.0::DOUBLE, 1.0) AS coverage FROM seg GROUP BY room"),
     "outcome_sets": (outcome_sets, f"""{_S}, a AS (SELECT *, e - s AS d, lag(e - s) OVER (PARTITION BY room ORDER BY s, k) AS pd FROM seg),
         b AS (SELECT speaker, d, CASE WHEN d < 900 THEN '<900s' WHEN d < 1900 THEN '<1900s' WHEN d < 3100 THEN '<3100s' ELSE '3100s+' END AS length,
           CASE WHEN pd IS NULL THEN 'first' WHEN pd < 900 THEN '<900s' WHEN pd < 1900 THEN '<1900s' WHEN pd < 3100 THEN '<3100s' ELSE '3100s+' END AS before FROM a)
         SELECT coalesce(length, '-') AS length, coalesce(before, '-') AS before, coalesce(speaker, '-') AS speaker, count(*) AS turns, count_if(d > 2000) AS long FROM b GROUP BY GROUPING SETS ((), (length), (before), (speaker), (length, before))"""),
-    "assign_nearest_whole": (assign_nearest_whole, None),
-    "nearest_turn_whole": (nearest_turn_whole, None),
     "diarization_errors": (diarization_errors, None),
     "diarization_errors_collar": (diarization_errors_collar, None),
 }

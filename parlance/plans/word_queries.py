@@ -83,8 +83,12 @@ def word_error_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def error_taxonomy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Steps of the edit paths by kind; their sum over the reference's words is the pooled error rate."""
-    steps = align.edit_steps(_pairs(spark, sf_dir), ["conv_id", "turn"]).where("tag <> 'hit'")
-    kind = F.when(F.col("tag") == "delete", "deletion").when(F.col("tag") == "insert", F.when(F.col("hyp_token").isin(T.BACKCHANNELS), "backchannel").when(F.col("hyp_token").isin(T.DISCOURSE), "discourse marker").otherwise("other insertion"))
+    pairs = _pairs(spark, sf_dir)
+    steps = align.edit_steps(pairs, ["conv_id", "turn"]).where("tag <> 'hit'").join(pairs.select("conv_id", "turn", "hyp"), ["conv_id", "turn"])
+    again = F.lit(False)
+    for k in (-2, -1, 1, 2):
+        again = again | F.coalesce(F.get("hyp", F.col("j") + k) == F.col("hyp_token"), F.lit(False))
+    kind = F.when(F.col("tag") == "delete", "deletion").when(F.col("tag") == "insert", F.when(again, "repetition").when(F.col("hyp_token").isin(T.BACKCHANNELS), "backchannel").when(F.col("hyp_token").isin(T.DISCOURSE), "discourse marker").otherwise("other insertion"))
     return steps.groupBy(F.when(F.col("tag") == "substitute", F.when(T.near_miss(F.col("ref_token"), F.col("hyp_token")), "near-miss").otherwise("different word")).otherwise(kind).alias("kind")).agg(F.count("*").alias("n"))
 
 

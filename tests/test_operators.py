@@ -1,5 +1,6 @@
 """Golden vectors of the transcript operators."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from parlance.functions import text as T
@@ -10,12 +11,11 @@ BY = ["v"]
 
 
 def _words(spark, runs):
-    rows, k = [], 0
-    for speaker, n in runs:
-        for _ in range(n):
-            rows.append((1, k, f"w{k}", float(k), float(k) + 1, speaker))
-            k += 1
-    return spark.createDataFrame(rows, "v int, word_idx long, word string, start double, end double, speaker string")
+    """Words of a second each, ``n`` for each (speaker, n)."""
+    parts = spark.createDataFrame([(k, who, n) for k, (who, n) in enumerate(runs)], "part int, speaker string, n int")
+    each = parts.select("part", "speaker", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("k")).where("n > 0")
+    at = F.row_number().over(Window.orderBy("part", "k")) - 1
+    return each.select(F.lit(1).alias("v"), at.cast("long").alias("word_idx"), F.concat(F.lit("w"), at.cast("string")).alias("word"), at.cast("double").alias("start"), (at + 1).cast("double").alias("end"), "speaker")
 
 
 def _segments(spark, rows):
@@ -173,7 +173,12 @@ def test_repair(spark):
     shown = repair.apply_labels(named, spark.createDataFrame([(1, 0, "NAME")], "v int, word_idx long, label string"), BY)
     assert {r["word"] for r in shown.collect()} == {"[NAME]'s,", "said"}
     pairs = spark.createDataFrame([(1, list("abc"), ["X", "X", "Y"], list("zabqc"))], "v int, ref array<string>, speakers array<string>, hyp array<string>")
-    assert [r["speaker"] for r in repair.attach_speakers(pairs, BY).orderBy("word_idx").collect()] == ["X", "X", "X", "X", "Y"]
+    got = repair.attach_speakers(pairs, BY)
+    assert [(r["speaker"], r["origin"]) for r in got.where("word_idx is not null").orderBy("word_idx").collect()] == [("X", "inserted"), ("X", "matched"), ("X", "matched"), ("X", "inserted"), ("Y", "matched")]
+    assert [r["dropped"] for r in got.where("word_idx is null").collect()] == [0]
+    pairs = spark.createDataFrame([(1, [], [], ["a"]), (2, ["x", "y"], ["P", "Q"], ["a"]), (3, ["x", "y"], ["P", "Q"], [])], "v int, ref array<string>, speakers array<string>, hyp array<string>")
+    got = {(r["v"], r["word_idx"]): (r["speaker"], r["origin"], r["dropped"]) for r in repair.attach_speakers(pairs, BY).collect()}
+    assert got == {(1, 0): ("UNKNOWN", "inserted", None), (1, None): (None, None, 0), (2, 0): ("P", "matched", None), (2, None): (None, None, 0), (3, None): (None, None, 2)}
 
 
 def test_nearest_over_whole_tables(spark, tmp_path):
@@ -184,7 +189,7 @@ def test_nearest_over_whole_tables(spark, tmp_path):
     from parlance.plans import derived, interval_queries
 
     rng = random.Random(4)
-    rows = [(k, 7 if k in (1, 2) else rng.randrange(2), datetime(2024, 1, 1) + timedelta(seconds=600 * rng.randrange(30 * 144))) for k in range(600)]
+    rows = [(k, 70 if k in (1, 2) else rng.randrange(2), datetime(2024, 1, 1) + timedelta(seconds=600 * rng.randrange(30 * 144))) for k in range(600)]
     spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp_ntz").write.parquet(f"{tmp_path}/events.parquet")
     segs, points = derived.segments(spark, str(tmp_path)).collect(), derived.points(spark, str(tmp_path)).collect()
     turn, speaker = {}, {}
@@ -200,9 +205,9 @@ def test_nearest_over_whole_tables(spark, tmp_path):
         holds = [s for s in mine if p["end"] <= p["start"] and s["start"] <= p["start"] <= s["end"]]
         near = min(mine, key=lambda s: (abs((p["start"] + p["end"]) / 2 - (s["start"] + s["end"]) / 2), s["seg_idx"]), default={"speaker": "UNKNOWN"})
         speaker[p["word_idx"]] = max(shared, key=lambda w: (shared[w], -at[w])) if shared else min(holds, key=lambda s: s["seg_idx"])["speaker"] if holds else near["speaker"]
-    assert {r["point"]: r["seg_idx"] for r in interval_queries.QUERIES["nearest_turn_whole"][0](spark, str(tmp_path)).collect()} == turn
-    assert {r["word_idx"]: r["speaker"] for r in interval_queries.QUERIES["assign_nearest_whole"][0](spark, str(tmp_path)).collect()} == speaker
-    assert len(speaker) == 400 and len(turn) == 398
+    assert {r["point"]: r["seg_idx"] for r in interval_queries.QUERIES["nearest_turn"][0](spark, str(tmp_path)).collect()} == turn
+    assert {r["word_idx"]: r["speaker"] for r in interval_queries.QUERIES["assign_nearest"][0](spark, str(tmp_path)).collect()} == speaker
+    assert len(speaker) == 400 and {1, 2}.isdisjoint(turn)
 
 
 def test_diarization_errors_of_all_days(spark, tmp_path):
@@ -213,7 +218,7 @@ def test_diarization_errors_of_all_days(spark, tmp_path):
 
     rows = [(3, 0, datetime(2024, 1, 1)), (6, 0, datetime(2024, 1, 29)), (21, 0, datetime(2024, 1, 30))]
     spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp_ntz").write.parquet(f"{tmp_path}/events.parquet")
-    got = {n: interval_queries.QUERIES[n][0](spark, str(tmp_path)).first() for n in ("diarization_errors", "diarization_errors_collar")}
+    got = {n: interval_queries.QUERIES[n][0](spark, str(tmp_path)).agg(*[F.sum(c).alias(c) for c in ("missed", "false_alarm", "confusion", "total")]).first() for n in ("diarization_errors", "diarization_errors_collar")}
     e = got["diarization_errors"]
     assert (e["missed"], e["false_alarm"], e["confusion"], e["total"]) == (60 + 60 + 600, 0, 0, 2400 + 4200 + 600)
     e = got["diarization_errors_collar"]
@@ -282,3 +287,65 @@ def test_attached_speakers_of_all_turns(spark, tmp_path):
     got = [r["speaker"] for r in repair_queries.attached_speakers(spark, str(tmp_path)).orderBy("word_idx").collect()]
     assert len(got) == sum(i % 11 > 0 for i in range(108))
     assert set(got[len(got) - 10 :]) == {"assistant"}
+
+
+def test_covered_turns(spark):
+    """The cap counts from the first start; the last kept turn ends where the one that went starts."""
+    t = _segments(spark, [("A", 100, 105), ("B", 110, 115), ("A", 130, 140), ("B", 200, 210)])
+    got = lambda cap: [(r["start"], r["end"]) for r in intervals.covered_turns(t, BY, cap).orderBy("seg_idx").collect()]
+    assert got(None) == [(100, 105), (110, 115), (130, 200)]
+    assert got(50) == [(100, 105), (110, 130)] and got(10) == [] and got(1000) == got(None)
+    assert intervals.covered_turns(_segments(spark, [("A", 5, 6), ("B", 5, 9)]), BY).count() == 0
+
+
+def test_nearest_word_at_any_distance(spark):
+    turns = _segments(spark, [("A", 0, 10), ("A", 100, 110), ("A", 55, 60)])
+    words = spark.createDataFrame([(1, 0, 20.0, 51.0), (1, 1, 30.0, 31.0), (1, 2, 109.0, 112.0), (1, 3, None, 5.0)], "v int, word_idx long, start double, end double")
+    assert [r["nearest"] for r in intervals.nearest_word(turns, words, BY).orderBy("seg_idx").collect()] == [10, 0, 4]
+    assert [r["nearest"] for r in intervals.band_counts(turns, words, BY).orderBy("seg_idx").collect()] == [10, 0, 4]
+    assert [r["nearest"] for r in intervals.nearest_word(turns, words.limit(0), BY).collect()] == [None] * 3
+
+
+def test_close_segments_within_a_long_one(spark):
+    t = _segments(spark, [("A", 0, 100), ("A", 10, 20), ("A", 100.2, 110), ("A", 111, 112), ("B", 112, 113), ("A", 112.1, 114)])
+    assert [(r["start"], r["end"]) for r in islands.merge_close(t, BY).orderBy("seg").collect()] == [(0, 110), (111, 112), (112, 113), (112.1, 114)]
+
+
+def test_paused_turns_with_unknown_ends(spark):
+    rows = [(0, 1, "A"), (1.5, None, "B"), (5, 6, "B"), (9, None, "B"), (30, None, "B"), (31, 32, "B"), (33, 34, "B")]
+    w = spark.createDataFrame([(1, k, float(s), e and float(e), who) for k, (s, e, who) in enumerate(rows)], "v int, word_idx long, start double, end double, speaker string")
+    got = [(r["start"], r["end"], r["n_words"]) for r in islands.paused_turns(w, BY).orderBy("turn").collect()]
+    assert got == [(0, 1, 1), (1.5, 6, 2), (9, 34, 4)]
+
+
+def test_overlap_of_a_side_with_itself(spark):
+    both = lambda x, y: [r["overlap"] for r in intervals.overlap_lengths(_segments(spark, [("A", *s) for s in x]), _segments(spark, [("X", *s) for s in y]), BY).collect()]
+    assert both([(0, 4), (2, 10)], [(1, 9)]) == [10]
+    assert both([(0, 10), (1, 2)], [(0, 1.5), (3, 4)]) == [2.5]
+    assert both([(0, 1)], [(1, 2)]) == []
+
+
+def test_captions_with_unknown_ends(spark):
+    rows = [("a", 0.0, 1.0, "A"), ("b", 1.0, None, "A"), ("c", 2.0, 3.0, "A"), ("d", 3.0, None, "A"), ("e", 5.0, None, "A"), ("f", None, None, "B"), (" ", 9.0, 9.5, "A")]
+    w = spark.createDataFrame([(1, k, *r) for k, r in enumerate(rows)], "v int, word_idx long, word string, start double, end double, speaker string")
+    got = [(r["speaker"], r["start"], r["end"], r["text"]) for r in folds.caption_cues(w, BY).orderBy("cue").collect()]
+    assert got == [("A", 0, 3, "a b c d"), ("A", 5, 5, "e"), ("B", 0, None, "f")]
+
+
+def test_error_taxonomy_knows_repetitions(spark, tmp_path):
+    from parlance.plans import word_queries
+
+    pairs = spark.createDataFrame([(1, 0, ["a", "b", "yeah"], ["a", "a", "b", "like", "x"])], "conv_id long, turn int, ref array<string>, hyp array<string>")
+    before = word_queries._pairs
+    try:
+        word_queries._pairs = lambda *a: pairs
+        got = {r["kind"]: r["n"] for r in word_queries.error_taxonomy(spark, "").collect()}
+    finally:
+        word_queries._pairs = before
+    assert got["repetition"] == 1 and got.get("discourse marker", 0) + got.get("other insertion", 0) == 1
+
+
+def test_exposed_spans(spark):
+    spans = spark.createDataFrame([(1, 0, 2), (1, 600, 1200), (1, 5, 5), (2, 0, 2)], "v int, first long, last long")
+    covers = spark.createDataFrame([(1, 2, 4), (1, 1199, 1300), (2, 1, 2), (2, 7, 7)], "v int, first long, last long")
+    assert sorted(tuple(r) for r in intervals.exposed(spans, covers, BY).collect()) == [(1, 0, 2), (1, 5, 5)]
