@@ -211,11 +211,12 @@ def assign_labels(overlaps: DataFrame, by: list[str]) -> DataFrame:
     return overlaps.select(*by, "a_speaker", "b_speaker", F.col("overlap").cast("double").alias("overlap")).groupBy(*by).applyInPandas(_assign, schema)
 
 
-def error_rate(reference: DataFrame, hypothesis: DataFrame, by: list[str], mapping: DataFrame, collar: float = 0.0) -> DataFrame:
+def error_rate(reference: DataFrame, hypothesis: DataFrame, by: list[str], mapping: DataFrame, collar: float = 0.0, skip_overlap: bool = False) -> DataFrame:
     """Missed, false and confused time and the total of the reference, from a sweep over the boundaries of both sides.
 
     ``mapping`` (by, a_speaker, b_speaker) says which hypothesis speaker stands for which
-    reference speaker.  ``collar`` takes out half of it on either side of each reference boundary.
+    reference speaker.  ``collar`` takes out half of it on either side of each reference boundary, ``skip_overlap`` where several
+    reference speakers talk at once.
     """
     ref = reference.select(*by, F.col("speaker").alias("a_speaker"), "start", "end").where("end > start")
     hyp = hypothesis.select(*by, F.col("speaker").alias("b_speaker"), "start", "end").where("end > start")
@@ -233,6 +234,8 @@ def error_rate(reference: DataFrame, hypothesis: DataFrame, by: list[str], mappi
     each = held.groupBy(*by, "l_start", "l_end").agg(
         F.collect_set(F.when(F.col("side") == "r", F.col("speaker"))).alias("r"), F.collect_set(F.when(F.col("side") == "h", F.col("speaker"))).alias("h"), F.count_if(F.col("side") == "c").alias("cut")
     ).where("cut = 0")
+    if skip_overlap:
+        each = each.where("size(r) < 2")
     length, r, h = F.col("l_end") - F.col("l_start"), F.size("r"), F.size("h")
     right = F.size(F.array_intersect("r", "h"))
     return each.groupBy(*by).agg(

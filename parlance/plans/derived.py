@@ -35,6 +35,20 @@ def system_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.withColumn("word", F.when(F.col("word_idx") % 7 == 0, "zz").otherwise(F.col("word"))).withColumn("speaker", F.when(F.col("word_idx") % 17 == 0, other).otherwise(F.col("speaker")))
 
 
+def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """conv_id, seg_idx, speaker, start, end, text: the human turns."""
+    each = words(spark, sf_dir).groupBy("conv_id", "turn").agg(
+        F.first("speaker").alias("speaker"), F.min("start").alias("start"), F.max("end").alias("end"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("word_idx", "word"))), lambda x: x["word"]), " ").alias("text")
+    )
+    return each.select("conv_id", F.col("turn").cast("long").alias("seg_idx"), "speaker", "start", "end", "text")
+
+
+def heard_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The other system's words without every fifth turn, under its own labels, every 23rd word without one."""
+    label = F.when(F.col("word_idx") % 23 == 0, F.lit(None)).when(F.col("speaker") == "user", "X").otherwise("Y")
+    return system_words(spark, sf_dir).where("turn % 5 <> 3").withColumn("speaker", label)
+
+
 def marked_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words with placeholders, events and fillers at fixed indexes."""
     i = F.col("word_idx")
@@ -70,6 +84,34 @@ h AS (SELECT conv_id, turn, CASE WHEN i % 17 = 0 THEN CASE WHEN speaker = 'user'
 m AS (SELECT conv_id, turn, speaker, CASE WHEN i % 19 < 2 THEN '[DATE].' WHEN i % 23 = 5 THEN '[UM]' WHEN i % 13 = 4 THEN 'um' WHEN i % 29 = 7 THEN 'yeah'
              WHEN i % 31 = 8 THEN 'like' WHEN i % 37 = 9 THEN 'maybe' ELSE word END AS word, i, s, e FROM w)"""
 
+#: Human turns (tr) and what the other system heard of them (hh).
+TURNS_SQL = r"""
+tr AS (SELECT conv_id, CAST(turn AS BIGINT) AS k, any_value(speaker) AS speaker, min(s) AS s, max(e) AS e, string_agg(word, ' ' ORDER BY i) AS text FROM w GROUP BY conv_id, turn),
+hh AS (SELECT conv_id, CASE WHEN i % 23 = 0 THEN 'UNKNOWN' WHEN speaker = 'user' THEN 'X' ELSE 'Y' END AS speaker, word, i, s, e FROM h WHERE turn % 5 <> 3)"""
+
+
+def assignment_sql(overlaps: str, name: str) -> str:
+    """CTEs that end in ``name`` (p, a, b): the one-to-one assignment with the largest total of ``overlaps`` (p, a, b, v).  Needs WITH RECURSIVE."""
+    return f"""
+{name}_n AS (SELECT *, dense_rank() OVER (PARTITION BY p ORDER BY a) AS i, 1 << (dense_rank() OVER (PARTITION BY p ORDER BY b) - 1) AS bit FROM {overlaps}),
+{name}_pick AS (SELECT DISTINCT p, 0 AS i, 0::BIGINT AS used, 0.0::DOUBLE AS total, CAST([] AS VARCHAR[]) AS chosen FROM {name}_n UNION ALL
+  SELECT x.p, x.i + 1, x.used | z.bit, x.total + z.v, CASE WHEN z.bit = 0 THEN x.chosen ELSE list_append(x.chosen, z.a || '|' || z.b) END
+  FROM {name}_pick x JOIN (SELECT p, i, bit::BIGINT AS bit, v, a, b FROM {name}_n UNION ALL SELECT DISTINCT p, i, 0::BIGINT, 0.0::DOUBLE, '', '' FROM {name}_n) z ON z.p = x.p AND z.i = x.i + 1 AND x.used & z.bit = 0),
+{name}_best AS (SELECT p, unnest(arg_max(chosen, total)) AS c FROM {name}_pick GROUP BY p),
+{name} AS (SELECT p, split_part(c, '|', 1) AS a, split_part(c, '|', 2) AS b FROM {name}_best)"""
+
+
+def distance_sql(pairs: str, name: str) -> str:
+    """CTEs that end in ``name`` (p, errors): the edit distance of the token lists r and q of ``pairs`` (p, r, q), a row of distances at a time.  Needs WITH RECURSIVE."""
+    return f"""
+{name}_r AS (SELECT p, unnest(range(1, len(r) + 1)) AS i, unnest(r) AS t FROM {pairs}), {name}_q AS (SELECT p, unnest(range(1, len(q) + 1)) AS j, unnest(q) AS t FROM {pairs}),
+{name}_dp AS (SELECT p, 0::BIGINT AS i, j, j AS v FROM (SELECT p, unnest(range(0, len(q) + 1)) AS j FROM {pairs}) UNION ALL
+  SELECT p, i, j, j + min(t - j) OVER (PARTITION BY p ORDER BY j ROWS UNBOUNDED PRECEDING) FROM (
+    SELECT d.p, x.i, d.j, least(d.v + 1, coalesce(lag(d.v) OVER (PARTITION BY d.p ORDER BY d.j) + CASE WHEN x.t = y.t THEN 0 ELSE 1 END, d.v + 1)) AS t
+    FROM {name}_dp d JOIN {name}_r x ON d.p = x.p AND x.i = d.i + 1 LEFT JOIN {name}_q y ON d.p = y.p AND y.j = d.j)),
+{name} AS (SELECT d.p, d.v AS errors FROM {name}_dp d JOIN {pairs} x ON d.p = x.p AND d.i = len(x.r) AND d.j = len(x.q))"""
+
+
 SEGMENTS_SQL = r"""
 seg AS (SELECT user_id // 10 * 1000 + CAST(floor(floor(epoch_us(ts) / 1000000) / 86400) AS BIGINT) - 19723 AS room, event_id AS k, 'S' || CAST(user_id % 4 AS VARCHAR) AS speaker, CAST(floor(epoch_us(ts) / 1000000) AS DOUBLE) AS s,
                CAST(floor(epoch_us(ts) / 1000000) AS DOUBLE) + (event_id % 7 + 1) * 600 AS e FROM events WHERE event_id % 3 = 0),
