@@ -49,6 +49,18 @@ def heard_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return system_words(spark, sf_dir).where("turn % 5 <> 3").withColumn("speaker", label)
 
 
+def alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """conv_id, i1, i2, j1, j2: blocks of both transcripts' places, as they are known here: stretches that are kept, and lost words."""
+    w = words(spark, sf_dir).select("conv_id", F.col("word_idx").alias("i"), (F.col("word_idx") - F.floor(F.col("word_idx") / 11) - 1).alias("j"))
+    kept = w.where("i % 11 <> 0").groupBy("conv_id", (F.col("i") - F.col("j")).alias("off")).agg(F.min("i").alias("i1"), (F.max("i") + 1).alias("i2"), F.min("j").alias("j1"), (F.max("j") + 1).alias("j2")).drop("off")
+    return kept.union(w.where("i % 11 = 0").select("conv_id", "i", F.col("i") + 1, F.col("j") + 1, F.col("j") + 1))
+
+
+def placed_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """System words with j, their place among the words that are kept."""
+    return system_words(spark, sf_dir).withColumn("j", F.col("word_idx") - F.floor(F.col("word_idx") / 11) - 1)
+
+
 def marked_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words with placeholders, events and fillers at fixed indexes."""
     i = F.col("word_idx")
@@ -84,6 +96,12 @@ h AS (SELECT conv_id, turn, CASE WHEN i % 17 = 0 THEN CASE WHEN speaker = 'user'
 m AS (SELECT conv_id, turn, speaker, CASE WHEN i % 19 < 2 THEN '[DATE].' WHEN i % 23 = 5 THEN '[UM]' WHEN i % 13 = 4 THEN 'um' WHEN i % 29 = 7 THEN 'yeah'
              WHEN i % 31 = 8 THEN 'like' WHEN i % 37 = 9 THEN 'maybe' ELSE word END AS word, i, s, e FROM w)"""
 
+#: Blocks of both transcripts (bl), and the other's words with their places (hj).
+ALIGN_SQL = r"""
+hj AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY i) - 1 AS j FROM h),
+bl AS (SELECT conv_id, min(i) AS i1, max(i) + 1 AS i2, min(j) AS j1, max(j) + 1 AS j2 FROM hj GROUP BY conv_id, i - j
+       UNION ALL SELECT w.conv_id, w.i, w.i + 1, (SELECT count(*) FROM h x WHERE x.conv_id = w.conv_id AND x.i < w.i), (SELECT count(*) FROM h x WHERE x.conv_id = w.conv_id AND x.i < w.i) FROM w WHERE w.i % 11 = 0)"""
+
 #: Human turns (tr) and what the other system heard of them (hh).
 TURNS_SQL = r"""
 tr AS (SELECT conv_id, CAST(turn AS BIGINT) AS k, any_value(speaker) AS speaker, min(s) AS s, max(e) AS e, string_agg(word, ' ' ORDER BY i) AS text FROM w GROUP BY conv_id, turn),

@@ -349,3 +349,134 @@ def test_exposed_spans(spark):
     spans = spark.createDataFrame([(1, 0, 2), (1, 600, 1200), (1, 5, 5), (2, 0, 2)], "v int, first long, last long")
     covers = spark.createDataFrame([(1, 2, 4), (1, 1199, 1300), (2, 1, 2), (2, 7, 7)], "v int, first long, last long")
     assert sorted(tuple(r) for r in intervals.exposed(spans, covers, BY).collect()) == [(1, 0, 2), (1, 5, 5)]
+
+
+def _turns(spark, rows):
+    return spark.createDataFrame([(1, k, who, float(s), None if e is None else float(e), text) for k, (who, s, e, text) in enumerate(rows)], "v int, seg_idx long, speaker string, start double, end double, text string")
+
+
+def _said(spark, rows):
+    return spark.createDataFrame([(1, k, word, s, e, who) for k, (word, s, e, who) in enumerate(rows)], "v int, word_idx long, word string, start double, end double, speaker string")
+
+
+def test_streams_and_strays(spark):
+    from parlance.operators import streams
+
+    t = _turns(spark, [("A:", 0, 4, "one two three four five"), ("S2:", 4, 5, "um yes"), ("A:", 5, None, "six")])
+    ref = streams.reference_streams(t, BY)
+    got = {r["speaker"]: (r["text"], [tuple(s) for s in r["spans"]]) for r in ref.collect()}
+    assert got == {"A:": ("one two three four five six", [(0, 4), (5, 5)]), "S2:": ("um yes", [(4, 5)])}
+    assert [(r["speaker"], r["strays"]) for r in streams.without_strays(ref, BY).collect()] == [("A:", 1)]
+    assert sorted((r["speaker"], r["strays"]) for r in streams.without_strays(ref, BY, 50).collect()) == [("A:", 0), ("S2:", 0)]
+
+
+def test_stream_scores(spark):
+    """A bad match costs no more than a missing one; streams without words are no streams."""
+    from parlance.operators import streams
+
+    ref = spark.createDataFrame([(1, "A", "one", []), (1, "B", "two three", []), (1, "C", "um", []), (1, "D", "four", [])], "v int, speaker string, text string, spans array<struct<start:double,end:double>>")
+    hyp = spark.createDataFrame([(1, "x", "a b c d", []), (1, "y", "two four", []), (1, "z", "um", [])], "v int, speaker string, text string, spans array<struct<start:double,end:double>>")
+    mapping = spark.createDataFrame([(1, "A", "x"), (1, "B", "y"), (1, "D", "z")], "v int, a_speaker string, b_speaker string")
+    scores = streams.stream_scores(ref, hyp, mapping, BY)
+    assert {r["speaker"]: (r["raw"], r["capped"]) for r in scores.collect()} == {"A": (4, 1), "B": (0.5, 0.5), "D": (1, 1)}
+    m = streams.stream_means(scores, BY).first()
+    assert (m["streams"], round(m["swer"], 9), round(m["swer_uncapped"], 9)) == (3, round(2.5 / 3, 9), round(5.5 / 3, 9))
+
+
+def test_words_of_unmatched_speakers(spark):
+    from parlance.operators import streams
+
+    t = _turns(spark, [("A", 0, 10, "a"), ("B", 10, 20, "b")])
+    w = _said(spark, [("a", 1.0, 2.0, "x"), ("b", 11.0, 12.0, "y"), ("c", 9.0, 12.0, None), ("d", 30.0, 31.0, "third"), ("e", None, 5.0, "third")])
+    mapping = spark.createDataFrame([(1, "A", "x"), (1, "B", "y")], "v int, a_speaker string, b_speaker string")
+    got = [(r["speaker"], r["moved"]) for r in streams.reassigned(w, streams.reference_streams(t, BY), mapping, BY).orderBy("word_idx").collect()]
+    assert got == [("x", False), ("y", False), ("y", True), ("y", True), ("third", False)]
+    assert streams.reassigned(w, streams.reference_streams(t, BY), mapping.limit(0), BY).where("moved").count() == 0
+
+
+def test_visit_scores(spark):
+    from parlance.operators import streams
+
+    t = _turns(spark, [("A", 0, 10, "one two three four five"), ("B", 10, 20, "six seven eight nine ten")])
+    w = [(x, float(k), k + 0.5, "x") for k, x in enumerate("one two three four five".split())] + [(x, 10.0 + k, 10.5 + k, "y") for k, x in enumerate("six seven eight wrong ten".split())]
+    r = streams.visit_scores(t, _said(spark, w), BY).first()
+    assert (r["wer"], r["wer_sub"], r["wer_del"], r["wer_ins"], r["wer_no_ins"], r["swer"], r["qtp"], r["phantom_streams"], r["unmatched_hyp_words"]) == (0.1, 0.1, 0, 0, 0.1, 0.1, 1, 0, 0)
+    assert r["der"] is not None and r["der_confusion"] == 0
+
+
+def test_attribution(spark):
+    """Of more predicted labels than true ones only the first by name can be read as any."""
+    from parlance.operators import streams
+
+    segs = _segments(spark, [("G", 0, 10)])
+    w = _said(spark, [("a", 1.0, 2.0, "p1"), ("b", 2.0, 3.0, "p2"), ("c", 3.0, 4.0, "p2"), ("d", 50.0, 51.0, "p2")])
+    assert tuple(streams.attribution(w, segs, BY).select("correct", "scored").first()) == (1, 3)
+
+
+def test_variants_leave_out_overlap(spark):
+    from parlance.operators import streams
+
+    ref, hyp = _segments(spark, [("A", 0, 10), ("B", 8, 12)]), _segments(spark, [("A", 0, 12)])
+    same = spark.createDataFrame([(1, "A", "A")], "v int, a_speaker string, b_speaker string")
+    got = {r["variant"]: (r["missed"], r["confusion"], r["total"], r["der"]) for r in streams.diarization_variants(ref, hyp, BY, same, {"all": (0.0, False), "alone": (0.0, True)}).collect()}
+    assert got == {"all": (2, 2, 14, 4 / 14), "alone": (0, 2, 10, 0.2)}
+
+
+def test_turn_outcomes(spark):
+    from parlance.operators import outcomes
+
+    t = _turns(spark, [("A", 0, 1, "hello there"), ("B", 10, 11, "yes"), ("A", 30, 31, "[noise]"), ("B", 40, 50, "one one two")])
+    w = _said(spark, [("hello", 0.1, 0.4, "x"), ("there", 1.2, 1.4, "x"), ("one", 41.0, 42.0, "y"), ("three", 42.0, 43.0, "y"), ("yes", 13.0, 13.5, "y")])
+    got = {r["seg_idx"]: r for r in outcomes.turn_outcomes(t, w, BY).collect()}
+    pick = lambda k: (got[k]["recovered"], got[k]["recovered_wide"], got[k]["lost_entirely"], got[k]["nearest_word"], got[k]["content_lost"], got[k]["previous_bucket"])
+    assert pick(0) == (1.0, 1.0, False, None, False, "first turn") and pick(1) == (0.0, 1.0, True, 2.0, True, "<2s")
+    assert pick(2) == (None, None, True, 10.0, False, "<2s") and pick(3)[:2] == (0.3333, 0.3333)
+    whole = outcomes.summary(outcomes.turn_outcomes(t, w, BY)).where("length_bucket = '-' and previous_bucket = '-' and speaker = '-'").first()
+    assert (whole["turns"], whole["content_scored"], whole["lost_entirely"], whole["lost_with_distance"], whole["over_five"]) == (4, 3, 2, 2, 0.5)
+
+
+def test_corrections_of_a_model(spark):
+    """What an answer changes and why others are refused."""
+    from parlance.operators import corrections
+
+    said = [("right.", "A"), ("so", "A"), ("how", "A"), ("are", "A"), ("you?", "A"), ("fine", "B"), ("thanks", "B"), ("ok", "A")]
+    w = _said(spark, [(x, float(k), k + 0.5, who) for k, (x, who) in enumerate(said)])
+    kind = "v int, request int, first_run int, runs int, place int, turn int, text string, speaker string, action string, valid boolean, unreadable boolean"
+    rows = [
+        (0, "how are you", "B", "split"), (0, "How, are you?", "B", "split"), (0, "are you", "A", "split"), (1, "fine thanks", "A", "reassign"), (1, "thanks", "B", "split"), (1, "not said", "A", "split"),
+        (9, "ok", "B", "reassign"), (2, "ok", "nobody", "reassign"), (2, "  ", "B", "reassign"), (0, "so how", "B", "split"), (0, "right so how are you", "B", "split"),
+    ]
+    entries = [(1, 0, 0, 3, k, *r, True, False) for k, r in enumerate(rows)] + [(1, 0, 0, 3, 50, None, None, None, None, False, False), (1, 1, 0, 3, 0, None, None, None, None, None, True)]
+    got = corrections.corrected(w, spark.createDataFrame(entries, kind), BY, most=4)
+    assert {r["word_idx"]: r["new"] for r in got.where("word_idx is not null").collect()} == {2: "B", 3: "B", 4: "B", 5: "A", 6: "A"}
+    n = got.where("word_idx is null").first()["report"]
+    assert {k: v for k, v in n.items() if v} == {
+        "corrections_proposed": 12, "corrections_applied": 2, "applied_split": 1, "applied_reassign": 1, "words_moved": 5, "duplicate": 1, "rejected_speaker": 3, "unmatched": 3, "malformed": 1, "rejected_conflict": 1, "rejected_long": 1, "chunk_failures": 1,
+    }
+    none = corrections.corrected(w, spark.createDataFrame([], kind), BY)
+    assert none.where("word_idx is not null").count() == 0 and none.count() == 1
+
+
+def test_validated_replies(spark):
+    from parlance.operators import corrections
+
+    fixes = F.from_json(F.lit('[{"original":"two words"},{"original":"three words here"},{"original":""},{"original":"absent"}]'), "array<struct<original:string>>")
+    flags = F.from_json(F.lit('[{"reasoning":"says \\"no\\""},{"reasoning":"none"},{}]'), "array<struct<reasoning:string>>")
+    r = spark.range(1).select(corrections.held_corrections(fixes, F.lit("in two words, three words here")).alias("a"), corrections.reasoned_flags(flags).alias("b")).first()
+    assert [x["original"] for x in r["a"]] == ["two words"] and len(r["b"]) == 1
+
+
+def test_projection_equals_the_plain_one(spark):
+    import random
+
+    from parlance.operators import privacy
+
+    rng = random.Random(5)
+    ref = [rng.choice("abcdef") for _ in range(40)]
+    hyp = [x if rng.random() < 0.8 else "z" for x in ref if rng.random() < 0.9]
+    ops = [o[1:] for o in align.opcodes(ref, hyp)]
+    blocks = spark.createDataFrame([(1, *o) for o in ops], "v int, i1 int, i2 int, j1 int, j2 int")
+    spans = spark.createDataFrame([(1, a, a + n) for a in range(38) for n in (1, 2)], "v int, first int, last int")
+    assert {(r["first"], r["last"]): (r["low"], r["high"]) for r in privacy.projected(spans, blocks, BY).collect()} == {(a, a + n): align.project(ops, a, a + n) for a in range(38) for n in (1, 2)}
+    back = [(j1, j2, i1, i2) for i1, i2, j1, j2 in ops]
+    assert all((r["low"], r["high"]) == align.project(back, r["first"], r["last"]) for r in privacy.projected_back(spans.where("last < 30"), blocks, BY).collect())
