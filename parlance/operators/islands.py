@@ -110,6 +110,17 @@ def sentences(words: DataFrame, by: list[str], longest: int = 120) -> DataFrame:
     )
 
 
+def turn_spans(words: DataFrame, by: list[str], bridge: bool = False) -> DataFrame:
+    """by, run, speaker, start, end: timed words' runs of a speaker, in order of word_idx, to the last word's end; bridged, at least to the next run's first start."""
+    timed = words.where("start is not null and end is not null")
+    runs = (
+        islands(timed, by, ["word_idx"], _changes(by, ["word_idx"], "speaker"), "run").groupBy(*by, "run")
+        .agg(F.first("speaker").alias("speaker"), F.min_by("start", "word_idx").alias("start"), F.max_by("end", "word_idx").alias("end"))
+    )
+    follows = F.lead("start").over(Window.partitionBy(*by).orderBy("run"))
+    return runs.withColumn("end", F.greatest("end", F.coalesce(follows, "end"))) if bridge else runs
+
+
 def collapse_placeholders(tokens: DataFrame, by: list[str]) -> DataFrame:
     """Neighbouring ``[LABEL]`` tokens of one label as one span: by, first, last (half-open), label."""
     label = F.regexp_extract("word", r"\[([A-Z_]+)\]", 1)

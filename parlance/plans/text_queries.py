@@ -71,7 +71,7 @@ def near_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def leak_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Kinds of the capitalised phrases of documents, as if each were a readable identifier."""
-    found = D.table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"([A-Z][a-z]+(?: [A-Z0-9][a-z0-9]*)*|[0-9]+(?:[-/.][0-9]+)*)"), F.lit(1))).alias("surface"))
+    found = D.table(spark, sf_dir, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"([A-Z][a-z]+(?: [A-Z0-9][a-z0-9]*)*|[0-9]+(?:[-/.][0-9]+)*)"), F.lit(1))).alias("surface"))
     return found.groupBy(T.leak_kind(F.col("surface")).alias("kind"), F.coalesce(T.lexical_type(F.col("surface")), F.lit("none")).alias("type")).agg(F.count("*").alias("n"))
 
 
@@ -118,8 +118,8 @@ def session_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def replaced_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole-word, case-sensitive replacement and how often it was made."""
-    t = D.table(spark, sf_dir, "conversations").where("role = 'user'")
-    return t.select("conv_id", "turn", F.regexp_count("text", F.lit(r"(?<!\w)the(?!\w)")).alias("hits"), F.length(T.whole_word_replace(F.col("text"), "the", "one two")).alias("chars")).where("text is null or text rlike '^[ -~\n]*$'")
+    t = D.table(spark, sf_dir, "conversations")
+    return t.select("conv_id", "turn", F.regexp_count("text", F.lit(r"(?<!\w)the(?!\w)")).alias("hits"), F.length(T.whole_word_replace(F.col("text"), "the", "one two")).alias("chars"))
 
 
 _TEXT = r"(SELECT conv_id, turn, '[UM?] Um, don''t ' || regexp_replace(text, '\bthe\b', '{the}''s [x] ', 'g') AS t FROM conversations)"
@@ -165,7 +165,7 @@ QUERIES = {
     "near_misses": (near_misses, f"""WITH {WORDS_SQL}, x AS (SELECT conv_id, i, regexp_replace(lower(word), '[^a-z0-9'']', '', 'g') AS a FROM w), y AS (SELECT a, lead(a) OVER (PARTITION BY conv_id ORDER BY i) AS b FROM x),
         z AS (SELECT a, b, CASE WHEN length(a) <= length(b) THEN a ELSE b END AS lo, CASE WHEN length(a) <= length(b) THEN b ELSE a END AS hi FROM y WHERE a <> '' AND b <> '')
         SELECT a, b, count(*) AS n FROM z WHERE {_NEAR} GROUP BY 1, 2"""),
-    "leak_kinds": (leak_kinds, f"""WITH a AS (SELECT lower(trim(unnest(regexp_extract_all(text, '([A-Z][a-z]+(?: [A-Z0-9][a-z0-9]*)*|[0-9]+(?:[-/.][0-9]+)*)', 1)))) AS x FROM documents WHERE lang = 'en'),
+    "leak_kinds": (leak_kinds, f"""WITH a AS (SELECT lower(trim(unnest(regexp_extract_all(text, '([A-Z][a-z]+(?: [A-Z0-9][a-z0-9]*)*|[0-9]+(?:[-/.][0-9]+)*)', 1)))) AS x FROM documents),
         b AS (SELECT x, list_filter(string_split_regex(x, '\\s+'), lambda y: y <> '') AS ws FROM a), c AS (SELECT *, list_filter(list_transform(ws, lambda y: regexp_replace(y, '[^a-z0-9'']', '', 'g')), lambda y: y <> '') AS ts FROM b)
         SELECT CASE WHEN regexp_matches(x, '^[0-9\\s\\-/.]+$') THEN 'number' WHEN regexp_matches(x, '{_MONTHS}') OR regexp_matches(x, '\\b[0-9]{{1,2}}(st|nd|rd|th)\\b') THEN 'month or date'
           WHEN len(ws) = 1 THEN 'single word' WHEN len(ws) <= 3 THEN 'two or three words' ELSE 'longer phrase' END AS kind,
@@ -178,6 +178,6 @@ QUERIES = {
     "identifiers": (identifiers, _SPANS + ", s AS (SELECT conv_id, surface, bool_or(open) AS open FROM g GROUP BY 1, 2) SELECT conv_id, count(*) AS identifiers, count_if(open) AS readable FROM s GROUP BY conv_id"),
     "session_names": (session_names, """WITH a AS (SELECT conv_id, turn, 'Site_' || conv_id || '_interviewAudioTranscript_day0001_session00' || (turn % 3) AS stem FROM conversations)
         SELECT conv_id, turn, lower(replace(stem, '_interviewAudioTranscript', '')) AS stem, replace(stem, '_interviewAudioTranscript', '') AS name, regexp_extract(stem, '(day\\d+_session\\d+)', 1) AS timepoint FROM a"""),
-    "replaced_words": (replaced_words, r"""WITH a AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'user' AND regexp_matches(text, '^[ -~\n]*$'))
+    "replaced_words": (replaced_words, r"""WITH a AS (SELECT conv_id, turn, text FROM conversations)
         SELECT conv_id, turn, CAST(len(regexp_extract_all(text, '\bthe\b')) AS INTEGER) AS hits, CAST(length(regexp_replace(text, '\bthe\b', 'one two', 'g')) AS INTEGER) AS chars FROM a"""),
 }

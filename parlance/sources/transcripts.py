@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -94,9 +95,114 @@ def parse_corrections(replies: DataFrame, by: list[str]) -> DataFrame:
     return rows.select(*by, "c.*", F.col("c").isNull().alias("unreadable"), F.when(F.col("c").isNull(), F.lit(None)).otherwise(F.coalesce(known, F.lit(False))).alias("valid"))
 
 
+def _wav(content: bytes, length: int) -> tuple[int, int, int, float] | None:
+    """Channels, rate, bits and seconds of a RIFF file's first bytes, chunk by chunk; what is behind the header counts as data where no data chunk states a size that fits."""
+    if content[:4] != b"RIFF" or content[8:12] != b"WAVE":
+        return None
+    at, form, size = 12, None, None
+    while at + 8 <= len(content):
+        name, n = content[at : at + 4], int.from_bytes(content[at + 4 : at + 8], "little")
+        if name == b"fmt " and at + 24 <= len(content):
+            form = (int.from_bytes(content[at + 10 : at + 12], "little"), int.from_bytes(content[at + 12 : at + 16], "little"), int.from_bytes(content[at + 22 : at + 24], "little"))
+        if name == b"data":
+            size = n if 0 < n <= length - at - 8 else length - at - 8
+            break
+        at += 8 + n + n % 2
+    if form is None or not all(form):
+        return None
+    channels, rate, bits = form
+    return channels, rate, bits, max(0, size if size is not None else length - 44) / (channels * rate * bits / 8)
+
+
 def wav_headers(files: DataFrame) -> DataFrame:
-    """path, channels, rate, bits, seconds from the first bytes of RIFF files (path, content, length): the fmt chunk as it stands first, data as the rest after 44 bytes."""
-    little = lambda at, size: F.conv(F.concat(*[F.substring(F.hex("content"), 2 * (at + k) + 1, 2) for k in range(size - 1, -1, -1)]), 16, 10).cast("long")
-    riff = files.where(F.hex(F.substring("content", 1, 4)) == "52494646")
-    parts = riff.select("path", little(22, 2).alias("channels"), little(24, 4).alias("rate"), little(34, 2).alias("bits"), "length")
-    return parts.select("path", "channels", "rate", "bits", F.try_divide((F.col("length") - 44).cast("double"), F.col("channels") * F.col("rate") * F.col("bits") / 8).alias("seconds"))
+    """path, channels, rate, bits, seconds of RIFF files (path, content: the first bytes, length); other files have no row."""
+
+    def run(batches):
+        for batch in batches:
+            read = [_wav(c or b"", n) for c, n in zip(batch.column("content").to_pylist(), batch.column("length").to_pylist())]
+            hit = [k for k, r in enumerate(read) if r]
+            columns = [pa.array([read[k][c] for k in hit], kind) for c, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.float64()))]
+            yield pa.RecordBatch.from_arrays([batch.column("path").take(pa.array(hit, pa.int64())), *columns], names=["path", "channels", "rate", "bits", "seconds"])
+
+    return files.select("path", "content", "length").mapInArrow(run, "path string, channels long, rate long, bits long, seconds double")
+
+
+#: Speaker and clock that may open a line of a tagged transcript.
+TAGGED = r"^(S\d+):\s+\d{2}:\d{2}:\d{2}\.\d{3}\s+"
+
+
+def parse_tagged(texts: DataFrame, by: list[str]) -> DataFrame:
+    """by, line, speaker, text of tagged transcripts: lines without a tag keep the speaker before them; empty ones go."""
+    lines = texts.select(*by, F.posexplode(F.split("value", r"\r?\n")).alias("line", "raw"))
+    who = F.nullif(F.regexp_extract("raw", TAGGED, 1), F.lit(""))
+    kept = F.last(who, ignorenulls=True).over(Window.partitionBy(*by).orderBy("line").rowsBetween(Window.unboundedPreceding, 0))
+    return lines.withColumn("speaker", kept).withColumn("text", F.trim(F.regexp_replace("raw", TAGGED, ""))).where("text <> ''").select(*by, "line", "speaker", "text")
+
+
+def tagged_words(texts: DataFrame, by: list[str]) -> DataFrame:
+    """by, word_idx, speaker, word of the same."""
+    each = parse_tagged(texts, by).select(*by, "line", "speaker", F.posexplode(F.split("text", r"\s+")).alias("pos", "word"))
+    return each.select(*by, (F.row_number().over(Window.partitionBy(*by).orderBy("line", "pos")) - 1).cast("long").alias("word_idx"), "speaker", "word")
+
+
+def parse_turn_json(texts: DataFrame, by: list[str]) -> DataFrame:
+    """Turns of JSON payloads, an array of them or an object that holds it."""
+    turn = "struct<speaker:string,start:double,end:double,text:string>"
+    held = F.when(F.ltrim("value").startswith("["), F.from_json("value", f"array<{turn}>")).otherwise(F.from_json("value", f"struct<turns:array<{turn}>>")["turns"])
+    return texts.select(*by, F.posexplode(held).alias("turn_idx", "t")).select(*by, F.col("turn_idx").cast("long").alias("turn_idx"), "t.speaker", "t.start", "t.end", "t.text")
+
+
+def load_turns(texts: DataFrame, by: list[str], duration: Column) -> DataFrame:
+    """Turns of transcripts of any kind: time-stamped text, turn JSON, or word JSON, whose runs of a speaker are turns."""
+    from parlance.operators.islands import group_into_turns
+
+    json = F.ltrim("value").rlike(r"^[\[{]")
+    words = json & F.col("value").rlike(r'"word"\s*:')
+    plain = parse_turns(texts.where(~json), by, duration)
+    turns = parse_turn_json(texts.where(json & ~words), by)
+    runs = group_into_turns(parse_words(texts.where(words), by), by).select(*by, (F.row_number().over(Window.partitionBy(*by).orderBy("turn")) - 1).cast("long").alias("turn_idx"), "speaker", "start", "end", "text")
+    return plain.unionByName(turns).unionByName(runs)
+
+
+#: Readers of words by the kind of a system's files.
+READERS = {"words": parse_words, "vendor": parse_vendor}
+
+
+def read_systems(sources: dict[str, tuple[str, DataFrame]], by: list[str]) -> DataFrame:
+    """system, by, word_idx, word, start, end, speaker of all systems; sources: name of the system -> (kind of reader, texts)."""
+    out = None
+    for system, (kind, texts) in sources.items():
+        one = READERS[kind](texts, by).select(F.lit(system).alias("system"), *by, F.col("word_idx").cast("long").alias("word_idx"), "word", "start", "end", "speaker")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def read_strings(spark: SparkSession, path: str) -> DataFrame:
+    """A CSV table with a header, all columns as strings."""
+    return spark.read.option("header", True).option("inferSchema", False).csv(path)
+
+
+def index_objects(listing: DataFrame, categories: dict[str, str]) -> DataFrame:
+    """session, category, name of a bucket's listing (value: a path a line): the session named in the path, and the first category whose pattern the path has."""
+    kind = None
+    for name, pattern in categories.items():
+        kind = F.when(F.col("value").rlike(pattern), name) if kind is None else kind.when(F.col("value").rlike(pattern), name)
+    named = listing.select(F.regexp_extract("value", r"([^/]+)/day\d+_session\d+", 0).alias("session"), kind.alias("category"), F.trim("value").alias("name"))
+    return named.where("session <> '' and category is not null")
+
+
+def parse_results(texts: DataFrame, visit: str) -> DataFrame:
+    """visit, system, metric, value of JSON documents system -> metric -> value; nulls and what is no number go."""
+    each = texts.select(visit, F.explode(F.from_json("value", "map<string,map<string,string>>")).alias("system", "m"))
+    return each.select(visit, "system", F.explode("m").alias("metric", "v")).withColumn("value", F.col("v").try_cast("double")).where("value is not null").drop("v")
+
+
+def contained_names(targets: DataFrame, files: DataFrame) -> DataFrame:
+    """stem, file: of each target's stem the first file (by name) whose stem holds it; null where none does.
+
+    Pieces of the files' names as long as any stem are joined by equality.
+    """
+    lengths = targets.select(F.length("stem").alias("n")).distinct()
+    sized = files.select(F.col("stem").alias("file")).withColumn("n", F.explode(F.sequence(F.lit(1), F.length("file")))).where("file <> ''").join(lengths, "n", "left_semi")
+    pieces = sized.select("file", F.explode(F.transform(F.sequence(F.lit(1), F.length("file") - F.col("n") + 1), lambda k: F.substr(F.col("file"), k, F.col("n")))).alias("stem")).distinct()
+    return targets.select("stem").join(pieces.groupBy("stem").agg(F.min("file").alias("file")), "stem", "left")

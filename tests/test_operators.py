@@ -138,9 +138,29 @@ def test_placeholders_and_sources(spark):
     assert [(r["speaker"], r["start"], r["end"], r["text"]) for r in got] == [("S1", 1.5, 4.0, "hello there continued line"), ("S2:", 4.0, 3600.0, "okay yes"), ("S1", 3600.0, 3600.0, "bye")]
     json = spark.createDataFrame([(1, '{"words":[{"startOffset":1.0,"endOffset":0.5,"word":"a","speakerLabel":"0"},{"word":" "}]}')], "v int, value string")
     assert [(r["word"], r["end"], r["speaker"]) for r in transcripts.parse_vendor(json, BY).collect()] == [("a", 1.0, "SPEAKER_00")]
-    header = b"RIFF" + bytes(18) + (2).to_bytes(2, "little") + (8000).to_bytes(4, "little") + bytes(6) + (16).to_bytes(2, "little") + bytes(8)
-    wav = transcripts.wav_headers(spark.createDataFrame([("x", header, 44 + 64000)], "path string, content binary, length long")).first()
-    assert (wav["channels"], wav["rate"], wav["bits"], wav["seconds"]) == (2, 8000, 16, 2.0)
+    little = lambda n, size: n.to_bytes(size, "little")
+    form = b"fmt " + little(16, 4) + little(1, 2) + little(2, 2) + little(8000, 4) + little(32000, 4) + little(4, 2) + little(16, 2)
+    whole = b"RIFF" + bytes(4) + b"WAVE" + b"LIST" + little(5, 4) + bytes(6) + form + b"data" + little(32000, 4)
+    open_ended = b"RIFF" + bytes(4) + b"WAVE" + form + b"data" + little(0xFFFFFFFF, 4)
+    files = [("whole", whole, 99999), ("open", open_ended, 44 + 64000), ("headless", b"RIFF" + bytes(4) + b"WAVE" + form, 44 + 96000), ("other", b"RIFX", 10), ("none", None, 0)]
+    wav = {r["path"]: (r["channels"], r["rate"], r["bits"], r["seconds"]) for r in transcripts.wav_headers(spark.createDataFrame(files, "path string, content binary, length long")).collect()}
+    assert wav == {"whole": (2, 8000, 16, 1.0), "open": (2, 8000, 16, 2.0), "headless": (2, 8000, 16, 3.0)}
+
+
+def test_sessions_are_never_overwritten(spark, tmp_path):
+    w = spark.createDataFrame([("v1", "A", 0, "hi", 0.0, 0.5, "matched"), ("v1", "A", 1, "um", 0.5, 0.6, "inserted")], "visit string, speaker string, word_idx long, word string, start double, end double, origin string")
+    t = spark.createDataFrame([("v1", 0, "A", 0.0, None, "hi um")], "visit string, turn long, speaker string, start double, end double, text string")
+    meta = spark.createDataFrame([("v1", 1.5)], "visit string, seconds double")
+    first, second = (sinks.write_sessions(w, t, meta, str(tmp_path), "r", inserted=True) for _ in range(2))
+    assert first.endswith("run=r") and second.endswith("run=r-2")
+    assert [r["value"] for r in spark.read.text(f"{first}/transcripts").collect()] == ["[0.00 - ?] A: hi um"] and spark.read.json(f"{second}/inserted").count() == 1
+
+
+def test_tables_and_reports(spark):
+    rows = spark.createDataFrame([("b", 0.1234, 3), ("a", None, 1)], "name string, rate double, n int")
+    assert [tuple(r) for r in sinks.shown_table(rows, {"rate": "pct", "n": "int"}, ["name"]).collect()] == [("a", None, "1"), ("b", "12.34", "3")]
+    assert sinks.report(rows.orderBy("name").collect(), "name", {"rate": "pct", "n": "int"}) == "a\n  n: 1\n\nb\n  rate: 12.34%\n  n: 3"
+    assert "rttm/train.rttm" in sinks.database_yml("D", "P", ["train"])
 
 
 def test_windows_and_reports(spark):
