@@ -179,6 +179,9 @@ def test_licenses(spark, none):
     docs = spark.createDataFrame([(i, t, "z") for i, t in rows] + [(2, rows[2][1], "z")], "doc_id long, text string, form string")
     got = {r["doc_id"]: (r["license_id"], r["notices"], r["n_notices"]) for r in licenses.license_scan(docs, licenses.known_licenses(spark)).collect()}
     assert got == {0: (None, "", 0), 1: (None, "", 0), 2: ("MIT", "MIT", 1), 3: (None, "CC-BY-NC-4.0", 1), 4: ("MIT", "MIT", 1), 5: (None, "", 0)}
+    whole = [(10, "Copyright (c) 2024 A. Person\n" + licenses.KNOWN["MIT"][2].replace(". ", ".\n\n")), (11, licenses.KNOWN["BSD-3-Clause"][1].upper()), (12, licenses.KNOWN["Zlib"][0].replace("acknowledgment", "acknowledgement")), (13, licenses.KNOWN["BSD-2-Clause"][0] + " And more.")]
+    more = spark.createDataFrame([(i, t, "z") for i, t in whole], "doc_id long, text string, form string")
+    assert {r["doc_id"]: r["license_id"] for r in licenses.license_scan(more, licenses.known_licenses(spark)).collect()} == {10: "MIT", 11: "BSD-3-Clause", 12: "Zlib", 13: None}
     assert licenses.license_scan(none, licenses.known_licenses(spark)).count() == 0
 
 
