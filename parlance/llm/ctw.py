@@ -88,14 +88,22 @@ class Level:
         self.keys = np.concatenate(keys)
         order = np.argsort(self.keys)
         self.keys, self.zeros, self.ones = self.keys[order], np.concatenate(zeros)[order], np.concatenate(ones)[order]
-        own = log_kt(self.zeros, self.ones)
-        if below is None:
-            self.pw, self.weight = own, np.ones(len(own))
-        else:
-            parent = ((below.keys >> np.uint64(16)) << np.uint64(8)) | (below.keys & np.uint64(255))
-            product = np.bincount(np.searchsorted(self.keys, parent), weights=below.pw, minlength=len(own))
-            self.pw = _HALF_LOG + np.logaddexp(own, product)
-            self.weight = 1.0 / (1.0 + np.exp(np.clip(product - own, -700, 700)))
+        self.pw, self.weight = log_kt(self.zeros, self.ones), np.ones(len(self.keys))
+        if below is not None:
+            self.weigh(*below.products())
+
+    def products(self) -> tuple[np.ndarray, np.ndarray]:
+        """The nodes above, and for each the logarithm of the product of what its children here have."""
+        parent = ((self.keys >> np.uint64(16)) << np.uint64(8)) | (self.keys & np.uint64(255))
+        nodes, at = np.unique(parent, return_inverse=True)
+        return nodes, np.bincount(at, weights=self.pw, minlength=len(nodes))
+
+    def weigh(self, nodes: np.ndarray, products: np.ndarray) -> None:
+        """Mix each node's own estimate with the product of its children."""
+        own, product = self.pw, np.zeros(len(self.keys))
+        product[np.searchsorted(self.keys, nodes)] = products
+        self.pw = _HALF_LOG + np.logaddexp(own, product)
+        self.weight = 1.0 / (1.0 + np.exp(np.clip(product - own, -700, 700)))
 
     def step(self, node: np.ndarray, bit: np.ndarray, p: np.ndarray) -> np.ndarray:
         """Mix p, which came from below, with the estimate of each node; p stays where there is none."""
@@ -121,6 +129,16 @@ class Tree:
             level, total = (short, counts) if d == depth else counted(short, counts)
             below = self.levels[d] = Level(level, total, below)
 
+    @classmethod
+    def above(cls, keys: np.ndarray, counts: np.ndarray, nodes: np.ndarray, products: np.ndarray) -> Tree:
+        """The levels from the grams' depth, that of one byte of context, up to the root; their children's products come from elsewhere."""
+        tree = cls(keys[:0], counts[:0], 1, 0)
+        lower = Level(keys, counts.astype(np.float64), None)
+        lower.weigh(nodes, products)
+        short, total = counted(keys & np.uint64(255), counts.astype(np.float64))
+        tree.levels = {1: lower, 0: Level(short, total, lower)}
+        return tree
+
     def log10(self, keys: np.ndarray, above: Tree | None = None) -> np.ndarray:
         """log10 of the probability of the byte of each gram in its context."""
         out = np.zeros(len(keys))

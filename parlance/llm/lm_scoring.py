@@ -7,8 +7,9 @@ of the tree and answers every block in the order it asked.  So neither the model
 vocabulary is ever in one place, what moves grows with the input, and a hot text, source or word
 is a single request of each block.
 
-A bucket owns whole subtrees below the two most recent bytes.  The two levels above them hold at
-most 2^24 counts whatever the input; their weights come from a tree that ends at depth 2.
+A bucket owns whole subtrees below the two most recent bytes.  For the two levels above, which
+have at most 65,280 nodes each whatever the input, every bucket tells the product of what its
+nodes have; the sums of these weigh the levels up to the root, and go to all buckets.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parlance.llm import ctw
-from parlance.llm.frames import blocks_and_buckets, documents, flat, slices
+from parlance.llm.frames import blocks_and_buckets, documents, flat, shared, slices
 from parlance.llm.words import mix, word_hashes
 
 #: Text, in bytes, whose grams are sorted at a time when they are counted, and when they are looked up (at most 2^16 symbols then).
@@ -86,34 +87,59 @@ def _dealt(keys: np.ndarray, kind: int, buckets: int) -> tuple[np.ndarray, np.nd
     return order, np.searchsorted(dest[order], np.arange(buckets + 1))
 
 
-def top_tree(docs: DataFrame, train) -> ctw.Tree:
-    """The tree of depth 2 over the training texts; its table has at most 2^24 rows."""
+def _packed(keys: np.ndarray, counts: np.ndarray) -> bytes:
+    """Sorted keys as steps, and counts; compressed, as it is sent and kept."""
+    raw = np.diff(keys, prepend=np.uint64(0)).tobytes() + counts.astype(np.int64).tobytes()
+    return len(keys).to_bytes(8, "little") + pa.Codec("zstd", 1).compress(raw, asbytes=True)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        for batch in batches:
-            data, bounds = flat(batch.column(0))
-            parts = [(keys, counts)]
-            for a, b in _pieces(bounds, COUNT_BYTES):
-                padded, at, _ = ctw.pad(data[a.start : b], a.bounds, _SHARED)
-                parts.append(ctw.counted(ctw.grams(padded, at, _SHARED)))
-            keys, counts = ctw.counted(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
-        yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(counts)], names=["gram", "n"])
 
-    rows = docs.where(train).select("text").mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).orderBy("gram").toArrow()
-    return ctw.Tree(rows.column("gram").to_numpy().astype(np.uint64), rows.column("n").to_numpy(), _SHARED, 0)
+def _unpacked(payload: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = int.from_bytes(payload[:8], "little")
+    raw = pa.Codec("zstd").decompress(payload[8:], 16 * n)
+    return np.cumsum(np.frombuffer(raw, np.uint64, n), dtype=np.uint64), np.frombuffer(raw, np.int64, n, 8 * n)
+
+
+def _gathered(asked: pa.Table, kind: int) -> tuple[pa.Table, list[tuple[np.ndarray, np.ndarray]], np.ndarray, np.ndarray]:
+    """The requests of a kind, each one's keys and counts, the distinct keys and their sums."""
+    rows = asked.filter(pa.compute.equal(asked.column("kind"), kind)).sort_by("src")
+    raw = [_unpacked(p) for p in rows.column("payload").to_pylist()]
+    none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    return rows, raw, *ctw.counted(*(np.concatenate([x[k] for x in [none, *raw]]) for k in (0, 1)))
+
+
+def _top(asked: DataFrame) -> ctw.Tree:
+    """The levels above the buckets' trees, weighted by what all buckets have below them."""
+
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        if not held:
+            return
+        _, _, distinct, total = _gathered(pa.Table.from_batches(held), GRAMS)
+        tree = ctw.Tree(distinct, total, ctw.DEPTH, _SHARED)
+        nodes, products = tree.levels[_SHARED].products()
+        seen = total > 0
+        short, n = ctw.counted(((distinct[seen] >> np.uint64(8 * ctw.DEPTH)) << np.uint64(8)) | (distinct[seen] & np.uint64(255)), total[seen])
+        columns = [np.repeat([0, 1], [len(short), len(nodes)]), np.concatenate([short, nodes]).astype(np.int64), np.concatenate([n, np.zeros(len(nodes), np.int64)]), np.concatenate([np.zeros(len(short)), products])]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["kind", "gram", "n", "product"])
+
+    rows = asked.where(F.col("kind") == GRAMS).mapInArrow(tell, "kind long, gram long, n long, product double").groupBy("kind", "gram").agg(F.sum("n").alias("n"), F.sum("product").alias("product")).orderBy("kind", "gram").toArrow()
+    kind, gram = rows.column("kind").to_numpy(), rows.column("gram").to_numpy().astype(np.uint64)
+    n, product = rows.column("n").to_numpy(), rows.column("product").to_numpy()
+    return ctw.Tree.above(gram[kind == 0], n[kind == 0], gram[kind == 1], product[kind == 1])
 
 
 def score(docs: DataFrame, modulus: int = 7, remainder: int = 2) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte for every row of docs.
 
     Learned from the rows whose crc32(doc_id) mod ``modulus`` is not ``remainder``.  Null and
-    empty texts are their end alone; repeated rows each count and each give a row; with nothing
-    to learn from, every bit has probability one half and every token counts as unknown.
+    empty texts are their end alone; repeated rows each count and each give a row; rows without a
+    doc_id are left out; with nothing to learn from, every bit has probability one half and every
+    token counts as unknown.  The end is the byte 0, which a NUL in a text equals; probabilities
+    of grams are sent with 24 bits.
     """
+    shared(docs.sparkSession)
     docs = documents(docs)
     blocks, buckets = blocks_and_buckets(docs)
-    above = docs.sparkSession.sparkContext.broadcast(top_tree(docs, F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(modulus)) != remainder))
     dealt = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(4)), F.lit(blocks)))
 
     def read(block: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -131,26 +157,25 @@ def score(docs: DataFrame, modulus: int = 7, remainder: int = 2) -> DataFrame:
             for dest in range(buckets):
                 some = order[cut[dest] : cut[dest + 1]]
                 ends = int(train.sum()) if kind == WORDS and dest == 0 else 0
-                out.append((src, dest, kind, 0, 0, ends, keys[some].tobytes() + counts[some].astype(np.int64).tobytes()))
+                if len(some) or kind == WORDS:  # every bucket tells every block its totals of words
+                    out.append((src, dest, kind, 0, 0, ends, _packed(keys[some], counts[some])))
         return _messages(out)
 
-    def answer(asked: pa.Table) -> pa.Table:
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        asked = pa.Table.from_batches(held) if held else None
         out: list[tuple] = []
-        for kind in (GRAMS, WORDS):
-            rows = asked.filter(pa.compute.equal(asked.column("kind"), kind)).sort_by("src")
-            raw = [np.frombuffer(p, np.uint64) for p in rows.column("payload").to_pylist()]
-            keys = np.concatenate([r[: len(r) // 2] for r in raw]) if raw else np.zeros(0, np.uint64)
-            counts = np.concatenate([r[len(r) // 2 :] for r in raw]).astype(np.int64) if raw else np.zeros(0, np.int64)
-            distinct, total = ctw.counted(keys, counts)
+        for kind in (GRAMS, WORDS) if held else ():
+            rows, raw, distinct, total = _gathered(asked, kind)
             tokens = types = ends = 0
             if kind == GRAMS:
                 value = ctw.Tree(distinct, total, ctw.DEPTH, _SHARED).log10(distinct, above.value).astype(np.float32)
             else:
                 ends = sum(rows.column("ends").to_pylist())
                 tokens, types, value = int(total.sum()) + ends, int((total > 0).sum()) + (ends > 0), total
-            for src, r in zip(rows.column("src").to_pylist(), raw):
-                out.append((src, asked.column("dest")[0].as_py(), kind, tokens, types, ends, value[np.searchsorted(distinct, r[: len(r) // 2])].tobytes()))
-        return _messages(out)
+            for src, (keys, _) in zip(rows.column("src").to_pylist(), raw):
+                out.append((src, asked.column("dest")[0].as_py(), kind, tokens, types, ends, value[np.searchsorted(distinct, keys)].tobytes()))
+        yield from _messages(out).to_batches()
 
     def settle(block: pa.Table, answers: pa.Table) -> pa.Table:
         ids, data, bounds, train = read(block)
@@ -193,7 +218,9 @@ def score(docs: DataFrame, modulus: int = 7, remainder: int = 2) -> DataFrame:
             }
         )
 
-    asked = dealt.groupBy("block").applyInArrow(ask, _MESSAGE)
-    answers = asked.groupBy("dest").applyInArrow(answer, _MESSAGE)
+    # A bucket to a partition, kept: both the levels above and the answers are made of it.
+    asked = dealt.groupBy("block").applyInArrow(ask, _MESSAGE).repartitionById(buckets, F.col("dest").cast("int")).checkpoint()
+    above = docs.sparkSession.sparkContext.broadcast(_top(asked))
+    answers = asked.mapInArrow(answer, _MESSAGE)
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
     return dealt.groupBy("block").cogroup(answers.groupBy("src")).applyInArrow(settle, schema)

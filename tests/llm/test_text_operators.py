@@ -203,19 +203,60 @@ def test_lm_scores(spark, odd, none, clashing):
     assert lm_scoring.score(none).count() == 0
 
 
-def test_context_tree_is_a_distribution():
-    import numpy as np
+def scores_by_hand(texts, train, depth=5):
+    """Context-tree weighting with a dictionary of nodes: contexts of 0 to 5 bytes, and the path through the next byte."""
+    import collections
+    import math
+
+    def steps(text):
+        data = bytes(depth) + (text or "").encode() + b"\0"
+        for k in range(depth, len(data)):
+            path = 1
+            for place in range(8):
+                bit = data[k] >> (7 - place) & 1
+                yield data[k - depth : k][::-1], path, bit
+                path = path * 2 + bit
+
+    counts = collections.defaultdict(lambda: [0, 0])
+    for i in train:
+        for context, path, bit in steps(texts[i]):
+            for d in range(depth + 1):
+                counts[context[:d], path][bit] += 1
+    kt = lambda a, b: math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi)
+    own = {node: kt(*n) for node, n in counts.items()}
+    products, weighted = collections.defaultdict(float), {}
+    for d in range(depth, -1, -1):
+        for (context, path), pe in own.items():
+            if len(context) == d:
+                below = products[context, path]
+                top = max(pe, below)
+                weighted[context, path] = pe if d == depth else math.log(0.5) + top + math.log(math.exp(pe - top) + math.exp(below - top))
+                if d:
+                    products[context[:-1], path] += weighted[context, path]
+    out = {}
+    for i, text in texts.items():
+        total = 0.0
+        for context, path, bit in steps(text):
+            p = 0.5
+            for d in range(depth, -1, -1):
+                node = context[:d], path
+                if node in counts:
+                    share = 1.0 if d == depth else 1 / (1 + math.exp(min(700, max(-700, products[node] - own[node]))))
+                    p = share * (counts[node][bit] + 0.5) / (sum(counts[node]) + 1) + (1 - share) * p
+            total += math.log10(p)
+        out[i] = total
+    return out
 
-    from parlance.llm import ctw
 
-    data = np.frombuffer(b"abracadabra abracadabra", np.uint8)
-    padded, at, _ = ctw.pad(data, np.array([0, len(data)]))
-    keys, counts = ctw.counted(ctw.grams(padded, at))
-    top = ctw.Tree(*ctw.counted(ctw.grams(*ctw.pad(data, np.array([0, len(data)]), 2)[:2], 2)), 2, 0)
-    tree = ctw.Tree(keys, counts, ctw.DEPTH, 2)
-    for context in (keys[3] >> np.uint64(8), np.uint64(0x7878787878)):
-        every = (context << np.uint64(8)) | np.arange(256, dtype=np.uint64)
-        assert abs((10 ** tree.log10(every, top)).sum() - 1) < 1e-9
+def test_lm_scores_equal_brute_force(spark):
+    texts = {i: t and t[:3000] for i, t in TEXTS.items()}
+    train = [i for i in texts if zlib.crc32(str(i).encode()) % 7 != 2]
+    want = scores_by_hand(texts, train)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = by_id(lm_scoring.score(docs))
+    assert len(train) < len(texts) and all(abs(got[i]["score"] - want[i]) <= 1e-6 * abs(want[i]) + 1e-6 for i in texts)
+    blank = by_id(lm_scoring.score(docs.where("crc32(cast(cast(doc_id as string) as binary)) % 7 = 2")))
+    assert all(abs(r["score"] - 8 * (len((texts[i] or "").encode()) + 1) * __import__("math").log10(0.5)) < 1e-3 for i, r in blank.items()) and blank
 
 
 def groups_by_hand(texts):
