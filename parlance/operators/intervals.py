@@ -6,6 +6,9 @@ are added where a recording alone may be large.  Ties go to the earliest segment
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -153,62 +156,65 @@ def overlap_lengths(a: DataFrame, b: DataFrame, by: list[str]) -> DataFrame:
     Intervals of a side that overlap each other count each for themselves, as far as the sweep
     meets them.  A recording is swept in one task.
     """
-    import pyarrow as pa
-
     kinds = dict(a.dtypes)
     side = lambda df, n: df.select(*by, F.lit(n).alias("side"), "speaker", F.col("start").cast("double").alias("start"), F.greatest("start", "end").cast("double").alias("end")).where("start is not null and end is not null")
-    both = side(a, 0).unionByName(side(b, 1))
-
-    def sweep(t: pa.Table) -> pa.Table:
-        held: dict = {}
-        for n, who, s, e in zip(*(t.column(c).to_pylist() for c in ("side", "speaker", "start", "end"))):
-            held.setdefault((n, who), []).append((s, e))
-        for spans in held.values():
-            spans.sort()
-        found = [(x, y, _swept(held[0, x], held[1, y])) for n, x in held if n == 0 for m, y in held if m == 1]
-        found = [f for f in found if f[2] > 0]
-        keys = {c: pa.array([t.column(c)[0].as_py()] * len(found), t.column(c).type) for c in by}
-        return pa.table(keys | {"a_speaker": pa.array([f[0] for f in found], pa.string()), "b_speaker": pa.array([f[1] for f in found], pa.string()), "overlap": pa.array([f[2] for f in found], pa.float64())})
-
-    return both.groupBy(*by).applyInArrow(sweep, ", ".join(f"{c} {kinds[c]}" for c in by) + ", a_speaker string, b_speaker string, overlap double")
-
-
-def _assign(pdf):
-    """Best one-to-one assignment of a matrix of overlaps: exact by dynamic programming over subsets of the smaller side, which speakers of one recording keep small."""
-    import numpy as np
-    import pandas as pd
-
-    by = [c for c in pdf.columns if c not in ("a_speaker", "b_speaker", "overlap")]
-    rows, cols = sorted(pdf["a_speaker"].unique()), sorted(pdf["b_speaker"].unique())
-    m = np.zeros((len(rows), len(cols)))
-    for a, b, v in zip(pdf["a_speaker"], pdf["b_speaker"], pdf["overlap"]):
-        m[rows.index(a), cols.index(b)] = v
+    spans = side(a, 0).unionByName(side(b, 1)).groupBy(*by, "side", "speaker").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
+    held = spans.groupBy(*by).agg(F.collect_list(F.struct("side", "speaker", F.col("spans.start").alias("s"), F.col("spans.end").alias("e"))).alias("sides"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, x, y, value = [], [], [], []
+            for k in range(batch.num_rows):
+                sides = [(s["side"], s["speaker"], list(zip(s["s"], s["e"]))) for s in batch.column("sides")[k].as_py()]
+                for i, p, one in sides:
+                    for j, q, other in sides:
+                        if i == 0 and j == 1 and (total := _swept(one, other)) > 0:
+                            at.append(k), x.append(p), y.append(q), value.append(total)
+            columns = [batch.column(c).take(pa.array(at, pa.int64())) for c in by]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(x, pa.string()), pa.array(y, pa.string()), pa.array(value, pa.float64())], names=[*by, "a_speaker", "b_speaker", "overlap"])
+
+    return held.mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in by) + ", a_speaker string, b_speaker string, overlap double")
+
+
+def _best(overlaps: dict[tuple[str, str], float]) -> list[tuple[str, str]]:
+    """Best one-to-one assignment: exact by dynamic programming over subsets of the smaller side, which speakers of one recording keep small."""
+    rows, cols = sorted({a for a, _ in overlaps}), sorted({b for _, b in overlaps})
     flip = len(cols) > len(rows)
-    if flip:
-        m = m.T
+    sides = (cols, rows) if flip else (rows, cols)
     best: dict[int, tuple[float, tuple[int, ...]]] = {0: (0.0, ())}
-    for i in range(m.shape[0]):
+    for x in sides[0]:
         step: dict[int, tuple[float, tuple[int, ...]]] = {}
+        gains = [(j, overlaps.get((y, x) if flip else (x, y), 0.0)) for j, y in enumerate(sides[1])]
         for used, (value, chosen) in best.items():
-            options = [(used, value, (*chosen, -1))] + [(used | 1 << j, value + m[i, j], (*chosen, j)) for j in range(m.shape[1]) if not used >> j & 1 and m[i, j] > 0]
+            options = [(used, value, (*chosen, -1))] + [(used | 1 << j, value + v, (*chosen, j)) for j, v in gains if v > 0 and not used >> j & 1]
             for key, v, c in options:
                 if key not in step or v > step[key][0] + 1e-12:
                     step[key] = (v, c)
         best = step
     _, chosen = max(best.values(), key=lambda x: x[0])
-    pairs = [(i, j) for i, j in enumerate(chosen) if j >= 0]
-    pairs = [(j, i) for i, j in pairs] if flip else pairs
-    out = pd.DataFrame([{"a_speaker": rows[i], "b_speaker": cols[j], "overlap": (m.T if flip else m)[i, j]} for i, j in pairs], columns=["a_speaker", "b_speaker", "overlap"])
-    for c in by:
-        out[c] = pdf[c].iloc[0]
-    return out[[*by, "a_speaker", "b_speaker", "overlap"]]
+    pairs = [(x, sides[1][j]) for x, j in zip(sides[0], chosen) if j >= 0]
+    return [(y, x) for x, y in pairs] if flip else pairs
 
 
 def assign_labels(overlaps: DataFrame, by: list[str]) -> DataFrame:
-    """The one-to-one assignment of speakers with the largest total overlap; pairs without overlap are not assigned."""
+    """The one-to-one assignment of speakers with the largest total overlap; pairs without overlap are not assigned.
+
+    A recording's pairs of speakers are few and travel as one row, many recordings to a batch.
+    """
     kinds = dict(overlaps.dtypes)
-    schema = ", ".join(f"{c} {kinds[c]}" for c in by) + ", a_speaker string, b_speaker string, overlap double"
-    return overlaps.select(*by, "a_speaker", "b_speaker", F.col("overlap").cast("double").alias("overlap")).groupBy(*by).applyInPandas(_assign, schema)
+    held = overlaps.groupBy(*by).agg(F.collect_list(F.struct(F.col("a_speaker").alias("a"), F.col("b_speaker").alias("b"), F.col("overlap").cast("double").alias("v"))).alias("pairs"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, a, b, value = [], [], [], []
+            for k, pairs in enumerate(batch.column("pairs").to_pylist()):
+                known = {(p["a"], p["b"]): p["v"] for p in pairs}
+                for x, y in _best(known):
+                    at.append(k), a.append(x), b.append(y), value.append(known[x, y])
+            columns = [batch.column(c).take(pa.array(at, pa.int64())) for c in by]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(value, pa.float64())], names=[*by, "a_speaker", "b_speaker", "overlap"])
+
+    return held.mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in by) + ", a_speaker string, b_speaker string, overlap double")
 
 
 def error_rate(reference: DataFrame, hypothesis: DataFrame, by: list[str], mapping: DataFrame, collar: float = 0.0, skip_overlap: bool = False) -> DataFrame:
