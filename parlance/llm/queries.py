@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from parlance.llm import toxicity
 from parlance.llm.bpe import round_trip
+from parlance.llm.conversation_repair import damage, repair, repair_sql
 from parlance.llm.decontaminate import CONTAINED_SQL, contained_items
 from parlance.llm.embedding_dedup import near_duplicates
 from parlance.llm.frames import table
@@ -15,6 +16,8 @@ from parlance.llm.language import held_out, identify, learn
 from parlance.llm.licenses import known_licenses, license_scan, license_scan_sql
 from parlance.llm.lm_scoring import score as lm_score
 from parlance.llm.ngram_join import similar_links
+from parlance.llm.quality_rules import quality, quality_sql
+from parlance.llm.spelling_variants import group_variants, variants_sql
 from parlance.llm.suffix_dedup import remove_repeats
 from parlance.llm.token_counts import token_counts
 
@@ -69,6 +72,18 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return group_variants(table(spark, sf_dir, "documents"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair(damage(table(spark, sf_dir, "conversations")))
+
+
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_suffix_dedup": op1_suffix_dedup,
@@ -81,6 +96,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity": op8_toxicity,
         "op9_language": op9_language,
         "op10_bpe": op10_bpe,
+        "op11_spelling_variants": op11_spelling_variants,
+        "op12_conversation_repair": op12_conversation_repair,
+        "op13_quality_rules": op13_quality_rules,
     }
 
 
@@ -88,4 +106,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op2_decontaminate": CONTAINED_SQL,
         "op3_licenses": license_scan_sql(),
+        "op11_spelling_variants": variants_sql(),
+        "op12_conversation_repair": repair_sql(),
+        "op13_quality_rules": quality_sql(),
     }
