@@ -30,12 +30,15 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that links connect, the one with the smallest doc_id stays.
+    """Of texts that links connect, the one with the smallest doc_id stays.
 
-    Null, empty and wordless texts are linked with nothing and stay.  Repeated rows under one
-    doc_id stay or go together; rows without a doc_id stay.
+    Null, empty and wordless texts are linked with nothing and stay.  Different texts under one
+    doc_id are judged one by one, so that none goes but for a text that stays; repeated rows stay or
+    go together; rows without a doc_id stay.
     """
-    return _without(docs, ngram_join.similar_groups(docs).where("doc_id <> component_id"))
+    gone = ngram_join.similar_links(docs).where("doc_id <> text_id").select(F.col("doc_id").alias("gone"), F.col("text_hash").alias("of")).distinct()
+    here = (docs["doc_id"] == gone["gone"]) & (F.xxhash64(docs["text"].cast("string")) == gone["of"])
+    return docs.join(gone, here, "left_anti").select([docs[f"`{c}`"] for c in docs.columns])
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

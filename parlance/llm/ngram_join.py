@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parlance.llm.components import components, roots
@@ -98,12 +98,12 @@ def _digests(sets: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """A row for each document: its number of shingles, two digests of the set and the count vector; and rows of locally frequent shingles (doc_id null, d1 the shingle, n its number)."""
+    """A row for each document: a hash of its text, its number of shingles, two digests of the set and the count vector; and rows of locally frequent shingles (doc_id null, d1 the shingle, n its number)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle, times, waiting = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0
         more: list[tuple[np.ndarray, np.ndarray]] = []
-        names = ["doc_id", "n", "d1", "d2", "vector"]
+        names = ["doc_id", "n", "d1", "d2", "vector", "text_hash"]
 
         def gathered() -> tuple[np.ndarray, np.ndarray]:
             every, which = np.unique(np.concatenate([shingle, *(m[0] for m in more)]), return_inverse=True)
@@ -118,16 +118,21 @@ def signatures(docs: DataFrame) -> DataFrame:
                 sets, edges = shingle_sets(data[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a])
                 d1, d2 = _digests(sets, edges)
                 vectors = [count_vector(sets[x:y]) for x, y in zip(edges[:-1], edges[1:])]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[a:b], pa.int64()), pa.array(np.diff(edges)), pa.array(d1), pa.array(d2), pa.array(vectors, pa.binary())], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[a:b], pa.int64()), pa.array(np.diff(edges)), pa.array(d1), pa.array(d2), pa.array(vectors, pa.binary()), batch.column("text_hash").slice(a, b - a)], names=names)
                 found, n = np.unique(sets, return_counts=True)
                 more.append((found[n >= SLICE_FREQUENT], n[n >= SLICE_FREQUENT]))
                 waiting += len(more[-1][0])
                 if waiting > 4 * FREQUENT:
                     (shingle, times), more, waiting = gathered(), [], 0
         shingle, times = gathered()
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(shingle), pa.int64()), pa.array(times), pa.array(shingle.astype(np.int64)), pa.nulls(len(shingle), pa.int64()), pa.nulls(len(shingle), pa.binary())], names=names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(shingle), pa.int64()), pa.array(times), pa.array(shingle.astype(np.int64)), pa.nulls(len(shingle), pa.int64()), pa.nulls(len(shingle), pa.binary()), pa.nulls(len(shingle), pa.int64())], names=names)
 
-    return docs.mapInArrow(run, "doc_id long, n long, d1 long, d2 long, vector binary")
+    return docs.select("doc_id", "text", text_hash().alias("text_hash")).mapInArrow(run, "doc_id long, n long, d1 long, d2 long, vector binary, text_hash long")
+
+
+def text_hash() -> Column:
+    """What tells apart the texts of one doc_id."""
+    return F.xxhash64(F.col("text").cast("string"))
 
 
 def _needed(n: np.ndarray) -> np.ndarray:
@@ -429,15 +434,22 @@ def _tiles(docs: DataFrame, reps: DataFrame, near: DataFrame, buckets: int) -> D
     return dealt.repartition(buckets, "tile").sortWithinPartitions("tile").mapInArrow(_verified, "d1 long, links long, rep long, root long")
 
 
+def _one_document(texts: DataFrame) -> DataFrame:
+    """text_id, doc_id of every text of the documents that have several: what one of them reaches, all reach."""
+    several = texts.groupBy("doc_id").agg(F.min("text_id").alias("least"), F.max("text_id").alias("most")).where("least <> most").select("doc_id")
+    return texts.join(several, "doc_id").select("text_id", "doc_id").distinct()
+
+
 def similar_links(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, n_links, component_id of every row of docs.
+    """doc_id, n_shingles, n_links, component_id, text_id, text_hash of every row of docs.
 
     A link needs 100 |A and B| >= 80 |A or B| of the sets of five-word shingles; a text of fewer
     words is one shingle, and null, empty and wordless texts have none and link with nothing.
     n_links is the number of other rows that a row is linked with, copies too; component_id is
-    the smallest doc_id reachable.  Repeated rows each give a row; different texts under one
-    doc_id count as linked, being one document; rows without a doc_id are left out.  Shingles are
-    compared by 64-bit fingerprints.
+    the smallest doc_id reachable, where different texts under one doc_id count as linked, being one
+    document; text_id is the smallest doc_id reachable from the row's own text by links alone, and
+    ``text_hash`` tells which text that is.  Repeated rows each give a row; rows without a doc_id are
+    left out.  Shingles are compared by 64-bit fingerprints.
     """
     spark = docs.sparkSession
     shared(spark)
@@ -447,7 +459,7 @@ def similar_links(docs: DataFrame) -> DataFrame:
     top = found.where("doc_id is null").groupBy(F.col("d1").alias("shingle")).agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "shingle").limit(FREQUENT).toArrow()
     known, times = top.column("shingle").to_numpy().astype(np.uint64), top.column("n").to_numpy()
     order = np.argsort(known)
-    sig = found.where("doc_id is not null").select("doc_id", "n", "d1", "d2")
+    sig = found.where("doc_id is not null").select("doc_id", "n", "d1", "d2", "text_hash")
     some = found.where("doc_id is not null and n > 0")
     reps = some.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("weight"), F.first("n").alias("n"), F.first("vector").alias("vector")).checkpoint()
     sets = postings(docs, (known[order], times[order]), buckets).repartitionById(buckets, "bucket").mapInArrow(_sets, "set long, d1 long").distinct()
@@ -457,14 +469,16 @@ def similar_links(docs: DataFrame) -> DataFrame:
     comp = components(links.select("rep", "root")).withColumnRenamed("node", "rep")
     number = links.groupBy("d1").agg(F.sum("links").alias("links"))
     named = reps.select("d1", "d2", "rep", "weight").join(number, "d1", "left").join(comp, "rep", "left")
-    keyed = sig.join(named, ["d1", "d2"], "left")
     any_ = F.col("n") > 0
-    return keyed.select(
+    keyed = sig.join(named, ["d1", "d2"], "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(any_, F.coalesce("links", F.lit(0)) + F.col("weight") - 1).otherwise(0).cast("long").alias("n_links"),
-        F.when(any_, F.coalesce("root", "rep")).otherwise(F.col("doc_id")).alias("component_id"),
-    )
+        F.when(any_, F.coalesce("root", "rep")).otherwise(F.col("doc_id")).alias("text_id"), "text_hash",
+    ).checkpoint()
+    joined = components(_one_document(keyed.where("n_shingles > 0"))).toDF("text_id", "component_id")
+    whole = keyed.join(joined, "text_id", "left")
+    return whole.select("doc_id", "n_shingles", "n_links", F.coalesce("component_id", "text_id").alias("component_id"), "text_id", "text_hash")
 
 
 def similar_groups(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs, as in ``similar_links``."""
-    return similar_links(docs).drop("n_links")
+    return similar_links(docs).select("doc_id", "n_shingles", "component_id")

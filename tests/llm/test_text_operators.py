@@ -326,6 +326,16 @@ def test_ngram_join_finds_all_links(spark, odd):
         assert {r["doc_id"]: r["n_links"] for r in rows} == {i: sum(i in p for p in want) for i in texts}
 
 
+def test_ngram_join_of_texts_that_share_a_doc_id(spark):
+    import random
+
+    rng = random.Random(12)
+    x, y, z = prose(rng, 60), prose(rng, 60), prose(rng, 60)
+    rows = [(5, x), (5, y), (3, y), (9, x), (9, x), (12, z), (12, ""), (14, z), (15, None)]
+    got = ngram_join.similar_links(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["component_id"], r["text_id"], r["n_links"]) for r in got) == sorted([(5, 3, 5, 2), (5, 3, 3, 1), (3, 3, 3, 1), (9, 3, 5, 2), (9, 3, 5, 2), (12, 12, 12, 1), (12, 12, 12, 0), (14, 12, 12, 1), (15, 15, 15, 0)])
+
+
 def near_sets(n=60):
     import random
 

@@ -85,6 +85,8 @@ def test_pipeline(spark, tmp_path):
     tail = prose(rng, 30) + " my dear friend " + prose(rng, 30)
     own = " my dear friend " + prose(rng, 60)
     rows += [(910, tail, "en", "s", 1), (911, tail + own, "en", "s", 1), (911, prose(rng, 50) + " my dear friend", "en", "other", 1), (None, "my dear friend " + prose(rng, 20), "en", "s", 1), (None, None, None, None, None)]
+    one, two = (prose(rng, 50) + " my dear friend " + prose(rng, 30) for _ in "ab")
+    rows += [(925, one, "en", "s", 1), (925, two, "en", "s", 1), (923, two, "en", "s", 1), (929, one, "en", "s", 1)]
     frame = spark.createDataFrame(rows, SCHEMA)
     for name in ("kept", "cut_id", "gone", "rest", "n_removed", "component_id", "predicted", "item_id", "places", "digest", "value", "hash", "a b"):
         frame = frame.withColumn(name, F.concat(F.lit(f"{name} of "), F.coalesce(F.col("source"), F.lit("none"))))
@@ -102,6 +104,8 @@ def test_pipeline(spark, tmp_path):
         docs = spark.read.parquet(f"{tmp_path}/{k}")
         kept[name] = {r["doc_id"] for r in docs.select("doc_id").collect()}
         assert docs.where("doc_id is null").count() == 2
+        if name == "ngram_jaccard_join":
+            assert {(r["doc_id"], r["text"]) for r in docs.where("doc_id between 920 and 930").collect()} == {(923, two), (925, one)}
         if name == "suffix_array_dedup":
             both = {r["source"]: (r["text"], r["kept"], r["n_chars"]) for r in docs.where("doc_id = 911").collect()}
             assert both["s"] == (own, "kept of s", len(own)) and both["other"][0].endswith("my dear friend") and both["other"][2] == 1
