@@ -160,6 +160,12 @@ def parse_clock(text: Column) -> Column:
     return F.when(text.rlike(r"^[0-9]+(:[0-9]+)*(\.[0-9]+)?$"), F.aggregate(F.split(text, ":"), F.lit(0.0), lambda a, x: a * 60 + x.try_cast("double")))
 
 
+def tenths_clock(seconds: Column) -> Column:
+    """``hh:mm:ss.s``; times before zero count as zero."""
+    tenths = F.bround(F.greatest(seconds.cast("double"), F.lit(0.0)) * 10, 0).cast("long")
+    return F.format_string("%02d:%02d:%02d.%d", F.floor(tenths / 36000).cast("long"), F.pmod(F.floor(tenths / 600), F.lit(60)).cast("long"), F.pmod(F.floor(tenths / 10), F.lit(60)).cast("long"), F.pmod(tenths, F.lit(10)))
+
+
 def format_clock(seconds: Column, comma: bool = False) -> Column:
     """``HH:MM:SS.mmm``, rounded half to even."""
     ms = F.rint(seconds * 1000).cast("long")

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import difflib
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,31 +13,50 @@ _OPS = pa.list_(pa.struct([("tag", pa.string()), ("i1", pa.int32()), ("i2", pa.i
 _OPS_SQL = "array<struct<tag:string,i1:int,i2:int,j1:int,j2:int>>"
 
 
+def _numbered(ref: list[str], hyp: list[str], kind) -> tuple[np.ndarray, np.ndarray]:
+    names = {t: k for k, t in enumerate(dict.fromkeys([*ref, *hyp]))}
+    return np.array([names[t] for t in ref], kind), np.array([names[t] for t in hyp], kind)
+
+
+def _next_row(row: np.ndarray, token: int, b: np.ndarray, along: np.ndarray) -> np.ndarray:
+    best = row + 1
+    best[1:] = np.minimum(best[1:], row[:-1] + (b != token))
+    return along + np.minimum.accumulate(best - along)
+
+
 def edit_path(ref: list[str], hyp: list[str]) -> list[tuple[str, int, int]]:
     """Steps of a shortest edit path, in order: (hit | substitute | delete | insert, i, j).
 
     A row of distances at a time; insertions run along a row, which a running minimum does at
-    once.  Walking back, deletions go before insertions before substitutions.
+    once.  Walking back, deletions go before insertions before substitutions.  Of n rows every
+    sqrt(n)th is kept and those between are made anew when the way back comes there, up to the
+    column that it has reached, so memory grows with m sqrt(n) and not with n m.
     """
-    names = {t: k for k, t in enumerate(dict.fromkeys([*ref, *hyp]))}
-    a, b = np.array([names[t] for t in ref], np.int32), np.array([names[t] for t in hyp], np.int32)
+    a, b = _numbered(ref, hyp, np.int32)
     n, m = len(a), len(b)
-    rows = np.zeros((n + 1, m + 1), np.int32)
+    step = max(1, math.isqrt(n))
     along = np.arange(m + 1, dtype=np.int32)
-    rows[0] = along
+    kept, row = [along], along
     for i in range(1, n + 1):
-        best = rows[i - 1] + 1
-        best[1:] = np.minimum(best[1:], rows[i - 1, :-1] + (b != a[i - 1]))
-        rows[i] = along + np.minimum.accumulate(best - along)
-    out, i, j = [], n, m
+        row = _next_row(row, a[i - 1], b, along)
+        if i % step == 0:
+            kept.append(row)
+    out, i, j, low, rows = [], n, m, n + 1, []
     while i or j:
-        if i and j and a[i - 1] == b[j - 1] and rows[i, j] == rows[i - 1, j - 1]:
+        if i and i - 1 < low:
+            low = (i - 1) // step * step
+            rows = [kept[low // step][: j + 1]]
+            for k in range(low + 1, i + 1):
+                rows.append(_next_row(rows[-1], a[k - 1], b[:j], along[: j + 1]))
+            del kept[low // step + 1 :]
+        here, above = rows[i - low][j] if i else j, rows[i - 1 - low] if i else None
+        if i and j and a[i - 1] == b[j - 1] and here == above[j - 1]:
             i, j = i - 1, j - 1
             out.append(("hit", i, j))
-        elif i and rows[i, j] == rows[i - 1, j] + 1:
+        elif i and here == above[j] + 1:
             i -= 1
             out.append(("delete", i, j))
-        elif j and rows[i, j] == rows[i, j - 1] + 1:
+        elif j and here == (rows[i - low][j - 1] if i else j - 1) + 1:
             j -= 1
             out.append(("insert", i, j))
         else:
@@ -47,32 +66,57 @@ def edit_path(ref: list[str], hyp: list[str]) -> list[tuple[str, int, int]]:
 
 
 #: Places where tokens of both sides match, above which they are not listed.
-MOST_PLACES = 1 << 26
-
-
-class _Matcher(difflib.SequenceMatcher):
-    """The same blocks as difflib finds, from a list of all diagonal runs of matches that is cut down with each range; for long sequences."""
-
-    def get_matching_blocks(self):
-        if self.matching_blocks is not None:
-            return self.matching_blocks
-        names = {t: k for k, t in enumerate(dict.fromkeys([*self.a, *self.b]))}
-        a, b = np.array([names[t] for t in self.a], np.int64), np.array([names[t] for t in self.b], np.int64)
-        order = np.argsort(b, kind="stable")
-        first = np.searchsorted(b[order], a, "left")
-        count = np.searchsorted(b[order], a, "right") - first
-        if count.sum() > MOST_PLACES:
-            return super().get_matching_blocks()
-        i = np.repeat(np.arange(len(a)), count)
-        j = order[np.arange(len(i)) - np.repeat(np.cumsum(count) - count - first, count)]
-        key = np.sort((j - i + len(a)) * (len(a) + 1) + i)
-        begin = np.flatnonzero(np.r_[True, np.diff(key) != 1]) if len(key) else np.zeros(0, np.int64)
-        size = np.diff(np.r_[begin, len(key)])
-        i = key[begin] % (len(a) + 1)
-        j = key[begin] // (len(a) + 1) - len(a) + i
-        found, todo = [], [(0, len(a), 0, len(b), i, j, size)]
-        while todo:
-            alo, ahi, blo, bhi, i, j, size = todo.pop()
+MOST_PLACES = 1 << 22
+
+
+def _diagonals(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """Begin on either side and length of all diagonal runs of matches; None if there are too many places."""
+    order = np.argsort(b, kind="stable")
+    first = np.searchsorted(b[order], a, "left")
+    count = np.searchsorted(b[order], a, "right") - first
+    if count.sum() > MOST_PLACES:
+        return None
+    i = np.repeat(np.arange(len(a)), count)
+    j = order[np.arange(len(i)) - np.repeat(np.cumsum(count) - count - first, count)]
+    key = np.sort((j - i + len(a)) * (len(a) + 1) + i)
+    begin = np.flatnonzero(np.r_[True, np.diff(key) != 1]) if len(key) else np.zeros(0, np.int64)
+    i = key[begin] % (len(a) + 1)
+    return i, key[begin] // (len(a) + 1) - len(a) + i, np.diff(np.r_[begin, len(key)])
+
+
+def _longest_by_rows(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
+    """Longest run of matches, of several the first by place; a row of run lengths at a time."""
+    best, length = (0, 0, 0), np.zeros(len(b) + 1, np.int64)
+    for i, token in enumerate(a.tolist()):
+        length[1:] = np.where(b == token, length[:-1] + 1, 0)
+        k = int(length.argmax())
+        n = int(length[k])
+        if n > best[2] or (n == best[2] > 0 and (i - n + 1, k - n) < best[:2]):
+            best = (i - n + 1, k - n, n)
+    return best
+
+
+def matching_blocks(ref: list[str], hyp: list[str]) -> list[tuple[int, int, int]]:
+    """(i, j, length) of the longest run of tokens that both sides share, then of what lies left and right of it, and so on; neighbours joined.
+
+    Of several longest runs the one that begins first on the reference's side counts, then on the
+    other's.  All diagonal runs of matches are listed once and cut down with each range; ranges
+    with very many matches are searched row by row until they have fewer.
+    """
+    a, b = _numbered(ref, hyp, np.int64)
+    found, todo = [], [(0, len(a), 0, len(b), None)]
+    while todo:
+        alo, ahi, blo, bhi, runs = todo.pop()
+        if alo == ahi or blo == bhi:
+            continue
+        if runs is None and (listed := _diagonals(a[alo:ahi], b[blo:bhi])) is not None:
+            runs = (listed[0] + alo, listed[1] + blo, listed[2])
+        if runs is None:
+            x, y, n = _longest_by_rows(a[alo:ahi], b[blo:bhi])
+            left = right = None
+            x, y = x + alo, y + blo
+        else:
+            i, j, size = runs
             skip = np.maximum(0, np.maximum(alo - i, blo - j))
             i, j, size = i + skip, j + skip, np.minimum(size, np.minimum(ahi - i, bhi - j)) - skip
             keep = size > 0
@@ -82,28 +126,30 @@ class _Matcher(difflib.SequenceMatcher):
             longest = np.flatnonzero(size == size.max())
             at = longest[np.lexsort((j[longest], i[longest]))[0]]
             x, y, n = int(i[at]), int(j[at]), int(size[at])
+            before, after = (i < x) & (j < y), (i + size > x + n) & (j + size > y + n)
+            left, right = (i[before], j[before], size[before]), (i[after], j[after], size[after])
+        if n:
             found.append((x, y, n))
-            left, right = (i < x) & (j < y), (i + size > x + n) & (j + size > y + n)
-            todo.append((alo, x, blo, y, i[left], j[left], size[left]))
-            todo.append((x + n, ahi, y + n, bhi, i[right], j[right], size[right]))
-        merged = []
-        for x, y, n in sorted(found):
-            if merged and merged[-1][0] + merged[-1][2] == x and merged[-1][1] + merged[-1][2] == y:
-                merged[-1][2] += n
-            else:
-                merged.append([x, y, n])
-        self.matching_blocks = [difflib.Match(*m) for m in [*merged, (len(a), len(b), 0)]]
-        return self.matching_blocks
-
-
-#: Tokens of both sides from which the list of runs is faster.
-LONG = 400
+            todo += [(alo, x, blo, y, left), (x + n, ahi, y + n, bhi, right)]
+    merged: list[list[int]] = []
+    for x, y, n in sorted(found):
+        if merged and merged[-1][0] + merged[-1][2] == x and merged[-1][1] + merged[-1][2] == y:
+            merged[-1][2] += n
+        else:
+            merged.append([x, y, n])
+    return [tuple(m) for m in merged]
 
 
 def opcodes(ref: list[str], hyp: list[str]) -> list[tuple[str, int, int, int, int]]:
     """Longest matching blocks, recursively, as edit operations on ranges."""
-    matcher = _Matcher if len(ref) + len(hyp) >= LONG else difflib.SequenceMatcher
-    return matcher(None, ref, hyp, autojunk=False).get_opcodes()
+    out, i, j = [], 0, 0
+    for x, y, n in [*matching_blocks(ref, hyp), (len(ref), len(hyp), 0)]:
+        if i < x or j < y:
+            out.append(("replace" if i < x and j < y else "delete" if i < x else "insert", i, x, j, y))
+        if n:
+            out.append(("equal", x, x + n, y, y + n))
+        i, j = x + n, y + n
+    return out
 
 
 def project(blocks: list[tuple[int, int, int, int]], start: int, end: int, pad: int = 2) -> tuple[int, int]:
@@ -192,3 +238,27 @@ def blocks(pairs: DataFrame, keys: list[str], ref: str = "ref", hyp: str = "hyp"
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), pa.array(named, _OPS), pa.array(errors, pa.int64())], names=[*keys, "ops", "loose_errors"])
 
     return pairs.select(*keys, ref, hyp).mapInArrow(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + f", ops {_OPS_SQL}, loose_errors long")
+
+
+def alignment(ref: DataFrame, hyp: DataFrame, by: list[str]) -> DataFrame:
+    """by, tag, i1, i2, j1, j2: the operations that lead from one table of tokens (by, place, token) to the other, a row for each.
+
+    Both sides of a visit meet in one task; a visit that only one side knows is one deletion or
+    insertion.  Tokens are compared as they are, and numbered by their order of place.
+    """
+    kinds = dict(ref.dtypes)
+    names = [*by, "tag", "i1", "i2", "j1", "j2"]
+
+    def tokens(t: pa.Table) -> list[str]:
+        return t.sort_by("place").column("token").to_pylist()
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        ops = opcodes(tokens(left), tokens(right))
+        some = left if len(left) else right
+        keys = [some.column(c).slice(0, 1).combine_chunks().take(pa.array([0] * len(ops), pa.int64())) for c in by]
+        tags, *ends = zip(*ops) if ops else [()] * 5
+        return pa.table([*keys, pa.array(tags, pa.string()), *[pa.array(e, pa.int64()) for e in ends]], names=names)
+
+    columns = [*by, "place", "token"]
+    both = ref.select(columns).groupBy(*by).cogroup(hyp.select(columns).groupBy(*by))
+    return both.applyInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in by) + ", tag string, i1 long, i2 long, j1 long, j2 long")

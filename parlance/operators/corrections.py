@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -9,16 +11,19 @@ from pyspark.sql import functions as F
 from parlance.functions import text as T
 from parlance.operators import islands
 from parlance.operators.intervals import UNKNOWN
+from parlance.sources.transcripts import parse_corrections
 
 #: Words that one correction may move.
-MOST_MOVED = 40
+MOST_MOVED = 6
 #: Characters of a turn beyond which it is cut between sentences.
 TURN_CHARS = 1200
+#: Tokens that a request may have, and turns that the next one shows again.
+BUDGET, OVERLAP = 24_000, 4
 COUNTERS = ["corrections_proposed", "corrections_applied", "applied_reassign", "applied_split", "words_moved", "unmatched", "malformed", "rejected_speaker", "rejected_long", "rejected_conflict", "duplicate", "chunk_failures"]
 
 
 def shown_turns(words: DataFrame, by: list[str]) -> DataFrame:
-    """by, run, first, last, speaker, line: each run of a speaker as a model is shown it: number, speaker, clock, pause before, words."""
+    """by, run, first, last, speaker, line: each run of a speaker as a model is shown it: number, speaker, clock, pause before, words; body is the line without its number, measured that with no pause."""
     who = F.coalesce(F.nullif("speaker", F.lit("")), F.lit(UNKNOWN))
     runs = islands.islands(words.withColumn("speaker", who), by, ["word_idx"], ~F.col("speaker").eqNullSafe(F.lag("speaker").over(Window.partitionBy(*by).orderBy("word_idx"))), "run")
     each = runs.groupBy(*by, "run").agg(
@@ -27,9 +32,11 @@ def shown_turns(words: DataFrame, by: list[str]) -> DataFrame:
     )
     w = Window.partitionBy(*by).orderBy("first")
     pause = F.greatest(F.col("start") - F.lag("end").over(w), F.lit(0.0))
-    gap = F.when(F.lag("end").over(w).isNull(), "  ----").otherwise(F.format_string(" +%.1fs", pause))
+    gap = F.when(F.lag("end").over(w).isNull(), "  ----").otherwise(F.format_string(" +%.1fs", F.bround(pause, 1)))
     number = (F.row_number().over(w) - 1).cast("long")
-    return each.withColumn("run", number).select(*by, "run", "first", "last", "speaker", F.concat(number.cast("string"), F.lit("  "), F.col("speaker"), F.lit("  ["), T.format_clock(F.col("start")), gap, F.lit("]  "), F.col("text")).alias("line"))
+    body = lambda pause: F.concat(F.col("speaker"), F.lit("  ["), T.tenths_clock(F.col("start")), pause, F.lit("]  "), F.col("text"))
+    shown = each.withColumn("run", number).withColumn("body", body(gap)).withColumn("measured", F.concat(F.lit("0  "), body(F.lit(" +0.0s"))))
+    return shown.select(*by, "run", "first", "last", "speaker", F.concat(F.col("run").cast("string"), F.lit("  "), F.col("body")).alias("line"), "body", "measured")
 
 
 def prompts(lines: DataFrame, by: list[str]) -> DataFrame:
@@ -37,6 +44,66 @@ def prompts(lines: DataFrame, by: list[str]) -> DataFrame:
     return lines.groupBy(*by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("run", "line"))), lambda x: x["line"]), "\n").alias("prompt"), F.array_sort(F.collect_set("speaker")).alias("labels"))
 
 
+def requests(lines: DataFrame, by: list[str], measure: Callable[[Column], Column], budget: int = BUDGET, overlap: int = OVERLAP) -> DataFrame:
+    """by, request, first_run, runs: the turns that each request shows, as many as fit the budget; the next begins with the last ``overlap`` of them.
+
+    ``measure`` gives the tokens of a text: an expression, or an Arrow function around a tokenizer.
+    A turn larger than the budget is still shown.  Where a request begins depends on those before, so
+    a recording's turns, a number each, are folded in one task.
+    """
+    kinds = dict(lines.dtypes)
+    sized = lines.select(*by, "run", measure(F.col("measured")).cast("long").alias("size"))
+
+    def fold(t: pa.Table) -> pa.Table:
+        sizes = t.sort_by("run").column("size").to_pylist()
+        first, held, out = 0, 0, []
+        for k, size in enumerate(sizes):
+            if k > first and held + size > budget:
+                out.append((first, k - first))
+                first = max(first, k - overlap)
+                held = sum(sizes[first:k])
+            held += size
+        out.append((first, len(sizes) - first))
+        columns = {c: t.column(c).slice(0, 1).combine_chunks().take(pa.array([0] * len(out))) for c in by}
+        return pa.table(columns | {"request": pa.array(range(len(out)), pa.int64()), "first_run": pa.array([a for a, _ in out], pa.int64()), "runs": pa.array([n for _, n in out], pa.int64())})
+
+    return sized.groupBy(*by).applyInArrow(fold, ", ".join(f"{c} {kinds[c]}" for c in by) + ", request long, first_run long, runs long")
+
+
+def request_prompts(lines: DataFrame, asked: DataFrame, by: list[str]) -> DataFrame:
+    """asked with prompt: its turns in order, numbered from 0 within the request."""
+    each = asked.select(*by, "request", "first_run", "runs", F.explode(F.sequence(F.lit(0).cast("long"), F.col("runs") - 1)).alias("place"))
+    shown = each.withColumn("run", F.col("first_run") + F.col("place")).join(lines.select(*by, "run", "body"), [*by, "run"])
+    line = F.struct("place", F.concat(F.col("place").cast("string"), F.lit("  "), F.col("body")).alias("line"))
+    return shown.groupBy(*by, "request", "first_run", "runs").agg(F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["line"]), "\n").alias("prompt"))
+
+
+def answers(prompts: DataFrame, keys: list[str], ask: Callable[[str], str]) -> DataFrame:
+    """keys, reply: what ``ask`` says to each prompt, asked in the tasks; null where it raises."""
+    kinds = dict(prompts.dtypes)
+
+    def said(prompt: str) -> str | None:
+        try:
+            return ask(prompt)
+        except Exception:  # a request that failed is counted as one
+            return None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keys), pa.array([said(p) for p in batch.column("prompt").to_pylist()], pa.string())], names=[*keys, "reply"])
+
+    return prompts.select(*keys, "prompt").mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in keys) + ", reply string")
+
+
+def reviewed(words: DataFrame, by: list[str], ask: Callable[[str], str], measure: Callable[[Column], Column], budget: int = BUDGET, overlap: int = OVERLAP, most: int = MOST_MOVED) -> DataFrame:
+    """by, word_idx, new, report as ``corrected`` gives them: the whole way from words by requests to a model's answers."""
+    lines = shown_turns(words, by)
+    asked = requests(lines, by, measure, budget, overlap)
+    keys = [*by, "request", "first_run", "runs"]
+    entries = parse_corrections(answers(request_prompts(lines, asked, by), keys, ask), keys)
+    return corrected(words, entries, by, most)
+
+
 def held_corrections(corrections: Column, transcript: Column, most: int = 2) -> Column:
     """Of an array of (original, ...) those of at most ``most`` words that the transcript holds."""
     return F.filter(corrections, lambda c: (F.coalesce(c["original"], F.lit("")) != "") & (F.size(T.words_of(c["original"])) <= most) & transcript.contains(c["original"]))

@@ -10,16 +10,19 @@ from parlance.operators import intervals, streams
 
 #: Seconds by which times may be off, narrowly and widely.
 TOLERANCE, WIDE = 0.5, 3.0
+#: Names of roles; turns of any other speaker are unnamed.
+ROLES = ("INTERVIEWER", "PARTICIPANT")
 #: Upper edges, in seconds, of the lengths of turns and of the turns before them.
 LENGTHS, PREVIOUS = [1, 2, 5, 15], [1, 2, 5, 15]
 
 
-def turn_outcomes(turns: DataFrame, words: DataFrame, by: list[str], lengths: list[float] = LENGTHS, previous: list[float] = PREVIOUS) -> DataFrame:
+def turn_outcomes(turns: DataFrame, words: DataFrame, by: list[str], lengths: list[float] = LENGTHS, previous: list[float] = PREVIOUS, roles: tuple[str, ...] = ROLES) -> DataFrame:
     """One row for each turn of a visit that has both sides.
 
     inside: words that overlap the turn.  recovered and recovered_wide: the share of the turn's
     content tokens, each as often as it stands there, that words within the tolerances have; null
-    for turns without any.  nearest_word: the gap to the nearest word where none is inside.  One
+    for turns without any.  speaker: the name in capitals without its colon if it is a role's, else
+    ``unnamed (NAME)``.  nearest_word: the gap to the nearest word where none is inside.  One
     join at the widest tolerance serves all of it.
     """
     whole = turns.withColumn("end", F.greatest("start", F.coalesce("end", "start")))
@@ -41,8 +44,10 @@ def turn_outcomes(turns: DataFrame, words: DataFrame, by: list[str], lengths: li
     before = F.lag(length).over(Window.partitionBy(*by).orderBy("seg_idx"))
     lost, alone = F.col("hyp_words") == 0, F.col("speaker_words") == 0
     gap = F.when(lost, F.round("nearest", 3))
+    name = F.rtrim(F.upper("speaker"), F.lit(":"))
+    speaker = F.when(name.isin(*roles), name).otherwise(F.concat(F.lit("unnamed ("), F.coalesce(name, F.lit("NONE")), F.lit(")")))
     return rows.select(
-        *by, "seg_idx", "speaker", F.round("recovered", 4).alias("recovered"), F.coalesce(F.col("recovered") == 0, F.lit(False)).alias("content_lost"), F.coalesce(F.col("recovered") < 0.5, F.lit(False)).alias("content_mostly_lost"),
+        *by, "seg_idx", speaker.alias("speaker"), F.round("recovered", 4).alias("recovered"), F.coalesce(F.col("recovered") == 0, F.lit(False)).alias("content_lost"), F.coalesce(F.col("recovered") < 0.5, F.lit(False)).alias("content_mostly_lost"),
         F.round("recovered_wide", 4).alias("recovered_wide"), F.coalesce(F.col("recovered_wide") == 0, F.lit(False)).alias("content_lost_wide"), F.round(length, 3).alias("length"),
         T.length_bucket(length, lengths).alias("length_bucket"), F.coalesce(T.length_bucket(before, previous), F.lit("first turn")).alias("previous_bucket"), F.size(T.words_of(F.col("text"))).cast("long").alias("ref_words"), "hyp_words",
         lost.alias("lost_entirely"), (lost & (gap.isNull() | (gap > TOLERANCE))).alias("lost_beyond_tolerance"), alone.alias("lost_to_speaker"), (~lost & alone).alias("wrong_speaker"), gap.alias("nearest_word"),

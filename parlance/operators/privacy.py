@@ -17,6 +17,12 @@ from parlance.operators import align
 
 #: Tokens by which a carried range is widened on either side.
 PAD = 2
+# Labels of what a model blanks, its placeholders as it writes them, and anything that looks like one.
+LABELS = ["PERSON_NAME", "DATE", "LOCATION", "AGE", "GENDER", "US_STATE"]
+PLACEHOLDER = r"^\[([A-Z_]+)\](?:['’]s)?[.,!?;:]*$"
+BRACKETED = r"\[[A-Z_]+\]"
+#: Share of a turn's words that a rewrite must account for, and most words of a block whose labels can't be told apart.
+LEAST_VERBATIM, MOST_AMBIGUOUS = 0.85, 8
 #: Tokens of a bucket; ranges and blocks meet in the buckets that they touch.
 BUCKET = 512
 
@@ -122,3 +128,42 @@ def first_and_last(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     """keys with the first and the last value of ``value`` in the given order: either rule of merging dictionaries."""
     w = Window.partitionBy(*keys).orderBy(order)
     return rows.withColumn("r", F.row_number().over(w)).groupBy(*keys).agg(F.min_by("value", "r").alias("first_wins"), F.max_by("value", "r").alias("last_wins"))
+
+
+def _key(token: Column) -> Column:
+    """A placeholder stands for its label alone, which no word can be."""
+    label = F.regexp_extract(token, PLACEHOLDER, 1)
+    return F.when(label != "", F.concat(F.lit("\0"), label)).otherwise(T.token(token))
+
+
+def rewritten_turns(turns: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, accepted, unmatched, labels: what a model that was asked to copy a turn, but for placeholders, replaced in it.
+
+    turns: keys, words (array), reply.  ``labels`` has place and label of each word that a block with
+    known placeholders replaces: placeholder by placeholder where there is one for each word, else
+    the first for all.  Blocks without a word or with more than MOST_AMBIGUOUS, and bracketed tokens
+    that aren't known, count as ``unmatched``.  A rewrite that accounts for less than LEAST_VERBATIM
+    of the words isn't accepted, and has no labels and nothing unmatched.
+    """
+    none = F.array().cast("array<string>")
+    sides = turns.select(*keys, F.transform(F.coalesce("words", none), F.trim).alias("source"), T.words_of(F.col("reply")).alias("output"))
+    keyed = sides.withColumn("ref", F.transform("source", _key)).withColumn("hyp", F.transform("output", _key))
+    ops = align.blocks(keyed, keys).select(*keys, F.explode_outer("ops").alias("o")).select(*keys, "o.*")
+    n = F.col("i2") - F.col("i1")
+    each = ops.join(keyed.select(*keys, "ref", "output"), keys).withColumn("said", F.slice("output", F.col("j1") + 1, F.col("j2") - F.col("j1")))
+    each = each.withColumn("held", F.filter(F.transform("said", lambda t: F.regexp_extract(t, PLACEHOLDER, 1)), lambda x: x != "")).withColumn("known", F.filter("held", lambda x: x.isin(LABELS)))
+    edit, some = F.col("tag") != "equal", F.size("known") > 0
+    fits = edit & some & (n > 0) & (n <= MOST_AMBIGUOUS)
+    stray = edit & (F.when(some, ~fits).otherwise(F.exists("said", lambda t: t.rlike(BRACKETED))))
+    offsets = each.select(*keys, "tag", "i1", "known", "held", n.alias("n"), "ref", fits.alias("fits"), stray.alias("stray"), F.explode_outer(F.when(fits, F.sequence(F.lit(0), n - 1))).alias("step"))
+    n = F.col("n")
+    single = (F.size("known") == F.size("held")) & (F.size("known") == n) & (F.size("known") > 1)
+    label = F.struct((F.col("i1") + F.col("step")).alias("place"), F.when(single, F.get("known", F.col("step"))).otherwise(F.get("known", F.lit(0))).alias("label"))
+    given = F.when(F.col("fits") & (F.get("ref", F.col("i1") + F.col("step")) != ""), label)
+    once = F.coalesce(F.col("step"), F.lit(0)) == 0
+    sums = offsets.groupBy(*keys).agg(
+        F.coalesce(F.sum(F.when(once & ((F.col("tag") == "equal") | F.col("fits")), n)), F.lit(0)).alias("accounted"), F.count_if(once & F.col("stray")).alias("unmatched"), F.array_sort(F.collect_list(given)).alias("labels"),
+    )
+    whole = F.size("source")
+    accepted = (whole > 0) & (F.size("output") > 0) & (F.col("accounted") >= LEAST_VERBATIM * whole)
+    return keyed.join(sums, keys, "left").select(*keys, F.coalesce(accepted, F.lit(False)).alias("accepted"), F.when(accepted, F.col("unmatched")).otherwise(0).alias("unmatched"), F.when(accepted, F.col("labels")).otherwise(F.array().cast("array<struct<place:int,label:string>>")).alias("labels"))

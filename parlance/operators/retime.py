@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from parlance.functions import text as T
 from parlance.operators import islands
 from parlance.operators.intervals import UNKNOWN
 
@@ -89,6 +90,37 @@ def _pairs(blocks: DataFrame, by: list[str]) -> DataFrame:
     return blocks.where("i2 - i1 = j2 - j1").select(*by, F.explode(F.sequence(F.col("i1"), F.col("i2") - 1)).alias("i"), F.col("i1"), F.col("j1")).select(*by, F.col("i").cast("long").alias("i"), (F.col("j1") + F.col("i") - F.col("i1")).cast("long").alias("j"))
 
 
+def anchors(blocks: DataFrame, heard: DataFrame, by: list[str]) -> DataFrame:
+    """by, word_idx, a_start, a_end: the times that another hearing (by, j, start, end) gives to the words that equal blocks pair with it."""
+    same = _pairs(blocks.where("tag = 'equal'"), by).select(*by, F.col("i").alias("word_idx"), "j")
+    return same.join(heard.select(*by, "j", F.col("start").alias("a_start"), F.col("end").alias("a_end")), [*by, "j"]).select(*by, "word_idx", "a_start", "a_end")
+
+
+def refined_turns(turns: DataFrame, words: DataFrame, by: list[str], max_drift: float, strict: bool = True) -> DataFrame:
+    """Turns with the start of their first word and the end of their last, and outcome: refined, fallback_drift or fallback_empty.
+
+    turns: by, seg_idx (order), start, end, text.  words: by, word_idx (from 0), start, end, one for
+    each word between white space of all turns in order.  Turns whose start would move by more than
+    ``max_drift``, or end before it, and turns without words keep their times.  Where a visit has
+    more or fewer words than its turns an error is raised, or, unless ``strict``, outcome is
+    word_count_mismatch and its turns keep their times.
+    """
+    w = Window.partitionBy(*by).orderBy("seg_idx")
+    counted = turns.withColumn("n", F.size(T.words_of(F.col("text"))).cast("long")).withColumn("upto", F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    placed = counted.withColumn("from", F.col("upto") - F.col("n")).withColumn("whole", F.sum("n").over(Window.partitionBy(*by)))
+    first = words.select(*by, F.col("word_idx").alias("from"), F.col("start").alias("new_start"))
+    last = words.select(*by, (F.col("word_idx") + 1).alias("upto"), F.col("end").alias("new_end"))
+    sizes = words.groupBy(*by).agg(F.count("*").alias("given"))
+    timed = placed.join(sizes, by, "left").join(first, [*by, "from"], "left").join(last, [*by, "upto"], "left")
+    given = F.coalesce("given", F.lit(0))
+    mismatch = F.raise_error(F.concat(F.lit("word count mismatch: transcript "), F.col("whole").cast("string"), F.lit(" vs aligned "), given.cast("string"))).cast("string") if strict else F.lit("word_count_mismatch")
+    drifts = (F.abs(F.col("new_start") - F.col("start")) > max_drift) | (F.col("new_end") <= F.col("new_start"))
+    outcome = F.when(F.col("whole") != given, mismatch).when(F.col("n") == 0, "fallback_empty").when(drifts, "fallback_drift").otherwise("refined")
+    judged = timed.withColumn("outcome", outcome)
+    new = F.col("outcome") == "refined"
+    return judged.withColumn("start", F.when(new, F.col("new_start")).otherwise(F.col("start"))).withColumn("end", F.when(new, F.col("new_end")).otherwise(F.col("end"))).select(*turns.columns, "outcome")
+
+
 def anchor_errors(turns: DataFrame, words: DataFrame, blocks: DataFrame, by: list[str]) -> DataFrame:
     """by, seg_idx, error: how far the word that matches a turn's first token is from the turn's start; turns without a match have none.
 

@@ -9,15 +9,17 @@ from __future__ import annotations
 import itertools
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from parlance.functions import text as T
-from parlance.operators import align, intervals
+from parlance.operators import align, intervals, tokens, visit
 from parlance.operators.intervals import UNKNOWN
+from parlance.operators.visit import Visit
 
 #: Words, normalized, below which a reference stream counts as a stray line.
-LEAST_WORDS = 5
+LEAST_WORDS = visit.LEAST_WORDS
 #: Collar in seconds and whether overlapped speech is left out, by the name of the variant.
 VARIANTS = {"der": (0.0, False), "der_collar0.25": (0.25, False), "der_skipoverlap": (0.0, True), "der_collar0.25_skipoverlap": (0.25, True)}
 
@@ -89,29 +91,57 @@ def reassigned(words: DataFrame, reference: DataFrame, mapping: DataFrame, by: l
     return words.join(best, [*by, "word_idx"], "left").withColumn("moved", F.col("new").isNotNull()).withColumn("speaker", F.coalesce("new", "speaker")).drop("new")
 
 
-def visit_scores(turns: DataFrame, words: DataFrame, by: list[str]) -> DataFrame:
-    """One row for each visit that has words on both sides: pooled word errors and their kinds, errors by stream before and after words of unmatched speakers are charged, cues, diarization error.
+def relabelled_word_errors(ref: DataFrame, hyp: DataFrame, by: list[str]) -> DataFrame:
+    """by, der, speaker_errors, total_correct_words, shift: how many of the words that both sides share have another speaker, under the best cyclic renaming of the hypothesis's speakers.
 
-    Text is pooled in order of time, whoever speaks.
+    ref and hyp: by, place, token, speaker; speakers of the hypothesis are numbers, with or without
+    an S before them, and ``shift`` is added to them (S1 to S2, the last to S1); the least shift of
+    the best wins.  Where every shared word is wrong under all of them, or the hypothesis has no
+    words, the rate is 1, and the names stay (shift is null, no word is counted).
     """
-    ref, hyp = reference_streams(turns, by), word_streams(words, by)
-    scored = without_strays(ref, by)
-    mapping = matched_streams(scored, hyp, by)
-    repaired = reassigned(words, ref, mapping, by)
-    before = stream_means(stream_scores(scored, hyp, mapping, by), by).select(*by, F.col("swer").alias("swer_unmatched_dropped"))
-    after = stream_means(stream_scores(scored, word_streams(repaired, by), mapping, by), by)
-    moved = repaired.groupBy(*by).agg(F.count_if("moved").alias("unmatched_hyp_words"))
-    strays = scored.groupBy(*by).agg(F.max("strays").alias("phantom_streams"))
-    join = lambda df, order, text, name: df.groupBy(*by).agg(T.words_of(T.headline(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text).alias("t")))), lambda x: x["t"]), " "))).alias(name))
-    texts = join(turns, "seg_idx", "text", "ref").join(join(words, "word_idx", "word", "hyp"), by).where("size(ref) > 0 and size(hyp) > 0")
-    n = F.greatest("ref_words", F.lit(1))
-    pooled = align.word_errors(texts, by).select(
-        *by, "wer", (F.col("substitutions") / n).alias("wer_sub"), (F.col("deletions") / n).alias("wer_del"), (F.col("insertions") / n).alias("wer_ins"), ((F.col("substitutions") + F.col("deletions")) / n).alias("wer_no_ins"),
+    side = lambda df, place, name: df.select(*by, F.col("place").alias(place), F.col("speaker").alias(name))
+    paired = tokens.hits(ref, hyp, by).join(side(ref, "i", "r"), [*by, "i"]).join(side(hyp, "j", "h"), [*by, "j"])
+    counts = paired.groupBy(*by, "r", "h").agg(F.count("*").alias("n"))
+    speakers = ref.select(*by).distinct().join(hyp.groupBy(*by).agg(F.count_distinct("speaker").alias("speakers")), by, "left")
+    number = F.regexp_extract("h", "^S?(.*)$", 1).cast("int")
+    shifted = counts.join(speakers, by).withColumn("shift", F.explode(F.sequence(F.lit(0), F.col("speakers").cast("int") - 1)))
+    named = F.concat(F.lit("S"), (F.pmod(number - 1 + F.col("shift"), F.col("speakers")) + 1).cast("string"))
+    each = shifted.groupBy(*by, "shift").agg(F.coalesce(F.sum(F.when(F.col("r") != named, F.col("n"))), F.lit(0)).alias("errors"), F.sum("n").alias("total"))
+    best = each.groupBy(*by).agg(F.min(F.struct("errors", "shift", "total")).alias("b"))
+    kept = F.col("b.errors") < F.col("b.total")
+    spoken = F.col("speakers").isNotNull()
+    return speakers.join(best, by, "left").select(
+        *by, F.when(kept, F.col("b.errors") / F.col("b.total")).when(spoken & F.col("b").isNull(), 0.0).otherwise(1.0).alias("der"), F.coalesce(F.when(kept, F.col("b.errors")), F.lit(0)).alias("speaker_errors"),
+        F.coalesce(F.when(kept, F.col("b.total")), F.lit(0)).alias("total_correct_words"), F.when(kept, F.col("b.shift")).when(spoken & F.col("b").isNull(), 0).alias("shift"),
     )
-    out = pooled
-    for part in (after, before, moved, strays, diarization(turns, words, by)):
-        out = out.join(part, by, "left")
-    return out
+
+
+SCORES = (
+    "wer double, wer_sub double, wer_del double, wer_ins double, wer_no_ins double, streams long, swer double, swer_uncapped double, qtp double, swer_unmatched_dropped double, "
+    "unmatched_hyp_words long, phantom_streams long, der double, der_confusion double"
+)
+
+
+def visit_scores(turns: DataFrame, words: DataFrame, by: list[str], collar: float = 0.25) -> DataFrame:
+    """One row for each visit that has words on both sides: pooled word errors and their kinds, errors by stream before and after words of unmatched speakers are charged, cues, diarization error.
+
+    Text is pooled in order of time, whoever speaks.  Turns and words of a visit meet once, in one
+    task, where ``Visit`` does for it what the operators above do for tables.
+    """
+    kinds = dict(turns.dtypes)
+    fields = [f.split()[0] for f in SCORES.split(", ")]
+    seconds = lambda c: F.col(c).cast("double").alias(c)
+    said = turns.select(*by, F.col("seg_idx").cast("long").alias("at"), F.coalesce("speaker", F.lit(UNKNOWN)).alias("speaker"), seconds("start"), seconds("end"), "text")
+    heard = words.select(*by, F.col("word_idx").cast("long").alias("at"), "speaker", seconds("start"), seconds("end"), F.col("word").alias("text"))
+    types = [pa.int64() if f.split()[1] == "long" else pa.float64() for f in SCORES.split(", ")]
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        rows = [t.select(["at", "text", "speaker", "start", "end"]).to_pylist() for t in (left, right)]
+        row = Visit(*rows).scores(collar) if rows[0] and rows[1] else None
+        keys = [left.column(c).slice(0, 1 if row else 0) for c in by]
+        return pa.table([*keys, *[pa.array([row[f]] if row else [], t) for f, t in zip(fields, types)]], names=[*by, *fields])
+
+    return said.groupBy(*by).cogroup(heard.groupBy(*by)).applyInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in by) + ", " + SCORES)
 
 
 def diarization(turns: DataFrame, words: DataFrame, by: list[str], collar: float = 0.25) -> DataFrame:

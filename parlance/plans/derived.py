@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from parlance.functions.text import words_of
+from parlance.functions.text import FILLED_PAUSES, token, words_of
+from parlance.operators import align
 
 BY = ["conv_id"]
 #: Seconds since 1970 of a time without a zone, whatever the session's zone.
@@ -50,10 +51,9 @@ def heard_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """conv_id, i1, i2, j1, j2: blocks of both transcripts' places, as they are known here: stretches that are kept, and lost words."""
-    w = words(spark, sf_dir).select("conv_id", F.col("word_idx").alias("i"), (F.col("word_idx") - F.floor(F.col("word_idx") / 11) - 1).alias("j"))
-    kept = w.where("i % 11 <> 0").groupBy("conv_id", (F.col("i") - F.col("j")).alias("off")).agg(F.min("i").alias("i1"), (F.max("i") + 1).alias("i2"), F.min("j").alias("j1"), (F.max("j") + 1).alias("j2")).drop("off")
-    return kept.union(w.where("i % 11 = 0").select("conv_id", "i", F.col("i") + 1, F.col("j") + 1, F.col("j") + 1))
+    """conv_id, tag, i1, i2, j1, j2: matching blocks of both transcripts' tokens and what lies between them."""
+    tokens = lambda df, place: df.select("conv_id", F.col(place).alias("place"), token(F.col("word")).alias("token"))
+    return align.alignment(tokens(words(spark, sf_dir), "word_idx"), tokens(placed_words(spark, sf_dir), "j"), BY)
 
 
 def placed_words(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,11 +96,34 @@ h AS (SELECT conv_id, turn, CASE WHEN i % 17 = 0 THEN CASE WHEN speaker = 'user'
 m AS (SELECT conv_id, turn, speaker, CASE WHEN i % 19 < 2 THEN '[DATE].' WHEN i % 23 = 5 THEN '[UM]' WHEN i % 13 = 4 THEN 'um' WHEN i % 29 = 7 THEN 'yeah'
              WHEN i % 31 = 8 THEN 'like' WHEN i % 37 = 9 THEN 'maybe' ELSE word END AS word, i, s, e FROM w)"""
 
-#: Blocks of both transcripts (bl), and the other's words with their places (hj).
-ALIGN_SQL = r"""
+#: The headline's tokens (t) of items (keys, i, word) with their places and owners.
+TOKENS_SQL = """{name} AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY i, pos) - 1 AS place FROM (SELECT {keys}, i, unnest(ts) AS t, unnest(range(len(ts))) AS pos FROM (
+  SELECT {keys}, i, list_filter(string_split_regex(regexp_replace(lower(regexp_replace(word, '\\[[^\\]]*\\]', ' ', 'g')), '[^a-z0-9''\\s]', ' ', 'g'), '\\s+'), lambda x: x <> '' AND NOT list_contains([""" + ", ".join(f"'{p}'" for p in FILLED_PAUSES) + """], x)) AS ts FROM {items})))"""
+TOKEN_SQL = "regexp_replace(lower({}), '[^a-z0-9'']', '', 'g')"
+
+
+def blocks_sql(ref: str, hyp: str, name: str) -> str:
+    """CTEs that end in ``name`` (p, tag, i1, i2, j1, j2): matching blocks of the tokens of ``ref`` (p, i, t) and ``hyp`` (p, j, t), the longest first and then on either side of it, and what lies between them.  Needs WITH RECURSIVE."""
+    skip = "greatest(0, g.alo - d.i, g.blo - d.j)"
+    return f"""
+{name}_run AS (SELECT p, min(i) AS i, min(j) AS j, count(*) AS n FROM (SELECT p, i, j, i - row_number() OVER (PARTITION BY p, i - j ORDER BY i) AS g FROM {ref} JOIN {hyp} USING (p, t)) GROUP BY p, i - j, g),
+{name}_len AS (SELECT p, coalesce(n, 0) AS n, coalesce(m, 0) AS m FROM (SELECT p, count(*) AS n FROM {ref} GROUP BY p) FULL JOIN (SELECT p, count(*) AS m FROM {hyp} GROUP BY p) USING (p)),
+{name}_cut AS (SELECT p, 0 AS kind, 0::BIGINT AS alo, n::BIGINT AS ahi, 0::BIGINT AS blo, m::BIGINT AS bhi FROM {name}_len UNION ALL
+  SELECT p, k, CASE k WHEN 0 THEN alo WHEN 1 THEN x ELSE x + n END, CASE k WHEN 0 THEN x WHEN 1 THEN x + n ELSE ahi END, CASE k WHEN 0 THEN blo WHEN 1 THEN y ELSE y + n END, CASE k WHEN 0 THEN y WHEN 1 THEN y + n ELSE bhi END
+  FROM (SELECT * FROM (SELECT g.*, d.i + {skip} AS x, d.j + {skip} AS y, least(d.n - {skip}, g.ahi - d.i - {skip}, g.bhi - d.j - {skip}) AS n FROM {name}_cut g JOIN {name}_run d ON g.p = d.p AND g.kind <> 1 AND d.i < g.ahi AND d.j < g.bhi AND d.i + d.n > g.alo AND d.j + d.n > g.blo) WHERE n > 0
+        QUALIFY row_number() OVER (PARTITION BY p, alo, ahi, blo, bhi ORDER BY n DESC, x, y) = 1), (VALUES (0), (1), (2)) v(k)),
+{name}_one AS (SELECT p, alo AS i1, ahi AS i2, blo AS j1, bhi AS j2, CASE WHEN lag(ahi) OVER q = alo AND lag(bhi) OVER q = blo THEN 0 ELSE 1 END AS opens FROM {name}_cut WHERE kind = 1 WINDOW q AS (PARTITION BY p ORDER BY alo)),
+{name}_eq AS (SELECT p, min(i1) AS i1, max(i2) AS i2, min(j1) AS j1, max(j2) AS j2 FROM (SELECT *, sum(opens) OVER (PARTITION BY p ORDER BY i1) AS g FROM {name}_one) GROUP BY p, g),
+{name}_gap AS (SELECT p, lag(i2, 1, 0) OVER q AS i1, i1 AS i2, lag(j2, 1, 0) OVER q AS j1, j1 AS j2 FROM (SELECT * FROM {name}_eq UNION ALL SELECT p, n, n, m, m FROM {name}_len) WINDOW q AS (PARTITION BY p ORDER BY i1, i2, j1)),
+{name} AS (SELECT p, 'equal' AS tag, i1, i2, j1, j2 FROM {name}_eq UNION ALL
+  SELECT p, CASE WHEN i1 = i2 THEN 'insert' WHEN j1 = j2 THEN 'delete' ELSE 'replace' END, i1, i2, j1, j2 FROM {name}_gap WHERE i1 < i2 OR j1 < j2)"""
+
+
+#: The other's words with their places (hj), and blocks of both transcripts (bl).
+ALIGN_SQL = f"""
 hj AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY i) - 1 AS j FROM h),
-bl AS (SELECT conv_id, min(i) AS i1, max(i) + 1 AS i2, min(j) AS j1, max(j) + 1 AS j2 FROM hj GROUP BY conv_id, i - j
-       UNION ALL SELECT w.conv_id, w.i, w.i + 1, (SELECT count(*) FROM h x WHERE x.conv_id = w.conv_id AND x.i < w.i), (SELECT count(*) FROM h x WHERE x.conv_id = w.conv_id AND x.i < w.i) FROM w WHERE w.i % 11 = 0)"""
+ra AS (SELECT conv_id AS p, i, {TOKEN_SQL.format('word')} AS t FROM w), qa AS (SELECT conv_id AS p, j, {TOKEN_SQL.format('word')} AS t FROM hj),
+{blocks_sql('ra', 'qa', 'ba')}, bl AS (SELECT p AS conv_id, tag, i1, i2, j1, j2 FROM ba)"""
 
 #: Human turns (tr) and what the other system heard of them (hh).
 TURNS_SQL = r"""
@@ -130,6 +153,22 @@ def distance_sql(pairs: str, name: str) -> str:
 {name} AS (SELECT d.p, d.v AS errors FROM {name}_dp d JOIN {pairs} x ON d.p = x.p AND d.i = len(x.r) AND d.j = len(x.q))"""
 
 
+def path_sql(pairs: str, name: str) -> str:
+    """CTEs that end in ``name`` (p, path): a shortest edit path of the token lists r and q of ``pairs`` (p, r, q), a letter (h, s, d, i) for each step.  Needs WITH RECURSIVE.
+
+    A row of distances at a time, each cell with the path to it; walking back, hits go before deletions before insertions before substitutions.
+    """
+    return f"""
+{name}_r AS (SELECT p, unnest(range(1, len(r) + 1)) AS i, unnest(r) AS t FROM {pairs}), {name}_q AS (SELECT p, unnest(range(1, len(q) + 1)) AS j, unnest(q) AS t FROM {pairs}),
+{name}_dp(p, j, i, v, path) USING KEY (p, j) AS (SELECT p, j, 0::BIGINT, j, repeat('i', j::INT) FROM (SELECT p, unnest(range(0, len(q) + 1)) AS j FROM {pairs}) UNION
+  SELECT p, j, i, v, CASE WHEN kind = 'i' THEN last_value(CASE WHEN kind <> 'i' THEN path END IGNORE NULLS) OVER o || repeat('i', (j - last_value(CASE WHEN kind <> 'i' THEN j END IGNORE NULLS) OVER o)::INT) ELSE path END
+  FROM (SELECT p, j, i, v, CASE WHEN same AND v = diag THEN 'h' WHEN v = up + 1 THEN 'd' WHEN v = lag(v) OVER o + 1 THEN 'i' ELSE 's' END AS kind, CASE WHEN same AND v = diag THEN before || 'h' WHEN v = up + 1 THEN path || 'd' ELSE before || 's' END AS path
+        FROM (SELECT *, j + min(t - j) OVER o AS v FROM (SELECT d.p, x.i, d.j, d.v AS up, lag(d.v) OVER o AS diag, d.path, lag(d.path) OVER o AS before, coalesce(x.t = y.t, false) AS same, least(d.v + 1, coalesce(lag(d.v) OVER o + CASE WHEN x.t = y.t THEN 0 ELSE 1 END, d.v + 1)) AS t
+              FROM {name}_dp d JOIN {name}_r x ON d.p = x.p AND x.i = d.i + 1 LEFT JOIN {name}_q y ON d.p = y.p AND y.j = d.j WINDOW o AS (PARTITION BY d.p ORDER BY d.j))
+              WINDOW o AS (PARTITION BY p ORDER BY j ROWS UNBOUNDED PRECEDING)) WINDOW o AS (PARTITION BY p ORDER BY j)) WINDOW o AS (PARTITION BY p ORDER BY j ROWS UNBOUNDED PRECEDING)),
+{name} AS (SELECT d.p, d.path FROM {name}_dp d JOIN {pairs} x ON d.p = x.p AND d.j = len(x.q))"""
+
+
 SEGMENTS_SQL = r"""
 seg AS (SELECT user_id // 10 * 1000 + CAST(floor(floor(epoch_us(ts) / 1000000) / 86400) AS BIGINT) - 19723 AS room, event_id AS k, 'S' || CAST(user_id % 4 AS VARCHAR) AS speaker, CAST(floor(epoch_us(ts) / 1000000) AS DOUBLE) AS s,
                CAST(floor(epoch_us(ts) / 1000000) AS DOUBLE) + (event_id % 7 + 1) * 600 AS e FROM events WHERE event_id % 3 = 0),

@@ -75,7 +75,7 @@ def merged_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return privacy.first_and_last(o, ["o_custkey", "o_orderpriority"], "o_orderkey")
 
 
-_GOLD = f"""WITH {WORDS_SQL}, {ALIGN_SQL}, g0 AS (SELECT *, lead(word) OVER (PARTITION BY conv_id ORDER BY i) AS nx FROM w), gold AS (SELECT conv_id, i AS f, i + 2 AS l, concat_ws(' ', word, nx) AS surface, i % 5 = 0 AS scrubbed FROM g0 WHERE regexp_matches(word, '^[A-Z]'))"""
+_GOLD = f"""WITH RECURSIVE {WORDS_SQL}, {ALIGN_SQL}, g0 AS (SELECT *, lead(word) OVER (PARTITION BY conv_id ORDER BY i) AS nx FROM w), gold AS (SELECT conv_id, i AS f, i + 2 AS l, concat_ws(' ', word, nx) AS surface, i % 5 = 0 AS scrubbed FROM g0 WHERE regexp_matches(word, '^[A-Z]'))"""
 _MET = "min(CASE WHEN {0}2 - {0}1 = {1}2 - {1}1 THEN {1}1 + greatest(f - {0}1, 0) ELSE {1}1 END) AS lo, max(CASE WHEN {0}2 - {0}1 = {1}2 - {1}1 THEN {1}1 + least(l - {0}1, {0}2 - {0}1) ELSE {1}2 END) AS hi"
 _PROJ = f"""{_GOLD}, mm AS (SELECT gold.conv_id, f, l, {_MET.format('i', 'j')} FROM gold JOIN bl ON bl.conv_id = gold.conv_id AND i2 > f AND i1 < l GROUP BY 1, 2, 3),
   pj AS (SELECT gold.*, coalesce(greatest(lo - 2, 0), 0) AS low, coalesce(hi + 2, 0) AS high FROM gold LEFT JOIN mm USING (conv_id, f, l)),
@@ -85,7 +85,7 @@ _PROJ = f"""{_GOLD}, mm AS (SELECT gold.conv_id, f, l, {_MET.format('i', 'j')} F
 
 QUERIES = {
     "projected_spans": (projected_spans, f"{_PROJ} SELECT conv_id, f AS first, l AS last, low, high FROM pj"),
-    "projected_back_spans": (projected_back_spans, f"""WITH {WORDS_SQL}, {ALIGN_SQL}, sp AS (SELECT conv_id, j AS f, j + 3 AS l FROM hj WHERE j % 13 < 2), mm AS (SELECT sp.conv_id, f, {_MET.format('j', 'i')} FROM sp JOIN bl ON bl.conv_id = sp.conv_id AND j2 > f AND j1 < l GROUP BY 1, 2, l)
+    "projected_back_spans": (projected_back_spans, f"""WITH RECURSIVE {WORDS_SQL}, {ALIGN_SQL}, sp AS (SELECT conv_id, j AS f, j + 3 AS l FROM hj WHERE j % 13 < 2), mm AS (SELECT sp.conv_id, f, {_MET.format('j', 'i')} FROM sp JOIN bl ON bl.conv_id = sp.conv_id AND j2 > f AND j1 < l GROUP BY 1, 2, l)
         SELECT conv_id, f AS first, greatest(lo - 2, 0) AS low, hi + 2 AS high FROM mm"""),
     "span_leaks": (span_leaks, f"{_PROJ} SELECT conv_id, f AS first, testable, leaked, elsewhere FROM lk"),
     "leak_rates": (leak_rates, f"""{_PROJ}, a AS (SELECT conv_id, needle, bool_or(leaked) AS leaked, bool_or(elsewhere) AS readable FROM lk WHERE testable GROUP BY 1, 2), b AS (SELECT conv_id, count(*) AS identifiers, count_if(leaked) AS identifiers_leaked, count_if(readable) AS identifiers_readable FROM a GROUP BY 1),

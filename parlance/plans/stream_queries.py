@@ -41,14 +41,18 @@ def matched_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streams.matched_streams(streams.reference_streams(D.turns(spark, sf_dir), BY), streams.word_streams(D.heard_words(spark, sf_dir), BY), BY)
 
 
+def _stream_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ref, hyp = streams.reference_streams(D.turns(spark, sf_dir), BY), streams.word_streams(D.heard_words(spark, sf_dir), BY)
+    return streams.stream_scores(ref, hyp, streams.matched_streams(ref, hyp, BY), BY)
+
+
 def stream_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Error rate of each reference stream against the stream it is matched with."""
-    ref, hyp = streams.reference_streams(D.turns(spark, sf_dir), BY), streams.word_streams(D.heard_words(spark, sf_dir), BY)
-    return streams.stream_scores(ref, hyp, streams.matched_streams(ref, hyp, BY), BY).select("conv_id", "speaker", "matched", "raw", "capped")
+    return _stream_scores(spark, sf_dir).select("conv_id", "speaker", "matched", "raw", "capped")
 
 
 def stream_means(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stream_errors(spark, sf_dir).groupBy("conv_id").agg(F.count("*").alias("streams"), F.avg("capped").alias("swer"), F.avg("raw").alias("swer_uncapped"))
+    return streams.stream_means(_stream_scores(spark, sf_dir), BY).drop("qtp")
 
 
 def reassigned_words(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,7 +90,7 @@ def diarization_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def turn_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return outcomes.turn_outcomes(D.turns(spark, sf_dir), D.heard_words(spark, sf_dir), BY, [10, 20, 30], [10, 20, 30])
+    return outcomes.turn_outcomes(D.turns(spark, sf_dir), D.heard_words(spark, sf_dir), BY, [10, 20, 30], [10, 20, 30], ("USER", "ASSISTANT"))
 
 
 def outcome_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,7 +121,7 @@ _OUTCOMES = f"""{_T}, {_MAP},
   ha AS (SELECT conv_id, k, t, count_if(near) AS have, count(*) AS wide FROM (SELECT tr.conv_id, tr.k, hh.s < tr.e + 0.5 AND hh.e > tr.s - 0.5 AS near, unnest({_CONTENT.format('hh.word')}) AS t FROM tr JOIN hh ON tr.conv_id = hh.conv_id AND hh.s < tr.e + 3 AND hh.e > tr.s - 3) GROUP BY 1, 2, 3),
   rc AS (SELECT conv_id, k, sum(least(need, coalesce(have, 0))) / sum(need) AS rec, sum(least(need, coalesce(wide, 0))) / sum(need) AS recw FROM ne LEFT JOIN ha USING (conv_id, k, t) GROUP BY 1, 2),
   y AS (SELECT tr.*, x.*, rec, recw, e - s AS len, lag(e - s) OVER (PARTITION BY tr.conv_id ORDER BY tr.k) AS prev FROM tr JOIN x ON tr.conv_id = x.conv_id AND tr.k = x.k LEFT JOIN rc ON rc.conv_id = tr.conv_id AND rc.k = tr.k),
-  z AS (SELECT conv_id, k AS seg_idx, speaker, CAST(round(rec, 4) AS DOUBLE) AS recovered, coalesce(round(rec, 4) = 0, false) AS content_lost, coalesce(round(rec, 4) < 0.5, false) AS content_mostly_lost, CAST(round(recw, 4) AS DOUBLE) AS recovered_wide, coalesce(round(recw, 4) = 0, false) AS content_lost_wide,
+  z AS (SELECT conv_id, k AS seg_idx, CASE WHEN speaker IN ('user', 'assistant') THEN upper(speaker) ELSE 'unnamed (' || upper(speaker) || ')' END AS speaker, CAST(round(rec, 4) AS DOUBLE) AS recovered, coalesce(round(rec, 4) = 0, false) AS content_lost, coalesce(round(rec, 4) < 0.5, false) AS content_mostly_lost, CAST(round(recw, 4) AS DOUBLE) AS recovered_wide, coalesce(round(recw, 4) = 0, false) AS content_lost_wide,
         CAST(round(len, 3) AS DOUBLE) AS length, {_BUCKET.format('len')} AS length_bucket, CASE WHEN prev IS NULL THEN 'first turn' ELSE {_BUCKET.format('prev')} END AS previous_bucket, len(list_filter(string_split_regex(text, '\\s+'), lambda v: v <> '')) AS ref_words, CAST(inside AS BIGINT) AS hyp_words,
         inside = 0 AS lost_entirely, inside = 0 AND round(gap, 3) > 0.5 AS lost_beyond_tolerance, own = 0 AS lost_to_speaker, inside > 0 AND own = 0 AS wrong_speaker, CAST(CASE WHEN inside = 0 THEN round(gap, 3) END AS DOUBLE) AS nearest_word FROM y)"""
 _RATE = lambda a, b: f"CAST(round(CASE WHEN {b} > 0 THEN {a} / {b} END, 4) AS DOUBLE)"

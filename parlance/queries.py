@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parlance.plans import cohort_queries, interval_queries, privacy_queries, repair_queries, report_queries, retime_queries, source_queries, stream_queries, text_queries, word_queries
+from parlance.plans import cohort_queries, interval_queries, privacy_queries, repair_queries, report_queries, retime_queries, source_queries, stream_queries, text_queries, token_queries, word_queries
 
-_PARTS = (text_queries, word_queries, interval_queries, stream_queries, privacy_queries, retime_queries, repair_queries, report_queries, cohort_queries, source_queries)
+_PARTS = (text_queries, word_queries, interval_queries, stream_queries, privacy_queries, retime_queries, repair_queries, report_queries, cohort_queries, source_queries, token_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

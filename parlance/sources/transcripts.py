@@ -87,12 +87,15 @@ def unique_pairs(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 
 
 def parse_corrections(replies: DataFrame, by: list[str]) -> DataFrame:
-    """Rows of a model's JSON replies: fences stripped, the outermost brackets taken; ``valid`` needs turn, text, speaker and a known action, ``unreadable`` marks replies without any."""
+    """Rows of a model's JSON replies: fences stripped, the outermost brackets taken; ``valid`` needs turn, text, speaker and a known action, ``unreadable`` marks replies without an array; an empty array has no rows."""
     fenced = F.regexp_extract("reply", r"(?s)```(?:json)?\s*(.*?)```", 1)
     body = F.regexp_extract(F.when(fenced != "", fenced).otherwise(F.col("reply")), r"(?s)(\[.*\])", 1)
-    rows = replies.select(*by, F.explode_outer(F.from_json(F.when(body != "", body), CORRECTION)).alias("c"))
-    known = F.col("c.action").isin("reassign", "split") & F.col("c.turn").isNotNull() & F.col("c.text").isNotNull() & F.col("c.speaker").isNotNull()
-    return rows.select(*by, "c.*", F.col("c").isNull().alias("unreadable"), F.when(F.col("c").isNull(), F.lit(None)).otherwise(F.coalesce(known, F.lit(False))).alias("valid"))
+    parsed = replies.select(*by, F.from_json(F.when(body != "", body), CORRECTION).alias("parsed")).where("parsed is null or size(parsed) > 0")
+    rows = parsed.select(*by, F.col("parsed").isNull().alias("unreadable"), F.posexplode_outer("parsed").alias("place", "c"))
+    text, speaker, action = F.trim("c.text"), F.trim("c.speaker"), F.lower(F.trim("c.action"))
+    known = action.isin("reassign", "split") & F.col("c.turn").isNotNull() & (text != "") & (speaker != "")
+    fields = F.struct(F.col("c.turn").alias("turn"), text.alias("text"), speaker.alias("speaker"), action.alias("action")).alias("c")
+    return rows.select(*by, "unreadable", F.coalesce("place", F.lit(0)).alias("place"), F.when(F.col("unreadable"), F.lit(None)).otherwise(F.coalesce(known, F.lit(False))).alias("valid"), fields).select(*by, "c.*", "unreadable", "valid", "place")
 
 
 def _wav(content: bytes, length: int) -> tuple[int, int, int, float] | None:

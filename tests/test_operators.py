@@ -287,12 +287,11 @@ def test_claimed_segments_of_all_turns(spark, tmp_path):
     assert got == {k + 1: (12 * k + (12 * k % 11 == 0), 12 * k + 12 - ((12 * k + 11) % 11 == 0)) for k in range(9)}
 
 
-def test_blocks_of_long_sequences_equal_difflib(monkeypatch):
+def test_blocks_of_long_sequences_equal_difflib():
     import difflib
     import random
 
     rng = random.Random(2)
-    monkeypatch.setattr(align, "LONG", 0)
     for k in range(2000):
         letters = "abcdefghijklmnop"[: rng.randrange(1, 16)]
         a = [rng.choice(letters) for _ in range(rng.randrange(30))]
