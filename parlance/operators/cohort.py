@@ -121,21 +121,6 @@ def sampled(keys: DataFrame, key: Column, sizes: dict[str, int], seed: int) -> D
     return top.withColumn("part", out).drop("digest")
 
 
-def spread_sample(visits: DataFrame, size: str, subject: str, visit: list[str], count: int, per_subject: int) -> DataFrame:
-    """About ``count`` visits spread evenly over their sizes, at most ``per_subject`` of a subject.
-
-    Of each subject its first visits, by a digest, stay; the rest is cut into ``count`` ranges of
-    places by size, from counts of the sizes, and each range gives the visit with the least digest.
-    """
-    digest = F.md5(F.concat_ws(":", *[F.col(c).cast("string") for c in visit]))
-    few = visits.withColumn("digest", digest).withColumn("nth", F.row_number().over(Window.partitionBy(subject).orderBy("digest"))).where(F.col("nth") <= per_subject)
-    sizes = few.groupBy(size).agg(F.count("*").alias("c")).withColumn("before", F.sum("c").over(Window.orderBy(size).rowsBetween(Window.unboundedPreceding, -1))).fillna(0, ["before"]).drop("c")
-    total = few.agg(F.count("*").alias("total"))
-    placed = few.join(sizes, size).join(F.broadcast(total)).withColumn("place", F.col("before") + F.row_number().over(Window.partitionBy(size).orderBy("digest")) - 1)
-    ranged = placed.withColumn("range", F.floor(F.col("place") * F.least(F.lit(count), F.col("total")) / F.col("total")))
-    return ranged.groupBy("range").agg(F.min_by(F.struct(*visit, F.col(subject).alias("of"), F.col(size).alias("size")), "digest").alias("v")).select("v.*")
-
-
 def survey(spans: DataFrame, words: DataFrame, visit: list[str]) -> DataFrame:
     """visit, words, gold, testable of visits that have words and at least one span that can be tested."""
     s = spans.groupBy(*visit).agg(F.count("*").alias("gold"), F.count_if(~F.col("scrubbed") & (F.trim("surface") != "")).alias("testable")).where("testable > 0")

@@ -3,31 +3,35 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 
-def _per(df: DataFrame, by: list[str], fold, schema: str) -> DataFrame:
+def _per(df: DataFrame, by: list[str], order: list[str], columns: list[str], fold: Callable[[Iterator[tuple]], Iterable[tuple]], schema: str) -> DataFrame:
+    """A recording's rows, as tuples of ``columns`` in order, handed to ``fold``; what it yields are the rows of ``schema``."""
     kinds = dict(df.dtypes)
+    fields = [part.split() for part in schema.split(", ")]
+    types = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "string": pa.string()}
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = pd.DataFrame(list(fold(pdf)), columns=[c.strip().split(" ")[0] for c in schema.split(",")])
-        for c in reversed(by):
-            out.insert(0, c, pdf[c].iloc[0])
-        return out
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by([(c, "ascending") for c in order])
+        out = list(fold(zip(*(t.column(c).to_pylist() for c in columns))))
+        keys = [t.column(c).slice(0, 1).combine_chunks().take(pa.array([0] * len(out), pa.int64())) for c in by]
+        return pa.table([*keys, *[pa.array([r[k] for r in out], types[kind]) for k, (_, kind) in enumerate(fields)]], names=[*by, *[name for name, _ in fields]])
 
-    return df.groupBy(*by).applyInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in by) + ", " + schema)
+    return df.select(*dict.fromkeys([*by, *order, *columns])).groupBy(*by).applyInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in by) + ", " + schema)
 
 
 def merge_and_split(segments: DataFrame, by: list[str], longest: float = 25.0, gap: float = 1.0) -> DataFrame:
     """Neighbours of one speaker merge while the whole stays within ``longest`` and pauses within ``gap``; longer ones are split into equal pieces."""
 
-    def fold(pdf: pd.DataFrame) -> Iterator[tuple]:
+    def fold(rows: Iterator[tuple]) -> Iterator[tuple]:
         out: list[list] = []
-        for s, e, who in pdf.sort_values(["start", "seg_idx"])[["start", "end", "speaker"]].itertuples(index=False):
+        for s, e, who in rows:
             if out and out[-1][2] == who and s - out[-1][1] <= gap and e - out[-1][0] <= longest:
                 out[-1][1] = e
             else:
@@ -39,16 +43,16 @@ def merge_and_split(segments: DataFrame, by: list[str], longest: float = 25.0, g
                 yield k, float(s + (e - s) * i / pieces), float(s + (e - s) * (i + 1) / pieces), who
                 k += 1
 
-    return _per(segments, by, fold, "piece int, start double, end double, speaker string")
+    return _per(segments, by, ["start", "seg_idx"], ["start", "end", "speaker"], fold, "piece int, start double, end double, speaker string")
 
 
 def speech_windows(spans: DataFrame, by: list[str], longest: float = 25.0) -> DataFrame:
     """Packs spans into windows of at most ``longest``; a longer span is cut."""
 
-    def fold(pdf: pd.DataFrame) -> Iterator[tuple]:
+    def fold(rows: Iterator[tuple]) -> Iterator[tuple]:
         begin = end = None
         k = 0
-        for s, e in pdf.sort_values(["start", "end"])[["start", "end"]].itertuples(index=False):
+        for s, e in rows:
             if begin is not None and e - begin > longest:
                 yield k, float(begin), float(end)
                 k, begin = k + 1, None
@@ -61,7 +65,7 @@ def speech_windows(spans: DataFrame, by: list[str], longest: float = 25.0) -> Da
         if begin is not None and end > begin:
             yield k, float(begin), float(end)
 
-    return _per(spans, by, fold, "window int, start double, end double")
+    return _per(spans, by, ["start", "end"], ["start", "end"], fold, "window int, start double, end double")
 
 
 def caption_cues(words: DataFrame, by: list[str], pause: float = 1.5, longest: float = 6.0, chars: int = 84) -> DataFrame:
@@ -70,12 +74,10 @@ def caption_cues(words: DataFrame, by: list[str], pause: float = 1.5, longest: f
     A word without an end leaves the cue's end as it is; a cue without a start begins at 0, one
     without any end ends where it began (null if that isn't known).
     """
-    known = lambda x: None if x is None or math.isnan(x) else float(x)
 
-    def fold(pdf: pd.DataFrame) -> Iterator[tuple]:
+    def fold(rows: Iterator[tuple]) -> Iterator[tuple]:
         cues: list[list] = []
-        for s, e, who, word in pdf.sort_values("word_idx")[["start", "end", "speaker", "word"]].itertuples(index=False):
-            s, e = known(s), known(e)
+        for s, e, who, word in rows:
             cue = cues[-1] if cues else None
             fits = cue is not None and who == cue[2] and len(f"{cue[3]} {word}".strip()) <= chars
             fits = fits and (cue[1] is None or s is None or s - cue[1] <= pause) and (cue[0] is None or e is None or e - cue[0] <= longest)
@@ -85,26 +87,27 @@ def caption_cues(words: DataFrame, by: list[str], pause: float = 1.5, longest: f
                 cues.append([s, e, who, word])
         shown = [c for c in cues if c[3].strip()]
         for k, (s, e, who, text) in enumerate(shown):
-            yield k, who, 0.0 if s is None else s, s if e is None else e, text.strip()
+            yield k, who, 0.0 if s is None else float(s), s if e is None else e, text.strip()
 
-    return _per(words, by, fold, "cue int, speaker string, start double, end double, text string")
+    return _per(words, by, ["word_idx"], ["start", "end", "speaker", "word"], fold, "cue int, speaker string, start double, end double, text string")
 
 
 def overlapping_chunks(pieces: DataFrame, by: list[str], size: int = 5000, overlap: int = 1) -> DataFrame:
     """Packs pieces (piece, n_chars, in order) into chunks of at most ``size`` characters; each chunk begins with the last ``overlap`` pieces of the one before."""
 
-    def fold(pdf: pd.DataFrame) -> Iterator[tuple]:
-        rows = list(pdf.sort_values("piece")[["piece", "n_chars"]].itertuples(index=False))
-        k, chunk = 0, []
+    def fold(rows: Iterator[tuple]) -> Iterator[tuple]:
+        k, held, chunk = 0, 0, []
         for piece, n in rows:
-            if len(chunk) > (overlap if k else 0) and sum(x[1] for x in chunk) + n > size:
-                yield k, int(chunk[0][0]), int(chunk[-1][0]), int(sum(x[1] for x in chunk))
+            if len(chunk) > (overlap if k else 0) and held + n > size:
+                yield k, chunk[0][0], chunk[-1][0], held
                 k, chunk = k + 1, chunk[-overlap:] if overlap else []
+                held = sum(x for _, x in chunk)
             chunk.append((piece, n))
+            held += n
         if chunk:
-            yield k, int(chunk[0][0]), int(chunk[-1][0]), int(sum(x[1] for x in chunk))
+            yield k, chunk[0][0], chunk[-1][0], held
 
-    return _per(pieces, by, fold, "chunk int, first_piece int, last_piece int, n_chars long")
+    return _per(pieces, by, ["piece"], ["piece", "n_chars"], fold, "chunk int, first_piece int, last_piece int, n_chars long")
 
 
 def best_run(start: np.ndarray, end: np.ndarray, free: np.ndarray, low: float, high: float) -> tuple[float, int, int]:

@@ -92,8 +92,3 @@ def ranges_of_others(spans: DataFrame, by: list[str], system: str, systems: list
     every = F.array(*map(F.lit, systems))
     each = spans.withColumn("left_out", F.explode(F.filter(every, lambda x: x != F.col(system))))
     return merge_touching(each.select(*by, "left_out", "start", "end"), [*by, "left_out"]).drop("piece")
-
-
-def round_robin(rows: DataFrame, order: list[str], shards: int) -> Column:
-    """Shard of each row by a hash of what orders it: no row needs to know its place among all."""
-    return F.pmod(F.xxhash64(*order), F.lit(shards))

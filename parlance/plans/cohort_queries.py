@@ -38,7 +38,7 @@ def truncated_visits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = D.segments(spark, sf_dir)
-    return cohort.corpus_stats(s.select("room").distinct().withColumn("seconds", F.lit(86400.0)), s.where("seg_idx % 2 = 0"), ["room"])
+    return cohort.corpus_stats(s.select("room").distinct().withColumn("seconds", F.lit(86400.0)), s, ["room"])
 
 
 def channel_separation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,7 +78,9 @@ def pilot_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def validation_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = D.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("visit"), "o_custkey", (F.col("o_orderkey") % 1009).alias("words"))
-    return cohort.spread_sample(o, "words", "o_custkey", ["visit"], 24, 2)
+    from parlance.operators.places import spread_sample
+
+    return spread_sample(o, "words", "o_custkey", ["visit"], 24, 2)
 
 
 def validation_survey(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,11 +94,11 @@ def counter_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def session_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Open orders and customers under one key, where it is unique on either side."""
+    """Orders and customers under one key, where it is unique on either side."""
     from parlance.sources import transcripts
 
-    left = D.table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("key"), "o_orderkey")
-    right = D.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), "c_nationkey")
+    left = D.table(spark, sf_dir, "orders").select((F.col("o_custkey") * 7 + F.col("o_orderkey") % 7).alias("key"), "o_orderkey")
+    right = D.table(spark, sf_dir, "customer").select((F.col("c_custkey") * 7).alias("key"), "c_nationkey")
     return transcripts.unique_pairs(left, right, "key")
 
 
@@ -105,7 +107,7 @@ def first_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     from parlance.sources import transcripts
 
     o = D.table(spark, sf_dir, "orders").select("o_custkey", "o_orderpriority", "o_orderkey")
-    trees = [o.where(F.col("o_orderpriority").startswith(str(k))) for k in (2, 4, 1)]
+    trees = [o.where(F.col("o_orderpriority").startswith(str(k))) for k in (2, 4, 1, 5, 3)]
     return transcripts.first_tree(trees, ["o_custkey"]).groupBy("o_custkey").agg(F.min("o_orderpriority").alias("tree"), F.count("*").alias("n"))
 
 
@@ -133,7 +135,7 @@ QUERIES = {
         SELECT conv_id, concat_ws('; ', CASE WHEN sec IS NULL THEN 'missing audio' END, CASE WHEN sec < 60 THEN 'audio too short' END, CASE WHEN v IS NULL THEN 'missing vendor transcript' END, CASE WHEN v = 0 THEN 'vendor has no words' END, CASE WHEN conv_id % 6 = 0 THEN 'vendor offsets not monotonic' END,
           CASE WHEN sec IS NOT NULL AND conv_id % 9 > 5 THEN 'vendor duration differs' END, CASE WHEN n < 50 THEN 'human transcript too short' END, CASE WHEN falls THEN 'human times not monotonic' END, CASE WHEN last > sec + 5 THEN 'human turn past the end' END) AS problems FROM c"""),
     "truncated_visits": (truncated_visits, f"WITH {_M} SELECT visit, CAST(min(1 + visit % 4) AS DOUBLE) AS least_ratio, count(DISTINCT system) AS systems FROM m GROUP BY 1 HAVING min(1 + visit % 4) > 2 AND count(DISTINCT system) >= 2"),
-    "corpus_stats": (corpus_stats, f"""WITH {SEGMENTS_SQL}, a AS (SELECT room, sum(e - s) FILTER (k % 2 = 0) AS d, count(DISTINCT CASE WHEN k % 2 = 0 THEN speaker END) AS n FROM seg GROUP BY 1)
+    "corpus_stats": (corpus_stats, f"""WITH {SEGMENTS_SQL}, a AS (SELECT room, sum(e - s) AS d, count(DISTINCT speaker) AS n FROM seg GROUP BY 1)
         SELECT count(*) AS files, CAST(count(*) * 24 AS DOUBLE) AS hours, CAST(sum(d) / 3600 AS DOUBLE) AS speech_hours, min(n) AS least_speakers, max(n) AS most_speakers FROM a"""),
     "channel_separation": (channel_separation, f"""WITH {SEGMENTS_SQL}, a AS (SELECT room, CASE WHEN room % 4 > 0 THEN avg(abs(k % 7 - k % 11)) FILTER (k % 5 > 0) END AS m FROM seg GROUP BY room)
         SELECT room, m AS separation, CASE WHEN room % 4 = 0 THEN 'one speaker model' WHEN m >= 3 THEN 'channel dominance' ELSE 'no real separation' END AS method, coalesce(abs(m - 3) < 1, false) AS borderline FROM a"""),
@@ -147,12 +149,15 @@ QUERIES = {
     "commonest_tokens": (commonest_tokens, f"""WITH {WORDS_SQL}, a AS (SELECT conv_id, word, count(*) AS n, min(i) AS f FROM w GROUP BY 1, 2), b AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY n DESC, f) AS place FROM a) SELECT conv_id, word, n, CAST(place AS INTEGER) AS place FROM b WHERE place <= 3"""),
     "means_without_worst": (means_without_worst, f"WITH {_M}, g AS (SELECT visit FROM m GROUP BY 1 ORDER BY max(errors) DESC, visit LIMIT 10) SELECT system, avg(errors) AS mean, avg(errors) FILTER (visit NOT IN (SELECT visit FROM g)) AS mean_without FROM m GROUP BY 1"),
     "pilot_sample": (pilot_sample, "WITH a AS (SELECT o_orderkey AS visit, row_number() OVER (ORDER BY md5('20260821:' || o_orderkey)) AS r FROM orders) SELECT visit, CASE WHEN r <= 8 THEN 'pilot' ELSE 'validation' END AS part FROM a WHERE r <= 32"),
-    "validation_sample": (validation_sample, """WITH a AS (SELECT o_orderkey AS visit, o_custkey, o_orderkey % 1009 AS words, md5(CAST(o_orderkey AS VARCHAR)) AS d FROM orders), b AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY d) AS nth FROM a),
-        c AS (SELECT *, row_number() OVER (ORDER BY words, d) - 1 AS p, count(*) OVER () AS n FROM b WHERE nth <= 2), e AS (SELECT *, p * least(24, n) // n AS g FROM c) SELECT arg_min(visit, d) AS visit, arg_min(o_custkey, d) AS of, arg_min(words, d) AS size FROM e GROUP BY g"""),
+    "validation_sample": (validation_sample, """WITH RECURSIVE a AS (SELECT o_orderkey AS visit, o_custkey, o_orderkey % 1009 AS words, row_number() OVER (ORDER BY o_orderkey % 1009, o_orderkey) - 1 AS place, count(*) OVER () AS n FROM orders),
+        wk AS (SELECT 0 AS step, CAST([] AS BIGINT[]) AS places, CAST([] AS BIGINT[]) AS subjects UNION ALL
+          SELECT step + 1, list_append(any_value(places), arg_min(place, ahead)), list_append(any_value(subjects), arg_min(o_custkey, ahead)) FROM (SELECT wk.*, a.place, a.o_custkey, (a.place - least(CAST(floor(step * greatest(n / 24, 1.0)) AS BIGINT), n - 1) + n) % n AS ahead FROM wk, a
+            WHERE step < 24 AND NOT list_contains(places, a.place) AND len(list_filter(subjects, lambda x: x = a.o_custkey)) < 2) GROUP BY step)
+        SELECT visit, o_custkey, words FROM a WHERE place IN (SELECT unnest(places) FROM wk WHERE step = 24)"""),
     "validation_survey": (validation_survey, f"WITH {WORDS_SQL}, a AS (SELECT conv_id, count(*) AS words, count_if(regexp_matches(word, '^[A-Z]')) AS gold, count_if(regexp_matches(word, '^[A-Z]') AND i % 5 = 4 AND i % 3 > 0) AS testable FROM w GROUP BY 1) SELECT * FROM a WHERE testable > 0"),
     "counter_totals": (counter_totals, f"WITH {_M} SELECT CAST(sum(words) AS BIGINT) AS words, CAST(sum(errors) AS BIGINT) AS errors, CAST(sum(others) AS BIGINT) AS others FROM m"),
-    "session_pairs": (session_pairs, "WITH a AS (SELECT o_custkey AS key, any_value(o_orderkey) AS o_orderkey FROM orders WHERE o_orderstatus = 'P' GROUP BY 1 HAVING count(*) = 1) SELECT key, o_orderkey, c_nationkey FROM a JOIN customer ON c_custkey = key"),
-    "first_trees": (first_trees, "WITH a AS (SELECT o_custkey, o_orderpriority AS tree, count(*) AS n, CASE o_orderpriority[1] WHEN '2' THEN 1 WHEN '4' THEN 2 ELSE 3 END AS r FROM orders WHERE o_orderpriority[1] IN ('1', '2', '4') GROUP BY ALL) SELECT o_custkey, arg_min(tree, r) AS tree, arg_min(n, r) AS n FROM a GROUP BY 1"),
+    "session_pairs": (session_pairs, "WITH a AS (SELECT o_custkey * 7 + o_orderkey % 7 AS key, any_value(o_orderkey) AS o_orderkey FROM orders GROUP BY 1 HAVING count(*) = 1) SELECT key, o_orderkey, c_nationkey FROM a JOIN customer ON c_custkey * 7 = key"),
+    "first_trees": (first_trees, "WITH a AS (SELECT o_custkey, o_orderpriority AS tree, count(*) AS n, strpos('24153', o_orderpriority[1]) AS r FROM orders GROUP BY ALL) SELECT o_custkey, arg_min(tree, r) AS tree, arg_min(n, r) AS n FROM a GROUP BY 1"),
     "newest_runs": (newest_runs, "SELECT o_custkey, printf('run_%010d/transcript.json', max(o_orderkey)) AS path, max(o_orderkey) AS o_orderkey FROM orders GROUP BY 1"),
     "path_parts": (path_parts, "SELECT c_custkey, 'Site' || c_nationkey AS site, printf('S%05d', c_custkey) AS subject, printf('day%04d_session%03d', c_custkey % 90, c_custkey % 4) AS session, printf('day%04d_session%03d', c_custkey % 90, c_custkey % 4) AS timepoint FROM customer"),
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.operators import reports
+from parlance.operators import places, reports
 from parlance.plans import derived as D
 from parlance.sources import transcripts
 
@@ -72,17 +72,17 @@ def label_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def first_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each customer the first priority that has an order, and its orders: the first tree that holds a visit wins."""
-    o = D.table(spark, sf_dir, "orders").groupBy("o_custkey", "o_orderpriority").agg(F.count("*").alias("n"))
-    return o.groupBy("o_custkey").agg(F.min_by(F.struct("o_orderpriority", "n"), "o_orderpriority").alias("x")).select("o_custkey", "x.*")
+    o = D.table(spark, sf_dir, "orders").select("o_custkey", "o_orderpriority")
+    trees = [o.where(F.col("o_orderpriority").startswith(str(k))) for k in range(1, 6)]
+    return transcripts.first_tree(trees, ["o_custkey"]).groupBy("o_custkey", "o_orderpriority").agg(F.count("*").alias("n"))
 
 
 def shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Round-robin shards of the visits in order, without those that are done."""
-    o = D.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("visit"), "o_custkey")
+    """Every fourth visit in order, of those of all but one kind, without those that are done."""
+    o = D.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("visit"), "o_orderstatus")
     done = D.table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("visit"))
-    left = o.join(done, "visit", "left_anti")
-    place = F.row_number().over(D.Window.partitionBy("o_custkey").orderBy("visit")) - 1
-    return left.withColumn("shard", F.pmod(place, F.lit(4))).groupBy("shard").agg(F.count("*").alias("visits"), F.sum("visit").alias("checksum"))
+    left = places.pending(places.round_robin(o, ["visit"], 4), done, ["visit"], F.col("o_orderstatus") != "P")
+    return left.groupBy("shard").agg(F.count("*").alias("visits"), F.sum("visit").alias("checksum"))
 
 
 def turn_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,8 +131,8 @@ QUERIES = {
         SELECT tp, fp, fn, round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall, round(2 * (tp / (tp + fp)) * (tp / (tp + fn)) / (tp / (tp + fp) + tp / (tp + fn)), 6) AS f1,
           round(fn / (tp + fn), 6) AS under, round(fp / (tp + fn), 6) AS over, round((fp - fn) / (tp + fn), 6) AS net FROM s"""),
     "first_source": (first_source, "SELECT o_custkey, min(o_orderpriority) AS o_orderpriority, count(*) FILTER (WHERE o_orderpriority = p) AS n FROM (SELECT *, min(o_orderpriority) OVER (PARTITION BY o_custkey) AS p FROM orders) GROUP BY o_custkey"),
-    "shards": (shards, """WITH a AS (SELECT o_orderkey AS visit, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1) % 4 AS shard FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R'))
-        SELECT CAST(shard AS INTEGER) AS shard, count(*) AS visits, CAST(sum(visit) AS BIGINT) AS checksum FROM a GROUP BY shard"""),
+    "shards": (shards, """WITH a AS (SELECT o_orderkey AS visit, o_orderstatus, (row_number() OVER (ORDER BY o_orderkey) - 1) % 4 + 1 AS shard FROM orders)
+        SELECT shard, count(*) AS visits, CAST(sum(visit) AS BIGINT) AS checksum FROM a WHERE o_orderstatus <> 'P' AND visit NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R') GROUP BY shard"""),
     "turn_lines": (turn_lines, r"""WITH a AS (SELECT conv_id AS visit, role AS speaker, turn, CAST(turn * 20 + 0.5 AS DOUBLE) AS t_start, trim(regexp_replace(text, '\s+', ' ', 'g')) AS text FROM conversations WHERE text IS NOT NULL)
         SELECT visit, CAST(row_number() OVER q - 1 AS BIGINT) AS turn_idx, speaker, t_start, coalesce(lead(t_start) OVER q, greatest(150.0::DOUBLE, t_start)) AS t_end, text FROM a WINDOW q AS (PARTITION BY visit ORDER BY turn)"""),
     "annotation_lines": (annotation_lines, f"WITH {D.SEGMENTS_SQL} SELECT printf('SPEAKER room%d 1 %.3f %.3f <NA> <NA> %s <NA> <NA>', room, s - 1704067200, e - s, speaker) AS value FROM seg"),

@@ -33,6 +33,22 @@ def json_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("system", "conv_id", "word_idx", "word", F.col("start").alias("t_start"), F.col("end").alias("t_end"), "speaker")
 
 
+def system_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of two systems from their trees of files: runs of a visit of which the newest counts, a file in the visit's own folder, and a second tree for visits that the first has not."""
+    i = F.col("word_idx")
+    run = F.when(F.col("conv_id") % 3 == 0, F.array(F.lit(""))).when(F.col("conv_id") % 3 == 1, F.array(F.lit("run_1/"), F.lit("run_2/"))).otherwise(F.array(F.lit("run_3/"), F.lit("")))
+    each = D.words(spark, sf_dir).withColumn("run", F.explode(run)).where(i % 3 < F.when(F.col("run") == "", 3).when(F.col("run") == "run_2/", 2).otherwise(1))
+    one = F.struct("word", "start", "end", "speaker")
+    texts = each.groupBy("conv_id", "run").agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("word_idx", one.alias("w")))), lambda x: x["w"])).alias("value"))
+    folder = F.format_string("site/subject_%d/day1_session%03d", F.col("conv_id") % 7, F.col("conv_id"))
+    visits = D.table(spark, sf_dir, "conversations").select("conv_id", folder.alias("folder")).distinct()
+    files = texts.select(F.concat(folder, F.lit("/"), "run", F.lit("transcript.json")).alias("path"), "value")
+    others = texts.where("run = ''").select(F.concat(folder, F.lit("/a_words.json")).alias("path"), "value")
+    trees = {"ours": [files], "baseline_mono": [others.where("path like '%subject_3%'"), files.where("path like '%run_2%'").select(F.replace("path", F.lit("run_2/transcript.json"), F.lit("b_words.json")).alias("path"), "value")]}
+    got = transcripts.read_visits(trees, visits, BY)
+    return got.select("system", "conv_id", "word_idx", "word", F.col("start").alias("t_start"), F.col("end").alias("t_end"), "speaker")
+
+
 def vendor_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words in a vendor's form: some blank, speakers numbered, ends missing."""
     w = D.words(spark, sf_dir)
@@ -74,7 +90,7 @@ def formatted_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def indexed_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A listing of files by session and category."""
-    c = D.table(spark, sf_dir, "customer").select(F.format_string("gs://b/x/S%05d/day%04d_session%03d/%s.%s", F.col("c_custkey") % 100, F.col("c_custkey") % 30, F.lit(1), F.element_at(F.array(*map(F.lit, ["audio/a", "human/h", "chirp/c", "misc/m"])), (F.col("c_custkey") % 4 + 1).cast("int")), F.lit("bin")).alias("value"))
+    c = D.table(spark, sf_dir, "customer").select(F.format_string("b/x/S%05d/day%04d_session%03d/%s.%s", F.col("c_custkey") % 100, F.col("c_custkey") % 30, F.lit(1), F.element_at(F.array(*map(F.lit, ["audio/a", "human/h", "chirp/c", "misc/m"])), (F.col("c_custkey") % 4 + 1).cast("int")), F.lit("bin")).alias("value"))
     return transcripts.index_objects(c, {"audio": "/audio/", "human": "/human/", "chirp": "/chirp/"}).groupBy("session", "category").agg(F.count("*").alias("n"))
 
 
@@ -136,6 +152,9 @@ QUERIES = {
     "tagged_words": (tagged_words, f"""{_W}, x AS (SELECT conv_id, i, word, CASE WHEN turn % 3 = 2 THEN NULL WHEN speaker = 'user' THEN 'S1' ELSE 'S2' END AS sp FROM w)
         SELECT conv_id, i AS word_idx, last_value(sp IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY i) AS speaker, word FROM x"""),
     "json_words": (json_words, f"{_W} SELECT 'own' AS system, conv_id, i AS word_idx, word, s AS t_start, e AS t_end, speaker FROM w"),
+    "system_words": (system_words, f"""WITH {WORDS_SQL}, a AS (SELECT 'ours' AS system, *, i % 3 AS m FROM w WHERE conv_id % 3 <> 1 UNION ALL SELECT 'ours', *, i % 3 FROM w WHERE conv_id % 3 = 1 AND i % 3 < 2
+          UNION ALL SELECT 'baseline_mono', *, 0 FROM w WHERE (conv_id % 3 <> 1 AND conv_id % 7 = 3) OR (conv_id % 3 = 1 AND i % 3 < 2))
+        SELECT system, conv_id, row_number() OVER (PARTITION BY system, conv_id ORDER BY i) - 1 AS word_idx, word, s AS t_start, e AS t_end, speaker FROM a"""),
     "vendor_words": (vendor_words, f"""{_W} SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY i) - 1 AS word_idx, word, s AS t_start, CASE WHEN i % 5 > 0 THEN e ELSE s END AS t_end, CASE WHEN speaker = 'user' THEN 'SPEAKER_01' ELSE 'host' END AS speaker FROM w WHERE i % 8 <> 7"""),
     "rendered_turns": (rendered_turns, f"{_W}, {_TR} SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY k) - 1 AS turn_idx, CASE WHEN speaker = 'user' THEN 'PARTICIPANT' ELSE speaker END AS speaker, s AS t_start, e AS t_end, text FROM tr"),
     "loaded_turns": (loaded_turns, f"""{_W}, {_TR}, r AS (SELECT *, sum(CASE WHEN speaker IS DISTINCT FROM p THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY i) AS run FROM (SELECT *, lag(speaker) OVER (PARTITION BY conv_id ORDER BY i) AS p FROM w)),

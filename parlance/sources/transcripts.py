@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+from typing import NamedTuple
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -171,6 +175,78 @@ def load_turns(texts: DataFrame, by: list[str], duration: Column) -> DataFrame:
 READERS = {"words": parse_words, "vendor": parse_vendor}
 
 
+class System(NamedTuple):
+    """Where a system's files are, below the folder of a visit, and how they are read.
+
+    ``suffix`` ends the file's name, or is all of it if ``whole``; ``below`` is a folder between the
+    visit's and the file.  With ``runs`` a visit's folder may hold a folder for each run; these are
+    looked into where the visit's own folder has no such file.  Of several files the last by path
+    counts, or the ``first``.
+    """
+
+    suffix: str
+    reader: Callable[[DataFrame, list[str]], DataFrame] = parse_words
+    whole: bool = False
+    runs: bool = False
+    below: str = ""
+    first: bool = False
+
+
+def _run(name: str) -> System:
+    return System(name, whole=True, runs=True)
+
+
+# Names of systems and the files that they leave.
+SYSTEMS = {
+    "chirp3": System(".json", parse_vendor, below="chirp", first=True),
+    "ours": _run("transcript.json"),
+    "ours_diar": _run("transcript.json"),
+    "ours_spk": _run("transcript_speakers.json"),
+    "ours_spk_rule": _run("transcript_speakers_rule.json"),
+    "verbatimize": _run("transcript.json"),
+    "baseline": System("_words.json"),
+    "baseline_llm": System("_words_corrected.json"),
+    "ours_llm": System("_words_corrected.json"),
+    "baseline_mono": System("_words.json"),
+}
+
+
+def register_system(name: str, system: System) -> None:
+    """Adds a system, or puts another in its place; readers get (by, value) and give by, word_idx, word, start, end, speaker."""
+    SYSTEMS[name] = system
+
+
+def read_files(spark: SparkSession, root: str) -> DataFrame:
+    """path (below the root, without a slash before it), value of all files of a tree, by any path that Spark reads."""
+    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(root).select(F.col("_metadata.file_path").alias("full"), "value")
+    below = F.regexp_replace("full", r"^.*?" + re.escape(root.rstrip("/").split(":")[-1].lstrip("/")) + "/", "")
+    return files.select(F.url_decode(F.replace(below, F.lit("+"), F.lit("%2B"))).alias("path"), "value")
+
+
+def visit_files(files: DataFrame, visits: DataFrame, by: list[str], system: System) -> DataFrame:
+    """by, path, value: of each visit (by, folder) the system's file."""
+    name, parent = F.regexp_extract("path", r"([^/]*)$", 1), F.regexp_extract("path", r"^(.*)/[^/]*$", 1)
+    fits = name == system.suffix if system.whole else name.endswith(system.suffix)
+    own = files.where(fits).select(parent.alias("at"), "path", "value", F.lit(1).alias("own"))
+    found = own.union(own.select(F.regexp_extract("at", r"^(.*)/[^/]*$", 1), "path", "value", F.lit(0))) if system.runs else own
+    below = F.concat("folder", F.lit(f"/{system.below}")) if system.below else F.col("folder")
+    met = found.join(visits.select(*by, below.alias("at")), "at")
+    order = Window.partitionBy(*by).orderBy(F.desc("own"), F.col("path") if system.first else F.desc("path"))
+    return met.withColumn("nth", F.row_number().over(order)).where("nth = 1").select(*by, "path", "value")
+
+
+def read_visits(trees: dict[str, list[DataFrame]], visits: DataFrame, by: list[str]) -> DataFrame:
+    """system, by, word_idx, word, start, end, speaker of registered systems; each has one or more trees of files (path, value), of which the first with words for a visit counts."""
+    columns = ["word_idx", "word", "start", "end", "speaker"]
+    out = None
+    for name, roots in trees.items():
+        system = SYSTEMS[name]
+        read = [system.reader(visit_files(files, visits, by, system).select(*by, "value"), by).select(*by, *columns) for files in roots]
+        one = first_tree(read, by).select(F.lit(name).alias("system"), *by, F.col("word_idx").cast("long").alias("word_idx"), *columns[1:])
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def read_systems(sources: dict[str, tuple[str, DataFrame]], by: list[str]) -> DataFrame:
     """system, by, word_idx, word, start, end, speaker of all systems; sources: name of the system -> (kind of reader, texts)."""
     out = None

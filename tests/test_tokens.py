@@ -273,3 +273,92 @@ def test_normalized_words_in_both_languages(spark):
         for b in texts:
             x, y = headline_tokens(a), headline_tokens(b)
             assert math.isclose(cue_score(x, y), spark.range(1).select(T.cue_score(F.lit(" ".join(x)), F.lit(" ".join(y))).alias("x")).first()["x"])
+
+
+def test_windows_of_speech(spark):
+    from parlance.operators import folds
+
+    spans = frame(spark, "v int, start double, end double", [(1, 0.0, 10.0), (1, 12.0, 20.0), (1, 21.0, 30.0), (1, 40.0, 100.0), (2, 5.0, 5.0)])
+    got = [(r["start"], r["end"]) for r in folds.speech_windows(spans, BY).orderBy("window").collect()]
+    assert got == [(0.0, 20.0), (21.0, 30.0), (40.0, 65.0), (65.0, 90.0), (90.0, 100.0)]
+
+
+def test_chunks_overlap(spark):
+    from parlance.operators import folds
+
+    pieces = frame(spark, "v int, piece int, n_chars long", [(1, k, n) for k, n in enumerate([4, 4, 4, 11, 2, 2])])
+    got = [tuple(r)[2:] for r in folds.overlapping_chunks(pieces, BY, size=10).orderBy("chunk").collect()]
+    assert got == [(0, 1, 8), (1, 2, 8), (2, 3, 15), (3, 4, 13), (4, 5, 4)]
+    assert [tuple(r)[2:] for r in folds.overlapping_chunks(pieces, BY, size=10, overlap=0).orderBy("chunk").collect()] == [(0, 1, 8), (2, 2, 4), (3, 3, 11), (4, 5, 4)]
+
+
+@pytest.mark.parametrize("partitions", [1, 7])
+def test_dense_places(spark, partitions):
+    from parlance.operators import places
+
+    rng = random.Random(partitions)
+    rows = [(rng.randrange(50), k) for k in range(400)]
+    got = places.dense_places(frame(spark, "x int, k long", rows).repartition(partitions), ["x", "k"]).collect()
+    assert {(r["x"], r["k"]): r["place"] for r in got} == {r: n for n, r in enumerate(sorted(rows))}
+    shards = places.round_robin(frame(spark, "x int, k long", rows), ["k"], 3).collect()
+    assert all(r["shard"] == r["k"] % 3 + 1 for r in shards)
+    assert places.dense_places(frame(spark, "x int", []), ["x"]).count() == 0
+    left = places.pending(frame(spark, "k long", [(1,), (2,), (3,)]), frame(spark, "k long", [(2,), (2,)]), ["k"], F.col("k") < 3)
+    assert [r["k"] for r in left.collect()] == [1]
+
+
+def spread_by_hand(rows, count, most):
+    """A walk with a stride over rows (size, visit, subject) in order of size."""
+    rows = sorted(rows)
+    free, seen, out = list(range(len(rows))), {}, []
+    for step in range(count):
+        at = min(int(step * max(len(rows) / count, 1.0)), len(rows) - 1)
+        fit = [k for k in [*(k for k in free if k >= at), *(k for k in free if k < at)] if seen.get(rows[k][2], 0) < most]
+        if not fit:
+            break
+        free.remove(fit[0])
+        seen[rows[fit[0]][2]] = seen.get(rows[fit[0]][2], 0) + 1
+        out.append(rows[fit[0]][1])
+    return sorted(out)
+
+
+@pytest.mark.parametrize("n, count, most", [(100, 12, 2), (30, 30, 1), (7, 12, 3), (0, 4, 1)])
+def test_spread_samples(spark, n, count, most):
+    from parlance.operators import places
+
+    rng = random.Random(n)
+    rows = [(rng.randrange(9), v, rng.choice("aaaabcdefgh")) for v in range(n)]
+    got = places.spread_sample(frame(spark, "words int, visit long, subject string", rows), "words", "subject", ["visit"], count, most)
+    assert sorted(r["visit"] for r in got.collect()) == spread_by_hand(rows, count, most)
+
+
+def test_trees_of_systems(spark, tmp_path):
+    words = lambda *ws: json.dumps([{"word": w, "start": k, "end": k + 1, "speaker": "A"} for k, w in enumerate(ws)])
+    files = {
+        "s/p/v1/run_1/transcript.json": words("old"), "s/p/v1/run_2/transcript.json": json.dumps({"words": json.loads(words("new"))}), "s/p/v2/run_9/transcript.json": words("deep"), "s/p/v2/transcript.json": words("own"),
+        "s/p/v1/x_words.json": words("x"), "s/p/v1/y_words.json": words("y"), "s/p/v2/run_1/z_words.json": words("too deep"), "s/p/v2/my transcript.json": words("not this"),
+        "s/p/v1/chirp/b.json": '{"words": []}', "s/p/v1/chirp/a.json": json.dumps({"words": [{"word": "hi", "startOffset": 0, "endOffset": 1, "speakerLabel": "1"}]}), "s/p/v1/own.txt": "only this",
+    }
+    for path, text in files.items():
+        (tmp_path / "one" / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "one" / path).write_text(text)
+    tree = transcripts.read_files(spark, f"{tmp_path}/one")
+    assert {r["path"] for r in tree.collect()} == set(files)
+    visits = frame(spark, "v int, folder string", [(1, "s/p/v1"), (2, "s/p/v2"), (3, "s/p/v3")])
+    lines = lambda texts, by: texts.select(*by, F.lit(0).alias("word_idx"), F.col("value").alias("word"), F.lit(0.0).alias("start"), F.lit(1.0).alias("end"), F.lit("A").alias("speaker"))
+    transcripts.register_system("lines", transcripts.System(".txt", lines))
+    other = frame(spark, "path string, value string", [("s/p/v2/q_words.json", words("fallback")), ("s/p/v1/q_words.json", words("unused"))])
+    got = transcripts.read_visits({"ours": [tree], "baseline": [tree, other], "chirp3": [tree], "lines": [tree]}, visits, BY)
+    assert {(r["system"], r["v"], r["word"]) for r in got.collect()} == {("ours", 1, "new"), ("ours", 2, "own"), ("baseline", 1, "y"), ("baseline", 2, "fallback"), ("chirp3", 1, "hi"), ("lines", 1, "only this")}
+    del transcripts.SYSTEMS["lines"]
+
+
+def test_tables_are_written_in_order(spark, tmp_path):
+    from parlance.sources import sinks
+
+    rows = frame(spark, "subject string, session int, span int, system string, rate double", [("b", 1, 2, "x", 0.125), ("a", 2, 1, "y", None), ("a", 1, 1, "x", 1.0)])
+    sinks.write_table(rows, f"{tmp_path}/leaks", {"rate": "pct"}, sinks.ORDERS["leaks"])
+    back = spark.read.option("header", True).csv(f"{tmp_path}/leaks").collect()
+    assert sorted((r["subject"], r["session"], r["rate"]) for r in back) == [("a", "1", "100.00"), ("a", "2", None), ("b", "1", "12.50")]
+    text = [line for f in sorted((tmp_path / "leaks").glob("part-*")) for line in f.read_text().splitlines() if not line.startswith("subject")]
+    assert [line[0] for line in text] == ["a", "a", "b"]
