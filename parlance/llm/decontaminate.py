@@ -5,9 +5,10 @@ for: which share of an item's shingles the document holds.  An item of n shingle
 contained to the share t lacks at most n - ceil(t n) of them; of its n - ceil(t n) + 1 smallest
 hashes (its bottom MinHash sketch, whose length follows from the size partition) at least one
 is therefore in the document, and no contained item is missed.  Items are partitioned by size:
-each partition has its own sketch length, a largest hash beyond which document shingles need not
-be looked up, and a number of shingles below which a document can't contain its items.  Pairs
-that meet in a sketch are verified with the shingles themselves.
+each partition has a number of shingles below which a document can't contain its items, and a
+largest hash of its sketches.  A document's shingles are looked up to the largest hash of the
+partitions that it is long enough for, all at once: one partition after the other would send the
+lower ones once for each.  Pairs that meet in a sketch are verified with the shingles themselves.
 
 Everything is DataFrame expressions.  Words are runs of letters and digits, lower-cased; an item
 of fewer than five words is one shingle of all its words.
@@ -37,8 +38,19 @@ def _hashes(words: Column, hashed: Column, k: int) -> Column:
     return F.when(n >= k, F.transform(F.sequence(F.lit(0), F.greatest(n - k, F.lit(0))), lambda i: F.xxhash64(F.lit(k), *[F.get(hashed, i + j) for j in range(k)]))).otherwise(F.array().cast("array<long>"))
 
 
-def _up_to(hashes: Column, top: int) -> Column:
-    return F.filter(hashes, lambda h: h <= F.lit(top))
+def _up_to(hashes: Column, top: Column) -> Column:
+    return F.filter(hashes, lambda h: h <= top)
+
+
+def _reach(parts: list, k: int) -> Column:
+    """The largest hash that a document's shingles of k words are looked up to: that of the size partitions whose items it is long enough to hold; null if there are none."""
+    out, top = None, None
+    for p in sorted(parts, key=lambda p: p["least"]):
+        top = p["top"] if top is None else max(top, p["top"])
+        fits = F.size("words") >= k + p["least"] - 1
+        # The larger partitions are asked first.
+        out = F.when(fits, F.lit(top)) if out is None else F.when(fits, F.lit(top)).otherwise(out)
+    return out
 
 
 def _shingles(words: Column, k: Column) -> Column:
@@ -72,12 +84,13 @@ def contained_items(docs: DataFrame, items: DataFrame, share: float = CONTAINED)
     sketches = item_sketches(items, share)
     parts = sketches.groupBy("k", "part").agg(F.min("need").alias("least"), F.max(F.element_at("sketch", -1)).alias("top"), F.sum(F.size("sketch")).alias("rows")).collect()
     plain = documents(docs)
-    worded = plain.select("doc_id", _words(F.col("text")).alias("words")).select("doc_id", "words", F.transform("words", lambda w: F.xxhash64(w)).alias("hashed"))
+    by_k = {k: [p for p in parts if p["k"] == k] for k in sorted({p["k"] for p in parts})}
+    worded = plain.select("doc_id", _words(F.col("text")).alias("words"))
+    worded = worded.select("doc_id", "words", F.transform("words", lambda w: F.xxhash64(w)).alias("hashed"), *[_reach(mine, k).alias(f"top{k}") for k, mine in by_k.items()])
     wanted = F.array().cast("array<long>")
-    for k in sorted({p["k"] for p in parts}):
-        mine = [p for p in parts if p["k"] == k]
-        top, least = max(p["top"] for p in mine), min(p["least"] for p in mine)
-        wanted = F.concat(wanted, F.when(F.size("words") >= k + least - 1, _up_to(_hashes(F.col("words"), F.col("hashed"), k), top)).otherwise(F.array().cast("array<long>")))
+    for k in by_k:
+        top = F.col(f"top{k}")
+        wanted = F.concat(wanted, F.when(top.isNotNull(), _up_to(_hashes(F.col("words"), F.col("hashed"), k), top)).otherwise(F.array().cast("array<long>")))
     # explode() would have Spark filter empty arrays first, by the arrays' whole expression, with the words' within its lambda.
     probes = worded.select("doc_id", F.size("words").alias("n_words"), wanted.alias("wanted")).select("doc_id", "n_words", F.explode_outer("wanted").alias("hash"))
     keys = sketches.select("item_id", "k", "need", F.explode("sketch").alias("hash"))
