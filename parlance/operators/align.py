@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -174,12 +175,18 @@ def similarity(a: str, b: str) -> float:
 
 
 def best_similarity(needle: str, tokens: list[str], slack: int = 1) -> tuple[float, str]:
-    """The closest run of tokens, of the needle's number of words give or take ``slack``."""
+    """The closest run of tokens, of the needle's number of words give or take ``slack``; the first of several.
+
+    What letters both have, whatever their order, bounds the similarity, so few runs are compared.
+    """
     best = (0.0, "")
-    n = len(needle.split())
+    n, letters = len(needle.split()), Counter(needle)
     for size in range(max(1, n - slack), n + slack + 1) if needle and tokens else ():
         for k in range(len(tokens) - size + 1):
             run = " ".join(tokens[k : k + size])
+            both = len(needle) + len(run)
+            if 2.0 * min(len(needle), len(run)) / both <= best[0] or 2.0 * (letters & Counter(run)).total() / both <= best[0]:
+                continue
             if (s := similarity(needle, run)) > best[0]:
                 best = (s, run)
     return best

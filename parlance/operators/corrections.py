@@ -153,10 +153,10 @@ def short_turns(words: DataFrame, by: list[str], most: int = TURN_CHARS) -> Data
     kinds = dict(words.dtypes)
     w = Window.partitionBy(*by).orderBy("word_idx")
     runs = islands.islands(words, by, ["word_idx"], ~F.col("speaker").eqNullSafe(F.lag("speaker").over(w)) | (F.row_number().over(w) == 1), "run")
-    parts = islands.sentences(runs, [*by, "run"])
-    length = runs.groupBy(*by, "run").agg(F.sum(F.length(F.trim("word")) + 1).alias("run_chars"))
-    marked = runs.join(parts.select(*by, "run", "first", "last"), [*by, "run"]).where("word_idx >= first and word_idx < last")
-    chars = marked.groupBy(*by, "run", "first", "last").agg(F.sum(F.length(F.trim("word")) + 1).alias("chars")).join(length, [*by, "run"])
+    length = F.sum(F.length(F.trim("word")) + 1)
+    marked = islands.sentence_words(runs, [*by, "run"])
+    chars = marked.groupBy(*by, "run", "part", "piece").agg(F.min("word_idx").alias("first"), (F.max("word_idx") + 1).alias("last"), length.alias("chars"))
+    chars = chars.withColumn("run_chars", F.sum("chars").over(Window.partitionBy(*by, "run"))).drop("part", "piece")
 
     def fold(t: pa.Table) -> pa.Table:
         t = t.sort_by("first")

@@ -217,12 +217,12 @@ def assign_labels(overlaps: DataFrame, by: list[str]) -> DataFrame:
     return held.mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in by) + ", a_speaker string, b_speaker string, overlap double")
 
 
-def error_rate(reference: DataFrame, hypothesis: DataFrame, by: list[str], mapping: DataFrame, collar: float = 0.0, skip_overlap: bool = False) -> DataFrame:
+def error_rate(reference: DataFrame, hypothesis: DataFrame, by: list[str], mapping: DataFrame, collar: float | Column = 0.0, skip_overlap: bool | Column = False) -> DataFrame:
     """Missed, false and confused time and the total of the reference, from a sweep over the boundaries of both sides.
 
     ``mapping`` (by, a_speaker, b_speaker) says which hypothesis speaker stands for which
     reference speaker.  ``collar`` takes out half of it on either side of each reference boundary, ``skip_overlap`` where several
-    reference speakers talk at once.
+    reference speakers talk at once.  Either may be a column of ``by``'s.
     """
     ref = reference.select(*by, F.col("speaker").alias("a_speaker"), "start", "end").where("end > start")
     hyp = hypothesis.select(*by, F.col("speaker").alias("b_speaker"), "start", "end").where("end > start")
@@ -230,8 +230,9 @@ def error_rate(reference: DataFrame, hypothesis: DataFrame, by: list[str], mappi
     sides = ref.select(*by, F.lit("r").alias("side"), F.col("a_speaker").alias("speaker"), "start", "end").unionByName(hyp.select(*by, F.lit("h").alias("side"), "speaker", "start", "end"))
     sides = merge_touching(sides, [*by, "side", "speaker"]).drop("piece")
     edges = sides.select(*by, F.explode(F.array("start", "end")).alias("t"))
-    if collar:
-        cuts = ref.select(*by, F.explode(F.array("start", "end")).alias("x")).select(*by, F.lit("c").alias("side"), F.lit("").alias("speaker"), (F.col("x") - collar / 2).alias("start"), (F.col("x") + collar / 2).alias("end"))
+    if isinstance(collar, Column) or collar:
+        collar = collar if isinstance(collar, Column) else F.lit(collar)
+        cuts = ref.where(collar > 0).select(*by, F.explode(F.array("start", "end")).alias("x")).select(*by, F.lit("c").alias("side"), F.lit("").alias("speaker"), (F.col("x") - collar / 2).alias("start"), (F.col("x") + collar / 2).alias("end"))
         cuts = merge_touching(cuts, [*by, "side", "speaker"]).drop("piece")
         edges, sides = edges.union(cuts.select(*by, F.explode(F.array("start", "end")))), sides.unionByName(cuts)
     w = Window.partitionBy(*by).orderBy("t")
@@ -240,8 +241,8 @@ def error_rate(reference: DataFrame, hypothesis: DataFrame, by: list[str], mappi
     each = held.groupBy(*by, "l_start", "l_end").agg(
         F.collect_set(F.when(F.col("side") == "r", F.col("speaker"))).alias("r"), F.collect_set(F.when(F.col("side") == "h", F.col("speaker"))).alias("h"), F.count_if(F.col("side") == "c").alias("cut")
     ).where("cut = 0")
-    if skip_overlap:
-        each = each.where("size(r) < 2")
+    if isinstance(skip_overlap, Column) or skip_overlap:
+        each = each.where(~(skip_overlap if isinstance(skip_overlap, Column) else F.lit(True)) | (F.size("r") < 2))
     length, r, h = F.col("l_end") - F.col("l_start"), F.size("r"), F.size("h")
     right = F.size(F.array_intersect("r", "h"))
     return each.groupBy(*by).agg(

@@ -98,16 +98,19 @@ def tiled_spans(words: DataFrame, by: list[str]) -> DataFrame:
     return runs.select(*by, "run", "speaker", "start", F.greatest("end", F.coalesce(follows, F.col("end"))).alias("end"))
 
 
-def sentences(words: DataFrame, by: list[str], longest: int = 120) -> DataFrame:
-    """Sentences end at closing punctuation or after ``longest`` words."""
+def sentence_words(words: DataFrame, by: list[str], longest: int = 120) -> DataFrame:
+    """Words with part and piece, which tell their sentence: it ends at closing punctuation or after ``longest`` words."""
     w = Window.partitionBy(*by).orderBy("word_idx")
     ended = F.coalesce(F.lag("word").over(w).rlike(r"""[.!?]+["')\]]*$"""), F.lit(True))
     cut = islands(words, by, ["word_idx"], ended, "part")
     place = F.row_number().over(Window.partitionBy(*by, "part").orderBy("word_idx")) - 1
-    return (
-        cut.withColumn("piece", F.floor(place / longest)).groupBy(*by, "part", "piece")
-        .agg(F.min("word_idx").alias("first"), (F.max("word_idx") + 1).alias("last"), F.count("*").alias("n_words"))
-    )
+    return cut.withColumn("piece", F.floor(place / longest))
+
+
+def sentences(words: DataFrame, by: list[str], longest: int = 120) -> DataFrame:
+    """by, part, piece, first, last (half-open), n_words of each sentence."""
+    each = sentence_words(words, by, longest).groupBy(*by, "part", "piece")
+    return each.agg(F.min("word_idx").alias("first"), (F.max("word_idx") + 1).alias("last"), F.count("*").alias("n_words"))
 
 
 def turn_spans(words: DataFrame, by: list[str], bridge: bool = False) -> DataFrame:

@@ -83,10 +83,18 @@ def reassigned(words: DataFrame, reference: DataFrame, mapping: DataFrame, by: l
     spans = reference.join(mapping, [*(reference[c] == mapping[c] for c in by), reference["speaker"] == mapping["a_speaker"]]).select(*(reference[c] for c in by), "a_speaker", "b_speaker", F.explode("spans").alias("s")).select(*by, "a_speaker", "b_speaker", "s.*")
     # The sweep leaves a word at the first span that ends after it; what stands before that ended earlier.
     reach = F.max("end").over(Window.partitionBy(*by, "a_speaker").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1))
-    pairs = orphans.join(spans.withColumn("reach", reach), by)
-    shared = F.when(F.col("reach").isNull() | (F.col("reach") <= F.col("w_end")), F.greatest(F.least("w_end", "end") - F.greatest("w_start", "start"), F.lit(0.0))).otherwise(0.0)
-    near = F.least(F.abs(F.col("w_start") - F.col("start")), F.abs(F.col("w_start") - F.col("end")))
-    each = pairs.groupBy(*by, "word_idx", "a_speaker", "b_speaker").agg(F.sum(shared).alias("shared"), F.min(near).alias("near"))
+    timed = spans.withColumn("reach", reach).withColumnsRenamed({"start": "r_start", "end": "r_end"})
+    met = intervals.bucketed_overlap_join(orphans.withColumnsRenamed({"w_start": "l_start", "w_end": "l_end"}), timed, by, 600.0)
+    counts = F.col("reach").isNull() | (F.col("reach") <= F.col("l_end"))
+    shared = met.groupBy(*by, "word_idx", "a_speaker").agg(F.sum(F.when(counts, F.least("l_end", "r_end") - F.greatest("l_start", "r_start")).otherwise(0.0)).alias("shared"))
+    # Nearest boundaries from a sorted union of a speaker's boundaries and the words; a visit has few matched speakers.
+    asked = orphans.join(mapping.select(*by, "a_speaker", "b_speaker"), by).select(*by, "a_speaker", "b_speaker", "word_idx", F.col("w_start").alias("x"), F.lit(None).cast("double").alias("edge"))
+    edges = spans.select(*by, "a_speaker", "b_speaker", F.lit(None).cast("long").alias("word_idx"), F.explode(F.array("start", "end")).alias("x")).withColumn("edge", F.col("x"))
+    line = Window.partitionBy(*by, "a_speaker").orderBy("x")
+    before = F.last("edge", ignorenulls=True).over(line.rangeBetween(Window.unboundedPreceding, 0))
+    after = F.first("edge", ignorenulls=True).over(line.rangeBetween(0, Window.unboundedFollowing))
+    near = asked.withColumn("word_idx", F.col("word_idx").cast("long")).unionByName(edges).withColumn("near", F.least(F.col("x") - before, after - F.col("x"))).where("word_idx is not null and near is not null")
+    each = near.join(shared.withColumn("word_idx", F.col("word_idx").cast("long")), [*by, "word_idx", "a_speaker"], "left").withColumn("shared", F.coalesce("shared", F.lit(0.0)))
     best = each.groupBy(*by, "word_idx").agg(F.min_by("b_speaker", F.struct(-F.col("shared"), F.col("near"), F.col("a_speaker"))).alias("new"))
     return words.join(best, [*by, "word_idx"], "left").withColumn("moved", F.col("new").isNotNull()).withColumn("speaker", F.coalesce("new", "speaker")).drop("new")
 
@@ -160,12 +168,12 @@ def rates(times: DataFrame) -> DataFrame:
 
 
 def diarization_variants(reference: DataFrame, hypothesis: DataFrame, by: list[str], mapping: DataFrame, variants: dict[str, tuple[float, bool]] = VARIANTS) -> DataFrame:
-    """Times and rate of each visit under each variant of collar and overlap."""
-    out = None
-    for name, (collar, skip) in variants.items():
-        one = rates(intervals.error_rate(reference, hypothesis, by, mapping, collar, skip)).select(F.lit(name).alias("variant"), *by, "missed", "false_alarm", "confusion", "total", "der")
-        out = one if out is None else out.unionByName(one)
-    return out
+    """Times and rate of each visit under each variant of collar and overlap; one sweep with the variant as a key."""
+    pick = lambda values: F.create_map(*[F.lit(x) for pair in values.items() for x in pair])[F.col("variant")]
+    collar, skip = pick({name: c for name, (c, _) in variants.items()}), pick({name: s for name, (_, s) in variants.items()})
+    each = lambda df: df.withColumn("variant", F.explode(F.array(*map(F.lit, variants))))
+    times = intervals.error_rate(each(reference), each(hypothesis), ["variant", *by], each(mapping), collar, skip)
+    return rates(times).select("variant", *by, "missed", "false_alarm", "confusion", "total", "der")
 
 
 def _agreed(pdf: pd.DataFrame) -> tuple[int, int]:
