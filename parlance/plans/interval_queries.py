@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from parlance.functions import text as T
 from parlance.operators import intervals, islands
 from parlance.plans import derived as D
-from parlance.plans.derived import SEGMENTS_SQL
+from parlance.plans.derived import SEGMENTS_SQL, assignment_sql
 
 BY = ["room"]
 
@@ -116,6 +116,19 @@ _OVERLAPS = f"""WITH RECURSIVE {SEGMENTS_SQL}, sides AS (SELECT room, k % 2 AS s
     SELECT w.room, x, y, CASE WHEN a.e < b.e THEN i + 1 ELSE i END, CASE WHEN a.e < b.e THEN j ELSE j + 1 END, total + greatest(0, least(a.e, b.e) - greatest(a.s, b.s))
     FROM sweep w JOIN sides a ON a.room = w.room AND a.side = 0 AND a.speaker = x AND a.r = i JOIN sides b ON b.room = w.room AND b.side = 1 AND b.speaker = y AND b.r = j),
   o AS (SELECT room, x AS a_speaker, y AS b_speaker, max(total) AS overlap FROM sweep GROUP BY 1, 2, 3 HAVING max(total) > 0)"""
+_SWEEP = _OVERLAPS[_OVERLAPS.index("sweep AS") : _OVERLAPS.index(",\n  o AS")]
+
+
+def _errors_sql(collar: int) -> str:
+    """CTEs over seg and hy (whose speakers are seg's) and the final selection of missed, false and confused time and the reference's."""
+    return f"""eb AS (SELECT DISTINCT room, unnest([s, e]) AS x FROM seg), et AS (SELECT room, x + d * {collar} / 2 AS x FROM eb, (SELECT unnest([-1, 0, 1]) AS d) UNION SELECT room, unnest([s, e]) FROM hy),
+        ce AS (SELECT room, x AS lo, lead(x) OVER (PARTITION BY room ORDER BY x) AS hi FROM et),
+        er AS (SELECT ce.room, lo, list(DISTINCT seg.speaker) AS sp FROM ce JOIN seg ON seg.room = ce.room AND seg.s < hi AND seg.e > lo GROUP BY ALL), eq AS (SELECT ce.room, lo, list(DISTINCT hy.speaker) AS sp FROM ce JOIN hy ON hy.room = ce.room AND hy.s < hi AND hy.e > lo GROUP BY ALL),
+        ef AS (SELECT ce.room, hi - lo AS d, coalesce(er.sp, []) AS r, coalesce(eq.sp, []) AS q FROM ce LEFT JOIN er USING (room, lo) LEFT JOIN eq USING (room, lo)
+          WHERE hi IS NOT NULL AND (er.sp IS NOT NULL OR eq.sp IS NOT NULL) AND NOT EXISTS (SELECT 1 FROM eb WHERE {collar} > 0 AND eb.room = ce.room AND eb.x - {collar} / 2 < hi AND eb.x + {collar} / 2 > lo))
+        SELECT room, sum(d * greatest(len(r) - len(q), 0))::DOUBLE AS missed, sum(d * greatest(len(q) - len(r), 0))::DOUBLE AS false_alarm, sum(d * (least(len(r), len(q)) - len(list_intersect(r, q))))::DOUBLE AS confusion, sum(d * len(r))::DOUBLE AS total FROM ef GROUP BY 1"""
+
+
 _BY_OVERLAP = """x AS (SELECT pt.room, i, speaker, sum(least(pt.e, seg.e) - greatest(pt.s, seg.s)) AS o, min(k) AS k FROM pt JOIN seg ON pt.room = seg.room AND seg.e > pt.s AND seg.s < pt.e AND least(pt.e, seg.e) > greatest(pt.s, seg.s) GROUP BY 1, 2, 3),
   y AS (SELECT room, i, speaker FROM (SELECT *, row_number() OVER (PARTITION BY room, i ORDER BY o DESC, k) AS n FROM x) WHERE n = 1),
   z AS (SELECT pt.room, i, arg_min(speaker, k) AS speaker FROM pt JOIN seg ON pt.room = seg.room AND pt.e <= pt.s AND seg.s <= pt.s AND pt.s <= seg.e GROUP BY 1, 2)"""
@@ -159,6 +172,9 @@ QUERIES = {
         b AS (SELECT speaker, d, CASE WHEN d < 900 THEN '<900s' WHEN d < 1900 THEN '<1900s' WHEN d < 3100 THEN '<3100s' ELSE '3100s+' END AS length,
           CASE WHEN pd IS NULL THEN 'first' WHEN pd < 900 THEN '<900s' WHEN pd < 1900 THEN '<1900s' WHEN pd < 3100 THEN '<3100s' ELSE '3100s+' END AS before FROM a)
         SELECT coalesce(length, '-') AS length, coalesce(before, '-') AS before, coalesce(speaker, '-') AS speaker, count(*) AS turns, count_if(d > 2000) AS long FROM b GROUP BY GROUPING SETS ((), (length), (before), (speaker), (length, before))"""),
-    "diarization_errors": (diarization_errors, None),
-    "diarization_errors_collar": (diarization_errors_collar, None),
+    "diarization_errors": (diarization_errors, f"""WITH RECURSIVE {SEGMENTS_SQL}, h0 AS (SELECT room, CASE WHEN k % 5 = 0 THEN 'S0' ELSE speaker END AS speaker, s, e - 60 AS e FROM seg WHERE k % 7 <> 0),
+        sides AS (SELECT *, row_number() OVER (PARTITION BY room, side, speaker ORDER BY s, e) AS r FROM (SELECT room, 0 AS side, speaker, s, e FROM seg UNION ALL SELECT room, 1, speaker, s, e FROM h0)), {_SWEEP},
+        ov AS (SELECT room AS p, x AS a, y AS b, max(total) AS v FROM sweep GROUP BY 1, 2, 3 HAVING max(total) > 0), {assignment_sql('ov', 'mp')},
+        hy AS (SELECT h0.room, coalesce(mp.a, 'unmapped ' || h0.speaker) AS speaker, s, e FROM h0 LEFT JOIN mp ON mp.p = h0.room AND mp.b = h0.speaker), {_errors_sql(0)}"""),
+    "diarization_errors_collar": (diarization_errors_collar, f"WITH {SEGMENTS_SQL}, hy AS (SELECT room, speaker, s + 30 AS s, e FROM seg), {_errors_sql(120)}"),
 }

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from parlance.functions import text as T
 from parlance.operators import repair
 from parlance.plans import derived as D
-from parlance.plans.derived import BY, SEGMENTS_SQL, WORDS_SQL
+from parlance.plans.derived import ALIGN_SQL, BY, SEGMENTS_SQL, WORDS_SQL
 
 
 def applied_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,5 +58,8 @@ QUERIES = {
         a AS (SELECT *, max(e) OVER (PARTITION BY room, left_out ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM x),
         b AS (SELECT *, sum(CASE WHEN r IS NULL OR s > r THEN 1 ELSE 0 END) OVER (PARTITION BY room, left_out ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS g FROM a),
         c AS (SELECT room, left_out, min(s) AS s, max(e) AS e FROM b GROUP BY room, left_out, g) SELECT room, left_out, sum(e - s) AS covered, count(*) AS pieces FROM c GROUP BY 1, 2"""),
-    "attached_speakers": (attached_speakers, None),
+    "attached_speakers": (attached_speakers, f"""WITH RECURSIVE {WORDS_SQL}, {ALIGN_SQL}, mt AS (SELECT conv_id, j1 + k AS j, least(i1 + k, i2 - 1) AS i FROM (SELECT *, unnest(range(j2 - j1)) AS k FROM bl WHERE i2 > i1)),
+        sp AS (SELECT hj.conv_id, hj.j, w.speaker FROM hj LEFT JOIN mt ON mt.conv_id = hj.conv_id AND mt.j = hj.j LEFT JOIN w ON w.conv_id = mt.conv_id AND w.i = mt.i)
+        SELECT conv_id, j AS word_idx, coalesce(last_value(speaker IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY j), first_value(speaker IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY j ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS speaker,
+          CASE WHEN speaker IS NULL THEN 'inserted' ELSE 'matched' END AS origin FROM sp"""),
 }

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from parlance.functions import text as T
 from parlance.operators import align, islands
 from parlance.plans import derived as D
-from parlance.plans.derived import BY, SEGMENTS_SQL, WORDS_SQL, distance_sql
+from parlance.plans.derived import BY, SEGMENTS_SQL, WORDS_SQL, blocks_sql, distance_sql
 from parlance.plans.report_queries import _metrics
 from parlance.sources import sinks, transcripts
 
@@ -147,6 +147,8 @@ _W = f"WITH {WORDS_SQL}"
 _TR = "tr AS (SELECT conv_id, CAST(turn AS BIGINT) AS k, any_value(speaker) AS speaker, min(s) AS s, max(e) AS e, string_agg(word, ' ' ORDER BY i) AS text FROM w GROUP BY conv_id, turn)"
 _M = "m AS (SELECT l_orderkey AS visit, 'sys' || (l_suppkey % 5) AS system, count(*) AS words, count_if(l_returnflag = 'R') AS errors, count_if(l_returnflag = 'A') AS others FROM lineitem GROUP BY 1, 2)"
 _ALNUM = lambda t: "list_filter(string_split_regex(lower(trim(regexp_replace(regexp_replace(regexp_replace(" + t + ", '\\[.*?\\]', '', 'g'), '[^a-zA-Z0-9\\s]', '', 'g'), '\\s+', ' ', 'g'))), ' '), lambda x: x <> '' AND NOT regexp_matches(x, '" + T.FILLER_PATTERN + "'))"
+_PLAIN = "list_filter(string_split_regex(CASE WHEN l = 'raw' THEN {0} ELSE lower(regexp_replace({0}, '[.,?!\\-—;:\"''()]', '', 'g')) END, '\\s+'), lambda x: x <> '')"
+_LOOSE = "list_transform(" + _PLAIN + ", lambda x: CASE WHEN l = 'filler_normalized' AND regexp_matches(x, '" + T.FILLER_PATTERN.replace("{", "{{").replace("}", "}}") + "') THEN '<filler>' ELSE x END)"
 
 QUERIES = {
     "tagged_words": (tagged_words, f"""{_W}, x AS (SELECT conv_id, i, word, CASE WHEN turn % 3 = 2 THEN NULL WHEN speaker = 'user' THEN 'S1' ELSE 'S2' END AS sp FROM w)
@@ -170,5 +172,10 @@ QUERIES = {
         g AS (SELECT room, run, any_value(sp) AS speaker, arg_min(s, i) AS s, arg_max(e, i) AS e FROM r GROUP BY 1, 2) SELECT room, false AS bridged, speaker, s AS t_start, e AS t_end FROM g UNION ALL SELECT room, true, speaker, s, greatest(e, coalesce(lead(s) OVER (PARTITION BY room ORDER BY run), e)) FROM g"""),
     "symmetric_errors": (symmetric_errors, f"""WITH RECURSIVE {WORDS_SQL}, a AS (SELECT conv_id, turn, {_ALNUM("string_agg(word, ' ' ORDER BY i)")} AS r FROM m GROUP BY 1, 2), b AS (SELECT conv_id, turn, {_ALNUM("string_agg(word, ' ' ORDER BY i)")} AS q FROM h GROUP BY 1, 2),
         pr AS (SELECT a.conv_id || '|' || a.turn AS p, a.conv_id, a.turn, r, coalesce(q, []) AS q FROM a LEFT JOIN b ON a.conv_id = b.conv_id AND a.turn = b.turn), {distance_sql('pr', 'di')} SELECT conv_id, turn, CAST(len(r) AS BIGINT) AS ref_words, CAST(errors AS BIGINT) AS errors FROM pr JOIN di USING (p)"""),
-    "partner_errors": (partner_errors, None),
+    "partner_errors": (partner_errors, f"""WITH RECURSIVE {WORDS_SQL}, a AS (SELECT conv_id, turn, string_agg(word, ' ' ORDER BY i) AS a FROM m GROUP BY 1, 2), b AS (SELECT conv_id, turn, string_agg(word, ' ' ORDER BY i) AS b FROM h GROUP BY 1, 2),
+        ab AS (SELECT conv_id, turn, regexp_replace(regexp_replace(a, '\\[[^\\]]*\\](\\S*)', '\\1', 'g'), '\\{{[^\\}}]*\\}}(\\S*)', '\\1', 'g') AS a, regexp_replace(regexp_replace(coalesce(b, ''), '\\[[^\\]]*\\](\\S*)', '\\1', 'g'), '\\{{[^\\}}]*\\}}(\\S*)', '\\1', 'g') AS b FROM a LEFT JOIN b USING (conv_id, turn)),
+        lv AS (SELECT conv_id || '|' || turn || '|' || l AS p, conv_id, turn, l, {_LOOSE.format('a')} AS r, {_LOOSE.format('b')} AS q FROM ab, (VALUES ('raw'), ('normalized'), ('filler_normalized')) v(l)),
+        ra AS (SELECT p, unnest(range(len(r))) AS i, unnest(r) AS t FROM lv), qa AS (SELECT p, unnest(range(len(q))) AS j, unnest(q) AS t FROM lv), {blocks_sql('ra', 'qa', 'ba')},
+        er AS (SELECT lv.*, CASE WHEN len(r) > 0 THEN 100.0::DOUBLE * coalesce(n, 0) / len(r) END AS rate FROM lv LEFT JOIN (SELECT p, sum(greatest(i2 - i1, j2 - j1)) AS n FROM ba WHERE tag <> 'equal' GROUP BY p) USING (p))
+        SELECT conv_id, turn, any_value(rate) FILTER (l = 'raw') AS raw, any_value(rate) FILTER (l = 'normalized') AS normalized, any_value(rate) FILTER (l = 'filler_normalized') AS filler_normalized FROM er GROUP BY 1, 2"""),
 }
