@@ -189,3 +189,22 @@ def whole_word_replace(text: Column, word: str, by: str) -> Column:
     import re
 
     return F.regexp_replace(text, rf"(?<!\w){re.escape(word)}(?!\w)", by.replace("\\", r"\\").replace("$", r"\$"))
+
+
+def slug(title: Column) -> Column:
+    """A title as a name of a file."""
+    return F.replace(F.replace(F.lower(title), F.lit(" "), F.lit("-")), F.lit("/"), F.lit("-"))
+
+
+def escape(text: Column) -> Column:
+    """Text that stands in markup."""
+    out = text
+    for mark, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        out = F.replace(out, F.lit(mark), F.lit(name))
+    return out
+
+
+def interval_iou(a_start: Column, a_end: Column, b_start: Column, b_end: Column) -> Column:
+    """Intersection over union of two intervals; 0 where they don't overlap."""
+    both = F.least(a_end, b_end) - F.greatest(a_start, b_start)
+    return F.when(both <= 0, 0.0).otherwise(both / ((a_end - a_start) + (b_end - b_start) - both))

@@ -109,6 +109,59 @@ def held_corrections(corrections: Column, transcript: Column, most: int = 2) ->
     return F.filter(corrections, lambda c: (F.coalesce(c["original"], F.lit("")) != "") & (F.size(T.words_of(c["original"])) <= most) & transcript.contains(c["original"]))
 
 
+def _pairs(corrections: Column) -> Column:
+    """original and suggested, trimmed, of each; of none where the array is null."""
+    side = lambda c, name: F.trim(F.coalesce(c[name], F.lit(""))).alias(name)
+    return F.coalesce(F.transform(corrections, lambda c: F.struct(side(c, "original"), side(c, "suggested"))), F.array().cast("array<struct<original:string,suggested:string>>"))
+
+
+def replaced_in_text(text: Column, corrections: Column) -> Column:
+    """A struct of text and hits: corrections (an array of original, suggested) made one after the other as whole words, and how often each was; null for those without either side."""
+    quoted = lambda c: F.concat(F.lit(r"(?U)(?<!\w)\Q"), F.replace(c, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E(?!\w)"))
+    plain = lambda c: F.regexp_replace(c, r"([\\$])", r"\\$1")
+
+    def step(done: Column, c: Column) -> Column:
+        original, suggested = c["original"], c["suggested"]
+        given = (original != "") & (suggested != "")
+        new = F.when(given, F.regexp_replace(done["text"], quoted(original), plain(suggested))).otherwise(done["text"])
+        hits = F.when(given, F.regexp_count(done["text"], quoted(original)))
+        return F.struct(new.alias("text"), F.concat(done["hits"], F.array(hits)).alias("hits"))
+
+    return F.aggregate(_pairs(corrections), F.struct(F.coalesce(text, F.lit("")).alias("text"), F.array().cast("array<int>").alias("hits")), step)
+
+
+def replaced_word(word: Column, corrections: Column) -> Column:
+    """A word after the corrections of one word that match it exactly, one after the other."""
+
+    def step(done: Column, c: Column) -> Column:
+        original, suggested = c["original"], c["suggested"]
+        return F.when((suggested != "") & (F.size(T.words_of(original)) == 1) & (done == original), suggested).otherwise(done)
+
+    return F.aggregate(_pairs(corrections), word, step)
+
+
+def with_corrections(texts: DataFrame, words: DataFrame, corrections: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Texts and words after a visit's corrections, and by, place, text_replacements, word_replacements, applied of each correction.
+
+    texts: by, text.  words: by, word_idx, word.  corrections: by, place (order), original,
+    suggested.  A correction of several words changes the text alone; one that matches nothing is
+    told as not applied, one without either side not at all.
+    """
+    entry = F.struct("place", F.trim("original").alias("original"), F.trim("suggested").alias("suggested"))
+    held = corrections.groupBy(*by).agg(F.array_sort(F.collect_list(entry)).alias("_c"))
+    told = F.col("_c").cast("array<struct<place:bigint,original:string,suggested:string>>")
+    made = texts.join(held, by, "left").withColumn("_made", replaced_in_text(F.col("text"), told))
+    spoken = words.join(held, by, "left").withColumn("_new", replaced_word(F.col("word"), told))
+    # How often each correction met a word: the word as it was when that correction's turn came.
+    before = lambda k: F.slice(told, F.lit(1), k)
+    each = words.join(held, by).select(*by, "word", F.posexplode(told).alias("k", "c"), "_c")
+    met = (F.size(T.words_of(F.col("c.original"))) == 1) & (F.col("c.suggested") != "") & (replaced_word(F.col("word"), before(F.col("k"))) == F.col("c.original"))
+    hits = each.groupBy(*by, F.col("c.place").alias("place")).agg(F.count_if(met).alias("word_replacements"))
+    applied = made.where("_c is not null").select(*by, F.explode(F.arrays_zip(told.alias("c"), F.col("_made.hits").alias("n"))).alias("z")).select(*by, F.col("z.c.place").alias("place"), F.col("z.n").cast("long").alias("text_replacements")).where("text_replacements is not null")
+    report = applied.join(hits, [*by, "place"], "left").withColumn("word_replacements", F.coalesce("word_replacements", F.lit(0))).withColumn("applied", F.col("text_replacements") > 0)
+    return made.withColumn("text", F.col("_made.text")).select(*texts.columns), spoken.withColumn("word", F.col("_new")).select(*words.columns), report
+
+
 def reasoned_flags(flags: Column) -> Column:
     """Of an array of (reasoning, ...) those whose reasoning quotes something."""
     return F.filter(flags, lambda f: F.coalesce(f["reasoning"].contains("'") | f["reasoning"].contains('"'), F.lit(False)))

@@ -71,6 +71,49 @@ def worst(metrics: DataFrame, visit: list[str], value: str, n: int) -> DataFrame
     return metrics.groupBy(*visit).agg(F.max(value).alias("worst")).orderBy(F.desc("worst"), *visit).limit(n)
 
 
+def ranked_visits(metrics: DataFrame, visit: list[str], system: str, systems: list[str], terms: dict[str, str], words: str, rank_by: str = "worst") -> DataFrame:
+    """rank, visit, and of each system its error rate, its dominant kind of error and the rate of that: visits that all the systems have, by the largest rate of any of them or by one system's (ties by visit).
+
+    terms: name of a kind of error -> column that counts it.  The whole table is ranked, by ranges.
+    """
+    from parlance.operators.places import dense_places
+
+    counts = {name: F.col(c) for name, c in terms.items()}
+    shaped = metrics.withColumn("_shape", F.struct(F.try_divide(sum(counts.values()), F.col(words)).alias("wer"), dominant(counts).alias("shape"), F.try_divide(F.greatest(*counts.values()), F.col(words)).alias("shape_rate")))
+    wide = shaped.groupBy(*visit).pivot(system, systems).agg(F.first("_shape"))
+    for s in systems:
+        wide = wide.where(F.col(f"`{s}`.wer").isNotNull())
+    rates = [F.col(f"`{s}`.wer") for s in systems]
+    key = F.greatest(*rates) if rank_by == "worst" and len(rates) > 1 else F.col(f"`{systems[0] if rank_by == 'worst' else rank_by}`.wer")
+    placed = dense_places(wide.withColumn("_key", -key), ["_key", *visit], "rank")
+    return placed.select((F.col("rank") + 1).alias("rank"), *visit, *[F.col(f"`{s}`.{f}").alias(f"{s}_{f}") for s in systems for f in ("wer", "shape", "shape_rate")])
+
+
+def pooled_deltas(metrics: DataFrame, system: str, errors: str, words: str, base: str) -> DataFrame:
+    """system, pooled (errors over words of all visits), delta (to the base system's; null if there is none)."""
+    pooled = metrics.groupBy(system).agg(F.try_divide(F.sum(errors), F.sum(words)).alias("pooled"))
+    # A row for each system.
+    first = pooled.where(F.col(system) == base).agg(F.max("pooled").alias("_base"))
+    return pooled.join(F.broadcast(first)).select(system, "pooled", (F.col("pooled") - F.col("_base")).alias("delta"))
+
+
+def sides(tables: dict[str, DataFrame], key: list[str]) -> DataFrame:
+    """Keys that all tables have, with a struct of each table's other columns under its name."""
+    out = None
+    for name, table in tables.items():
+        one = table.select(*key, F.struct(*[c for c in table.columns if c not in key]).alias(name))
+        out = one if out is None else out.join(one, key)
+    return out
+
+
+def folded(metrics: DataFrame, others: dict[str, DataFrame], keys: list[str]) -> DataFrame:
+    """metrics with each other scorer's measures under its name, null where it has no row; of repeated keys of a scorer one row counts."""
+    for name, other in others.items():
+        rest = [c for c in other.columns if c not in keys]
+        metrics = metrics.join(other.groupBy(*keys).agg(F.min(F.struct(*rest)).alias(name)), keys, "left")
+    return metrics
+
+
 def dominant(counts: dict[str, Column]) -> Column:
     """Name of the largest of several numbers; ties in the given order."""
     top = F.greatest(*counts.values())

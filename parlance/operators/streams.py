@@ -6,9 +6,8 @@ speaker.  ``by`` names the columns of one visit, the equality key of every join.
 
 from __future__ import annotations
 
-import itertools
+from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -176,12 +175,12 @@ def diarization_variants(reference: DataFrame, hypothesis: DataFrame, by: list[s
     return rates(times).select("variant", *by, "missed", "false_alarm", "confusion", "total", "der")
 
 
-def _agreed(pdf: pd.DataFrame) -> tuple[int, int]:
-    counts = {(p, g): int(n) for p, g, n in zip(pdf["pred"], pdf["gold"], pdf["n"])}
-    pred, gold = sorted(set(pdf["pred"]))[:6], sorted(set(pdf["gold"]))
-    sides = min(len(pred), len(gold))
-    best = max(sum(counts.get((p, g), 0) for p, g in zip(pred, chosen)) for chosen in itertools.permutations(gold, sides))
-    return best, sum(counts.values())
+def _agreed(counts: dict[tuple[str, str], int]) -> tuple[int, int]:
+    """Most words that agree under a one-to-one reading of the first labels, and all words."""
+    pred, gold = sorted({p for p, _ in counts})[:6], {g for _, g in counts}
+    first = set(pred[: min(len(pred), len(gold))])
+    held = {k: float(n) for k, n in counts.items() if k[0] in first}
+    return int(sum(held[k] for k in intervals._best(held))), sum(counts.values())
 
 
 def attribution(words: DataFrame, segments: DataFrame, by: list[str], bucket: float = 3600.0) -> DataFrame:
@@ -197,8 +196,11 @@ def attribution(words: DataFrame, segments: DataFrame, by: list[str], bucket: fl
     counts = gold.groupBy(*by, "pred", "gold").agg(F.count("*").alias("n"))
     kinds = dict(words.dtypes)
 
-    def best(pdf: pd.DataFrame) -> pd.DataFrame:
-        correct, scored = _agreed(pdf)
-        return pd.DataFrame([[*(pdf[c].iloc[0] for c in by), correct, scored]], columns=[*by, "correct", "scored"])
+    held = counts.groupBy(*by).agg(F.collect_list(F.struct("pred", "gold", "n")).alias("held"))
 
-    return counts.groupBy(*by).applyInPandas(best, ", ".join(f"{c} {kinds[c]}" for c in by) + ", correct long, scored long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            best = [_agreed({(x["pred"], x["gold"]): x["n"] for x in row}) for row in batch.column("held").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in by), *[pa.array([b[k] for b in best], pa.int64()) for k in (0, 1)]], names=[*by, "correct", "scored"])
+
+    return held.mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in by) + ", correct long, scored long")

@@ -64,6 +64,16 @@ def condition_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("system", "mono", "stereo", F.round(100 * (F.col("stereo") - F.col("mono")), 6).alias("shift"))
 
 
+def ranked_visits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Visits that two systems have, by the rate of the second."""
+    m = _metrics(spark, sf_dir).withColumn("rest", F.col("words") - F.col("errors") - F.col("others"))
+    return reports.ranked_visits(m, ["visit"], "system", ["sys1", "sys2"], {"deletion": "errors", "substitution": "others", "insertion": "rest"}, "words", "sys2")
+
+
+def pooled_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.pooled_deltas(_metrics(spark, sf_dir), "system", "errors", "words", "sys0")
+
+
 def label_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Precision and recall of one label as a prediction of the other."""
     s = D.table(spark, sf_dir, "labels").agg(*[F.count_if((F.col("quality") == q) & (F.col("toxic") == t)).alias(n) for n, q, t in (("tp", 1, 1), ("fp", 1, 0), ("fn", 0, 1))])
@@ -127,6 +137,9 @@ QUERIES = {
     "worst_visits": (worst_visits, _M + " SELECT visit, max(errors) AS worst FROM m GROUP BY visit ORDER BY worst DESC, visit LIMIT 25"),
     "dominant_errors": (dominant_errors, _M + " SELECT system, CASE greatest(errors, others, words - errors - others) WHEN errors THEN 'errors' WHEN others THEN 'others' ELSE 'rest' END AS kind, count(*) AS n FROM m GROUP BY 1, 2"),
     "condition_shift": (condition_shift, _M + ", c AS (SELECT system, sum(errors) FILTER (WHERE visit % 4 <> 0) / sum(words) FILTER (WHERE visit % 4 <> 0) AS mono, sum(errors) FILTER (WHERE visit % 4 = 0) / sum(words) FILTER (WHERE visit % 4 = 0) AS stereo FROM m GROUP BY 1) SELECT system, mono, stereo, round(100 * (stereo - mono), 6) AS shift FROM c"),
+    "ranked_visits": (ranked_visits, _M + f""", t AS (SELECT *, words - errors - others AS rest FROM m), x AS (SELECT visit, system, (errors + others + rest) / words AS wer, CASE WHEN errors >= others AND errors >= rest THEN 'deletion' WHEN others >= rest THEN 'substitution' ELSE 'insertion' END AS shape, greatest(errors, others, rest) / words AS shape_rate FROM t)
+        SELECT row_number() OVER (ORDER BY b.wer DESC, visit) AS rank, visit, {", ".join(f"{k}.{c} AS sys{n}_{c}" for n, k in ((1, "a"), (2, "b")) for c in ("wer", "shape", "shape_rate"))} FROM x a JOIN x b USING (visit) WHERE a.system = 'sys1' AND b.system = 'sys2'"""),
+    "pooled_deltas": (pooled_deltas, _M + ", p AS (SELECT system, sum(errors) / sum(words) AS pooled FROM m GROUP BY 1) SELECT system, pooled, pooled - (SELECT pooled FROM p WHERE system = 'sys0') AS delta FROM p"),
     "label_scores": (label_scores, """WITH s AS (SELECT count_if(quality = 1 AND toxic = 1) AS tp, count_if(quality = 1 AND toxic = 0) AS fp, count_if(quality = 0 AND toxic = 1) AS fn FROM labels)
         SELECT tp, fp, fn, round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall, round(2 * (tp / (tp + fp)) * (tp / (tp + fn)) / (tp / (tp + fp) + tp / (tp + fn)), 6) AS f1,
           round(fn / (tp + fn), 6) AS under, round(fp / (tp + fn), 6) AS over, round((fp - fn) / (tp + fn), 6) AS net FROM s"""),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parlance.functions import text as T
-from parlance.operators import align, islands
+from parlance.operators import align, islands, reports
 from parlance.plans import derived as D
 from parlance.plans.derived import BY, SEGMENTS_SQL, WORDS_SQL, blocks_sql, distance_sql
 from parlance.plans.report_queries import _metrics
@@ -105,14 +105,16 @@ def three_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Human, vendor and candidate of a session: orders of three kinds under a customer's key."""
     o = D.table(spark, sf_dir, "orders")
     side = lambda p, name: o.where(F.col("o_orderpriority").startswith(p)).groupBy("o_custkey").agg(F.min("o_orderkey").alias(name))
-    return side("1", "human").join(side("2", "vendor"), "o_custkey").join(side("3", "candidate"), "o_custkey")
+    named = {"human": "1", "vendor": "2", "candidate": "3"}
+    held = reports.sides({name: side(p, name) for name, p in named.items()}, ["o_custkey"])
+    return held.select("o_custkey", *[F.col(f"{name}.{name}").alias(name) for name in named])
 
 
 def folded_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Another scorer's measure beside each visit's and system's own."""
     m = _metrics(spark, sf_dir).select("visit", "system", "errors")
     other = m.where("visit % 3 = 0").select("visit", "system", (F.col("errors") * 2).alias("partner"))
-    return m.join(other, ["visit", "system"], "left").groupBy("system").agg(F.count("*").alias("visits"), F.count("partner").alias("both"), F.sum("errors").alias("errors"), F.sum("partner").alias("partner"))
+    return reports.folded(m, {"p": other}, ["visit", "system"]).withColumn("partner", F.col("p.partner")).groupBy("system").agg(F.count("*").alias("visits"), F.count("partner").alias("both"), F.sum("errors").alias("errors"), F.sum("partner").alias("partner"))
 
 
 def bridged_spans(spark: SparkSession, sf_dir: str) -> DataFrame:

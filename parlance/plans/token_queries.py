@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parlance.functions import text as T
-from parlance.operators import privacy, retime, streams, tokens
+from parlance.operators import corrections, privacy, retime, streams, tokens
 from parlance.plans import derived as D
 from parlance.plans.derived import BY, TOKEN_SQL, TOKENS_SQL, WORDS_SQL, blocks_sql, path_sql
 
@@ -65,6 +65,20 @@ def refined_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("conv_id", "seg_idx", F.col("start").alias("t_start"), F.col("end").alias("t_end"), "outcome")
 
 
+def corrected_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each conversation's own corrections: the word at the third place becomes another, which a later one changes again; some match nothing."""
+    w = D.words(spark, sf_dir)
+    texts = w.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("word_idx", "word"))), lambda x: x["word"]), " ").alias("text"))
+    plain = w.withColumn("plain", F.regexp_replace("word", "[.,]", "")).where("word_idx < 6 and plain <> ''")
+    first = F.when(F.col("word_idx") == 4, F.concat("plain", F.lit("qq"))).otherwise(F.col("plain"))
+    suggested = F.when(F.col("word_idx") == 2, "$new\\").when(F.col("word_idx") == 3, " ").otherwise(F.concat(F.lit("x"), F.col("word_idx").cast("string")))
+    given = plain.select("conv_id", F.col("word_idx").alias("place"), first.alias("original"), suggested.alias("suggested"))
+    again = given.where("place = 2").select("conv_id", F.lit(9).cast("long").alias("place"), F.lit("$new\\").alias("original"), F.lit("newer word").alias("suggested"))
+    changed, spoken, report = corrections.with_corrections(texts, w.select("conv_id", "word_idx", "word"), given.union(again), BY)
+    counts = spoken.groupBy("conv_id").agg(F.count_if(F.col("word") == "newer word").alias("newer"))
+    return report.join(changed.select("conv_id", F.md5("text").alias("digest")), "conv_id").join(counts, "conv_id")
+
+
 _BRACKETED = "(SELECT conv_id, i, CASE WHEN i % 19 = 2 THEN '[UM]' WHEN i % 13 = 4 THEN 'um' WHEN i % 11 = 3 THEN word || '-' || word WHEN i % 997 = 450 THEN '[so' WHEN i % 997 = 451 THEN 'on]' ELSE word END AS word FROM w)"
 _OWN = f"WITH {WORDS_SQL}, br AS {_BRACKETED}, {TOKENS_SQL.format(name='tk', items='br', keys='conv_id')}, po AS (SELECT conv_id, 0 AS i, string_agg(word, ' ' ORDER BY i) AS word FROM br GROUP BY 1), {TOKENS_SQL.format(name='pt', items='po', keys='conv_id')}, it AS (SELECT conv_id, coalesce(n, 0) AS n_tokens, coalesce(a = b, n IS NULL AND b IS NULL) AS intact FROM (SELECT DISTINCT conv_id FROM br) LEFT JOIN (SELECT conv_id, count(*) AS n, list(t ORDER BY place) AS a FROM tk GROUP BY 1) USING (conv_id) LEFT JOIN (SELECT conv_id, list(t ORDER BY place) AS b FROM pt GROUP BY 1) USING (conv_id))"
 _HOLDER = privacy.PLACEHOLDER.replace("'", "''")
@@ -93,6 +107,7 @@ QUERIES = {
         lb AS (SELECT p, string_agg((i1 + k) || ':' || CASE WHEN len(known) = len(held) AND len(known) = n AND n > 1 THEN known[k + 1] ELSE known[1] END, ' ' ORDER BY i1 + k) AS labels FROM (SELECT *, unnest(range(n)) AS k FROM fi WHERE fits) WHERE ref[i1 + k + 1] <> '' GROUP BY 1),
         ac AS (SELECT tu.*, unmatched, labels, coalesce(accounted >= {privacy.LEAST_VERBATIM} * len(src), false) AS accepted FROM tu LEFT JOIN su USING (p) LEFT JOIN lb USING (p))
         SELECT conv_id, turn, accepted, CASE WHEN accepted THEN unmatched ELSE 0 END AS unmatched, CASE WHEN accepted THEN coalesce(labels, '') ELSE '' END AS labels FROM ac"""),
+    "corrected_texts": (corrected_texts, None),
     "refined_turns": (refined_turns, f"""WITH {WORDS_SQL}, x AS (SELECT conv_id, turn, i, s, e, CASE WHEN turn % 4 = 2 THEN 3.5 ELSE 0.125 * (i % 3) END AS d FROM w),
         t AS (SELECT conv_id, turn::BIGINT AS k, min(s) AS s, max(e) AS e, arg_min(s + d, i) AS a, arg_max(e + d, i) AS b FROM x GROUP BY 1, 2),
         o AS (SELECT *, CASE WHEN abs(a - s) > 2.0 OR b <= a THEN 'fallback_drift' ELSE 'refined' END AS outcome FROM t)

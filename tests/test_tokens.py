@@ -362,3 +362,34 @@ def test_tables_are_written_in_order(spark, tmp_path):
     assert sorted((r["subject"], r["session"], r["rate"]) for r in back) == [("a", "1", "100.00"), ("a", "2", None), ("b", "1", "12.50")]
     text = [line for f in sorted((tmp_path / "leaks").glob("part-*")) for line in f.read_text().splitlines() if not line.startswith("subject")]
     assert [line[0] for line in text] == ["a", "a", "b"]
+
+
+def test_corrections_of_words(spark):
+    texts = frame(spark, "v int, text string", [(1, "The cat's cat sat. Cat $5 a.b axb über"), (2, "nothing")])
+    words = frame(spark, "v int, word_idx long, word string", [(1, 0, "cat"), (1, 1, "sat."), (1, 2, "cat"), (2, 0, "nothing")])
+    given = frame(spark, "v int, place long, original string, suggested string", [(1, 0, " cat ", "d$1\\"), (1, 1, "dog", "x"), (1, 2, "a.b", "c"), (1, 3, "d$1\\", "two words"), (1, 4, "", "y"), (1, 5, "sat", None), (1, 6, "cat sat", "z"), (1, 7, "ber", "no")])
+    changed, spoken, report = corrections.with_corrections(texts, words, given, BY)
+    assert {r["v"]: r["text"] for r in changed.collect()} == {1: "The two words's two words sat. Cat $5 c axb über", 2: "nothing"}
+    assert [r["word"] for r in spoken.where("v = 1").orderBy("word_idx").collect()] == ["two words", "sat.", "two words"]
+    assert {r["place"]: (r["text_replacements"], r["word_replacements"], r["applied"]) for r in report.collect()} == {0: (2, 2, True), 1: (0, 0, False), 2: (1, 0, True), 3: (2, 2, True), 6: (0, 0, False), 7: (0, 0, False)}
+
+
+def test_small_functions(spark):
+    one = lambda c: spark.range(1).select(c.alias("x")).first()["x"]
+    assert one(T.slug(F.lit("Lost Turns/By Role"))) == "lost-turns-by-role" and one(T.escape(F.lit("a<b & c>d"))) == "a&lt;b &amp; c&gt;d"
+    iou = lambda *x: one(T.interval_iou(*[F.lit(float(v)) for v in x]))
+    assert iou(0, 2, 1, 3) == 1 / 3 and iou(0, 1, 1, 2) == 0 and iou(0, 4, 1, 2) == 0.25
+
+
+def test_rankings_and_deltas(spark):
+    from parlance.operators import reports
+
+    rows = frame(spark, "visit string, system string, s long, d long, words long", [("a", "x", 1, 2, 10), ("a", "y", 5, 0, 10), ("b", "x", 4, 4, 10), ("b", "y", 1, 1, 10), ("c", "x", 9, 0, 10), ("d", "x", 0, 0, 10), ("d", "y", 0, 2, 10)])
+    ranked = lambda by: [r["visit"] for r in reports.ranked_visits(rows, ["visit"], "system", ["x", "y"], {"sub": "s", "del": "d"}, "words", by).orderBy("rank").collect()]
+    assert ranked("worst") == ["b", "a", "d"] and ranked("x") == ["b", "a", "d"] and ranked("y") == ["a", "b", "d"]
+    first = reports.ranked_visits(rows, ["visit"], "system", ["x", "y"], {"sub": "s", "del": "d"}, "words").where("rank = 1").first()
+    assert (first["x_wer"], first["x_shape"], first["x_shape_rate"]) == (0.8, "sub", 0.4)
+    deltas = {r["system"]: (r["pooled"], round(r["delta"], 9)) for r in reports.pooled_deltas(rows.withColumn("e", F.col("s") + F.col("d")), "system", "e", "words", "x").collect()}
+    assert deltas == {"x": (0.5, 0.0), "y": (0.3, -0.2)}
+    other = frame(spark, "visit string, m double", [("a", 1.0), ("a", 2.0)])
+    assert {(r["visit"], r["other"] and r["other"]["m"]) for r in reports.folded(rows.where("system = 'x'"), {"other": other}, ["visit"]).collect()} == {("a", 1.0), ("b", None), ("c", None), ("d", None)}
