@@ -25,24 +25,30 @@ def _next_row(row: np.ndarray, token: int, b: np.ndarray, along: np.ndarray) ->
     return along + np.minimum.accumulate(best - along)
 
 
+#: Distances, of four bytes each, that are kept for two short sequences.
+SMALL = 1 << 20
+
+
 def edit_path(ref: list[str], hyp: list[str]) -> list[tuple[str, int, int]]:
     """Steps of a shortest edit path, in order: (hit | substitute | delete | insert, i, j).
 
     A row of distances at a time; insertions run along a row, which a running minimum does at
     once.  Walking back, deletions go before insertions before substitutions.  Of n rows every
     sqrt(n)th is kept and those between are made anew when the way back comes there, up to the
-    column that it has reached, so memory grows with m sqrt(n) and not with n m.
+    column that it has reached, so memory grows with m sqrt(n) and not with n m.  Of short
+    sequences all rows are kept.
     """
     a, b = _numbered(ref, hyp, np.int32)
     n, m = len(a), len(b)
-    step = max(1, math.isqrt(n))
+    step = 1 if (n + 1) * (m + 1) <= SMALL else max(1, math.isqrt(n))
     along = np.arange(m + 1, dtype=np.int32)
     kept, row = [along], along
     for i in range(1, n + 1):
         row = _next_row(row, a[i - 1], b, along)
         if i % step == 0:
             kept.append(row)
-    out, i, j, low, rows = [], n, m, n + 1, []
+    out, i, j = [], n, m
+    low, rows = (0, kept) if step == 1 else (n + 1, [])
     while i or j:
         if i and i - 1 < low:
             low = (i - 1) // step * step

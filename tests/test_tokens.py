@@ -43,6 +43,15 @@ def test_edit_path_within_memory():
     assert (i, j) == (len(a), len(b)) and errors < len(a) and sum(s[0] != "hit" for s in align.edit_path(a[:300], b)) == row[-1]
 
 
+def test_edit_paths_with_few_rows_kept(monkeypatch):
+    """The path doesn't depend on how many rows are kept."""
+    rng = random.Random(3)
+    pairs = [tuple([str(rng.randrange(k)) for _ in range(rng.randrange(30))] for _ in "ab") for k in (2, 4, 20) for _ in range(200)]
+    whole = [align.edit_path(a, b) for a, b in pairs]
+    monkeypatch.setattr(align, "SMALL", 0)
+    assert [align.edit_path(a, b) for a, b in pairs] == whole
+
+
 @pytest.mark.parametrize("most", [0, 15, 1 << 22])
 def test_blocks_equal_difflib(monkeypatch, most):
     monkeypatch.setattr(align, "MOST_PLACES", most)
