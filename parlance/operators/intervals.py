@@ -38,7 +38,7 @@ def assign_speakers(words: DataFrame, segments: DataFrame, by: list[str], neares
     w = words.select(*by, "word_idx", F.col("start").alias("l_start"), F.col("end").alias("l_end"))
     shared = F.least("l_end", "r_end") - F.greatest("l_start", "r_start")
     most = (
-        bucketed_overlap_join(w, segs, by, bucket).groupBy(*by, "word_idx", "r_speaker").agg(F.sum(shared).alias("shared"), F.min("seg_idx").alias("at"))
+        bucketed_overlap_join(w.where("l_end > l_start"), segs, by, bucket).groupBy(*by, "word_idx", "r_speaker").agg(F.sum(shared).alias("shared"), F.min("seg_idx").alias("at"))
         .groupBy(*by, "word_idx").agg(F.max_by("r_speaker", F.struct("shared", -F.col("at"))).alias("by_overlap"))
     )
     points = w.where("l_end <= l_start").withColumn("bucket", F.floor(F.col("l_start") / bucket))
