@@ -16,6 +16,8 @@ from parlance.functions.text import parse_clock, unwrap_brackets
 TURN_LINE = r"^(\S+)\s+((?:\d+:)?\d{1,2}:\d{2}(?:\.\d+)?)\s+(.+)$"
 RENDERED_LINE = r"^\[([0-9:.]+) - ([0-9:.]+)\] ([^:]+): (.*)$"
 WORD = "struct<word:string,start:double,end:double,speaker:string>"
+#: Tasks that short rows are dealt to before they are made into many.
+TASKS = 256
 CORRECTION = "array<struct<turn:int,text:string,speaker:string,action:string>>"
 
 
@@ -279,9 +281,10 @@ def parse_results(texts: DataFrame, visit: str) -> DataFrame:
 def contained_names(targets: DataFrame, files: DataFrame) -> DataFrame:
     """stem, file: of each target's stem the first file (by name) whose stem holds it; null where none does.
 
-    Pieces of the files' names as long as any stem are joined by equality.
+    Pieces of the files' names as long as any stem are joined by equality.  Names are dealt to many
+    tasks first: they take few bytes and so would be read by one, and their pieces sorted by it.
     """
     lengths = targets.select(F.length("stem").alias("n")).distinct()
-    sized = files.select(F.col("stem").alias("file")).withColumn("n", F.explode(F.sequence(F.lit(1), F.length("file")))).where("file <> ''").join(lengths, "n", "left_semi")
-    pieces = sized.select("file", F.explode(F.transform(F.sequence(F.lit(1), F.length("file") - F.col("n") + 1), lambda k: F.substr(F.col("file"), k, F.col("n")))).alias("stem")).distinct()
+    sized = files.select(F.col("stem").alias("file")).withColumn("n", F.explode(F.sequence(F.lit(1), F.length("file")))).where("file <> ''").join(lengths, "n", "left_semi").repartition(TASKS, "file", "n")
+    pieces = sized.select("file", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("file") - F.col("n") + 1), lambda k: F.substr(F.col("file"), k, F.col("n"))))).alias("stem"))
     return targets.select("stem").join(pieces.groupBy("stem").agg(F.min("file").alias("file")), "stem", "left")
