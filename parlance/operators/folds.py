@@ -6,10 +6,11 @@ import math
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from parlance.operators.align import parts
+
 
 def _per(df: DataFrame, by: list[str], order: list[str], columns: list[str], fold: Callable[[Iterator[tuple]], Iterable[tuple]], schema: str) -> DataFrame:
     """A recording's rows, as tuples of ``columns`` in order, handed to ``fold``; what it yields are the rows of ``schema``."""
@@ -159,18 +160,20 @@ def claim_segments(words: DataFrame, segments: DataFrame, by: list[str]) -> Data
     s = segments.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("seg_idx", "start", "end"))).alias("segs"))
     kinds = dict(words.dtypes)
 
-    def claim(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for row in pdf.to_dict("records"):
-                idx, start, end = (np.array([r[c] for r in row["words"]]) for c in ("word_idx", "start", "end"))
+    def claim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts(batches):
+            at, out = [], []
+            for k in range(batch.num_rows):
+                row = batch.column("words")[k].values
+                idx, start, end = (row.field(c).to_numpy(zero_copy_only=False) for c in ("word_idx", "start", "end"))
                 free = np.ones(len(idx), bool)
-                order = sorted(row["segs"], key=lambda g: (-best_run(start, end, free, g["start"], g["end"])[0], g["seg_idx"]))
+                order = sorted(batch.column("segs")[k].as_py(), key=lambda g: (-best_run(start, end, free, g["start"], g["end"])[0], g["seg_idx"]))
                 for seg in order:
                     value, i, j = best_run(start, end, free, seg["start"], seg["end"])
                     if value > 0:
                         free[i : j + 1] = False
-                        out.append((*(row[c] for c in by), seg["seg_idx"], int(idx[i]), int(idx[j]) + 1, float(value)))
-            yield pd.DataFrame(out, columns=[*by, "seg_idx", "first", "last", "iou"])
+                        at.append(k), out.append((seg["seg_idx"], int(idx[i]), int(idx[j]) + 1, float(value)))
+            columns = [pa.array([r[c] for r in out], pa.float64() if c == 3 else pa.int64()) for c in range(4)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(at, pa.int64())) for c in by), *columns], names=[*by, "seg_idx", "first", "last", "iou"])
 
-    return w.join(s, by).mapInPandas(claim, ", ".join(f"{c} {kinds[c]}" for c in by) + ", seg_idx long, first long, last long, iou double")
+    return w.join(s, by).mapInArrow(claim, ", ".join(f"{c} {kinds[c]}" for c in by) + ", seg_idx long, first long, last long, iou double")
