@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parlance.operators.align import opcodes
+from parlance.operators.align import opcodes, parts
 from parlance.operators.islands import merge_touching
 
 UNKNOWN = "UNKNOWN"
@@ -66,7 +66,7 @@ def attach_speakers(pairs: DataFrame, by: list[str]) -> DataFrame:
         return out, met, dropped
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             for k, (ref, who, hyp) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("ref", "speakers", "hyp")))):
                 found, met, dropped = attach(ref or [], who or [], hyp or [])
                 n = len(found)
