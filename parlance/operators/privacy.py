@@ -104,7 +104,7 @@ def closest(rows: DataFrame, keys: list[str], slack: int = 1) -> DataFrame:
     kinds = dict(rows.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in align.parts(batches):
             best = [align.best_similarity(n or "", t or [], slack) for n, t in zip(batch.column("needle").to_pylist(), batch.column("tokens").to_pylist())]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), pa.array([b[0] for b in best], pa.float64()), pa.array([b[1] for b in best], pa.string())], names=[*keys, "similarity", "matched"])
 
