@@ -11,7 +11,7 @@ from collections import Counter, defaultdict
 from itertools import accumulate
 
 from parlance.functions.text import CUES, FILLED_PAUSES
-from parlance.operators.align import edit_path
+from parlance.operators.align import edit_distance, edit_path
 from parlance.operators.intervals import UNKNOWN, _best, _swept
 
 #: Words, normalized, below which a reference stream counts as a stray line.
@@ -26,7 +26,7 @@ def headline_tokens(text: str) -> list[str]:
 
 def cue_score(reference: list[str], hypothesis: list[str]) -> float:
     """``functions.text.cue_score`` of tokens."""
-    a, b = ({f"{family}:{t}" for family, ts in CUES.items() for t in ts if f" {t} " in f" {' '.join(words)} "} for words in (reference, hypothesis))
+    a, b = ({f"{family}:{t}" for family, ts in CUES.items() for t in ts if f" {t} " in text} for text in (f" {' '.join(words)} " for words in (reference, hypothesis)))
     return 1.0 if not a and not b else 0.0 if not a else 2 * len(a & b) / (len(a) + len(b))
 
 
@@ -107,7 +107,7 @@ class Visit:
             hyp = heard.get(matched.get(who), [])
             key = (tuple(ref), tuple(hyp))
             if key not in self.known:
-                self.known[key] = sum(step[0] != "hit" for step in edit_path(ref, hyp)) / len(ref) if hyp else 1.0
+                self.known[key] = edit_distance(ref, hyp) / len(ref) if hyp else 1.0
             raw.append(self.known[key]), cues.append(cue_score(ref, hyp))
         n = len(raw)
         return n, *((sum(min(x, 1.0) for x in raw) / n, sum(raw) / n, sum(cues) / n) if n else (None,) * 3)
