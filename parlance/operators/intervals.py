@@ -6,14 +6,13 @@ are added where a recording alone may be large.  Ties go to the earliest segment
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parlance.operators.align import parts
-from parlance.operators.islands import merge_touching
+from parlance.operators.align import dealt, parts
 
 UNKNOWN = "UNKNOWN"
 
@@ -218,6 +217,14 @@ def assign_labels(overlaps: DataFrame, by: list[str]) -> DataFrame:
     return held.mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in by) + ", a_speaker string, b_speaker string, overlap double")
 
 
+def named_speakers(hypothesis: DataFrame, by: list[str], mapping: DataFrame) -> DataFrame:
+    """by, speaker, start, end of the hypothesis under the reference's names that ``mapping`` (by, a_speaker, b_speaker) gives; those without one are unmapped."""
+    keys = [*by, "b_speaker"]
+    hyp = hypothesis.select(*by, F.col("speaker").alias("b_speaker"), "start", "end").where("end > start")
+    names = dealt(mapping.select(*by, "a_speaker", "b_speaker"), keys)
+    return dealt(hyp, keys).join(names, keys, "left").select(*by, F.coalesce("a_speaker", F.concat(F.lit("unmapped "), "b_speaker")).alias("speaker"), "start", "end")
+
+
 def error_rate(reference: DataFrame, hypothesis: DataFrame, by: list[str], mapping: DataFrame, collar: float | Column = 0.0, skip_overlap: bool | Column = False) -> DataFrame:
     """Missed, false and confused time and the total of the reference, from a sweep over the boundaries of both sides.
 
@@ -225,30 +232,46 @@ def error_rate(reference: DataFrame, hypothesis: DataFrame, by: list[str], mappi
     reference speaker.  ``collar`` takes out half of it on either side of each reference boundary, ``skip_overlap`` where several
     reference speakers talk at once.  Either may be a column of ``by``'s.
     """
-    ref = reference.select(*by, F.col("speaker").alias("a_speaker"), "start", "end").where("end > start")
-    hyp = hypothesis.select(*by, F.col("speaker").alias("b_speaker"), "start", "end").where("end > start")
-    hyp = hyp.join(mapping.select(*by, "a_speaker", "b_speaker"), [*by, "b_speaker"], "left").select(*by, F.coalesce("a_speaker", F.concat(F.lit("unmapped "), "b_speaker")).alias("speaker"), "start", "end")
-    sides = ref.select(*by, F.lit("r").alias("side"), F.col("a_speaker").alias("speaker"), "start", "end").unionByName(hyp.select(*by, F.lit("h").alias("side"), "speaker", "start", "end"))
-    sides = merge_touching(sides, [*by, "side", "speaker"]).drop("piece")
-    edges = sides.select(*by, F.explode(F.array("start", "end")).alias("t"))
-    if isinstance(collar, Column) or collar:
-        collar = collar if isinstance(collar, Column) else F.lit(collar)
-        cuts = ref.where(collar > 0).select(*by, F.explode(F.array("start", "end")).alias("x")).select(*by, F.lit("c").alias("side"), F.lit("").alias("speaker"), (F.col("x") - collar / 2).alias("start"), (F.col("x") + collar / 2).alias("end"))
-        cuts = merge_touching(cuts, [*by, "side", "speaker"]).drop("piece")
-        edges, sides = edges.union(cuts.select(*by, F.explode(F.array("start", "end")))), sides.unionByName(cuts)
-    w = Window.partitionBy(*by).orderBy("t")
-    cells = edges.distinct().withColumn("next", F.lead("t").over(w)).where("next is not null").select(*by, F.col("t").alias("l_start"), F.col("next").alias("l_end"))
-    held = bucketed_overlap_join(cells, sides.select(*by, "side", "speaker", F.col("start").alias("r_start"), F.col("end").alias("r_end")), by, 3600.0)
-    each = held.groupBy(*by, "l_start", "l_end").agg(
-        F.collect_set(F.when(F.col("side") == "r", F.col("speaker"))).alias("r"), F.collect_set(F.when(F.col("side") == "h", F.col("speaker"))).alias("h"), F.count_if(F.col("side") == "c").alias("cut")
-    ).where("cut = 0")
+    return swept_errors(reference, named_speakers(hypothesis, by, mapping), by, collar, skip_overlap)
+
+
+def swept_errors(reference: DataFrame, hypothesis: DataFrame, by: list[str], collar: float | Column = 0.0, skip_overlap: bool | Column = False, each: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """``error_rate`` of a hypothesis under the reference's names.
+
+    Boundaries are steps up and down, a running sum of which tells for each speaker, and a second
+    one for the recording, who talks until the next boundary: two sorts in one shuffle, no join.
+    ``each`` may repeat boundaries under columns that ``by`` names.
+    """
+    collar = collar if isinstance(collar, Column) else F.lit(float(collar))
+    step = lambda t, side, up: F.struct(t.cast("double").alias("t"), *[F.lit(up if side == s else 0).alias(s) for s in ("r", "h", "c")])
+    edges = lambda side: [step(F.col("start"), side, 1), step(F.col("end"), side, -1)]
+    keys = [c for c in by if c in reference.columns]
+    ref = reference.where("end > start").select(*keys, "speaker", "start", "end", F.lit(True).alias("real"))
+    hyp = hypothesis.where("end > start").select(*keys, "speaker", "start", "end", F.lit(False).alias("real"))
+    both = each(dealt(ref.unionByName(hyp), keys))
+    # Around the reference's boundaries, without a speaker.
+    cut = F.when(F.col("real") & (collar > 0), F.array(*[step(F.col(x) + d * collar / 2, "c", -d) for x in ("start", "end") for d in (-1, 1)])).otherwise(F.array().cast("array<struct<t:double,r:int,h:int,c:int>>"))
+    own = F.when(F.col("real"), F.array(*edges("r"))).otherwise(F.array(*edges("h")))
+    tagged = F.concat(F.transform(own, lambda e: F.struct(F.lit(True).alias("own"), e.alias("e"))), F.transform(cut, lambda e: F.struct(F.lit(False).alias("own"), e.alias("e"))))
+    steps = both.select(*by, F.col("speaker").alias("who"), F.explode(tagged).alias("x")).select(*by, F.col("x.own").alias("own"), F.when(F.col("x.own"), F.col("who")).alias("who"), "x.e.*")
+    summed = steps.groupBy(*by, "own", "who", "t").agg(*[F.sum(c).alias(c) for c in ("r", "h", "c")])
+    talks = Window.partitionBy(*by, "own", "who").orderBy("t")
+    on = {c: (F.sum(c).over(talks) > 0).cast("int") for c in ("r", "h", "c")}
+    state = summed.select(*by, "own", "who", "t", *[v.alias(c) for c, v in on.items()])
+    # A side without a name is somebody, but nobody's speaker.
+    known = F.col("who").isNotNull().cast("int")
+    state = state.select(*by, "own", "who", "t", F.greatest("r", "h").alias("any"), (F.col("r") * known).alias("r"), (F.col("h") * known).alias("h"), (F.col("r") * F.col("h") * known).alias("both"), "c")
+    names = ("any", "r", "h", "both", "c")
+    changes = state.select(*by, "t", *[(F.col(c) - F.coalesce(F.lag(c).over(talks), F.lit(0))).alias(c) for c in names])
+    at = Window.partitionBy(*by).orderBy("t")
+    cells = changes.groupBy(*by, "t").agg(*[F.sum(c).alias(c) for c in names]).select(*by, (F.lead("t").over(at) - F.col("t")).alias("length"), *[F.sum(c).over(at).alias(c) for c in names])
+    kept = cells.where("length is not null and any > 0 and c = 0")
     if isinstance(skip_overlap, Column) or skip_overlap:
-        each = each.where(~(skip_overlap if isinstance(skip_overlap, Column) else F.lit(True)) | (F.size("r") < 2))
-    length, r, h = F.col("l_end") - F.col("l_start"), F.size("r"), F.size("h")
-    right = F.size(F.array_intersect("r", "h"))
-    return each.groupBy(*by).agg(
+        kept = kept.where(~(skip_overlap if isinstance(skip_overlap, Column) else F.lit(True)) | (F.col("r") < 2))
+    length, r, h = F.col("length"), F.col("r"), F.col("h")
+    return kept.groupBy(*by).agg(
         F.sum(length * F.greatest(r - h, F.lit(0))).alias("missed"), F.sum(length * F.greatest(h - r, F.lit(0))).alias("false_alarm"),
-        F.sum(length * (F.least(r, h) - right)).alias("confusion"), F.sum(length * r).alias("total"),
+        F.sum(length * (F.least(r, h) - F.col("both"))).alias("confusion"), F.sum(length * r).alias("total"),
     )
 
 

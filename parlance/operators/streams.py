@@ -167,11 +167,11 @@ def rates(times: DataFrame) -> DataFrame:
 
 
 def diarization_variants(reference: DataFrame, hypothesis: DataFrame, by: list[str], mapping: DataFrame, variants: dict[str, tuple[float, bool]] = VARIANTS) -> DataFrame:
-    """Times and rate of each visit under each variant of collar and overlap; one sweep with the variant as a key."""
+    """Times and rate of each visit under each variant of collar and overlap; one sweep with the variant as a key, repeated after rows are dealt."""
     pick = lambda values: F.create_map(*[F.lit(x) for pair in values.items() for x in pair])[F.col("variant")]
     collar, skip = pick({name: c for name, (c, _) in variants.items()}), pick({name: s for name, (_, s) in variants.items()})
     each = lambda df: df.withColumn("variant", F.explode(F.array(*map(F.lit, variants))))
-    times = intervals.error_rate(each(reference), each(hypothesis), ["variant", *by], each(mapping), collar, skip)
+    times = intervals.swept_errors(reference, intervals.named_speakers(hypothesis, by, mapping), ["variant", *by], collar, skip, each)
     return rates(times).select("variant", *by, "missed", "false_alarm", "confusion", "total", "der")
 
 
