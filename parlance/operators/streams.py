@@ -148,7 +148,7 @@ def visit_scores(turns: DataFrame, words: DataFrame, by: list[str], collar: floa
         keys = [left.column(c).slice(0, 1 if row else 0) for c in by]
         return pa.table([*keys, *[pa.array([row[f]] if row else [], t) for f, t in zip(fields, types)]], names=[*by, *fields])
 
-    return said.groupBy(*by).cogroup(heard.groupBy(*by)).applyInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in by) + ", " + SCORES)
+    return align.dealt(said, by).groupBy(*by).cogroup(align.dealt(heard, by).groupBy(*by)).applyInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in by) + ", " + SCORES)
 
 
 def diarization(turns: DataFrame, words: DataFrame, by: list[str], collar: float = 0.25) -> DataFrame:
