@@ -28,7 +28,7 @@ def shown_turns(words: DataFrame, by: list[str]) -> DataFrame:
     runs = islands.islands(words.withColumn("speaker", who), by, ["word_idx"], ~F.col("speaker").eqNullSafe(F.lag("speaker").over(Window.partitionBy(*by).orderBy("word_idx"))), "run")
     each = runs.groupBy(*by, "run").agg(
         F.first("speaker").alias("speaker"), F.min("word_idx").alias("first"), (F.max("word_idx") + 1).alias("last"), F.min_by("start", "word_idx").alias("start"), F.max_by("end", "word_idx").alias("end"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("word_idx", F.trim("word").alias("w")))), lambda x: x["w"]), " ").alias("text"),
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("word_idx", F.trim("word").alias("w")))), lambda x: x["w"]), " ").alias("text"),
     )
     w = Window.partitionBy(*by).orderBy("first")
     pause = F.greatest(F.col("start") - F.lag("end").over(w), F.lit(0.0))
@@ -41,7 +41,7 @@ def shown_turns(words: DataFrame, by: list[str]) -> DataFrame:
 
 def prompts(lines: DataFrame, by: list[str]) -> DataFrame:
     """by, prompt (all lines in order), labels (the speakers shown)."""
-    return lines.groupBy(*by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("run", "line"))), lambda x: x["line"]), "\n").alias("prompt"), F.array_sort(F.collect_set("speaker")).alias("labels"))
+    return lines.groupBy(*by).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("run", "line"))), lambda x: x["line"]), "\n").alias("prompt"), F.array_sort(F.collect_set("speaker")).alias("labels"))
 
 
 def requests(lines: DataFrame, by: list[str], measure: Callable[[Column], Column], budget: int = BUDGET, overlap: int = OVERLAP) -> DataFrame:
@@ -75,7 +75,7 @@ def request_prompts(lines: DataFrame, asked: DataFrame, by: list[str]) -> DataFr
     each = asked.select(*by, "request", "first_run", "runs", F.explode(F.sequence(F.lit(0).cast("long"), F.col("runs") - 1)).alias("place"))
     shown = each.withColumn("run", F.col("first_run") + F.col("place")).join(lines.select(*by, "run", "body"), [*by, "run"])
     line = F.struct("place", F.concat(F.col("place").cast("string"), F.lit("  "), F.col("body")).alias("line"))
-    return shown.groupBy(*by, "request", "first_run", "runs").agg(F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["line"]), "\n").alias("prompt"))
+    return shown.groupBy(*by, "request", "first_run", "runs").agg(F.array_join(F.transform(F.sort_array(F.collect_list(line)), lambda x: x["line"]), "\n").alias("prompt"))
 
 
 def answers(prompts: DataFrame, keys: list[str], ask: Callable[[str], str]) -> DataFrame:
@@ -140,6 +140,16 @@ def replaced_word(word: Column, corrections: Column) -> Column:
     return F.aggregate(_pairs(corrections), word, step)
 
 
+def _met(word: Column, corrections: Column) -> Column:
+    """A struct of word and places: the word after corrections (place, original, suggested) made one after the other, and the places of those that met it as it was at their turn."""
+
+    def step(done: Column, c: Column) -> Column:
+        hit = done["word"] == c["original"]
+        return F.struct(F.when(hit, c["suggested"]).otherwise(done["word"]).alias("word"), F.when(hit, F.concat(done["places"], F.array(c["place"]))).otherwise(done["places"]).alias("places"))
+
+    return F.aggregate(corrections, F.struct(word.alias("word"), F.array().cast("array<bigint>").alias("places")), step)
+
+
 def with_corrections(texts: DataFrame, words: DataFrame, corrections: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Texts and words after a visit's corrections, and by, place, text_replacements, word_replacements, applied of each correction.
 
@@ -148,18 +158,18 @@ def with_corrections(texts: DataFrame, words: DataFrame, corrections: DataFrame,
     told as not applied, one without either side not at all.
     """
     entry = F.struct("place", F.trim("original").alias("original"), F.trim("suggested").alias("suggested"))
-    held = corrections.groupBy(*by).agg(F.array_sort(F.collect_list(entry)).alias("_c"))
+    held = corrections.groupBy(*by).agg(F.sort_array(F.collect_list(entry)).alias("_c"))
     told = F.col("_c").cast("array<struct<place:bigint,original:string,suggested:string>>")
+    # Those that may meet a word, once for each visit.
+    single = F.filter(told, lambda c: (F.size(T.words_of(c["original"])) == 1) & (c["suggested"] != ""))
+    held = held.select(*by, told.alias("_c"), single.alias("_one")).withColumn("_known", F.col("_one.original"))
+    told = F.col("_c")
     made = texts.join(held, by, "left").withColumn("_made", replaced_in_text(F.col("text"), told))
-    spoken = words.join(held, by, "left").withColumn("_new", replaced_word(F.col("word"), told))
-    # How often each correction met a word: the word as it was when that correction's turn came.
-    before = lambda k: F.slice(told, F.lit(1), k)
-    each = words.join(held, by).select(*by, "word", F.posexplode(told).alias("k", "c"), "_c")
-    met = (F.size(T.words_of(F.col("c.original"))) == 1) & (F.col("c.suggested") != "") & (replaced_word(F.col("word"), before(F.col("k"))) == F.col("c.original"))
-    hits = each.groupBy(*by, F.col("c.place").alias("place")).agg(F.count_if(met).alias("word_replacements"))
+    spoken = words.join(held.select(*by, "_one", "_known"), by, "left").withColumn("_new", F.when(F.array_contains("_known", F.col("word")), _met(F.col("word"), F.col("_one"))))
+    hits = spoken.select(*by, F.explode("_new.places").alias("place")).groupBy(*by, "place").agg(F.count("*").alias("word_replacements"))
     applied = made.where("_c is not null").select(*by, F.explode(F.arrays_zip(told.alias("c"), F.col("_made.hits").alias("n"))).alias("z")).select(*by, F.col("z.c.place").alias("place"), F.col("z.n").cast("long").alias("text_replacements")).where("text_replacements is not null")
     report = applied.join(hits, [*by, "place"], "left").withColumn("word_replacements", F.coalesce("word_replacements", F.lit(0))).withColumn("applied", F.col("text_replacements") > 0)
-    return made.withColumn("text", F.col("_made.text")).select(*texts.columns), spoken.withColumn("word", F.col("_new")).select(*words.columns), report
+    return made.withColumn("text", F.col("_made.text")).select(*texts.columns), spoken.withColumn("word", F.coalesce("_new.word", "word")).select(*words.columns), report
 
 
 def reasoned_flags(flags: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parlance.functions import text as T
-from parlance.operators import corrections, privacy, retime, streams, tokens
+from parlance.operators import align, corrections, privacy, retime, streams, tokens
 from parlance.plans import derived as D
 from parlance.plans.derived import BY, TOKEN_SQL, TOKENS_SQL, WORDS_SQL, blocks_sql, path_sql
 
@@ -48,7 +48,7 @@ def rewritten_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns as a model writes them back, with placeholders for some words, others lost or changed; every fifth it makes up."""
     i = F.col("word_idx")
     said = F.when(i % 23 == 5, "[DATE].").when(i % 29 < 2, "[PERSON_NAME],").when(i % 31 == 7, "[HOSPITAL]").when(i % 37 == 8, F.concat(F.col("word"), F.lit(" [AGE]"))).when(i % 41 == 9, "").when(i % 17 == 4, "zz").otherwise(F.col("word"))
-    gather = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("word_idx", c.alias("w")))), lambda x: x["w"])
+    gather = lambda c: F.transform(F.sort_array(F.collect_list(F.struct("word_idx", c.alias("w")))), lambda x: x["w"])
     t = D.words(spark, sf_dir).groupBy(*TURN).agg(gather(F.col("word")).alias("words"), F.array_join(gather(said), " ").alias("reply"))
     made_up = t.withColumn("reply", F.when(F.col("turn") % 5 == 4, "I can't help with that.").otherwise(F.col("reply")))
     found = privacy.rewritten_turns(made_up, TURN)
@@ -61,20 +61,21 @@ def refined_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     empty = t.where("seg_idx % 7 = 3").select("conv_id", (F.col("seg_idx") + 100).alias("seg_idx"), "speaker", (F.col("end") + 0.25).alias("start"), (F.col("end") + 0.25).alias("end"), F.lit(" ").alias("text"))
     shift = F.when(F.col("turn") % 4 == 2, 3.5).otherwise(0.125 * (F.col("word_idx") % 3))
     w = D.words(spark, sf_dir).select("conv_id", "word_idx", (F.col("start") + shift).alias("start"), (F.col("end") + shift).alias("end"))
-    out = retime.refined_turns(t.unionByName(empty), w, BY, max_drift=2.0)
+    out = retime.refined_turns(align.dealt(t.unionByName(empty), BY), w, BY, max_drift=2.0)
     return out.select("conv_id", "seg_idx", F.col("start").alias("t_start"), F.col("end").alias("t_end"), "outcome")
 
 
 def corrected_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each conversation's own corrections: the word at the third place becomes another, which a later one changes again; some match nothing."""
     w = D.words(spark, sf_dir)
-    texts = w.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("word_idx", "word"))), lambda x: x["word"]), " ").alias("text"))
+    texts = D.turns(spark, sf_dir).groupBy("conv_id").agg(F.array_join(F.sort_array(F.collect_list(F.struct("seg_idx", "text")))["text"], " ").alias("text"))
     plain = w.withColumn("plain", F.regexp_replace("word", "[.,]", "")).where("word_idx < 6 and plain <> ''")
     first = F.when(F.col("word_idx") == 4, F.concat("plain", F.lit("qq"))).otherwise(F.col("plain"))
     suggested = F.when(F.col("word_idx") == 2, "$new\\").when(F.col("word_idx") == 3, " ").otherwise(F.concat(F.lit("x"), F.col("word_idx").cast("string")))
-    given = plain.select("conv_id", F.col("word_idx").alias("place"), first.alias("original"), suggested.alias("suggested"))
-    again = given.where("place = 2").select("conv_id", F.lit(9).cast("long").alias("place"), F.lit("$new\\").alias("original"), F.lit("newer word").alias("suggested"))
-    changed, spoken, report = corrections.with_corrections(texts, w.select("conv_id", "word_idx", "word"), given.union(again), BY)
+    one = F.struct(F.col("word_idx").alias("place"), first.alias("original"), suggested.alias("suggested"))
+    again = F.struct(F.lit(9).cast("long").alias("place"), F.lit("$new\\").alias("original"), F.lit("newer word").alias("suggested"))
+    given = plain.select("conv_id", F.inline(F.when(F.col("word_idx") == 2, F.array(one, again)).otherwise(F.array(one))))
+    changed, spoken, report = corrections.with_corrections(texts, w.select("conv_id", "word_idx", "word"), given, BY)
     counts = spoken.groupBy("conv_id").agg(F.count_if(F.col("word") == "newer word").alias("newer"))
     return report.join(changed.select("conv_id", F.md5("text").alias("digest")), "conv_id").join(counts, "conv_id")
 
