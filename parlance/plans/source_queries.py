@@ -14,7 +14,7 @@ from parlance.sources import sinks, transcripts
 
 
 def _joined(df: DataFrame, by: list[str], order: str, value, sep: str) -> DataFrame:
-    return df.groupBy(*by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), value.alias("v")))), lambda x: x["v"]), sep).alias("value"))
+    return df.groupBy(*by).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), value.alias("v")))), lambda x: x["v"]), sep).alias("value"))
 
 
 def tagged_words(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,7 +27,7 @@ def tagged_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 def json_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words as JSON, either a list or an object that holds it."""
     w = D.words(spark, sf_dir)
-    each = w.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("word_idx", "word", "start", "end", "speaker"))), lambda x: F.struct(x["word"].alias("word"), x["start"].alias("start"), x["end"].alias("end"), x["speaker"].alias("speaker"))).alias("ws"))
+    each = w.groupBy("conv_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("word_idx", "word", "start", "end", "speaker"))), lambda x: F.struct(x["word"].alias("word"), x["start"].alias("start"), x["end"].alias("end"), x["speaker"].alias("speaker"))).alias("ws"))
     texts = each.select("conv_id", F.when(F.col("conv_id") % 2 == 0, F.to_json("ws")).otherwise(F.to_json(F.struct(F.col("ws").alias("words")))).alias("value"))
     got = transcripts.read_systems({"own": ("words", texts)}, BY)
     return got.select("system", "conv_id", "word_idx", "word", F.col("start").alias("t_start"), F.col("end").alias("t_end"), "speaker")
@@ -39,7 +39,7 @@ def system_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     run = F.when(F.col("conv_id") % 3 == 0, F.array(F.lit(""))).when(F.col("conv_id") % 3 == 1, F.array(F.lit("run_1/"), F.lit("run_2/"))).otherwise(F.array(F.lit("run_3/"), F.lit("")))
     each = D.words(spark, sf_dir).withColumn("run", F.explode(run)).where(i % 3 < F.when(F.col("run") == "", 3).when(F.col("run") == "run_2/", 2).otherwise(1))
     one = F.struct("word", "start", "end", "speaker")
-    texts = each.groupBy("conv_id", "run").agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("word_idx", one.alias("w")))), lambda x: x["w"])).alias("value"))
+    texts = each.groupBy("conv_id", "run").agg(F.to_json(F.transform(F.sort_array(F.collect_list(F.struct("word_idx", one.alias("w")))), lambda x: x["w"])).alias("value"))
     folder = F.format_string("site/subject_%d/day1_session%03d", F.col("conv_id") % 7, F.col("conv_id"))
     visits = D.table(spark, sf_dir, "conversations").select("conv_id", folder.alias("folder")).distinct()
     files = texts.select(F.concat(folder, F.lit("/"), "run", F.lit("transcript.json")).alias("path"), "value")
@@ -53,7 +53,7 @@ def vendor_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words in a vendor's form: some blank, speakers numbered, ends missing."""
     w = D.words(spark, sf_dir)
     one = F.struct(F.col("start").alias("startOffset"), F.when(F.col("word_idx") % 5 > 0, F.col("end")).alias("endOffset"), F.when(F.col("word_idx") % 8 == 7, " ").otherwise(F.col("word")).alias("word"), F.when(F.col("speaker") == "user", "1").otherwise("host").alias("speakerLabel"))
-    texts = w.groupBy("conv_id").agg(F.to_json(F.struct(F.transform(F.array_sort(F.collect_list(F.struct("word_idx", one.alias("w")))), lambda x: x["w"]).alias("words"))).alias("value"))
+    texts = w.groupBy("conv_id").agg(F.to_json(F.struct(F.transform(F.sort_array(F.collect_list(F.struct("word_idx", one.alias("w")))), lambda x: x["w"]).alias("words"))).alias("value"))
     return transcripts.parse_vendor(texts, BY).select("conv_id", F.col("word_idx").cast("long").alias("word_idx"), "word", F.col("start").alias("t_start"), F.col("end").alias("t_end"), "speaker")
 
 
@@ -70,10 +70,10 @@ def loaded_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = D.turns(spark, sf_dir)
     lines = _joined(t, BY, "seg_idx", F.concat("speaker", F.lit(" "), T.format_clock(F.col("start")), F.lit(" "), "text"), "\n").where("conv_id % 3 = 0")
     fields = F.struct("speaker", "start", "end", "text")
-    turns = t.where("conv_id % 3 = 1").groupBy("conv_id").agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("seg_idx", fields.alias("f")))), lambda x: x["f"])).alias("value"))
+    turns = t.where("conv_id % 3 = 1").groupBy("conv_id").agg(F.to_json(F.transform(F.sort_array(F.collect_list(F.struct("seg_idx", fields.alias("f")))), lambda x: x["f"])).alias("value"))
     w = D.words(spark, sf_dir).where("conv_id % 3 = 2")
-    words = w.groupBy("conv_id").agg(F.to_json(F.struct(F.transform(F.array_sort(F.collect_list(F.struct("word_idx", F.struct("word", "start", "end", "speaker").alias("f")))), lambda x: x["f"]).alias("words"))).alias("value"))
-    got = transcripts.load_turns(lines.unionByName(turns).unionByName(words), BY, F.lit(0.0))
+    words = w.groupBy("conv_id").agg(F.to_json(F.struct(F.transform(F.sort_array(F.collect_list(F.struct("word_idx", F.struct("word", "start", "end", "speaker").alias("f")))), lambda x: x["f"]).alias("words"))).alias("value"))
+    got = transcripts.load_turns(align.dealt(lines.unionByName(turns).unionByName(words), BY), BY, F.lit(0.0))
     return got.select("conv_id", "turn_idx", "speaker", F.col("start").alias("t_start"), F.length("text").cast("long").alias("chars"))
 
 

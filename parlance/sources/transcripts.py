@@ -42,7 +42,7 @@ def parse_turns(texts: DataFrame, by: list[str], duration: Column) -> DataFrame:
     said = F.when(opens, F.regexp_extract("line", TURN_LINE, 3)).otherwise(F.col("line"))
     each = turns.groupBy(*by, "turn").agg(
         F.max("duration").alias("duration"), F.max(F.when(opens, F.regexp_extract("line", TURN_LINE, 1))).alias("speaker"), F.max(F.when(opens, parse_clock(F.regexp_extract("line", TURN_LINE, 2)))).alias("start"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", said.alias("said")))), lambda x: x["said"]), " ").alias("text"),
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", said.alias("said")))), lambda x: x["said"]), " ").alias("text"),
     )
     after = F.lead("start").over(Window.partitionBy(*by).orderBy("turn"))
     return each.select(*by, (F.col("turn") - 1).cast("long").alias("turn_idx"), "speaker", "start", F.coalesce(after, F.greatest("duration", "start")).alias("end"), unwrap_brackets(F.col("text")).alias("text"))
@@ -55,10 +55,14 @@ def parse_rendered(texts: DataFrame, by: list[str]) -> DataFrame:
     return lines.select(*by, "turn_idx", part(3).alias("speaker"), parse_clock(part(1)).alias("start"), parse_clock(part(2)).alias("end"), part(4).alias("text"))
 
 
+def _held_words() -> Column:
+    bare, held = F.from_json("value", f"array<{WORD}>"), F.from_json("value", f"struct<words:array<{WORD}>>")["words"]
+    return F.when(F.ltrim("value").startswith("["), bare).otherwise(held)
+
+
 def parse_words(texts: DataFrame, by: list[str]) -> DataFrame:
     """Words of JSON payloads of either shape: an array of words, or an object that holds it."""
-    bare, held = F.from_json("value", f"array<{WORD}>"), F.from_json("value", f"struct<words:array<{WORD}>>")["words"]
-    shaped = texts.select(*by, F.when(F.ltrim("value").startswith("["), bare).otherwise(held).alias("words"))
+    shaped = texts.select(*by, _held_words().alias("words"))
     return shaped.select(*by, F.posexplode("words").alias("word_idx", "w")).select(*by, "word_idx", "w.word", "w.start", "w.end", "w.speaker")
 
 
@@ -154,23 +158,45 @@ def tagged_words(texts: DataFrame, by: list[str]) -> DataFrame:
     return each.select(*by, (F.row_number().over(Window.partitionBy(*by).orderBy("line", "pos")) - 1).cast("long").alias("word_idx"), "speaker", "word")
 
 
+def _held_turns() -> Column:
+    turn = "struct<speaker:string,start:double,end:double,text:string>"
+    return F.when(F.ltrim("value").startswith("["), F.from_json("value", f"array<{turn}>")).otherwise(F.from_json("value", f"struct<turns:array<{turn}>>")["turns"])
+
+
 def parse_turn_json(texts: DataFrame, by: list[str]) -> DataFrame:
     """Turns of JSON payloads, an array of them or an object that holds it."""
-    turn = "struct<speaker:string,start:double,end:double,text:string>"
-    held = F.when(F.ltrim("value").startswith("["), F.from_json("value", f"array<{turn}>")).otherwise(F.from_json("value", f"struct<turns:array<{turn}>>")["turns"])
-    return texts.select(*by, F.posexplode(held).alias("turn_idx", "t")).select(*by, F.col("turn_idx").cast("long").alias("turn_idx"), "t.speaker", "t.start", "t.end", "t.text")
+    return texts.select(*by, F.posexplode(_held_turns()).alias("turn_idx", "t")).select(*by, F.col("turn_idx").cast("long").alias("turn_idx"), "t.speaker", "t.start", "t.end", "t.text")
 
 
 def load_turns(texts: DataFrame, by: list[str], duration: Column) -> DataFrame:
-    """Turns of transcripts of any kind: time-stamped text, turn JSON, or word JSON, whose runs of a speaker are turns."""
-    from parlance.operators.islands import group_into_turns
+    """Turns of transcripts of any kind: time-stamped text, turn JSON, or word JSON, whose runs of a speaker are turns.
 
+    Each text is read once: its lines, turns or words are pieces, some of which open a turn that the
+    others go on with, as ``parse_turns``, ``parse_turn_json`` and ``group_into_turns`` have it.
+    """
     json = F.ltrim("value").rlike(r"^[\[{]")
-    words = json & F.col("value").rlike(r'"word"\s*:')
-    plain = parse_turns(texts.where(~json), by, duration)
-    turns = parse_turn_json(texts.where(json & ~words), by)
-    runs = group_into_turns(parse_words(texts.where(words), by), by).select(*by, (F.row_number().over(Window.partitionBy(*by).orderBy("turn")) - 1).cast("long").alias("turn_idx"), "speaker", "start", "end", "text")
-    return plain.unionByName(turns).unionByName(runs)
+    kind = F.when(json & F.col("value").rlike(r'"word"\s*:'), "words").when(json, "turns").when(~json, "plain")
+    none, blank = F.lit(None).cast("double"), F.lit(None).cast("string")
+    piece = lambda speaker, start, end, text: F.struct(speaker.alias("speaker"), start.alias("start"), end.alias("end"), text.alias("text"))
+    own = F.transform(_held_turns(), lambda t: piece(t["speaker"], t["start"], t["end"], t["text"]))
+    said = F.transform(_held_words(), lambda w: piece(w["speaker"], w["start"], w["end"], w["word"]))
+    lines = F.transform(F.filter(F.transform(F.split("value", r"\r?\n"), F.trim), lambda x: x != ""), lambda x: piece(blank, none, none, x))
+    pieces = F.when(F.col("kind") == "plain", lines).when(F.col("kind") == "turns", own).when(F.col("kind") == "words", said)
+    each = texts.withColumn("duration", duration).withColumn("kind", kind).select(*by, "kind", "duration", F.posexplode(pieces).alias("n", "p")).select(*by, "kind", "duration", "n", "p.*")
+    plain, run = F.col("kind") == "plain", [*by, "kind"]
+    part = lambda k: F.regexp_extract("text", TURN_LINE, k)
+    w = Window.partitionBy(*run).orderBy("n")
+    opens = F.when(plain, part(2) != "").when(F.col("kind") == "turns", True).otherwise(~F.col("speaker").eqNullSafe(F.lag("speaker").over(w)) | (F.row_number().over(w) == 1))
+    turns = each.withColumn("opens", opens).withColumn("turn", F.sum(F.when(F.col("opens"), 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0))).where("turn > 0")
+    first = lambda read, given: F.max(F.when(F.col("opens"), F.when(plain, read).otherwise(F.col(given)))).alias(given)
+    words = F.struct("n", F.when(plain & F.col("opens"), part(3)).otherwise(F.col("text")).alias("text"))
+    whole = turns.groupBy(*run, "turn").agg(
+        F.max("duration").alias("duration"), first(part(1), "speaker"), first(parse_clock(part(2)), "start"), F.max_by("end", "n").alias("end"), F.max("text").alias("own"), F.array_join(F.sort_array(F.collect_list(words))["text"], " ").alias("text"),
+    )
+    after = F.lead("start").over(Window.partitionBy(*run).orderBy("turn"))
+    end = F.when(plain, F.coalesce(after, F.greatest("duration", "start"))).otherwise(F.col("end"))
+    text = F.when(plain, unwrap_brackets(F.col("text"))).when(F.col("kind") == "turns", F.col("own")).otherwise(F.col("text"))
+    return whole.select(*by, (F.col("turn") - 1).cast("long").alias("turn_idx"), "speaker", "start", end.alias("end"), text.alias("text"))
 
 
 #: Readers of words by the kind of a system's files.
