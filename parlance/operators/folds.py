@@ -156,8 +156,8 @@ def claim_segments(words: DataFrame, segments: DataFrame, by: list[str]) -> Data
     """
     from pyspark.sql import functions as F
 
-    w = words.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("word_idx", "start", "end"))).alias("words"))
-    s = segments.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("seg_idx", "start", "end"))).alias("segs"))
+    w = words.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("word_idx", "start", "end"))).alias("words"))
+    s = segments.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("seg_idx", "start", "end"))).alias("segs"))
     kinds = dict(words.dtypes)
 
     def claim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

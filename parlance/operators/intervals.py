@@ -69,7 +69,7 @@ def _nearest(points: DataFrame, marks: DataFrame, by: list[str]) -> DataFrame:
     """
     others = [c for c in points.columns if c not in (*by, "at")]
     once = marks.where("at is not null").groupBy(*by, "at").agg(F.min_by(F.struct("at", "seg_idx", "speaker"), "seg_idx").alias("mark"))
-    sides = once.withColumn("kind", F.lit(0)).unionByName(points.withColumn("kind", F.lit(1)), allowMissingColumns=True)
+    sides = dealt(once.withColumn("kind", F.lit(0)).unionByName(points.withColumn("kind", F.lit(1)), allowMissingColumns=True), by)
     # Twice a running last, since Spark's frames to the end of a partition are quadratic.
     running = lambda at: F.last("mark", ignorenulls=True).over(Window.partitionBy(*by).orderBy(at, "kind").rowsBetween(Window.unboundedPreceding, 0))
     found = sides.withColumn("before", running(F.col("at").asc())).withColumn("after", running(F.col("at").desc())).where("kind = 1")
@@ -111,7 +111,7 @@ def nearest_word(turns: DataFrame, words: DataFrame, by: list[str]) -> DataFrame
     so_far = F.max("ends").over(order.orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0))
     follows = F.last(F.when(F.col("kind") == 0, F.col("at")), ignorenulls=True).over(order.orderBy(F.desc("at"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, 0))
     gap = F.least(F.when(F.col("so_far").isNotNull(), F.greatest(F.col("from") - F.col("so_far"), F.lit(0.0))), F.col("follows") - F.col("at"))
-    return w.unionByName(t).withColumn("so_far", so_far).withColumn("follows", follows).where("kind = 1").select(*by, "seg_idx", gap.alias("nearest"))
+    return dealt(w.unionByName(t), by).withColumn("so_far", so_far).withColumn("follows", follows).where("kind = 1").select(*by, "seg_idx", gap.alias("nearest"))
 
 
 def clip(words: DataFrame, low: Column, high: Column) -> DataFrame:
@@ -156,19 +156,24 @@ def overlap_lengths(a: DataFrame, b: DataFrame, by: list[str]) -> DataFrame:
     Intervals of a side that overlap each other count each for themselves, as far as the sweep
     meets them.  A recording is swept in one task.
     """
+    spans = lambda df: df.where("start is not null and end is not null").groupBy(*by, "speaker").agg(F.sort_array(F.collect_list(F.struct(F.col("start").cast("double").alias("start"), F.greatest("start", "end").cast("double").alias("end")))).alias("spans"))
+    return swept_overlaps(spans(a), spans(b), by)
+
+
+def swept_overlaps(a: DataFrame, b: DataFrame, by: list[str]) -> DataFrame:
+    """``overlap_lengths`` of speakers (by, speaker) with all their spans (start, end) as one array in order."""
     kinds = dict(a.dtypes)
-    side = lambda df, n: df.select(*by, F.lit(n).alias("side"), "speaker", F.col("start").cast("double").alias("start"), F.greatest("start", "end").cast("double").alias("end")).where("start is not null and end is not null")
-    spans = side(a, 0).unionByName(side(b, 1)).groupBy(*by, "side", "speaker").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
-    held = spans.groupBy(*by).agg(F.collect_list(F.struct("side", "speaker", F.col("spans.start").alias("s"), F.col("spans.end").alias("e"))).alias("sides"))
+    side = lambda df, name: df.groupBy(*by).agg(F.collect_list(F.struct("speaker", F.col("spans.start").alias("s"), F.col("spans.end").alias("e"))).alias(name))
+    held = side(a, "x").join(side(b, "y"), by)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts(batches):
             at, x, y, value = [], [], [], []
             for k in range(batch.num_rows):
-                sides = [(s["side"], s["speaker"], list(zip(s["s"], s["e"]))) for s in batch.column("sides")[k].as_py()]
-                for i, p, one in sides:
-                    for j, q, other in sides:
-                        if i == 0 and j == 1 and (total := _swept(one, other)) > 0:
+                sides = [[(s["speaker"], list(zip(s["s"], s["e"]))) for s in batch.column(c)[k].as_py()] for c in ("x", "y")]
+                for p, one in sides[0]:
+                    for q, other in sides[1]:
+                        if (total := _swept(one, other)) > 0:
                             at.append(k), x.append(p), y.append(q), value.append(total)
             columns = [batch.column(c).take(pa.array(at, pa.int64())) for c in by]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(x, pa.string()), pa.array(y, pa.string()), pa.array(value, pa.float64())], names=[*by, "a_speaker", "b_speaker", "overlap"])

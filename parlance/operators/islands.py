@@ -33,7 +33,7 @@ def group_into_turns(words: DataFrame, by: list[str]) -> DataFrame:
     return (
         islands(words, by, ["word_idx"], _changes(by, ["word_idx"], "speaker"), "turn").groupBy(*by, "turn")
         .agg(F.first("speaker").alias("speaker"), F.min_by("start", "word_idx").alias("start"), F.max_by("end", "word_idx").alias("end"),
-             F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("word_idx", "word"))), lambda x: x["word"]), " ").alias("text"), F.count("*").alias("n_words"))
+             F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("word_idx", "word"))), lambda x: x["word"]), " ").alias("text"), F.count("*").alias("n_words"))
     )
 
 

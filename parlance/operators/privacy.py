@@ -162,7 +162,7 @@ def rewritten_turns(turns: DataFrame, keys: list[str]) -> DataFrame:
     given = F.when(F.col("fits") & (F.get("ref", F.col("i1") + F.col("step")) != ""), label)
     once = F.coalesce(F.col("step"), F.lit(0)) == 0
     sums = offsets.groupBy(*keys).agg(
-        F.coalesce(F.sum(F.when(once & ((F.col("tag") == "equal") | F.col("fits")), n)), F.lit(0)).alias("accounted"), F.count_if(once & F.col("stray")).alias("unmatched"), F.array_sort(F.collect_list(given)).alias("labels"),
+        F.coalesce(F.sum(F.when(once & ((F.col("tag") == "equal") | F.col("fits")), n)), F.lit(0)).alias("accounted"), F.count_if(once & F.col("stray")).alias("unmatched"), F.sort_array(F.collect_list(given)).alias("labels"),
     )
     whole = F.size("source")
     accepted = (whole > 0) & (F.size("output") > 0) & (F.col("accounted") >= LEAST_VERBATIM * whole)

@@ -195,5 +195,5 @@ def insertion_blocks(steps: DataFrame, by: list[str], least: int = 1) -> DataFra
     kinds = each.groupBy(*by, "block", "kind").agg(F.count("*").alias("n"), F.min("j").alias("at"), F.max("j").alias("to"), F.min("i").alias("ref_at"))
     return kinds.groupBy(*by, "block").agg(
         F.min("at").cast("long").alias("first"), (F.max("to") + 1).cast("long").alias("last"), F.min("ref_at").cast("long").alias("ref_at"), F.max_by("kind", F.struct(F.col("n"), -F.col("at"))).alias("category"),
-        F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "kind", F.col("n").cast("string")))), " ").alias("counts"),
+        F.array_join(F.sort_array(F.collect_list(F.concat_ws("=", "kind", F.col("n").cast("string")))), " ").alias("counts"),
     ).where(F.col("last") - F.col("first") >= least).drop("block")

@@ -22,7 +22,7 @@ def tracked_tokens(items: DataFrame, by: list[str], order: str = "word_idx", tex
 
 def intact_visits(items: DataFrame, by: list[str], order: str = "word_idx", text: str = "word", normalize: Normalizer = T.headline) -> DataFrame:
     """by, n_tokens, intact: whether the items' own tokens are those of their pooled text; a bracket that spans items breaks that, and owners can't be told."""
-    held = items.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.coalesce(text, F.lit("")).alias("t")))), lambda x: x["t"]).alias("texts"))
+    held = items.groupBy(*by).agg(F.transform(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.coalesce(text, F.lit("")).alias("t")))), lambda x: x["t"]).alias("texts"))
     own = F.flatten(F.transform("texts", lambda t: T.words_of(normalize(t))))
     both = held.select(*by, own.alias("own"), T.words_of(normalize(F.array_join("texts", " "))).alias("pooled"))
     return both.select(*by, F.size("own").cast("long").alias("n_tokens"), (F.col("own") == F.col("pooled")).alias("intact"))
@@ -30,7 +30,7 @@ def intact_visits(items: DataFrame, by: list[str], order: str = "word_idx", text
 
 def listed(tokens: DataFrame, by: list[str], name: str) -> DataFrame:
     """by, name: the tokens of each visit in order of place, as an array."""
-    return tokens.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "token"))), lambda x: x["token"]).alias(name))
+    return tokens.groupBy(*by).agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "token"))), lambda x: x["token"]).alias(name))
 
 
 def hits(ref: DataFrame, hyp: DataFrame, by: list[str]) -> DataFrame:

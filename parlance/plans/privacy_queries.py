@@ -28,7 +28,7 @@ def projected_back_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    each = D.placed_words(spark, sf_dir).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("j", T.token(F.col("word")).alias("t")))).alias("x"))
+    each = D.placed_words(spark, sf_dir).groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("j", T.token(F.col("word")).alias("t")))).alias("x"))
     return each.select("conv_id", F.col("x.t").alias("tokens"))
 
 

@@ -30,7 +30,7 @@ def intact_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def attached_speakers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    gather = lambda df: df.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("word_idx", T.token(F.col("word")).alias("t"), "speaker"))).alias("x"))
+    gather = lambda df: df.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("word_idx", T.token(F.col("word")).alias("t"), "speaker"))).alias("x"))
     a, b = gather(D.words(spark, sf_dir)), gather(D.system_words(spark, sf_dir)).withColumnRenamed("x", "y")
     pairs = a.join(b, "conv_id").select("conv_id", F.col("x.t").alias("ref"), F.col("x.speaker").alias("speakers"), F.col("y.t").alias("hyp"))
     return repair.attach_speakers(pairs, BY).where("word_idx is not null").drop("dropped")

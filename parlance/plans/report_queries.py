@@ -99,7 +99,7 @@ def turn_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns written as time-stamped lines and read again."""
     t = D.table(spark, sf_dir, "conversations").where("text is not null")
     line = F.format_string("%s 00:%02d:%02d.500 %s", "role", F.floor(F.col("turn") * 20 / 60), F.col("turn") * 20 % 60, F.regexp_replace(F.trim("text"), r"\s*\n\s*", "\n"))
-    raw = t.groupBy(F.col("conv_id").alias("visit")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("line")))), lambda x: x["line"]), "\n").alias("value"))
+    raw = t.groupBy(F.col("conv_id").alias("visit")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", line.alias("line")))), lambda x: x["line"]), "\n").alias("value"))
     got = transcripts.parse_turns(raw, ["visit"], F.lit(150.0))
     return got.select("visit", "turn_idx", "speaker", F.col("start").alias("t_start"), F.col("end").alias("t_end"), "text")
 

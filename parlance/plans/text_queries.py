@@ -41,7 +41,7 @@ def clocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cue_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cue scores of the two transcripts of each speaker's text."""
     put = lambda df, every, cue: df.withColumn("word", F.when(F.col("word_idx") % every == 3, cue).otherwise(F.col("word")))
-    join = lambda df, name: df.groupBy("conv_id", "speaker").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("word_idx", "word"))), lambda x: x["word"]), " ").alias(name))
+    join = lambda df, name: df.groupBy("conv_id", "speaker").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("word_idx", "word"))), lambda x: x["word"]), " ").alias(name))
     a = join(put(put(D.words(spark, sf_dir), 40, "maybe"), 90, "don't"), "a")
     b = join(put(put(D.system_words(spark, sf_dir), 60, "maybe"), 70, "today"), "b")
     scored = a.join(b, ["conv_id", "speaker"], "left").select("conv_id", "speaker", T.headline(F.col("a")).alias("a"), T.headline(F.coalesce("b", F.lit(""))).alias("b"))

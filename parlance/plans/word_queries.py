@@ -63,7 +63,7 @@ def unknown_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token arrays of both transcripts of each turn."""
-    gather = lambda df, name: df.groupBy("conv_id", "turn").agg(F.transform(F.array_sort(F.collect_list(F.struct("word_idx", T.token(F.col("word")).alias("t")))), lambda x: x["t"]).alias(name))
+    gather = lambda df, name: df.groupBy("conv_id", "turn").agg(F.transform(F.sort_array(F.collect_list(F.struct("word_idx", T.token(F.col("word")).alias("t")))), lambda x: x["t"]).alias(name))
     some = lambda c: F.filter(F.coalesce(c, F.array().cast("array<string>")), lambda t: t != "")
     both = gather(D.words(spark, sf_dir), "ref").join(gather(D.system_words(spark, sf_dir), "hyp"), ["conv_id", "turn"], "left")
     return both.select("conv_id", "turn", some(F.col("ref")).alias("ref"), some(F.col("hyp")).alias("hyp"))

@@ -20,14 +20,14 @@ def uem(spans: DataFrame, uri: str) -> DataFrame:
 def vtt(cues: DataFrame, by: list[str]) -> DataFrame:
     """A WebVTT text for each recording."""
     block = F.concat(format_clock(F.col("start")), F.lit(" --> "), format_clock(F.col("end")), F.lit("\n"), F.col("speaker"), F.lit(": "), F.col("text"))
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("cue", block.alias("b")))), lambda x: x["b"]), "\n\n")
+    body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("cue", block.alias("b")))), lambda x: x["b"]), "\n\n")
     return cues.groupBy(*by).agg(F.concat(F.lit("WEBVTT\n\n"), body, F.lit("\n")).alias("value"))
 
 
 def srt(cues: DataFrame, by: list[str]) -> DataFrame:
     """A SubRip text for each recording; cues are numbered from 1."""
     block = F.concat((F.col("cue") + 1).cast("string"), F.lit("\n"), format_clock(F.col("start"), True), F.lit(" --> "), format_clock(F.col("end"), True), F.lit("\n"), F.col("speaker"), F.lit(": "), F.col("text"))
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("cue", block.alias("b")))), lambda x: x["b"]), "\n\n")
+    body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("cue", block.alias("b")))), lambda x: x["b"]), "\n\n")
     return cues.groupBy(*by).agg(F.concat(body, F.lit("\n")).alias("value"))
 
 
@@ -35,7 +35,7 @@ def results(metrics: DataFrame, visit: str, system: str) -> DataFrame:
     """One JSON document for each visit: system -> metrics."""
     rest = [c for c in metrics.columns if c not in (visit, system)]
     entry = F.struct(F.col(system).alias("key"), F.struct(*rest).alias("value"))
-    return metrics.groupBy(visit).agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(entry)))).alias("value"))
+    return metrics.groupBy(visit).agg(F.to_json(F.map_from_entries(F.sort_array(F.collect_list(entry)))).alias("value"))
 
 
 def lst(names: DataFrame, uri: str) -> DataFrame:
@@ -56,7 +56,7 @@ def role_lines(turns: DataFrame, roles: DataFrame, by: list[str]) -> DataFrame:
     time = lambda c: F.when(F.col(c).isNull(), "?").otherwise(F.format_string("%.2f", F.col(c)))
     named = turns.join(roles.select(*by, "speaker", "role"), [*by, "speaker"], "left")
     line = F.concat(F.lit("["), time("start"), F.lit(" - "), time("end"), F.lit("] "), F.coalesce("role", "speaker"), F.lit(": "), F.trim("text"))
-    return named.groupBy(*by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("line")))), lambda x: x["line"]), "\n").alias("value"))
+    return named.groupBy(*by).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", line.alias("line")))), lambda x: x["line"]), "\n").alias("value"))
 
 
 def report(rows: list, label: str, formats: dict[str, str]) -> str:
