@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from parlance.functions import text as T
-from parlance.operators import align, intervals, tokens, visit
+from parlance.operators import align, intervals, visit
 from parlance.operators.intervals import UNKNOWN
 from parlance.operators.visit import Visit
 
@@ -25,8 +25,9 @@ VARIANTS = {"der": (0.0, False), "der_collar0.25": (0.25, False), "der_skipoverl
 
 def _stream(df: DataFrame, by: list[str], order: str, text: str) -> DataFrame:
     span = F.struct(F.col("start").cast("double").alias("start"), F.greatest("start", F.coalesce("end", "start")).cast("double").alias("end"))
-    each = df.groupBy(*by, "speaker").agg(F.array_sort(F.collect_list(F.struct(F.col(order).cast("long").alias("at"), F.col(text).alias("text"), span.alias("span")))).alias("x"))
-    return each.select(*by, "speaker", F.array_join(F.col("x.text"), " ").alias("text"), F.col("x.span").alias("spans"))
+    # Collected apart, so that who asks for one of them doesn't gather the other.
+    held = lambda what: F.sort_array(F.collect_list(F.struct(F.col(order).cast("long").alias("at"), what.alias("x"))))["x"]
+    return df.groupBy(*by, "speaker").agg(F.array_join(held(F.col(text)), " ").alias("text"), held(span).alias("spans"))
 
 
 def reference_streams(turns: DataFrame, by: list[str]) -> DataFrame:
@@ -50,8 +51,8 @@ def without_strays(streams: DataFrame, by: list[str], least: int = LEAST_WORDS)
 
 def matched_streams(reference: DataFrame, hypothesis: DataFrame, by: list[str]) -> DataFrame:
     """by, a_speaker, b_speaker: the assignment of streams with the most overlap, each at most once."""
-    spans = lambda df: df.select(*by, "speaker", F.explode("spans").alias("s")).select(*by, "speaker", "s.start", "s.end")
-    return intervals.assign_labels(intervals.overlap_lengths(spans(reference), spans(hypothesis), by), by).select(*by, "a_speaker", "b_speaker")
+    timed = lambda df: df.select(*by, "speaker", F.sort_array(F.filter("spans", lambda s: s["start"].isNotNull())).alias("spans"))
+    return intervals.assign_labels(intervals.swept_overlaps(timed(reference), timed(hypothesis), by), by).select(*by, "a_speaker", "b_speaker")
 
 
 def stream_scores(reference: DataFrame, hypothesis: DataFrame, mapping: DataFrame, by: list[str]) -> DataFrame:
@@ -92,7 +93,7 @@ def reassigned(words: DataFrame, reference: DataFrame, mapping: DataFrame, by: l
     line = Window.partitionBy(*by, "a_speaker").orderBy("x")
     before = F.last("edge", ignorenulls=True).over(line.rangeBetween(Window.unboundedPreceding, 0))
     after = F.first("edge", ignorenulls=True).over(line.rangeBetween(0, Window.unboundedFollowing))
-    near = asked.withColumn("word_idx", F.col("word_idx").cast("long")).unionByName(edges).withColumn("near", F.least(F.col("x") - before, after - F.col("x"))).where("word_idx is not null and near is not null")
+    near = align.dealt(asked.withColumn("word_idx", F.col("word_idx").cast("long")).unionByName(edges), by).withColumn("near", F.least(F.col("x") - before, after - F.col("x"))).where("word_idx is not null and near is not null")
     each = near.join(shared.withColumn("word_idx", F.col("word_idx").cast("long")), [*by, "word_idx", "a_speaker"], "left").withColumn("shared", F.coalesce("shared", F.lit(0.0)))
     best = each.groupBy(*by, "word_idx").agg(F.min_by("b_speaker", F.struct(-F.col("shared"), F.col("near"), F.col("a_speaker"))).alias("new"))
     return words.join(best, [*by, "word_idx"], "left").withColumn("moved", F.col("new").isNotNull()).withColumn("speaker", F.coalesce("new", "speaker")).drop("new")
@@ -104,20 +105,23 @@ def relabelled_word_errors(ref: DataFrame, hyp: DataFrame, by: list[str]) -> Dat
     ref and hyp: by, place, token, speaker; speakers of the hypothesis are numbers, with or without
     an S before them, and ``shift`` is added to them (S1 to S2, the last to S1); the least shift of
     the best wins.  Where every shared word is wrong under all of them, or the hypothesis has no
-    words, the rate is 1, and the names stay (shift is null, no word is counted).
+    words, the rate is 1, and the names stay (shift is null, no word is counted).  Speakers travel
+    beside the tokens, so words never meet one by one.
     """
-    side = lambda df, place, name: df.select(*by, F.col("place").alias(place), F.col("speaker").alias(name))
-    paired = tokens.hits(ref, hyp, by).join(side(ref, "i", "r"), [*by, "i"]).join(side(hyp, "j", "h"), [*by, "j"])
-    counts = paired.groupBy(*by, "r", "h").agg(F.count("*").alias("n"))
-    speakers = ref.select(*by).distinct().join(hyp.groupBy(*by).agg(F.count_distinct("speaker").alias("speakers")), by, "left")
+    listed = lambda df: df.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("place", "token", "speaker"))).alias("x"))
+    side = lambda df, tokens, speaker: listed(df).select(*by, F.col("x.token").alias(tokens), F.col("x.speaker").alias(speaker))
+    both = side(ref, "ref", "r").join(side(hyp, "hyp", "h"), by, "left").withColumn("speakers", F.size(F.array_distinct(F.array_compact("h"))).cast("long"))
+    met = F.zip_with("i", "j", lambda i, j: F.struct(F.get("r", i).alias("r"), F.get("h", j).alias("h")))
+    paired = align.edit_hits(both, [*by, "r", "h", "speakers"]).select(*by, F.when(F.col("h").isNotNull(), F.col("speakers")).alias("speakers"), F.explode_outer(met).alias("x"))
+    counts = paired.groupBy(*by, "speakers", F.col("x.r").alias("r"), F.col("x.h").alias("h")).agg(F.count("x").alias("n"))
     number = F.regexp_extract("h", "^S?(.*)$", 1).cast("int")
-    shifted = counts.join(speakers, by).withColumn("shift", F.explode(F.sequence(F.lit(0), F.col("speakers").cast("int") - 1)))
+    shifted = counts.withColumn("shift", F.explode_outer(F.sequence(F.lit(0), F.col("speakers").cast("int") - 1)))
     named = F.concat(F.lit("S"), (F.pmod(number - 1 + F.col("shift"), F.col("speakers")) + 1).cast("string"))
-    each = shifted.groupBy(*by, "shift").agg(F.coalesce(F.sum(F.when(F.col("r") != named, F.col("n"))), F.lit(0)).alias("errors"), F.sum("n").alias("total"))
-    best = each.groupBy(*by).agg(F.min(F.struct("errors", "shift", "total")).alias("b"))
+    each = shifted.groupBy(*by, "speakers", "shift").agg(F.coalesce(F.sum(F.when(F.col("r") != named, F.col("n"))), F.lit(0)).alias("errors"), F.sum("n").alias("total"))
+    best = each.groupBy(*by, "speakers").agg(F.min(F.when(F.col("total") > 0, F.struct("errors", "shift", "total"))).alias("b"))
     kept = F.col("b.errors") < F.col("b.total")
     spoken = F.col("speakers").isNotNull()
-    return speakers.join(best, by, "left").select(
+    return best.select(
         *by, F.when(kept, F.col("b.errors") / F.col("b.total")).when(spoken & F.col("b").isNull(), 0.0).otherwise(1.0).alias("der"), F.coalesce(F.when(kept, F.col("b.errors")), F.lit(0)).alias("speaker_errors"),
         F.coalesce(F.when(kept, F.col("b.total")), F.lit(0)).alias("total_correct_words"), F.when(kept, F.col("b.shift")).when(spoken & F.col("b").isNull(), 0).alias("shift"),
     )
