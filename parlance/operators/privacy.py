@@ -7,6 +7,8 @@ blocks (by, i1, i2, j1, j2); ``by`` names the columns of one visit.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -143,27 +145,28 @@ def rewritten_turns(turns: DataFrame, keys: list[str]) -> DataFrame:
     known placeholders replaces: placeholder by placeholder where there is one for each word, else
     the first for all.  Blocks without a word or with more than MOST_AMBIGUOUS, and bracketed tokens
     that aren't known, count as ``unmatched``.  A rewrite that accounts for less than LEAST_VERBATIM
-    of the words isn't accepted, and has no labels and nothing unmatched.
+    of the words, or whose turn lacks a key, isn't accepted, and has no labels and nothing unmatched.
+    All of it stays in the turn's row: nothing is joined or shuffled.
     """
     none = F.array().cast("array<string>")
     sides = turns.select(*keys, F.transform(F.coalesce("words", none), F.trim).alias("source"), T.words_of(F.col("reply")).alias("output"))
     keyed = sides.withColumn("ref", F.transform("source", _key)).withColumn("hyp", F.transform("output", _key))
-    ops = align.blocks(keyed, keys).select(*keys, F.explode_outer("ops").alias("o")).select(*keys, "o.*")
-    n = F.col("i2") - F.col("i1")
-    each = ops.join(keyed.select(*keys, "ref", "output"), keys).withColumn("said", F.slice("output", F.col("j1") + 1, F.col("j2") - F.col("j1")))
-    each = each.withColumn("held", F.filter(F.transform("said", lambda t: F.regexp_extract(t, PLACEHOLDER, 1)), lambda x: x != "")).withColumn("known", F.filter("held", lambda x: x.isin(LABELS)))
-    edit, some = F.col("tag") != "equal", F.size("known") > 0
-    fits = edit & some & (n > 0) & (n <= MOST_AMBIGUOUS)
-    stray = edit & (F.when(some, ~fits).otherwise(F.exists("said", lambda t: t.rlike(BRACKETED))))
-    offsets = each.select(*keys, "tag", "i1", "known", "held", n.alias("n"), "ref", fits.alias("fits"), stray.alias("stray"), F.explode_outer(F.when(fits, F.sequence(F.lit(0), n - 1))).alias("step"))
-    n = F.col("n")
-    single = (F.size("known") == F.size("held")) & (F.size("known") == n) & (F.size("known") > 1)
-    label = F.struct((F.col("i1") + F.col("step")).alias("place"), F.when(single, F.get("known", F.col("step"))).otherwise(F.get("known", F.lit(0))).alias("label"))
-    given = F.when(F.col("fits") & (F.get("ref", F.col("i1") + F.col("step")) != ""), label)
-    once = F.coalesce(F.col("step"), F.lit(0)) == 0
-    sums = offsets.groupBy(*keys).agg(
-        F.coalesce(F.sum(F.when(once & ((F.col("tag") == "equal") | F.col("fits")), n)), F.lit(0)).alias("accounted"), F.count_if(once & F.col("stray")).alias("unmatched"), F.sort_array(F.collect_list(given)).alias("labels"),
-    )
-    whole = F.size("source")
-    accepted = (whole > 0) & (F.size("output") > 0) & (F.col("accounted") >= LEAST_VERBATIM * whole)
-    return keyed.join(sums, keys, "left").select(*keys, F.coalesce(accepted, F.lit(False)).alias("accepted"), F.when(accepted, F.col("unmatched")).otherwise(0).alias("unmatched"), F.when(accepted, F.col("labels")).otherwise(F.array().cast("array<struct<place:int,label:string>>")).alias("labels"))
+    o = align.blocks(keyed, [*keys, "ref", "output"])
+    # One step for each field that the next ones use more than once, since what a lambda repeats is computed again.
+    add = lambda **fields: o.withColumn("ops", F.transform("ops", lambda x: reduce(lambda y, f: y.withField(*f), [(k, v(x)) for k, v in fields.items()], x)))
+    edit = lambda x: x["tag"] != "equal"
+    some = lambda x: F.size(x["known"]) > 0
+    o = add(n=lambda x: x["i2"] - x["i1"], said=lambda x: F.when(edit(x), F.slice("output", x["j1"] + 1, x["j2"] - x["j1"])).otherwise(none))
+    o = add(held=lambda x: F.filter(F.transform(x["said"], lambda t: F.regexp_extract(t, PLACEHOLDER, 1)), lambda h: h != ""))
+    o = add(known=lambda x: F.filter(x["held"], lambda h: h.isin(LABELS)))
+    o = add(fits=lambda x: edit(x) & some(x) & (x["n"] > 0) & (x["n"] <= MOST_AMBIGUOUS))
+    o = add(stray=lambda x: edit(x) & F.when(some(x), ~x["fits"]).otherwise(F.exists(x["said"], lambda t: t.rlike(BRACKETED))))
+    single = lambda x: (F.size(x["known"]) == F.size(x["held"])) & (F.size(x["known"]) == x["n"])
+    label = lambda x, k: F.struct((x["i1"] + k).alias("place"), F.get(x["known"], F.when(single(x), k).otherwise(0)).alias("label"))
+    given = F.flatten(F.transform(F.filter("ops", lambda x: x["fits"]), lambda x: F.transform(F.sequence(F.lit(0), x["n"] - 1), lambda k: label(x, k))))
+    labels = F.filter(given, lambda g: F.get("ref", g["place"]) != "")
+    accounted = F.aggregate("ops", F.lit(0), lambda a, x: a + F.when(~edit(x) | x["fits"], x["n"]).otherwise(0))
+    whole = F.size("ref")
+    o = o.withColumn("accepted", F.coalesce((whole > 0) & (F.size("output") > 0) & (accounted >= LEAST_VERBATIM * whole) & reduce(and_, [F.col(k).isNotNull() for k in keys]), F.lit(False)))
+    unmatched = F.size(F.filter("ops", lambda x: x["stray"])).cast("long")
+    return o.select(*keys, "accepted", F.when(F.col("accepted"), unmatched).otherwise(0).alias("unmatched"), F.when(F.col("accepted"), labels).otherwise(F.array().cast("array<struct<place:int,label:string>>")).alias("labels"))

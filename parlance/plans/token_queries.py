@@ -46,10 +46,11 @@ def relabelled_word_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rewritten_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns as a model writes them back, with placeholders for some words, others lost or changed; every fifth it makes up."""
-    i = F.col("word_idx")
-    said = F.when(i % 23 == 5, "[DATE].").when(i % 29 < 2, "[PERSON_NAME],").when(i % 31 == 7, "[HOSPITAL]").when(i % 37 == 8, F.concat(F.col("word"), F.lit(" [AGE]"))).when(i % 41 == 9, "").when(i % 17 == 4, "zz").otherwise(F.col("word"))
-    gather = lambda c: F.transform(F.sort_array(F.collect_list(F.struct("word_idx", c.alias("w")))), lambda x: x["w"])
-    t = D.words(spark, sf_dir).groupBy(*TURN).agg(gather(F.col("word")).alias("words"), F.array_join(gather(said), " ").alias("reply"))
+    def said(word, k):
+        i = F.col("before") + k
+        return F.when(i % 23 == 5, "[DATE].").when(i % 29 < 2, "[PERSON_NAME],").when(i % 31 == 7, "[HOSPITAL]").when(i % 37 == 8, F.concat(word, F.lit(" [AGE]"))).when(i % 41 == 9, "").when(i % 17 == 4, "zz").otherwise(word)
+
+    t = D.turn_words(spark, sf_dir).select(*TURN, F.col("ws").alias("words"), F.array_join(F.transform("ws", said), " ").alias("reply"))
     made_up = t.withColumn("reply", F.when(F.col("turn") % 5 == 4, "I can't help with that.").otherwise(F.col("reply")))
     found = privacy.rewritten_turns(made_up, TURN)
     return found.select(*TURN, "accepted", "unmatched", F.array_join(F.transform("labels", lambda x: F.concat_ws(":", x["place"].cast("string"), x["label"])), " ").alias("labels"))
