@@ -58,7 +58,7 @@ def as_of(points: DataFrame, segments: DataFrame, by: list[str], at: str = "t")
     p = points.select(*by, "point", F.col(at).alias("t"), F.lit(1).alias("kind"), F.lit(None).cast("struct<speaker:string,end:double>").alias("seg"), F.lit(0).alias("ord"))
     s = segments.select(*by, F.lit(None).cast("long").alias("point"), F.col("start").alias("t"), F.lit(0).alias("kind"), F.struct(F.col("speaker").alias("speaker"), F.col("end").cast("double").alias("end")).alias("seg"), F.col("seg_idx").cast("int").alias("ord"))
     w = Window.partitionBy(*by).orderBy("t", "kind", "ord").rowsBetween(Window.unboundedPreceding, 0)
-    found = p.unionByName(s).withColumn("last", F.last("seg", ignorenulls=True).over(w)).where("kind = 1")
+    found = dealt(p.unionByName(s), by).withColumn("last", F.last("seg", ignorenulls=True).over(w)).where("kind = 1")
     return found.select(*by, "point", "t", F.when(F.col("t") <= F.col("last.end"), F.col("last.speaker")).alias("speaker"))
 
 
