@@ -182,23 +182,32 @@ def swept_overlaps(a: DataFrame, b: DataFrame, by: list[str]) -> DataFrame:
 
 
 def _best(overlaps: dict[tuple[str, str], float]) -> list[tuple[str, str]]:
-    """Best one-to-one assignment: exact by dynamic programming over subsets of the smaller side, which speakers of one recording keep small."""
+    """Best one-to-one assignment: exact by dynamic programming over subsets of the smaller side, which speakers of one recording keep small.
+
+    Of assignments with the same total the one whose last first speaker by name comes earliest wins,
+    then, from the first speaker on, the one that leaves it out or else gives it the last name.
+    """
     rows, cols = sorted({a for a, _ in overlaps}), sorted({b for _, b in overlaps})
-    flip = len(cols) > len(rows)
-    sides = (cols, rows) if flip else (rows, cols)
-    best: dict[int, tuple[float, tuple[int, ...]]] = {0: (0.0, ())}
-    for x in sides[0]:
-        step: dict[int, tuple[float, tuple[int, ...]]] = {}
-        gains = [(j, overlaps.get((y, x) if flip else (x, y), 0.0)) for j, y in enumerate(sides[1])]
+    flip, none = len(cols) > len(rows), len(cols)
+    ahead = lambda x, y: x[0] > y[0] + 1e-12 or (x[0] >= y[0] - 1e-12 and x[1:] > y[1:])
+    best: dict[int, tuple[float, tuple[int, ...]]] = {0: (0.0, (none,) * len(rows))}
+    top = (0.0, 0, best[0][1])
+    for k in range(len(cols) if flip else len(rows)):
+        gains = [(1 << (i if flip else j), i, j, v) for i, j in ([(i, k) for i in range(len(rows))] if flip else [(k, j) for j in range(none)]) if (v := overlaps.get((rows[i], cols[j]), 0.0)) > 0]
+        step = dict(best)
         for used, (value, chosen) in best.items():
-            options = [(used, value, (*chosen, -1))] + [(used | 1 << j, value + v, (*chosen, j)) for j, v in gains if v > 0 and not used >> j & 1]
-            for key, v, c in options:
-                if key not in step or v > step[key][0] + 1e-12:
-                    step[key] = (v, c)
+            for bit, i, j, v in gains:
+                if not used & bit:
+                    new = (value + v, (*chosen[:i], j, *chosen[i + 1 :]))
+                    if used | bit not in step or ahead(new, step[used | bit]):
+                        step[used | bit] = new
         best = step
-    _, chosen = max(best.values(), key=lambda x: x[0])
-    pairs = [(x, sides[1][j]) for x, j in zip(sides[0], chosen) if j >= 0]
-    return [(y, x) for x, y in pairs] if flip else pairs
+        for value, chosen in best.values():
+            if value >= top[0] - 1e-12:
+                last = max((i + 1 for i, j in enumerate(chosen) if j < none), default=0)
+                if ahead(found := (value, -last, chosen), top):
+                    top = found
+    return [(rows[i], cols[j]) for i, j in enumerate(top[2]) if j < none]
 
 
 def assign_labels(overlaps: DataFrame, by: list[str]) -> DataFrame:
